@@ -148,3 +148,140 @@ def q_retrieve_context(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("chars") > OPTS.retrieve_max_chars).alias("truncated"),
         F.md5(cut).alias("context_md5"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Companies and filings
+# ---------------------------------------------------------------------------
+from filinglens.operators import entity as _entity  # noqa: E402
+from filinglens.operators import filings as _filings  # noqa: E402
+from filinglens.operators import gate as _gate  # noqa: E402
+from filinglens.plans import roles  # noqa: E402
+
+FILING_OUT = list(_filings.FILING_COLS)
+
+
+def _entity_dim(spark, sf_dir):
+    return _entity.build_entity_dim(roles.universe(spark, sf_dir))
+
+
+@register
+def q_entity_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entity_dim(spark, sf_dir)
+
+
+@register
+def q_resolve_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _entity.resolve_tickers(roles.requests(spark, sf_dir), _entity_dim(spark, sf_dir))
+    return r.select("request_id", "ticker", "ticker_norm", "cik", "company_name", "status")
+
+
+@register
+def q_unzip_parallel_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings regrouped into one listing per company and month (parallel
+    arrays, December listings without periodOfReport), then unzipped."""
+    f = roles.filings(spark, sf_dir).withColumn("month", F.date_format("filing_date", "yyyy-MM"))
+    g = f.groupBy("cik", "month").agg(
+        F.sort_array(
+            F.collect_list(
+                F.struct("pos", "form_type", "filing_date", "accession_number", "primary_document", "period_of_report")
+            )
+        ).alias("fs")
+    )
+    iso = "yyyy-MM-dd"
+    listing = g.select(
+        "cik",
+        "month",
+        F.transform("fs", lambda x: x["form_type"]).alias("form"),
+        F.transform("fs", lambda x: F.date_format(x["filing_date"], iso)).alias("filingDate"),
+        F.transform("fs", lambda x: x["accession_number"]).alias("accessionNumber"),
+        F.transform("fs", lambda x: x["primary_document"]).alias("primaryDocument"),
+        F.when(
+            ~F.col("month").endswith("-12"),
+            F.transform("fs", lambda x: F.coalesce(F.date_format(x["period_of_report"], iso), F.lit(""))),
+        ).alias("periodOfReport"),
+    )
+    return _filings.unzip_listing(listing, keep=["cik", "month"]).select(
+        "cik", "month", F.col("pos").cast("int").alias("pos"), "form_type", "filing_date",
+        "accession_number", "primary_document", "period_of_report",
+    )
+
+
+@register
+def q_latest_filing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filings.select_latest(roles.filings(spark, sf_dir), OPTS).select(*FILING_OUT)
+
+
+@register
+def q_filing_for_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filings.select_latest(roles.filings(spark, sf_dir), OPTS, target_period=roles.TARGET_PERIOD).select(
+        *FILING_OUT
+    )
+
+
+@register
+def q_latest_filing_amended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filings.select_latest_amended(roles.filings(spark, sf_dir), OPTS).select(*FILING_OUT)
+
+
+@register
+def q_recent_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _filings.recent_filings(roles.filings(spark, sf_dir), 3, OPTS)
+    return r.select("cik", "recent_rank", "accession_number", "filing_date", "form_type")
+
+
+@register
+def q_filing_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _filings.filing_paths(roles.filings(spark, sf_dir))
+    return p.select("accession_number", "archive_url", "storage_path")
+
+
+@register
+def q_pending_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest filing per company whose landing path is not among the
+    landed files (fulfilled orders stand for landed filings)."""
+    f = roles.filings(spark, sf_dir)
+    wanted = _filings.filing_paths(_filings.select_latest(f, OPTS))
+    landed = _filings.filing_paths(f.where(F.col("status") == roles.LANDED_STATUS))
+    return _filings.pending_downloads(wanted, landed).select("cik", "accession_number", "storage_path")
+
+
+def _index_keys(f: DataFrame) -> DataFrame:
+    """Chunk-index keys: filings of fulfilled orders count as ingested."""
+    return f.where(F.col("status") == roles.STORED_STATUS).select(
+        F.col("ticker").alias("ticker_norm"), "accession_number"
+    )
+
+
+@register
+def q_has_accession(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = roles.filings(spark, sf_dir)
+    req = _filings.select_latest(f, OPTS).select("cik", F.col("ticker").alias("ticker_norm"), "accession_number")
+    return _gate.has_accession(req, _index_keys(f))
+
+
+def _cache_for(f: DataFrame, entity: DataFrame, cond) -> DataFrame:
+    latest = _filings.select_latest(f.where(cond), OPTS)
+    return latest.join(entity.select(F.col("ticker").alias("ticker_norm"), "cik"), "cik")
+
+
+@register
+def q_gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = roles.filings(spark, sf_dir)
+    ent = _entity_dim(spark, sf_dir)
+    cache = _cache_for(f, ent, F.col("filing_date") < F.to_date(F.lit(roles.CACHE_CUT_DATE)))
+    keys = _gate.stored_keys(_index_keys(f))
+    g = _gate.gate(roles.requests(spark, sf_dir), ent, cache, f, keys, OPTS)
+    return g.select(
+        "request_id", "ticker_norm", "cik", "status", "action", "cached_accession_number", "fresh_accession_number"
+    )
+
+
+@register
+def q_latest_cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = roles.filings(spark, sf_dir)
+    ent = _entity_dim(spark, sf_dir)
+    cut = F.to_date(F.lit(roles.CACHE_CUT_DATE))
+    old = _cache_for(f, ent, F.col("filing_date") < cut)
+    batch = _cache_for(f, ent, F.col("filing_date") >= cut)
+    return _gate.merge_latest_cache(old, batch)

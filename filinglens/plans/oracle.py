@@ -203,3 +203,203 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, page_id, CAST(section_order AS I
        md5(substring(text, 1, {O.retrieve_max_chars})) AS context_md5
 FROM ranked WHERE rank <= least(greatest({O.retrieve_k}, 0), {O.retrieve_max_k})
 """
+
+
+# ---------------------------------------------------------------------------
+# Companies and filings (roles as in plans/roles.py)
+# ---------------------------------------------------------------------------
+from filinglens.plans import roles as R  # noqa: E402
+
+
+def _raw_ticker(seg: str, nation: str) -> str:
+    return f"(' ' || lower(substring({seg}, 1, 4)) || CAST({nation} AS VARCHAR))"
+
+
+def _norm_ticker(x: str) -> str:
+    return f"upper({strip(x)})"
+
+
+FORM_CASE = "CASE o_orderpriority " + " ".join(
+    f"WHEN {q(k)} THEN {q(v)}" for k, v in R.FORM_BY_PRIORITY.items()
+) + " END"
+
+ROLES_CTE = f"""
+universe AS (
+  SELECT c_custkey AS pos, CAST(c_custkey AS VARCHAR) AS cik_str,
+         {_raw_ticker('c_mktsegment', 'c_nationkey')} AS ticker, c_name AS title FROM customer
+),
+entity AS (
+  SELECT ticker_norm AS ticker, printf('%010d', arg_max(cik_int, pos)) AS cik, arg_max(cik_int, pos) AS cik_int,
+         arg_max(title, pos) AS company_name
+  FROM (SELECT pos, {_norm_ticker('ticker')} AS ticker_norm, TRY_CAST(cik_str AS BIGINT) AS cik_int, title FROM universe)
+  GROUP BY ticker_norm
+),
+filings AS (
+  SELECT o_orderkey AS pos, printf('%010d', o_custkey) AS cik, {FORM_CASE} AS form_type,
+         CAST(o_orderdate AS DATE) AS filing_date,
+         CASE WHEN o_orderstatus <> 'P'
+              THEN last_day(CAST(date_trunc('quarter', CAST(o_orderdate AS DATE)) - INTERVAL 1 MONTH AS DATE)) END
+           AS period_of_report,
+         printf('%010d-%02d-%06d', o_custkey, year(o_orderdate) % 100, o_orderkey) AS accession_number,
+         'doc' || CAST(o_orderkey AS VARCHAR) || '.htm' AS primary_document,
+         o_orderstatus AS status,
+         {_norm_ticker(_raw_ticker('c_mktsegment', 'c_nationkey'))} AS ticker,
+         c_name AS company_name
+  FROM orders JOIN customer ON o_custkey = c_custkey
+),
+requests AS (
+  SELECT c_custkey AS request_id,
+         CASE WHEN c_acctbal < 0 THEN 'x' || upper({_raw_ticker('c_mktsegment', 'c_nationkey')})
+              ELSE upper({_raw_ticker('c_mktsegment', 'c_nationkey')}) END AS ticker,
+         CASE WHEN c_mktsegment = {q(R.TARGET_SEGMENT)} THEN DATE {q(R.TARGET_PERIOD)} END AS filing_period,
+         c_mktsegment = {q(R.FORCE_SEGMENT)} AS force_refresh
+  FROM customer
+),
+quarterly AS (SELECT * FROM filings WHERE form_type IN ('10-Q', '10-Q/A'))
+"""
+
+FILING_SEL = "ticker, cik, company_name, form_type, filing_date, period_of_report, accession_number, primary_document"
+
+
+def _latest(src: str, part: str = "cik", order: str = "filing_date DESC, pos") -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {order}) AS _rn FROM {src}) WHERE _rn = 1)"
+
+
+@sql("entity_dim")
+def _():
+    return f"WITH {ROLES_CTE} SELECT * FROM entity"
+
+
+@sql("resolve_requests")
+def _():
+    return f"""WITH {ROLES_CTE}
+SELECT r.request_id, r.ticker, {_norm_ticker('r.ticker')} AS ticker_norm, e.cik, e.company_name,
+       CASE WHEN e.cik IS NULL THEN 'unknown_ticker' ELSE 'ok' END AS status
+FROM requests r LEFT JOIN entity e ON {_norm_ticker('r.ticker')} = e.ticker"""
+
+
+@sql("unzip_parallel_arrays")
+def _():
+    return f"""WITH {ROLES_CTE}
+SELECT cik, strftime(filing_date, '%Y-%m') AS month,
+       CAST(row_number() OVER (PARTITION BY cik, strftime(filing_date, '%Y-%m') ORDER BY pos) - 1 AS INTEGER) AS pos,
+       form_type, filing_date, accession_number, primary_document,
+       CASE WHEN strftime(filing_date, '%Y-%m') LIKE '%-12' THEN NULL ELSE period_of_report END AS period_of_report
+FROM filings"""
+
+
+@sql("latest_filing")
+def _():
+    return f"WITH {ROLES_CTE} SELECT {FILING_SEL} FROM {_latest('quarterly')}"
+
+
+@sql("filing_for_period")
+def _():
+    return f"""WITH {ROLES_CTE}, t AS (SELECT * FROM quarterly WHERE period_of_report = DATE {q(R.TARGET_PERIOD)})
+SELECT {FILING_SEL} FROM {_latest('t')}"""
+
+
+@sql("latest_filing_amended")
+def _():
+    order = "filing_date DESC, CASE WHEN form_type = '10-Q/A' THEN 1 ELSE 0 END DESC, pos"
+    return f"WITH {ROLES_CTE} SELECT {FILING_SEL} FROM {_latest('quarterly', order=order)}"
+
+
+@sql("recent_filings")
+def _():
+    return f"""WITH {ROLES_CTE}
+SELECT cik, CAST(recent_rank AS INTEGER) AS recent_rank, accession_number, filing_date, form_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, pos) AS recent_rank FROM quarterly
+) WHERE recent_rank <= 3"""
+
+
+def _paths(src: str) -> str:
+    url = (
+        f"{q(R_ARCHIVES)} || '/' || regexp_replace(cik, '^0+', '') || '/' || replace(accession_number, '-', '') "
+        "|| '/' || primary_document"
+    )
+    path = "'filings/' || ticker || '/' || cik || '/' || form_type || '/' || accession_number || '/' || primary_document"
+    return f"(SELECT *, {url} AS archive_url, {path} AS storage_path FROM {src})"
+
+
+from filinglens.options import ARCHIVES_BASE as R_ARCHIVES  # noqa: E402
+
+
+@sql("filing_paths")
+def _():
+    return f"WITH {ROLES_CTE} SELECT accession_number, archive_url, storage_path FROM {_paths('filings')}"
+
+
+@sql("pending_downloads")
+def _():
+    return f"""WITH {ROLES_CTE},
+wanted AS {_paths(_latest('quarterly'))},
+landed AS {_paths(f"(SELECT * FROM filings WHERE status = {q(R.LANDED_STATUS)})")}
+SELECT cik, accession_number, storage_path FROM wanted
+WHERE storage_path NOT IN (SELECT storage_path FROM landed)"""
+
+
+STORED_CTE = f"stored AS (SELECT DISTINCT ticker AS ticker_norm, accession_number FROM filings WHERE status = {q(R.STORED_STATUS)})"
+
+
+@sql("has_accession")
+def _():
+    return f"""WITH {ROLES_CTE}, {STORED_CTE}
+SELECT l.cik, l.ticker AS ticker_norm, l.accession_number FROM {_latest('quarterly')} l
+WHERE EXISTS (SELECT 1 FROM stored s WHERE s.ticker_norm = l.ticker AND s.accession_number = l.accession_number)"""
+
+
+def _cache_cte(name: str, cond: str) -> str:
+    return f"""{name} AS (
+  SELECT e.ticker AS ticker_norm, l.cik, l.accession_number, l.filing_date, l.period_of_report, l.primary_document
+  FROM {_latest(f"(SELECT * FROM quarterly WHERE {cond})")} l JOIN entity e ON l.cik = e.cik
+)"""
+
+
+@sql("gate_decision")
+def _():
+    cut = f"DATE {q(R.CACHE_CUT_DATE)}"
+    return f"""WITH {ROLES_CTE}, {STORED_CTE}, {_cache_cte('cache', f'filing_date < {cut}')},
+latest_any AS {_latest('quarterly')},
+latest_period AS {_latest('(SELECT * FROM quarterly WHERE period_of_report IS NOT NULL)', part='cik, period_of_report')},
+r AS (
+  SELECT r.request_id, {_norm_ticker('r.ticker')} AS ticker_norm, e.cik,
+         CASE WHEN e.cik IS NULL THEN 'unknown_ticker' ELSE 'ok' END AS status,
+         r.filing_period, coalesce(r.force_refresh, false) AS force_refresh,
+         c.accession_number AS cached_accession_number, c.filing_date AS cached_filing_date,
+         c.period_of_report AS cached_period_of_report,
+         CASE WHEN r.filing_period IS NULL THEN la.accession_number ELSE lp.accession_number END AS fresh_accession_number,
+         CASE WHEN r.filing_period IS NULL THEN la.filing_date ELSE lp.filing_date END AS fresh_filing_date,
+         CASE WHEN r.filing_period IS NULL THEN la.period_of_report ELSE lp.period_of_report END AS fresh_period_of_report
+  FROM requests r
+  LEFT JOIN entity e ON {_norm_ticker('r.ticker')} = e.ticker
+  LEFT JOIN cache c ON {_norm_ticker('r.ticker')} = c.ticker_norm
+  LEFT JOIN latest_any la ON la.cik = e.cik AND r.filing_period IS NULL
+  LEFT JOIN latest_period lp ON lp.cik = e.cik AND lp.period_of_report = r.filing_period
+),
+f AS (
+  SELECT r.*,
+    EXISTS (SELECT 1 FROM stored s WHERE s.ticker_norm = r.ticker_norm AND s.accession_number = r.cached_accession_number) AS cached_stored,
+    EXISTS (SELECT 1 FROM stored s WHERE s.ticker_norm = r.ticker_norm AND s.accession_number = r.fresh_accession_number) AS fresh_stored
+  FROM r
+)
+SELECT request_id, ticker_norm, cik, status,
+  CASE
+    WHEN cached_accession_number IS NOT NULL AND NOT force_refresh
+         AND (filing_period IS NULL OR filing_period = cached_period_of_report) AND cached_stored THEN 'serve_cached'
+    WHEN cik IS NULL THEN 'unknown_ticker'
+    WHEN fresh_accession_number IS NULL THEN 'no_filing'
+    WHEN cached_accession_number IS NOT NULL AND NOT force_refresh AND cached_filing_date = fresh_filing_date
+         AND cached_period_of_report IS NOT DISTINCT FROM fresh_period_of_report AND fresh_stored THEN 'serve_unchanged'
+    ELSE 'ingest' END AS action,
+  cached_accession_number, fresh_accession_number
+FROM f"""
+
+
+@sql("latest_cache_merge")
+def _():
+    cut = f"DATE {q(R.CACHE_CUT_DATE)}"
+    return f"""WITH {ROLES_CTE}, {_cache_cte('old', f'filing_date < {cut}')}, {_cache_cte('batch', f'filing_date >= {cut}')},
+both_ AS (SELECT * FROM old UNION ALL SELECT * FROM batch)
+SELECT ticker_norm, cik, accession_number, filing_date, period_of_report, primary_document
+FROM {_latest('both_', part='ticker_norm', order='filing_date DESC, accession_number DESC')}"""
