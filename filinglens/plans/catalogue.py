@@ -285,3 +285,123 @@ def q_latest_cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = _cache_for(f, ent, F.col("filing_date") < cut)
     batch = _cache_for(f, ent, F.col("filing_date") >= cut)
     return _gate.merge_latest_cache(old, batch)
+
+
+# ---------------------------------------------------------------------------
+# Sections, vector variants, analytics
+# ---------------------------------------------------------------------------
+from filinglens.functions.text import non_blank_lines  # noqa: E402
+from filinglens.functions.vectors import norm as _vnorm  # noqa: E402
+from filinglens.operators import metrics as _m  # noqa: E402
+from filinglens.operators.chunking import split_sections  # noqa: E402
+from filinglens.operators.embedding import embed_distinct, normalize_vectors  # noqa: E402
+
+
+def with_generated_headings(text):
+    """Insert ``Item n. Part X`` heading lines into a text, driven by each
+    line's md5: a heading before the line ('0'-'3' in the second hex digit),
+    a heading replacing the line ('f'), an 'A' item suffix ('a'/'b' first)."""
+
+    def gen(x, i):
+        h = F.md5(x)
+        head = F.concat(
+            F.lit("Item "),
+            (i + 1).cast("string"),
+            F.when(F.substring(h, 1, 1).isin("a", "b"), F.lit("A")).otherwise(F.lit("")),
+            F.lit(". Part "),
+            F.upper(F.substring(h, 3, 1)),
+        )
+        c = F.substring(h, 2, 1)
+        return (
+            F.when(c.isin("0", "1", "2", "3"), F.array(head, x))
+            .when(c == "f", F.array(head))
+            .otherwise(F.array(x))
+        )
+
+    return F.array_join(F.flatten(F.transform(F.split(text, "\n"), gen)), "\n")
+
+
+@register
+def q_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", non_blank_lines(with_generated_headings(F.col("text"))).alias("lines"))
+    s = split_sections(docs, "lines", OPTS, keep=["doc_id"])
+    return s.select(
+        "doc_id", "section_order", "section_item", "section_name",
+        F.char_length("text").alias("chars"), F.md5("text").alias("text_md5"),
+    )
+
+
+@register
+def q_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = embed_distinct(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return v.select("doc_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(4)])
+
+
+@register
+def q_l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = normalize_vectors(_t(spark, sf_dir, "embeddings"), "embedding", "unit")
+    return v.select(
+        "vec_id", *[F.col("unit")[i].alias(f"c{i}") for i in range(4)], _vnorm(F.col("unit")).alias("unit_norm")
+    )
+
+
+@register
+def q_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each vector's 10 nearest neighbours carrying its label."""
+    emb = _t(spark, sf_dir, "embeddings")
+    hits = cosine_topk(emb, _vector_queries(emb, OPTS.search_k, False), key_cols=["vec_id"], opts=OPTS)
+    lab = emb.select("vec_id", "label")
+    j = hits.join(lab, "vec_id").join(lab.select(F.col("vec_id").alias("query_id"), F.col("label").alias("qlabel")), "query_id")
+    return j.groupBy("query_id", "qlabel").agg(
+        F.count(F.lit(1)).alias("n_hits"), F.sum((F.col("label") == F.col("qlabel")).cast("int")).alias("n_same")
+    ).withColumnRenamed("qlabel", "label")
+
+
+@register
+def q_ingest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    chunks = chunk_text(docs, "text", OPTS, keep=["doc_id", "lang"])
+    return _m.ingest_metrics(chunks, ["lang"], OPTS.max_chars)
+
+
+@register
+def q_ingest_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _m.rollup_sizes(_t(spark, sf_dir, "documents"), ["lang", "source"], "n_chars")
+
+
+def _company_revenue(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    return _m.quarterly_revenue(o, "o_custkey", "o_orderdate", "o_totalprice")
+
+
+@register
+def q_quarterly_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _m.growth(_company_revenue(spark, sf_dir))
+
+
+@register
+def q_trailing_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _m.trailing(_company_revenue(spark, sf_dir), 4)
+
+
+@register
+def q_facts_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")
+    amount = _m.cents(F.col("l_extendedprice")) * (F.lit(100) - F.round(F.col("l_discount") * 100).cast("long"))
+    return _m.pivot_facts(li, _m.quarter_index(F.col("l_shipdate")), "l_returnflag", ["A", "N", "R"], amount)
+
+
+@register
+def q_changed_since_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _m.changed_since_prior(_t(spark, sf_dir, "documents"), "source", "doc_id", "text")
+
+
+@register
+def q_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _m.grounding(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), "item_id", "doc_id")
+
+
+@register
+def q_chunk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _m.topic_flags(_doc_chunks(spark, sf_dir, "\n"))
+    return f.select("doc_id", "chunk_index", *[f"flag_{k}" for k in _m.TOPIC_PATTERNS])

@@ -403,3 +403,169 @@ def _():
 both_ AS (SELECT * FROM old UNION ALL SELECT * FROM batch)
 SELECT ticker_norm, cik, accession_number, filing_date, period_of_report, primary_document
 FROM {_latest('both_', part='ticker_norm', order='filing_date DESC, accession_number DESC')}"""
+
+
+# ---------------------------------------------------------------------------
+# Sections, vector variants, analytics
+# ---------------------------------------------------------------------------
+from filinglens.operators.metrics import TOPIC_PATTERNS  # noqa: E402
+
+
+def _head(x: str, i: str) -> str:
+    return (
+        f"'Item ' || CAST({i} AS VARCHAR) || CASE WHEN substring(md5({x}), 1, 1) IN ('a', 'b') THEN 'A' ELSE '' END "
+        f"|| '. Part ' || upper(substring(md5({x}), 3, 1))"
+    )
+
+
+@sql("sections")
+def _():
+    gen = (
+        f"list_transform(string_split(text, chr(10)), lambda x, i: CASE "
+        f"WHEN substring(md5(x), 2, 1) IN ('0', '1', '2', '3') THEN [{_head('x', 'i')}, x] "
+        f"WHEN substring(md5(x), 2, 1) = 'f' THEN [{_head('x', 'i')}] ELSE [x] END)"
+    )
+    return f"""
+WITH g AS (SELECT doc_id, {lines(f"array_to_string(flatten({gen}), chr(10))")} AS ls FROM documents),
+s AS (
+  SELECT doc_id, ls, list_concat([-1], list_filter(list_transform(ls, lambda x, i: CASE WHEN regexp_matches(x, {q(HEADING)}) THEN i - 1 ELSE -1 END), lambda j: j >= 0)) AS st
+  FROM g
+),
+secs AS (
+  SELECT doc_id, list_filter(list_transform(st, lambda b, k: {{
+      'item': CASE WHEN b < 0 THEN NULL ELSE regexp_extract(ls[b + 1], {q(HEADING)}, 1) END,
+      'name': CASE WHEN b < 0 THEN 'Unknown' ELSE regexp_extract(ls[b + 1], {q(HEADING)}, 2) END,
+      'body': list_slice(ls, b + 2, coalesce(st[k + 1], len(ls)))}}), lambda z: len(z.body) > 0) AS sv
+  FROM s
+)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS section_order, sv[i].item AS section_item, sv[i].name AS section_name,
+       CAST(length(array_to_string(sv[i].body, chr(10))) AS INTEGER) AS chars,
+       md5(array_to_string(sv[i].body, chr(10))) AS text_md5
+FROM secs, range(1, len(sv) + 1) r(i)
+"""
+
+
+ORACLE["embed_dedup"] = ORACLE["embed_hash"]
+
+
+@sql("l2_normalize")
+def _():
+    v = "CAST(embedding AS DOUBLE[])"
+    n = f"sqrt(list_reduce(list_transform({v}, lambda x: x * x), lambda x, y: x + y, 0.0::DOUBLE))"
+    return f"""
+WITH u AS (SELECT vec_id, CASE WHEN {n} > 0 THEN list_transform({v}, lambda x: x / {n}) ELSE {v} END AS unit FROM embeddings)
+SELECT vec_id, unit[1] AS c0, unit[2] AS c1, unit[3] AS c2, unit[4] AS c3,
+       sqrt(list_reduce(list_transform(unit, lambda x: x * x), lambda x, y: x + y, 0.0::DOUBLE)) AS unit_norm
+FROM u"""
+
+
+@sql("recall_at_k")
+def _():
+    return f"""
+WITH hits AS (
+  SELECT * FROM (
+    SELECT q.vec_id AS query_id, q.label AS qlabel, c.label,
+           row_number() OVER (PARTITION BY q.vec_id ORDER BY s.score DESC, c.vec_id) AS rank
+    FROM embeddings q, embeddings c,
+         LATERAL (SELECT {cosine('CAST(q.embedding AS DOUBLE[])', 'CAST(c.embedding AS DOUBLE[])')} AS score) s
+  ) WHERE rank <= {O.search_k}
+)
+SELECT query_id, qlabel AS label, count(*) AS n_hits, CAST(sum(CASE WHEN label = qlabel THEN 1 ELSE 0 END) AS BIGINT) AS n_same
+FROM hits GROUP BY query_id, qlabel"""
+
+
+DOC_CHUNKS_CTE = f"""
+doc_chunk_lists AS (SELECT doc_id, lang, {chunk_list('text', chr(10))} AS cs FROM documents),
+doc_chunks AS (
+  SELECT doc_id, lang, CAST(i - 1 AS INTEGER) AS chunk_index, cs[i] AS text, CAST(length(cs[i]) AS INTEGER) AS chars
+  FROM doc_chunk_lists, range(1, len(cs) + 1) r(i)
+)"""
+
+
+@sql("ingest_metrics")
+def _():
+    return f"""WITH {DOC_CHUNKS_CTE}
+SELECT lang, count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks, CAST(sum(chars) AS DOUBLE) / count(*) AS avg_chars,
+       max(chars) AS max_chars, round(quantile_cont(chars, 0.95), 2) AS p95_chars,
+       CAST(sum(CASE WHEN chars > {O.max_chars} THEN 1 ELSE 0 END) AS BIGINT) AS n_oversize
+FROM doc_chunks GROUP BY lang"""
+
+
+@sql("ingest_rollup")
+def _():
+    return """
+SELECT lang, source, count(*) AS n, sum(n_chars) AS total, round(quantile_cont(n_chars, 0.95), 2) AS p95,
+       CAST(GROUPING(lang, source) AS INTEGER) AS level
+FROM documents GROUP BY ROLLUP (lang, source)"""
+
+
+REV_CTE = """
+rev AS (
+  SELECT o_custkey AS entity, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS INTEGER) AS qidx,
+         sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS revenue_cents
+  FROM orders GROUP BY ALL
+)"""
+
+
+@sql("quarterly_growth")
+def _():
+    return f"""WITH {REV_CTE},
+w AS (
+  SELECT *, sum(revenue_cents) OVER (PARTITION BY entity ORDER BY qidx RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS prev_q_cents,
+            sum(revenue_cents) OVER (PARTITION BY entity ORDER BY qidx RANGE BETWEEN 4 PRECEDING AND 4 PRECEDING) AS prev_y_cents
+  FROM rev
+)
+SELECT entity, qidx, revenue_cents, prev_q_cents, prev_y_cents,
+       CAST(revenue_cents - prev_q_cents AS DOUBLE) / CAST(prev_q_cents AS DOUBLE) AS qoq,
+       CAST(revenue_cents - prev_y_cents AS DOUBLE) / CAST(prev_y_cents AS DOUBLE) AS yoy
+FROM w"""
+
+
+@sql("trailing_trend")
+def _():
+    return f"""WITH {REV_CTE},
+w AS (
+  SELECT *, sum(revenue_cents) OVER (PARTITION BY entity ORDER BY qidx RANGE BETWEEN 3 PRECEDING AND CURRENT ROW) AS window_cents,
+            count(*) OVER (PARTITION BY entity ORDER BY qidx RANGE BETWEEN 3 PRECEDING AND CURRENT ROW) AS window_quarters
+  FROM rev
+)
+SELECT entity, qidx, revenue_cents, window_cents, window_quarters,
+       CAST(window_cents AS DOUBLE) / window_quarters AS trailing_avg
+FROM w"""
+
+
+@sql("facts_pivot")
+def _():
+    amt = "CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))"
+    cols = ", ".join(f"sum(CASE WHEN l_returnflag = '{v}' THEN {amt} END) AS \"{v}\"" for v in ("A", "N", "R"))
+    return f"""
+SELECT CAST(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS row_key, {cols}
+FROM lineitem GROUP BY 1"""
+
+
+@sql("changed_since_prior")
+def _():
+    return f"""
+WITH h AS (SELECT DISTINCT doc_id, md5(unnest({lines('text')})) AS h FROM documents),
+p AS (SELECT source, doc_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS prior_id FROM documents),
+n AS (SELECT doc_id, count(*) AS n_lines FROM h GROUP BY doc_id)
+SELECT p.source, p.doc_id, p.prior_id, coalesce(n.n_lines, 0) AS n_lines,
+  CASE WHEN p.prior_id IS NULL THEN NULL ELSE
+    (SELECT count(*) FROM h c WHERE c.doc_id = p.doc_id AND NOT EXISTS (SELECT 1 FROM h o WHERE o.doc_id = p.prior_id AND o.h = c.h)) END AS added,
+  CASE WHEN p.prior_id IS NULL THEN NULL ELSE
+    (SELECT count(*) FROM h o WHERE o.doc_id = p.prior_id AND NOT EXISTS (SELECT 1 FROM h c WHERE c.doc_id = p.doc_id AND c.h = o.h)) END AS removed
+FROM p LEFT JOIN n ON n.doc_id = p.doc_id"""
+
+
+@sql("grounding")
+def _():
+    return """
+SELECT b.item_id, count(d.doc_id) > 0 AS grounded, count(d.doc_id) AS n_docs
+FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text)
+GROUP BY b.item_id"""
+
+
+@sql("chunk_flags")
+def _():
+    flags = ", ".join(f"regexp_matches(text, {q(p)}) AS flag_{k}" for k, p in TOPIC_PATTERNS.items())
+    return f"WITH {DOC_CHUNKS_CTE} SELECT doc_id, chunk_index, {flags} FROM doc_chunks"
