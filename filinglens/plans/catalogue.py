@@ -405,3 +405,105 @@ def q_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_chunk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _m.topic_flags(_doc_chunks(spark, sf_dir, "\n"))
     return f.select("doc_id", "chunk_index", *[f"flag_{k}" for k in _m.TOPIC_PATTERNS])
+
+
+# ---------------------------------------------------------------------------
+# Index upsert, prompts, results
+# ---------------------------------------------------------------------------
+from filinglens.operators import index as _index  # noqa: E402
+from filinglens.operators import results as _results  # noqa: E402
+from filinglens.session import scratch_path  # noqa: E402
+
+UPSERT_FIRST_LANGS = ("en", "de")
+UPSERT_SECOND_LANGS = ("de", "fr", "es")
+UPSERT_SECOND_OPTS = Options(max_chars=1000, overlap_chars=100)
+
+
+def _doc_index_batch(spark, sf_dir, langs, opts: Options) -> DataFrame:
+    """Documents as filings: accession = doc id, company = source."""
+    docs = _t(spark, sf_dir, "documents").where(F.col("lang").isin(*langs)).select(
+        F.col("doc_id").cast("string").alias("accession_number"),
+        F.col("source").alias("cik"),
+        F.upper("source").alias("ticker_norm"),
+        F.lit(0).alias("section_order"),
+        F.lit("Unknown").alias("section_name"),
+        "text",
+    )
+    chunks = chunk_text(docs, "text", opts, keep=["accession_number", "cik", "ticker_norm", "section_order", "section_name"])
+    return embed(chunks, "text").withColumn("batch", F.lit(",".join(langs)))
+
+
+@register
+def q_upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write a first batch, then upsert an overlapping re-chunked batch
+    twice (the second run must change nothing); read the index back."""
+    path = scratch_path(spark, "chunk-index")
+    _index.upsert_chunks(spark, path, _doc_index_batch(spark, sf_dir, UPSERT_FIRST_LANGS, OPTS), opts=OPTS)
+    second = _doc_index_batch(spark, sf_dir, UPSERT_SECOND_LANGS, UPSERT_SECOND_OPTS)
+    _index.upsert_chunks(spark, path, second, opts=OPTS)
+    _index.upsert_chunks(spark, path, second, opts=OPTS)
+    idx = _index.read_index(spark, path)
+    return idx.select(
+        F.col("accession_number").cast("long").alias("doc_id"), "chunk_index", "chars",
+        F.md5("text").alias("chunk_md5"), "batch",
+    )
+
+
+@register
+def q_prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "customer")
+    seg = F.col("c_mktsegment")
+    req = c.select(
+        F.col("c_custkey").alias("request_id"),
+        _entity.normalize_ticker(roles.raw_ticker(seg, F.col("c_nationkey"))).alias("ticker_norm"),
+        F.when(seg == "BUILDING", F.lit(None)).when(seg == "AUTOMOBILE", F.lit("")).otherwise(
+            F.concat(F.lit("Segment "), seg, F.lit(" leader"))
+        ).alias("thesis"),
+        F.when(seg == "MACHINERY", F.lit("")).otherwise(F.lit(None)).alias("goal"),
+    )
+    p = _results.prompt_table(req)
+    return p.select("request_id", "ticker_norm", F.char_length("prompt").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
+@register
+def q_response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = _filings.select_latest(roles.filings(spark, sf_dir), OPTS)
+    summary = F.concat(
+        F.col("company_name"), F.lit(" filed "), F.col("form_type"), F.lit(" on "), F.date_format("filing_date", "yyyy-MM-dd")
+    )
+    j = latest.select("cik", _results.to_json_keep_nulls(_results.insights_struct(F.lit(None).cast("string"), summary)).alias("insights_json"))
+    return j.withColumn("decision_prompt_md5", F.md5(_results.decision_prompt(F.col("insights_json"))))
+
+
+def decision_records(events: DataFrame) -> DataFrame:
+    """Decision replies as JSON text derived from events, with every kind
+    of defect: missing fields, a text confidence, values out of range or
+    out of the enum, and truncated (malformed) text."""
+    et = F.col("event_type")
+    k = F.get_json_object("props", "$.k").cast("int")
+    cents = F.round(F.col("value") * 100).cast("long")
+    conf = F.when(et == "error", F.lit('"high"')).otherwise(
+        F.concat((cents / 1000).cast("long").cast("string"), F.lit("."), F.lpad((cents % 1000).cast("string"), 3, "0"))
+    )
+    decision = (
+        F.when(et == "purchase", F.lit('"decision":"buy",'))
+        .when(et == "view", F.lit('"decision":"hold",'))
+        .when(et == "signup", F.lit('"decision":"sell",'))
+        .when(et == "click", F.lit('"decision":"strong buy",'))
+        .otherwise(F.lit(""))
+    )
+    body = F.concat(
+        F.lit("{"), decision, F.lit('"confidence":'), conf, F.lit(","),
+        F.when(k < 10, F.lit("")).otherwise(F.lit('"time_horizon":"6-12 months",')),
+        F.lit('"positives":["'), et, F.lit('"],"negatives":[],'),
+        F.when(et == "view", F.lit("")).otherwise(F.lit('"uncertainties":[],')),
+        F.lit('"risk_profile":"moderate"'),
+        F.when(k >= 50, F.lit(',"disclaimer":"custom"')).otherwise(F.lit("")),
+    )
+    return events.select("event_id", F.when(k >= 95, body).otherwise(F.concat(body, F.lit("}"))).alias("json"))
+
+
+@register
+def q_validate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _results.validate_decisions(decision_records(_t(spark, sf_dir, "events")), "json")
+    return v.drop("json")

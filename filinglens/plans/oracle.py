@@ -569,3 +569,114 @@ GROUP BY b.item_id"""
 def _():
     flags = ", ".join(f"regexp_matches(text, {q(p)}) AS flag_{k}" for k, p in TOPIC_PATTERNS.items())
     return f"WITH {DOC_CHUNKS_CTE} SELECT doc_id, chunk_index, {flags} FROM doc_chunks"
+
+
+# ---------------------------------------------------------------------------
+# Index upsert, prompts, results
+# ---------------------------------------------------------------------------
+from filinglens.options import DISCLAIMER_DEFAULT, GOAL_DEFAULT, THESIS_DEFAULT  # noqa: E402
+from filinglens.templates import DECISION_PROMPT_PREFIX, INSIGHTS_PROMPT_TEMPLATE  # noqa: E402
+
+
+@sql("upsert_chunks")
+def _():
+    def part(langs, mx, ov):
+        lang_list = ", ".join(q(x) for x in langs)
+        tag = q(",".join(langs))
+        return f"""
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, CAST(length(cs[i]) AS INTEGER) AS chars, md5(cs[i]) AS chunk_md5, {tag} AS batch
+FROM (SELECT doc_id, {chunk_list('text', chr(10), mx, ov)} AS cs FROM documents WHERE lang IN ({lang_list})) t,
+     range(1, len(cs) + 1) r(i)"""
+
+    first = part(("en", "de"), O.max_chars, O.overlap_chars)
+    second = part(("de", "fr", "es"), 1000, 100)
+    return f"""
+SELECT * FROM ({first}) a WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang IN ('de', 'fr', 'es'))
+UNION ALL
+{second}"""
+
+
+def _prompt_sql(ticker: str, thesis: str, goal: str) -> str:
+    parts = []
+    rest = INSIGHTS_PROMPT_TEMPLATE
+    for ph in ("{ticker}", "{thesis}", "{goal}"):
+        head, rest = rest.split(ph, 1)
+        parts.append(head)
+    parts.append(rest)
+    return (
+        f"{q(parts[0])} || {ticker} || {q(parts[1])} || coalesce(nullif({thesis}, ''), {q(THESIS_DEFAULT)}) || "
+        f"{q(parts[2])} || coalesce(nullif({goal}, ''), {q(GOAL_DEFAULT)}) || {q(parts[3])}"
+    )
+
+
+@sql("prompt_table")
+def _():
+    return f"""
+WITH r AS (
+  SELECT c_custkey AS request_id, {_norm_ticker(_raw_ticker('c_mktsegment', 'c_nationkey'))} AS ticker_norm,
+         CASE WHEN c_mktsegment = 'BUILDING' THEN NULL WHEN c_mktsegment = 'AUTOMOBILE' THEN ''
+              ELSE 'Segment ' || c_mktsegment || ' leader' END AS thesis,
+         CASE WHEN c_mktsegment = 'MACHINERY' THEN '' ELSE NULL END AS goal
+  FROM customer
+), p AS (SELECT request_id, ticker_norm, {_prompt_sql('ticker_norm', 'thesis', 'goal')} AS prompt FROM r)
+SELECT request_id, ticker_norm, CAST(length(prompt) AS INTEGER) AS prompt_chars, md5(prompt) AS prompt_md5 FROM p"""
+
+
+@sql("response_json")
+def _():
+    empty_map = "MAP {}::MAP(VARCHAR, DOUBLE)"
+    rec = f"""{{
+  'company_profile': {{'name': company_name, 'ticker': ticker, 'cik': cik, 'sector': NULL::VARCHAR, 'industry': NULL::VARCHAR}},
+  'filing_metadata': {{'ticker': ticker, 'cik': cik, 'company_name': company_name, 'form_type': form_type,
+      'filing_date': filing_date, 'period_of_report': period_of_report, 'accession_number': accession_number,
+      'primary_document': primary_document, 'xbrl_instance_document': NULL::VARCHAR}},
+  'high_level_summary': company_name || ' filed ' || form_type || ' on ' || strftime(filing_date, '%Y-%m-%d'),
+  'financial_summary': {{'key_metrics': {empty_map}, 'narrative': ''}},
+  'risk_summary': []::STRUCT(title VARCHAR, description VARCHAR, changed_since_prior BOOLEAN)[],
+  'notable_events': []::STRUCT(category VARCHAR, summary VARCHAR)[],
+  'liquidity_and_capital_structure': {{'narrative': '', 'leverage_metrics': {empty_map}}},
+  'guidance_and_outlook': {{'narrative': '', 'time_horizon': NULL::VARCHAR}},
+  'open_questions': []::VARCHAR[]
+}}"""
+    return f"""WITH {ROLES_CTE}, j AS (SELECT cik, CAST(to_json({rec}) AS VARCHAR) AS insights_json FROM {_latest('quarterly')})
+SELECT cik, insights_json, md5({q(DECISION_PROMPT_PREFIX)} || insights_json) AS decision_prompt_md5 FROM j"""
+
+
+@sql("validate_records")
+def _():
+    k = "CAST(json_extract(props, '$.k') AS INTEGER)"
+    cents = "CAST(round(value * 100) AS BIGINT)"
+    conf = f"""CASE WHEN event_type = 'error' THEN '"high"'
+      ELSE CAST({cents} // 1000 AS VARCHAR) || '.' || lpad(CAST({cents} % 1000 AS VARCHAR), 3, '0') END"""
+    dec = """CASE event_type WHEN 'purchase' THEN '"decision":"buy",' WHEN 'view' THEN '"decision":"hold",'
+      WHEN 'signup' THEN '"decision":"sell",' WHEN 'click' THEN '"decision":"strong buy",' ELSE '' END"""
+    body = f"""'{{' || {dec} || '"confidence":' || {conf} || ',' ||
+      CASE WHEN {k} < 10 THEN '' ELSE '"time_horizon":"6-12 months",' END ||
+      '"positives":["' || event_type || '"],"negatives":[],' ||
+      CASE WHEN event_type = 'view' THEN '' ELSE '"uncertainties":[],' END ||
+      '"risk_profile":"moderate"' || CASE WHEN {k} >= 50 THEN ',"disclaimer":"custom"' ELSE '' END"""
+    req = ("decision", "confidence", "time_horizon", "positives", "negatives", "uncertainties", "risk_profile")
+    missing = [f"CASE WHEN json_extract(json, '$.{f}') IS NULL THEN 'missing:{f}' END" for f in req]
+    numeric = "json_type(json, '$.confidence') IN ('DOUBLE', 'UBIGINT', 'BIGINT')"
+    checks = missing + [
+        f"CASE WHEN json_extract(json, '$.confidence') IS NOT NULL AND NOT ({numeric}) THEN 'type:confidence' END",
+        "CASE WHEN dec IS NOT NULL AND dec NOT IN ('buy', 'sell', 'hold') THEN 'enum:decision' END",
+        "CASE WHEN conf IS NOT NULL AND NOT (conf BETWEEN 0.0 AND 1.0) THEN 'range:confidence' END",
+    ]
+    return f"""
+WITH r AS (
+  SELECT event_id, CASE WHEN {k} >= 95 THEN {body} ELSE {body} || '}}' END AS json FROM events
+), p AS (
+  SELECT event_id, json, NOT json_valid(json) AS malformed,
+         CASE WHEN json_valid(json) THEN json_extract_string(json, '$.decision') END AS dec,
+         CASE WHEN json_valid(json) AND {numeric} THEN CAST(json_extract(json, '$.confidence') AS DOUBLE) END AS conf,
+         CASE WHEN json_valid(json) THEN json_extract_string(json, '$.disclaimer') END AS disc,
+         CASE WHEN json_valid(json) THEN json_array_length(json, '$.positives') END AS npos
+  FROM r
+), e AS (
+  SELECT *, CASE WHEN malformed THEN ['malformed'] ELSE list_filter([{', '.join(checks)}], lambda x: x IS NOT NULL) END AS errs
+  FROM p
+)
+SELECT event_id, array_to_string(errs, ',') AS errors, len(errs) = 0 AS valid, dec AS decision, conf AS confidence,
+       coalesce(disc, {q(DISCLAIMER_DEFAULT)}) AS disclaimer, CAST(coalesce(npos, 0) AS INTEGER) AS n_positives
+FROM e"""
