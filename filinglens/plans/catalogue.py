@@ -507,3 +507,37 @@ def decision_records(events: DataFrame) -> DataFrame:
 def q_validate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _results.validate_decisions(decision_records(_t(spark, sf_dir, "events")), "json")
     return v.drop("json")
+
+
+# ---------------------------------------------------------------------------
+# Streaming
+# ---------------------------------------------------------------------------
+from filinglens.streaming import ingest as _stream  # noqa: E402
+
+
+def url_host(col: str):
+    return F.regexp_extract(F.col(col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1)
+
+
+@register
+def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages arrive as files; the stream parses, embeds and upserts them;
+    the index then equals the batch chunking of all pages."""
+    schema = _t(spark, sf_dir, "pages").schema
+    pages = _stream.file_stream(spark, sf_dir, "pages.parquet", schema).withColumn("company", url_host("url"))
+    path = scratch_path(spark, "stream-index")
+    _stream.stream_ingest(spark, pages, path, company_col="company", opts=OPTS)
+    idx = _index.read_index(spark, path)
+    return idx.select("page_id", "section_order", "chunk_index", "chars", F.md5("text").alias("chunk_md5"))
+
+
+@register
+def q_stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _t(spark, sf_dir, "events").schema
+    events = _stream.file_stream(spark, sf_dir, "events.parquet", schema)
+    path = scratch_path(spark, "hourly")
+    _stream.stream_hourly_counts(spark, events, path)
+    out = spark.read.parquet(path)
+    return out.select(
+        F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n_events", "value_cents"
+    )

@@ -680,3 +680,22 @@ WITH r AS (
 SELECT event_id, array_to_string(errs, ',') AS errors, len(errs) = 0 AS valid, dec AS decision, conf AS confidence,
        coalesce(disc, {q(DISCLAIMER_DEFAULT)}) AS disclaimer, CAST(coalesce(npos, 0) AS INTEGER) AS n_positives
 FROM e"""
+
+
+# ---------------------------------------------------------------------------
+# Streaming (final state equals the batch result)
+# ---------------------------------------------------------------------------
+
+
+@sql("stream_ingest")
+def _():
+    return f"""WITH {page_chunks_sql()}
+SELECT page_id, CAST(section_order AS INTEGER) AS section_order, chunk_index, chars, md5(text) AS chunk_md5 FROM page_chunks"""
+
+
+@sql("stream_throughput")
+def _():
+    return """
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n_events,
+       sum(CAST(round(value * 100) AS BIGINT)) AS value_cents
+FROM events GROUP BY ALL"""
