@@ -1,0 +1,95 @@
+"""Similarity search and the chunk-store checks of the reference, restated
+over DataFrames, plus edge cases."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from filinglens.operators.gate import has_accession
+from filinglens.operators.search import clamp_k, cosine_topk, search
+from filinglens.options import Options
+
+INDEX_SCHEMA = (
+    "ticker_norm string, cik string, accession_number string, section_order int, "
+    "section_name string, chunk_index int, text string, embedding array<double>"
+)
+
+
+@pytest.fixture
+def store(spark):
+    rows = [
+        ("AAPL", "0000320193", "ACC-1", 0, "MD&A", 0, "foo apple", [1.0, 0.0]),
+        ("MSFT", "0000789019", "ACC-9", 0, "Risk Factors", 0, "bar microsoft", [0.0, 1.0]),
+    ]
+    return spark.createDataFrame(rows, INDEX_SCHEMA)
+
+
+def q(spark, **kw):
+    base = {"query_id": 1, "qvec": [1.0, 0.0], "k": 10, "ticker": None, "section_name": None}
+    base.update(kw)
+    return spark.createDataFrame(
+        [tuple(base.values())], "query_id long, qvec array<double>, k int, ticker string, section_name string"
+    )
+
+
+def test_search_filters(spark, store):
+    all_ = search(store, q(spark)).orderBy("rank").collect()
+    assert [r.accession_number for r in all_] == ["ACC-1", "ACC-9"]
+    aapl = search(store, q(spark, ticker=" aapl ")).collect()
+    assert [r.accession_number for r in aapl] == ["ACC-1"]
+    risk = search(store, q(spark, section_name="Risk Factors")).collect()
+    assert [r.accession_number for r in risk] == ["ACC-9"]
+    # empty filter means no filter
+    assert search(store, q(spark, ticker="")).count() == 2
+
+
+def test_has_accession(spark, store):
+    req = spark.createDataFrame(
+        [("AAPL", "ACC-1"), ("AAPL", "ACC-2"), ("MSFT", "ACC-1")], "ticker_norm string, accession_number string"
+    )
+    got = {(r.ticker_norm, r.accession_number) for r in has_accession(req, store).collect()}
+    assert got == {("AAPL", "ACC-1")}
+
+
+def test_zero_vector_unequal_lengths_and_ties(spark):
+    corpus = spark.createDataFrame(
+        [(1, [0.0, 0.0]), (2, [1.0, 0.0, 5.0]), (3, [1.0, 0.0]), (4, [1.0, 0.0])], "id long, embedding array<double>"
+    )
+    queries = spark.createDataFrame([(7, [1.0, 0.0], 4)], "query_id long, qvec array<double>, k int")
+    rows = cosine_topk(corpus, queries, key_cols=["id"]).orderBy("rank").collect()
+    assert [r.id for r in rows] == [3, 4, 2, 1]
+    assert rows[0].score == rows[1].score
+    # unequal lengths: dot over the shorter, norms over the full vectors
+    assert rows[2].score == pytest.approx(1.0 / (26 ** 0.5 + 1e-9))
+    assert rows[3].score == 0.0
+
+
+def test_query_blocks_give_same_result(spark):
+    corpus = spark.range(200).select(
+        F.col("id"), F.array(F.sin(F.col("id")), F.cos(F.col("id")), F.lit(0.5)).alias("embedding")
+    )
+    queries = spark.range(30).select(
+        F.col("id").alias("query_id"), F.array(F.cos(F.col("id")), F.sin(F.col("id")), F.lit(1.0)).alias("qvec"), F.lit(3).alias("k")
+    )
+    one = cosine_topk(corpus, queries, key_cols=["id"]).collect()
+    many = cosine_topk(corpus, queries, key_cols=["id"], opts=Options(query_broadcast_bytes=200, score_block_rows=17)).collect()
+    assert sorted(one) == sorted(many)
+    assert len(one) == 90
+
+
+def test_retrieve_caps(spark):
+    from filinglens.options import RETRIEVE_MAX_CHARS, RETRIEVE_MAX_K
+
+    rows = [("AAPL", "C", f"A-{i}", 0, "S", 0, "x" * (RETRIEVE_MAX_CHARS + 500), [1.0, 1.0 - i / 100]) for i in range(RETRIEVE_MAX_K + 3)]
+    store = spark.createDataFrame(rows, INDEX_SCHEMA)
+    queries = spark.createDataFrame([(1, [1.0, 1.0], 999, "AAPL")], "query_id long, qvec array<double>, k int, ticker string")
+    hits = search(store, queries, cap=RETRIEVE_MAX_K)
+    ctx = hits.join(store, ["accession_number", "section_order", "chunk_index"]).select(
+        F.substring("text", 1, RETRIEVE_MAX_CHARS).alias("t")
+    )
+    got = [len(r.t) for r in ctx.collect()]
+    assert got == [RETRIEVE_MAX_CHARS] * RETRIEVE_MAX_K
+
+
+def test_clamp_k(spark):
+    df = spark.createDataFrame([(999,), (-3,), (None,), (2,)], "k int").select(clamp_k(F.col("k"), 5).alias("c"))
+    assert [r.c for r in df.collect()] == [5, 0, 0, 2]
