@@ -51,8 +51,6 @@ _DECL_RE = r"<[!?][^>]*>"
 # A start or end tag: '<' or '</' then a letter; quoted attribute values may
 # hold '>'.
 _TAG_RE = r"</?[A-Za-z][^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*>"
-_NUMERIC_DEC_RE = r"&#([0-9]{1,7});"
-_NUMERIC_HEX_RE = r"&#[xX]([0-9A-Fa-f]{1,6});"
 
 BOILERPLATE_TAGS = ("nav", "header", "footer", "aside")
 _AD_BLOCK_RE = r"(?is)<div\b[^>]*\bclass\s*=\s*[\"']?ad[\"']?[^>]*>.*?</div\s*>"
@@ -73,32 +71,41 @@ def non_blank_lines(col: Column) -> Column:
     return F.filter(F.transform(py_splitlines(col), py_strip), lambda s: s != F.lit(""))
 
 
+_ENTITY_REF_RE = r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+
+
 def _code_point_to_string(cp: Column) -> Column:
-    # UTF-32BE bytes of the code point decode to the character.
-    return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
+    # UTF-32BE bytes of the code point decode to the character; code points
+    # that are not characters (0, surrogates, beyond U+10FFFF) become U+FFFD.
+    bad = (cp <= 0) | cp.between(0xD800, 0xDFFF) | (cp > 0x10FFFF)
+    return F.when(bad, F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32"))
 
 
-def _decode_numeric(col: Column, pattern: str, radix: int) -> Column:
-    refs = F.array_distinct(F.regexp_extract_all(col, F.lit(pattern), F.lit(0)))
-    return F.aggregate(
-        refs,
-        col,
-        lambda acc, ref: F.replace(
-            acc,
-            ref,
-            _code_point_to_string(
-                F.conv(F.regexp_extract(ref, pattern, 1), radix, 10).cast("long")
-            ),
-        ),
-    )
+def _numeric_ref(ref: Column) -> Column:
+    hexa = F.lower(F.substring(ref, 3, 1)) == F.lit("x")
+    digits = F.regexp_extract(ref, r"^&#[xX]?([0-9A-Fa-f]+);$", 1)
+    cp = F.when(hexa, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+    return _code_point_to_string(cp)
 
 
 def decode_entities(col: Column) -> Column:
-    out = col
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    out = F.when(F.instr(out, "&#") > 0, _decode_numeric(_decode_numeric(out, _NUMERIC_DEC_RE, 10), _NUMERIC_HEX_RE, 16)).otherwise(out)
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    """Decode character references in one pass over the distinct references
+    present (one regex scan, then one replace per distinct reference).
+    ``&amp;`` goes last so ``&amp;lt;`` yields ``&lt;``; unknown names stay."""
+    table = F.create_map(*[x for ent, ch in HTML_ENTITIES for x in (F.lit(ent), F.lit(ch))])
+    refs = F.array_distinct(F.regexp_extract_all(col, F.lit(_ENTITY_REF_RE), F.lit(0)))
+    others = F.filter(refs, lambda r: r != F.lit("&amp;"))
+
+    def step(acc: Column, ref: Column) -> Column:
+        numeric = F.substring(ref, 2, 1) == F.lit("#")
+        value = F.when(numeric, _numeric_ref(ref)).otherwise(F.coalesce(F.try_element_at(table, ref), ref))
+        # literal pattern and replacement ('\\' and '$' are special in a
+        # Java replacement string)
+        safe = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+        return F.regexp_replace(acc, F.concat(F.lit("\\Q"), ref, F.lit("\\E")), safe)
+
+    decoded = F.when(F.size(others) > 0, F.aggregate(others, col, step)).otherwise(col)
+    return F.replace(decoded, F.lit("&amp;"), F.lit("&"))
 
 
 def html_to_text(col: Column) -> Column:

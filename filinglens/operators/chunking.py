@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filinglens.functions.text import py_strip
+from filinglens.operators.joins import spread
 from filinglens.options import UNKNOWN_SECTION, Options
 
 _JOIN = "\n\n"
@@ -62,6 +63,7 @@ def chunk_text(
 ) -> DataFrame:
     """One row per chunk: ``keep`` columns + chunk_index, text, chars, oversize."""
     keep = keep if keep is not None else [c for c in df.columns if c != text_col]
+    df = spread(df.select(*keep, text_col), *keep[:1])
     sep = opts.paragraph_sep if sep is None else sep
     arr = chunk_array(F.col(text_col), opts.max_chars, opts.overlap_chars, sep)
     out = df.select(*keep, F.posexplode(arr).alias("chunk_index", "chunk_text"))

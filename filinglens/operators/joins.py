@@ -17,3 +17,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-repartition ``df`` over the cluster's parallelism when its scan
+    yields fewer partitions than there are cores (a few large row groups of
+    long texts); otherwise leave it alone. At scale the input already has
+    far more partitions than cores and no shuffle is added. Streaming
+    inputs are never touched."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys) if keys else df.repartition(cores)

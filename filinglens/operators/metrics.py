@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filinglens.functions.text import non_blank_lines
-from filinglens.operators.joins import broadcast_if_small
+from filinglens.operators.joins import broadcast_if_small, spread
 
 # ---------------------------------------------------------------------------
 # Keyword sets for chunk topic flags
@@ -157,10 +157,16 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != F.lit(""))
 
 
-def _shingle_hashes(tokens: Column, size: int) -> Column:
-    n = F.size(tokens) - F.lit(size) + 1
+def _token_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def _shingle_hashes(token_hashes: Column, size: int) -> Column:
+    """Hash of every run of ``size`` consecutive tokens (from token hashes,
+    so no shingle text is built)."""
+    n = F.size(token_hashes) - F.lit(size) + 1
     starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, size), " ")))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(token_hashes, i, size)))
 
 
 def grounding(claims: DataFrame, docs: DataFrame, claim_id: str, doc_id: str, text_col: str = "text") -> DataFrame:
@@ -181,9 +187,10 @@ def grounding(claims: DataFrame, docs: DataFrame, claim_id: str, doc_id: str, te
         "tok", _tokens(F.col("claim"))
     )
     long_c = c.where(F.size("tok") >= 3).withColumn("s", F.least(F.lit(SHINGLE_WORDS), F.size("tok") - 2))
-    long_c = long_c.withColumn("key", F.xxhash64(F.array_join(F.slice("tok", 2, F.col("s")), " ")))
+    long_c = long_c.withColumn("key", F.xxhash64(F.slice(_token_hashes(F.col("tok")), 2, F.col("s"))))
     sizes = [r["s"] for r in long_c.select("s").distinct().collect()]  # at most SHINGLE_WORDS values
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("doc")).withColumn("dtok", _tokens(F.col("doc")))
+    d = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("doc")), "doc_id")
+    d = d.withColumn("dtok", _token_hashes(_tokens(F.col("doc"))))
     keys = broadcast_if_small(long_c.select("s", "key").distinct())
     cand_parts = []
     for s in sizes:
@@ -228,8 +235,14 @@ def grounding(claims: DataFrame, docs: DataFrame, claim_id: str, doc_id: str, te
 # -- X16 ---------------------------------------------------------------------------
 
 
+WORD_SPLIT = r"[^\p{L}\p{N}_]+"
+
+
 def topic_flags(chunks: DataFrame, text_col: str = "text") -> DataFrame:
-    out = chunks
-    for name, pat in TOPIC_PATTERNS.items():
-        out = out.withColumn(f"flag_{name}", F.col(text_col).rlike(pat))
-    return out
+    """One boolean per topic: does the text hold one of its words as a
+    whole word (any case)? The text is split into words once and each topic
+    is an ``arrays_overlap`` test, equal to matching ``TOPIC_PATTERNS``."""
+    out = chunks.withColumn("_words", F.split(F.lower(F.col(text_col)), WORD_SPLIT))
+    for name, words in TOPIC_WORDS.items():
+        out = out.withColumn(f"flag_{name}", F.arrays_overlap("_words", F.array(*[F.lit(w) for w in words])))
+    return out.drop("_words")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from filinglens.functions.text import html_to_text, non_blank_lines, strip_boilerplate
 from filinglens.operators.chunking import chunk_text, split_sections
+from filinglens.operators.joins import spread
 from filinglens.options import Options
 
 
@@ -23,6 +24,7 @@ def html_to_lines(
 ) -> DataFrame:
     """Add ``lines``: stripped, non-blank text lines of the HTML column."""
     keep = keep if keep is not None else [c for c in df.columns if c != html_col]
+    df = spread(df.select(*keep, html_col), *keep[:1])
     html = F.col(html_col)
     if main_text_only:
         html = strip_boilerplate(html)
