@@ -234,7 +234,9 @@ def search(
     """Filtered similarity search over a chunk index (C9).
 
     ``queries``: query_id, qvec, optional ``k`` (default 10), optional
-    ``ticker``, ``cik``, ``section_name`` filters (null or '' = off). The
+    ``ticker``, ``cik``, ``section_name`` and ``accession_number`` filters
+    (null or '' = off; an accession pins one filing instead of mixing a
+    company's older filings into the answer). The
     ticker filter is case-insensitive: it compares the stored
     ``ticker_norm`` with the normalised query value, which keeps the
     predicate pushable to the Parquet scan.
@@ -247,7 +249,10 @@ def search(
         (normalize_ticker(F.col("ticker")) if "ticker" in qcols else F.lit(None).cast("string")).alias("ticker_norm"),
         (F.col("cik") if "cik" in qcols else F.lit(None).cast("string")).alias("cik"),
         (F.col("section_name") if "section_name" in qcols else F.lit(None).cast("string")).alias("section_name"),
+        (F.col("accession_number") if "accession_number" in qcols else F.lit(None).cast("string")).alias(
+            "accession_number"
+        ),
     )
-    filters = [f for f in ("ticker_norm", "cik", "section_name") if f in index.columns]
+    filters = [f for f in ("ticker_norm", "cik", "section_name", "accession_number") if f in index.columns]
     hits = cosine_topk(index, q, key_cols=key_cols, filter_cols=filters, opts=opts)
     return hits

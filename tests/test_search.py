@@ -40,6 +40,8 @@ def test_search_filters(spark, store):
     assert [r.accession_number for r in risk] == ["ACC-9"]
     # empty filter means no filter
     assert search(store, q(spark, ticker="")).count() == 2
+    acc = spark.createDataFrame([(1, [1.0, 0.0], 10, "ACC-9")], "query_id long, qvec array<double>, k int, accession_number string")
+    assert [r.accession_number for r in search(store, acc).collect()] == ["ACC-9"]
 
 
 def test_has_accession(spark, store):
