@@ -104,22 +104,22 @@ def decode_entities(col: Column) -> Column:
         safe = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
         return F.regexp_replace(acc, F.concat(F.lit("\\Q"), ref, F.lit("\\E")), safe)
 
-    decoded = F.when(F.size(others) > 0, F.aggregate(others, col, step)).otherwise(col)
-    return F.replace(decoded, F.lit("&amp;"), F.lit("&"))
+    return F.replace(F.aggregate(others, col, step), F.lit("&amp;"), F.lit("&"))
 
 
-def html_to_text(col: Column) -> Column:
-    """HTML → text with text nodes separated by newlines.
-
-    Comments, declarations and the content of script/style/template are
-    dropped, every tag becomes a line break and entities are decoded.
-    """
+def strip_markup(col: Column) -> Column:
+    """Comments, declarations and the content of script/style/template are
+    dropped and every tag becomes a line break (entities still encoded)."""
     out = F.regexp_replace(col, _COMMENT_RE, "\n")
     for tag in ("script", "style", "template"):
         out = F.regexp_replace(out, _RAW_BLOCK_RE.format(tag=tag), "\n")
     out = F.regexp_replace(out, _DECL_RE, "\n")
-    out = F.regexp_replace(out, _TAG_RE, "\n")
-    return decode_entities(out)
+    return F.regexp_replace(out, _TAG_RE, "\n")
+
+
+def html_to_text(col: Column) -> Column:
+    """HTML → text with text nodes separated by newlines."""
+    return decode_entities(strip_markup(col))
 
 
 def strip_boilerplate(col: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filinglens.functions.text import html_to_text, non_blank_lines, strip_boilerplate
+from filinglens.functions.text import decode_entities, non_blank_lines, strip_boilerplate, strip_markup
 from filinglens.operators.chunking import chunk_text, split_sections
 from filinglens.operators.joins import spread
 from filinglens.options import Options
@@ -28,7 +28,10 @@ def html_to_lines(
     html = F.col(html_col)
     if main_text_only:
         html = strip_boilerplate(html)
-    return df.select(*keep, non_blank_lines(html_to_text(html)).alias("lines"))
+    # Two projections: the markup-free text is computed once and read twice
+    # by the entity step (distinct references, then the replacements).
+    bare = df.select(*keep, strip_markup(html).alias("_bare"))
+    return bare.select(*keep, non_blank_lines(decode_entities(F.col("_bare"))).alias("lines"))
 
 
 def explode_lines(df: DataFrame, keep: list[str]) -> DataFrame:
