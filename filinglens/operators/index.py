@@ -18,6 +18,7 @@ Single writer per index: plain Parquet has no transaction log.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,14 +56,21 @@ def upsert_chunks(
         b.write.mode("overwrite").options(**writer_opts).partitionBy(BUCKET_COL).parquet(index_path)
         return
     ensure_checkpoint_dir(spark)
-    old = spark.read.parquet(index_path)
-    touched = b.select(BUCKET_COL).distinct()
-    # semi join on the partition column: dynamic partition pruning limits
-    # the old-side scan to the touched buckets.
-    old_touched = old.join(touched, BUCKET_COL, "left_semi")
-    kept = old_touched.join(b.select(filing_key).distinct(), filing_key, "left_anti")
-    merged = kept.unionByName(b.select(*old.columns)).checkpoint(eager=True)
-    merged.write.mode("overwrite").options(**writer_opts).partitionBy(BUCKET_COL).parquet(index_path)
+    # The batch is read three times below (touched buckets, filing keys,
+    # new rows); keep it instead of re-deriving it (a lost block is simply
+    # recomputed from its lineage).
+    b = b.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        old = spark.read.parquet(index_path)
+        touched = b.select(BUCKET_COL).distinct()
+        # semi join on the partition column: dynamic partition pruning
+        # limits the old-side scan to the touched buckets.
+        old_touched = old.join(touched, BUCKET_COL, "left_semi")
+        kept = old_touched.join(b.select(filing_key).distinct(), filing_key, "left_anti")
+        merged = kept.unionByName(b.select(*old.columns)).checkpoint(eager=True)
+        merged.write.mode("overwrite").options(**writer_opts).partitionBy(BUCKET_COL).parquet(index_path)
+    finally:
+        b.unpersist()
 
 
 def read_index(spark: SparkSession, index_path: str) -> DataFrame:

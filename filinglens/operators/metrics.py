@@ -118,35 +118,38 @@ def changed_since_prior(docs: DataFrame, group_col: str, id_col: str, text_col:
     """Per document: distinct lines added and removed against the previous
     document of the same group (by id).
 
-    Only (group, id) pairs go through the ordering window; the line-hash
-    comparison is two anti joins keyed by (document, hash), so a line
-    repeated across many documents is not a hot key.
+    Only (group, id) pairs go through the ordering window. Each distinct
+    (document, line hash) is emitted twice, once for its own document and
+    once, via the next-document map, for the document that follows it; one
+    aggregation by (document, hash) then tells whether the line is in the
+    current document, the prior one, or both. Keys are (document, hash), so
+    a line repeated across many documents is not a hot key.
     """
     w = Window.partitionBy(group_col).orderBy(id_col)
     pairs = docs.select(group_col, id_col, F.lag(id_col).over(w).alias("prior_id"))
     h = line_hashes(docs, id_col, text_col)
-    cur = h.join(pairs.select(id_col, "prior_id"), id_col)
-    prior = h.select(F.col(id_col).alias("prior_id"), "h")
-    added = cur.join(prior, ["prior_id", "h"], "left_anti").groupBy(id_col).agg(F.count(F.lit(1)).alias("added"))
-    prior_of = pairs.where(F.col("prior_id").isNotNull()).select(id_col, "prior_id")
-    prev_lines = prior_of.join(prior, "prior_id")
-    cur_set = h.select(F.col(id_col).alias("_cur_id"), F.col("h").alias("_cur_h"))
-    removed = (
-        prev_lines.join(
-            cur_set, (prev_lines[id_col] == cur_set["_cur_id"]) & (prev_lines["h"] == cur_set["_cur_h"]), "left_anti"
-        )
-        .groupBy(id_col)
-        .agg(F.count(F.lit(1)).alias("removed"))
+    nxt = pairs.where(F.col("prior_id").isNotNull()).select(F.col("prior_id").alias("_p"), F.col(id_col).alias("_next"))
+    as_cur = h.select(F.col(id_col).alias("_doc"), "h", F.lit(1).alias("in_cur"), F.lit(0).alias("in_prior"))
+    as_prior = h.join(nxt, h[id_col] == nxt["_p"]).select(
+        F.col("_next").alias("_doc"), "h", F.lit(0).alias("in_cur"), F.lit(1).alias("in_prior")
+    )
+    per_line = as_cur.unionByName(as_prior).groupBy("_doc", "h").agg(
+        F.max("in_cur").alias("c"), F.max("in_prior").alias("p")
+    )
+    per_doc = per_line.groupBy("_doc").agg(
+        F.sum("c").alias("n_lines"),
+        F.sum(F.when((F.col("c") == 1) & (F.col("p") == 0), 1).otherwise(0)).alias("added"),
+        F.sum(F.when((F.col("c") == 0) & (F.col("p") == 1), 1).otherwise(0)).alias("removed"),
     )
-    n_lines = h.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_lines"))
-    out = pairs.join(n_lines, id_col, "left").join(added, id_col, "left").join(removed, id_col, "left")
+    out = pairs.join(per_doc, pairs[id_col] == per_doc["_doc"], "left")
+    has_prior = F.col("prior_id").isNotNull()
     return out.select(
         group_col,
         id_col,
         "prior_id",
-        F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
-        F.when(F.col("prior_id").isNull(), F.lit(None)).otherwise(F.coalesce("added", F.lit(0))).alias("added"),
-        F.when(F.col("prior_id").isNull(), F.lit(None)).otherwise(F.coalesce("removed", F.lit(0))).alias("removed"),
+        F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
+        F.when(has_prior, F.coalesce("added", F.lit(0))).cast("long").alias("added"),
+        F.when(has_prior, F.coalesce("removed", F.lit(0))).cast("long").alias("removed"),
     )
 
 

@@ -121,9 +121,10 @@ def validate_decisions(df: DataFrame, json_col: str = "json") -> DataFrame:
     text = F.col(json_col)
     p = F.from_json(text, DECISION_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     parsed = df.withColumn("_p", p).withColumn("_malformed", F.try_parse_json(text).isNull())
-    # Presence is read from the text itself, so a type error in one field
-    # never makes another field look absent.
-    present = {f: F.get_json_object(text, f"$.{f}").isNotNull() for f in REQUIRED}
+    # Presence is read from the text itself (one parse into a map of raw
+    # values), so a type error in one field never makes another look absent.
+    raw = F.from_json(text, "map<string,string>")
+    present = {f: F.try_element_at(raw, F.lit(f)).isNotNull() for f in REQUIRED}
     conf_type_bad = present["confidence"] & F.col("_p.confidence").isNull()
     checks = [F.when(~present[f], F.lit(f"missing:{f}")) for f in REQUIRED]
     checks += [

@@ -49,18 +49,17 @@ def stream_ingest(
     arrived = pages.withColumn("arrived_at", F.col("_metadata.file_modification_time"))
     unique = arrived.withWatermark("arrived_at", dedup_watermark).dropDuplicatesWithinWatermark([id_col])
     keep = [id_col, company_col]
-    chunks = parse_filings(unique.select(*keep, "html"), "html", keep=keep, opts=opts)
-    index_rows = embed(chunks, "text").withColumn("accession_number", F.col(id_col).cast("string"))
+    raw = unique.select(*keep, "html")
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        batch.persist()
-        try:
-            upsert_chunks(spark, index_path, batch, filing_key="accession_number", company_col=company_col, opts=opts)
-        finally:
-            batch.unpersist()
+        # Parsing runs on the micro-batch as a plain DataFrame, so an
+        # under-split batch is spread over the cores before the text work.
+        chunks = parse_filings(batch, "html", keep=keep, opts=opts)
+        rows = embed(chunks, "text").withColumn("accession_number", F.col(id_col).cast("string"))
+        upsert_chunks(spark, index_path, rows, filing_key="accession_number", company_col=company_col, opts=opts)
 
     q = (
-        index_rows.writeStream.foreachBatch(write_batch)
+        raw.writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint or scratch_path(spark, "ingest-stream"))
         .trigger(availableNow=True)
         .start()
