@@ -164,3 +164,8 @@ def blank_to_null(col: Column) -> Column:
 
 def default_if_blank(col: Column, default: str) -> Column:
     return F.coalesce(F.nullif(col, F.lit("")), F.lit(default))
+
+
+def join_url(base: Column, path: Column) -> Column:
+    """``base.rstrip('/') + '/' + path.lstrip('/')``."""
+    return F.concat(F.regexp_replace(base, r"/+$", ""), F.lit("/"), F.regexp_replace(path, r"^/+", ""))
