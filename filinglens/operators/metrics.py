@@ -109,6 +109,7 @@ def pivot_facts(facts: DataFrame, row_key: Column, pivot_col: str, values: list[
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    docs = spread(docs.select(id_col, text_col), id_col)
     return docs.select(id_col, F.explode(non_blank_lines(F.col(text_col))).alias("line")).select(
         id_col, F.md5("line").alias("h")
     ).distinct()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filinglens.functions.text import default_if_blank
+from filinglens.operators.joins import spread
 from filinglens.options import DECISIONS, DISCLAIMER_DEFAULT, GOAL_DEFAULT, THESIS_DEFAULT
 from filinglens.templates import DECISION_PROMPT_PREFIX, INSIGHTS_PROMPT_TEMPLATE
 
@@ -118,6 +119,7 @@ def validate_decisions(df: DataFrame, json_col: str = "json") -> DataFrame:
     (present but not a number), ``enum:decision`` (not buy/sell/hold),
     ``range:confidence`` (outside [0, 1]). The disclaimer gets its default.
     """
+    df = spread(df)
     text = F.col(json_col)
     p = F.from_json(text, DECISION_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     parsed = df.withColumn("_p", p).withColumn("_malformed", F.try_parse_json(text).isNull())

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from filinglens.functions.text import normalize_ticker
 from filinglens.functions.vectors import as_double_vector, hash_embedding
+from filinglens.operators.joins import spread
 from filinglens.options import COSINE_EPSILON, Options
 
 _NO_FILTER = -1
@@ -63,11 +64,17 @@ def _seq_dot(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """(nq, nc) dot products summed in index order (bit-equal to a fold)."""
     dim = min(q.shape[1], c.shape[1])
     acc = np.zeros((q.shape[0], c.shape[0]), dtype=np.float64)
+    term = np.empty_like(acc)
     for j in range(dim):
-        acc = acc + np.multiply.outer(q[:, j], c[:, j])
+        np.multiply.outer(q[:, j], c[:, j], out=term)
+        acc += term
     return acc
 
 
+# Upper bound on the (queries x rows) score matrix held by one task.
+_SCORE_CELLS = 4_000_000
+
+
 def _scorer(payload, key_cols: list[str], filter_cols: list[str], vec_col: str, block_rows: int):
     """Build the mapInPandas function for one broadcast query block."""
 
@@ -79,11 +86,12 @@ def _scorer(payload, key_cols: list[str], filter_cols: list[str], vec_col: str,
         qnorm = _seq_norm(qvec)
         qfilters = qb["filters"]  # list of object arrays (None = no filter)
         kmax = int(qk.max()) if len(qk) else 0
+        rows_per_block = max(64, min(block_rows, _SCORE_CELLS // max(len(qids), 1)))
         for pdf in batches:
             if kmax <= 0 or pdf.empty:
                 continue
-            for lo in range(0, len(pdf), block_rows):
-                part = pdf.iloc[lo : lo + block_rows]
+            for lo in range(0, len(pdf), rows_per_block):
+                part = pdf.iloc[lo : lo + rows_per_block]
                 cvec = part[vec_col].tolist()
                 dim = max(qvec.shape[1], max((len(v) for v in cvec if v is not None), default=0))
                 cmat = _as_matrix(cvec, dim)
@@ -172,6 +180,7 @@ def cosine_topk(
 
     cols = list(dict.fromkeys(key_cols + filter_cols))
     base = corpus.select(*cols, as_double_vector(F.col(vector_col)).alias("_vec")).where(F.col("_vec").isNotNull())
+    base = spread(base, key_cols[0])
     out_schema = T.StructType(
         [
             T.StructField("query_id", T.LongType()),
