@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from filinglens.functions.text import non_blank_lines
 from filinglens.operators.joins import broadcast_if_small, spread
+from filinglens.operators.sequence import previous_in_group
 
 # ---------------------------------------------------------------------------
 # Keyword sets for chunk topic flags
@@ -119,15 +120,15 @@ def changed_since_prior(docs: DataFrame, group_col: str, id_col: str, text_col:
     """Per document: distinct lines added and removed against the previous
     document of the same group (by id).
 
-    Only (group, id) pairs go through the ordering window. Each distinct
+    The previous document comes from ``previous_in_group`` (no group is
+    sorted inside one task). Each distinct
     (document, line hash) is emitted twice, once for its own document and
     once, via the next-document map, for the document that follows it; one
     aggregation by (document, hash) then tells whether the line is in the
     current document, the prior one, or both. Keys are (document, hash), so
     a line repeated across many documents is not a hot key.
     """
-    w = Window.partitionBy(group_col).orderBy(id_col)
-    pairs = docs.select(group_col, id_col, F.lag(id_col).over(w).alias("prior_id"))
+    pairs = previous_in_group(docs, group_col, id_col).withColumnRenamed("prior", "prior_id")
     h = line_hashes(docs, id_col, text_col)
     nxt = pairs.where(F.col("prior_id").isNotNull()).select(F.col("prior_id").alias("_p"), F.col(id_col).alias("_next"))
     as_cur = h.select(F.col(id_col).alias("_doc"), "h", F.lit(1).alias("in_cur"), F.lit(0).alias("in_prior"))

@@ -181,33 +181,38 @@ def q_resolve_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("request_id", "ticker", "ticker_norm", "cik", "company_name", "status")
 
 
+LISTING_PAGE = 1000
+
+
 @register
 def q_unzip_parallel_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filings regrouped into one listing per company and month (parallel
-    arrays, December listings without periodOfReport), then unzipped."""
-    f = roles.filings(spark, sf_dir).withColumn("month", F.date_format("filing_date", "yyyy-MM"))
-    g = f.groupBy("cik", "month").agg(
+    """Filings regrouped into listing pages of at most 1,000 filings per
+    company (parallel arrays; pages whose first filing is in December carry
+    no periodOfReport array), then unzipped."""
+    f = roles.filings(spark, sf_dir).withColumn("page", (F.col("pos") / LISTING_PAGE).cast("long"))
+    g = f.groupBy("cik", "page").agg(
         F.sort_array(
             F.collect_list(
                 F.struct("pos", "form_type", "filing_date", "accession_number", "primary_document", "period_of_report")
             )
-        ).alias("fs")
+        ).alias("fs"),
+        F.min("filing_date").alias("first_date"),
     )
     iso = "yyyy-MM-dd"
     listing = g.select(
         "cik",
-        "month",
+        "page",
         F.transform("fs", lambda x: x["form_type"]).alias("form"),
         F.transform("fs", lambda x: F.date_format(x["filing_date"], iso)).alias("filingDate"),
         F.transform("fs", lambda x: x["accession_number"]).alias("accessionNumber"),
         F.transform("fs", lambda x: x["primary_document"]).alias("primaryDocument"),
         F.when(
-            ~F.col("month").endswith("-12"),
+            F.month("first_date") != 12,
             F.transform("fs", lambda x: F.coalesce(F.date_format(x["period_of_report"], iso), F.lit(""))),
         ).alias("periodOfReport"),
     )
-    return _filings.unzip_listing(listing, keep=["cik", "month"]).select(
-        "cik", "month", F.col("pos").cast("int").alias("pos"), "form_type", "filing_date",
+    return _filings.unzip_listing(listing, keep=["cik", "page"]).select(
+        "cik", "page", F.col("pos").cast("int").alias("pos"), "form_type", "filing_date",
         "accession_number", "primary_document", "period_of_report",
     )
 

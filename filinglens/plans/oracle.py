@@ -280,12 +280,13 @@ FROM requests r LEFT JOIN entity e ON {_norm_ticker('r.ticker')} = e.ticker"""
 
 @sql("unzip_parallel_arrays")
 def _():
-    return f"""WITH {ROLES_CTE}
-SELECT cik, strftime(filing_date, '%Y-%m') AS month,
-       CAST(row_number() OVER (PARTITION BY cik, strftime(filing_date, '%Y-%m') ORDER BY pos) - 1 AS INTEGER) AS pos,
+    return f"""WITH {ROLES_CTE}, paged AS (SELECT *, pos // 1000 AS page FROM filings)
+SELECT cik, page,
+       CAST(row_number() OVER (PARTITION BY cik, page ORDER BY pos) - 1 AS INTEGER) AS pos,
        form_type, filing_date, accession_number, primary_document,
-       CASE WHEN strftime(filing_date, '%Y-%m') LIKE '%-12' THEN NULL ELSE period_of_report END AS period_of_report
-FROM filings"""
+       CASE WHEN month(min(filing_date) OVER (PARTITION BY cik, page)) = 12 THEN NULL ELSE period_of_report END
+         AS period_of_report
+FROM paged"""
 
 
 @sql("latest_filing")
