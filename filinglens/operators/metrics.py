@@ -32,6 +32,7 @@ TOPIC_PATTERNS = {
 
 SHINGLE_WORDS = 5
 MAX_SHORT_CLAIMS = 10_000
+MAX_INLINE_KEYS = 100_000
 
 
 def cents(col: Column) -> Column:
@@ -182,9 +183,8 @@ def grounding(claims: DataFrame, docs: DataFrame, claim_id: str, doc_id: str, te
     * A claim with >= 3 tokens: its interior tokens are whitespace-bounded
       inside the claim, so they are whole tokens wherever the claim occurs.
       The claim picks one interior shingle (up to 5 tokens); documents
-      emit their shingles of the sizes in use, kept only when some claim
-      picked them (semi join), and candidate pairs are verified with
-      ``instr`` on the whole claim text.
+      keep only shingles some claim picked and every candidate pair is
+      verified on the whole claim text.
     * A shorter claim (no interior token) is matched by ``instr`` against
       every document inside the scan, from a size-checked literal list.
     """
@@ -196,14 +196,45 @@ def grounding(claims: DataFrame, docs: DataFrame, claim_id: str, doc_id: str, te
     sizes = [r["s"] for r in long_c.select("s").distinct().collect()]  # at most SHINGLE_WORDS values
     d = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("doc")), "doc_id")
     d = d.withColumn("dtok", _token_hashes(_tokens(F.col("doc"))))
-    keys = broadcast_if_small(long_c.select("s", "key").distinct())
-    cand_parts = []
-    for s in sizes:
-        ds = d.select("doc_id", F.explode(F.array_distinct(_shingle_hashes(F.col("dtok"), s))).alias("key"))
-        ds = ds.join(keys.where(F.col("s") == s).select("key"), "key", "left_semi").withColumn("s", F.lit(s))
-        cand_parts.append(ds)
     matches = None
-    if cand_parts:
+    n_keys = long_c.select("s", "key").distinct().limit(MAX_INLINE_KEYS + 1).count() if sizes else 0
+    if sizes and n_keys <= MAX_INLINE_KEYS:
+        # Verification stays in the document scan: each document keeps only
+        # its shingles that some claim picked (hash-set IN over the bounded
+        # key list), explodes those few hits, meets the broadcast claims and
+        # checks containment. Documents are never shuffled.
+        by_size = {}
+        for r in long_c.select("s", "key").distinct().collect():
+            by_size.setdefault(int(r["s"]), []).append(int(r["key"]))
+        def picked(ks):
+            return lambda x: x.isin(ks)
+
+        def tagged(sz):
+            return lambda x: F.struct(F.lit(sz).alias("s"), x.alias("key"))
+
+        hit_parts = [
+            F.transform(F.filter(F.array_distinct(_shingle_hashes(F.col("dtok"), sz)), picked(ks)), tagged(sz))
+            for sz, ks in sorted(by_size.items())
+        ]
+        hits = d.select("doc_id", "doc", F.explode(F.concat(*hit_parts)).alias("h")).select(
+            "doc_id", "doc", F.col("h.s").alias("s"), F.col("h.key").alias("key")
+        )
+        claims_b = F.broadcast(long_c.select("claim_id", "claim", "s", "key"))
+        matches = (
+            hits.join(claims_b, ["s", "key"])
+            .where(F.col("doc").contains(F.col("claim")))
+            .select("claim_id", "doc_id")
+            .distinct()
+        )
+    elif sizes:
+        # Too many claims to inline: semi join the shingles against the
+        # claim keys, then bring candidate pairs to the documents.
+        keys = long_c.select("s", "key").distinct()
+        cand_parts = []
+        for sz in sizes:
+            ds = d.select("doc_id", F.explode(F.array_distinct(_shingle_hashes(F.col("dtok"), sz))).alias("key"))
+            ds = ds.join(keys.where(F.col("s") == sz).select("key"), "key", "left_semi").withColumn("s", F.lit(sz))
+            cand_parts.append(ds)
         cand = cand_parts[0]
         for p in cand_parts[1:]:
             cand = cand.unionByName(p)
