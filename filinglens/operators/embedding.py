@@ -43,3 +43,22 @@ def embed_distinct(
 
 def normalize_vectors(df: DataFrame, col: str = "embedding", out_col: str | None = None) -> DataFrame:
     return df.withColumn(out_col or col, l2_normalize(F.col(col).cast("array<double>")))
+
+
+class UnmatchedVectors(ValueError):
+    """Chunks without a vector or vectors without a chunk."""
+
+
+def attach_vectors(chunks: DataFrame, vectors: DataFrame, key_cols: list[str], vector_col: str = "embedding") -> DataFrame:
+    """Attach externally computed vectors by chunk key (J3).
+
+    Both directions are checked with anti joins before anything is returned
+    for writing: a chunk without a vector, or a vector without a chunk,
+    raises instead of writing a partial batch.
+    """
+    v = vectors.select(*key_cols, F.col(vector_col).cast("array<double>").alias(vector_col))
+    missing = chunks.join(v, key_cols, "left_anti").limit(1).count()
+    orphans = v.join(chunks.select(*key_cols), key_cols, "left_anti").limit(1).count()
+    if missing or orphans:
+        raise UnmatchedVectors(f"chunks without vectors: {bool(missing)}, vectors without chunks: {bool(orphans)}")
+    return chunks.join(v, key_cols).withColumn(f"{vector_col}_norm", norm(F.col(vector_col)))

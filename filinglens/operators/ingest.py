@@ -64,3 +64,54 @@ def run_ingest(
         cache_path,
     )
     return n_new
+
+
+def prepare_reports(
+    spark: SparkSession,
+    decisions: DataFrame,
+    index: DataFrame,
+    questions: list[str],
+    *,
+    embedder: Embedder | None = None,
+    opts: Options = Options(),
+) -> tuple[DataFrame, DataFrame]:
+    """The whole request after gating and ingest (C14): for every request
+    that has a filing, each question retrieves up to ``retrieve_max_k``
+    chunks of that company's chosen filing (ticker and accession filters),
+    text cut at ``retrieve_max_chars``; plus the report prompt per request.
+
+    Returns (context rows, prompt rows). Questions are a short fixed list
+    expanded per request with ``posexplode`` (no join).
+    """
+    from filinglens.functions.vectors import hash_embedding
+    from filinglens.operators.results import prompt_table
+    from filinglens.operators.search import search
+
+    served = decisions.where(F.col("action").isin("serve_cached", "serve_unchanged", "ingest")).select(
+        "request_id",
+        "ticker_norm",
+        F.when(F.col("action") == "serve_cached", F.col("cached_accession_number"))
+        .otherwise(F.col("fresh_accession_number"))
+        .alias("accession_number"),
+    )
+    emb = embedder or hash_embedding
+    qs = served.select(
+        "request_id", "ticker_norm", "accession_number",
+        F.posexplode(F.array(*[F.lit(x) for x in questions])).alias("question_no", "question"),
+    ).withColumn("query_id", F.col("request_id") * F.lit(len(questions)) + F.col("question_no"))
+    queries = qs.select(
+        "query_id", emb(F.col("question")).alias("qvec"), F.lit(opts.retrieve_k).alias("k"),
+        F.col("ticker_norm").alias("ticker"), "accession_number",
+    )
+    key = ["accession_number", "section_order", "chunk_index"]
+    hits = search(index, queries, opts=opts, key_cols=key, cap=opts.retrieve_max_k)
+    ctx = hits.join(index.select(*key, "section_name", "text"), key).join(
+        qs.select("query_id", "request_id", "question_no"), "query_id"
+    )
+    context = ctx.select(
+        "request_id", "question_no", "rank", "score", *key, "section_name",
+        F.substring("text", 1, opts.retrieve_max_chars).alias("text"),
+        (F.char_length("text") > opts.retrieve_max_chars).alias("truncated"),
+    )
+    prompts = prompt_table(served.select("request_id", "ticker_norm")).select("request_id", "prompt")
+    return context, prompts

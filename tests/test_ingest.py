@@ -68,3 +68,36 @@ def test_reingest_when_dates_changed(spark, tmp_table):
     assert [r.action for r in again.collect()] == ["serve_cached"]
     assert run_ingest(spark, decisions, fetched, landing_path=paths["landing"], index_path=paths["index"], cache_path=paths["cache"]) == 0
     assert read_index(spark, paths["index"]).count() == 2
+
+
+def test_whole_request_after_ingest(spark, tmp_table):
+    from filinglens.operators.ingest import prepare_reports
+
+    cached = []
+    filings = [("0000320193", "10-Q", D(2025, 10, 31), D(2025, 9, 27), 0, "ACC-NEW", "new.htm")]
+    ent, req, paths, cache, f = setup(spark, tmp_table, cached, filings)
+    keys = spark.createDataFrame([], "ticker_norm string, accession_number string")
+    decisions = gate(req, ent, cache, f, keys)
+    run_ingest(spark, decisions, fetched_for(spark, "ACC-NEW", "new.htm"),
+               landing_path=paths["landing"], index_path=paths["index"], cache_path=paths["cache"])
+    context, prompts = prepare_reports(spark, decisions, read_index(spark, paths["index"]), ["revenue", "risks", "liquidity"])
+    rows = context.collect()
+    assert {r.question_no for r in rows} == {0, 1, 2}
+    assert all(r.accession_number == "ACC-NEW" for r in rows) and len(rows) == 6
+    assert "Stock Ticker / Company Name: AAPL" in prompts.first().prompt
+
+
+def test_attach_vectors_checks_both_ways(spark):
+    import pytest
+
+    from filinglens.operators.embedding import UnmatchedVectors, attach_vectors
+
+    chunks = spark.createDataFrame([("A", 0, "x"), ("A", 1, "y")], "accession_number string, chunk_index int, text string")
+    good = spark.createDataFrame([("A", 0, [1.0]), ("A", 1, [0.0])], "accession_number string, chunk_index int, embedding array<float>")
+    assert attach_vectors(chunks, good, ["accession_number", "chunk_index"]).count() == 2
+    short = good.where("chunk_index = 0")
+    with pytest.raises(UnmatchedVectors):
+        attach_vectors(chunks, short, ["accession_number", "chunk_index"])
+    extra = good.unionByName(spark.createDataFrame([("B", 0, [1.0])], good.schema))
+    with pytest.raises(UnmatchedVectors):
+        attach_vectors(chunks, extra, ["accession_number", "chunk_index"])
