@@ -19,25 +19,26 @@ CACHE_COLS = ("cik", "accession_number", "filing_date", "period_of_report", "pri
 ACTIONS = ("serve_cached", "unknown_ticker", "no_filing", "serve_unchanged", "ingest")
 
 
-def stored_keys(index: DataFrame) -> DataFrame:
-    """Distinct (ticker_norm, accession_number) of an index; the partial
+def stored_keys(index: DataFrame, company_col: str = "cik") -> DataFrame:
+    """Distinct (company, accession_number) of an index; the partial
     aggregate collapses the many chunks of one filing map-side."""
-    return index.select("ticker_norm", "accession_number").dropDuplicates()
+    return index.select(company_col, "accession_number").dropDuplicates()
 
 
-def has_accession(requests: DataFrame, index: DataFrame) -> DataFrame:
-    """Requests (ticker_norm, accession_number) that have at least one
-    stored chunk (left semi join)."""
-    return requests.join(stored_keys(index), ["ticker_norm", "accession_number"], "left_semi")
+def has_accession(requests: DataFrame, index: DataFrame, company_col: str = "ticker_norm") -> DataFrame:
+    """Requests (company, accession_number) that have at least one stored
+    chunk (left semi join). The store's own contract checks by ticker; the
+    gate checks by CIK (a company's filings may carry another ticker)."""
+    return requests.join(stored_keys(index, company_col), [company_col, "accession_number"], "left_semi")
 
 
-def _flag_stored(df: DataFrame, keys: DataFrame, acc_col: str, flag: str) -> DataFrame:
+def _flag_stored(df: DataFrame, keys: DataFrame, company_col: str, acc_col: str, flag: str) -> DataFrame:
     k = keys.select(
-        F.col("ticker_norm").alias(f"_{flag}_t"), F.col("accession_number").alias(f"_{flag}_a"), F.lit(True).alias(flag)
+        F.col("cik").alias(f"_{flag}_c"), F.col("accession_number").alias(f"_{flag}_a"), F.lit(True).alias(flag)
     )
     j = df.join(
-        k, (df["ticker_norm"] == k[f"_{flag}_t"]) & (df[acc_col] == k[f"_{flag}_a"]), "left"
-    ).drop(f"_{flag}_t", f"_{flag}_a")
+        k, (df[company_col] == k[f"_{flag}_c"]) & (df[acc_col] == k[f"_{flag}_a"]), "left"
+    ).drop(f"_{flag}_c", f"_{flag}_a")
     return j.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
@@ -66,8 +67,12 @@ def gate(
     requests: request_id, ticker, filing_period (date, null = latest),
     force_refresh. cache: ticker_norm + CACHE_COLS. filings: listing rows
     (cik, form_type, filing_date, period_of_report, pos, accession_number,
-    primary_document, ...). index_keys: distinct (ticker_norm,
-    accession_number) of the chunk index.
+    primary_document, ...). index_keys: distinct (cik, accession_number)
+    of the chunk index.
+
+    Stored chunks are looked up by CIK, not ticker: the ticker stored with
+    a filing is the listing's first ticker, which may differ from the one
+    requested.
 
     Stage A fires only when the requested period is null or equals the
     cached one (the reference would serve any period from the cache).
@@ -75,7 +80,7 @@ def gate(
     req = resolve_tickers(requests.withColumn("force_refresh", F.coalesce("force_refresh", F.lit(False))), entity)
     c = cache.select("ticker_norm", *[F.col(x).alias(f"cached_{x}") for x in CACHE_COLS])
     req = req.join(c, "ticker_norm", "left")
-    req = _flag_stored(req, index_keys, "cached_accession_number", "cached_stored")
+    req = _flag_stored(req, index_keys, "cached_cik", "cached_accession_number", "cached_stored")
 
     q = filings.where(F.col("form_type").isin(list(opts.forms)))
     order = [F.col("filing_date"), -F.col("pos")]
@@ -100,7 +105,7 @@ def gate(
             fresh = F.when(targeted, F.col(f"lp_{x}")).otherwise(F.col(f"la_{x}"))
         req = req.withColumn(f"fresh_{x}", fresh)
     req = req.drop(*[c for c in req.columns if c.startswith(("la_", "lp_", "_la_", "_lp_"))])
-    req = _flag_stored(req, index_keys, "fresh_accession_number", "fresh_stored")
+    req = _flag_stored(req, index_keys, "cik", "fresh_accession_number", "fresh_stored")
 
     has_cache = F.col("cached_accession_number").isNotNull()
     not_forced = ~F.col("force_refresh")

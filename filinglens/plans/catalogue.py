@@ -259,7 +259,7 @@ def q_pending_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _index_keys(f: DataFrame) -> DataFrame:
     """Chunk-index keys: filings of fulfilled orders count as ingested."""
     return f.where(F.col("status") == roles.STORED_STATUS).select(
-        F.col("ticker").alias("ticker_norm"), "accession_number"
+        F.col("ticker").alias("ticker_norm"), "cik", "accession_number"
     )
 
 
@@ -280,7 +280,7 @@ def q_gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = roles.filings(spark, sf_dir)
     ent = _entity_dim(spark, sf_dir)
     cache = _cache_for(f, ent, F.col("filing_date") < F.to_date(F.lit(roles.CACHE_CUT_DATE)))
-    keys = _gate.stored_keys(_index_keys(f))
+    keys = _gate.stored_keys(_index_keys(f), "cik")
     g = _gate.gate(roles.requests(spark, sf_dir), ent, cache, f, keys, OPTS)
     return g.select(
         "request_id", "ticker_norm", "cik", "status", "action", "cached_accession_number", "fresh_accession_number"

@@ -340,7 +340,7 @@ SELECT cik, accession_number, storage_path FROM wanted
 WHERE storage_path NOT IN (SELECT storage_path FROM landed)"""
 
 
-STORED_CTE = f"stored AS (SELECT DISTINCT ticker AS ticker_norm, accession_number FROM filings WHERE status = {q(R.STORED_STATUS)})"
+STORED_CTE = f"stored AS (SELECT DISTINCT ticker AS ticker_norm, cik, accession_number FROM filings WHERE status = {q(R.STORED_STATUS)})"
 
 
 @sql("has_accession")
@@ -367,7 +367,7 @@ r AS (
   SELECT r.request_id, {_norm_ticker('r.ticker')} AS ticker_norm, e.cik,
          CASE WHEN e.cik IS NULL THEN 'unknown_ticker' ELSE 'ok' END AS status,
          r.filing_period, coalesce(r.force_refresh, false) AS force_refresh,
-         c.accession_number AS cached_accession_number, c.filing_date AS cached_filing_date,
+         c.cik AS cached_cik, c.accession_number AS cached_accession_number, c.filing_date AS cached_filing_date,
          c.period_of_report AS cached_period_of_report,
          CASE WHEN r.filing_period IS NULL THEN la.accession_number ELSE lp.accession_number END AS fresh_accession_number,
          CASE WHEN r.filing_period IS NULL THEN la.filing_date ELSE lp.filing_date END AS fresh_filing_date,
@@ -380,8 +380,8 @@ r AS (
 ),
 f AS (
   SELECT r.*,
-    EXISTS (SELECT 1 FROM stored s WHERE s.ticker_norm = r.ticker_norm AND s.accession_number = r.cached_accession_number) AS cached_stored,
-    EXISTS (SELECT 1 FROM stored s WHERE s.ticker_norm = r.ticker_norm AND s.accession_number = r.fresh_accession_number) AS fresh_stored
+    EXISTS (SELECT 1 FROM stored s WHERE s.cik = r.cached_cik AND s.accession_number = r.cached_accession_number) AS cached_stored,
+    EXISTS (SELECT 1 FROM stored s WHERE s.cik = r.cik AND s.accession_number = r.fresh_accession_number) AS fresh_stored
   FROM r
 )
 SELECT request_id, ticker_norm, cik, status,

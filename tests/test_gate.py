@@ -40,7 +40,7 @@ def _gate(spark, requests, cache_rows, filings, stored):
     ent = build_entity_dim(universe)
     cache = spark.createDataFrame(cache_rows, CACHE_ROW)
     f = spark.createDataFrame(filings, FILING_SCHEMA)
-    keys = spark.createDataFrame(stored, "ticker_norm string, accession_number string")
+    keys = spark.createDataFrame(stored, "cik string, accession_number string")
     req = spark.createDataFrame(requests, "request_id long, ticker string, filing_period date, force_refresh boolean")
     return {r.request_id: r.action for r in gate(req, ent, cache, f, keys).collect()}
 
@@ -56,7 +56,7 @@ def test_gate_branches(spark):
         ("AAPL", "0000320193", "ACC-1", D(2025, 10, 31), D(2025, 9, 27), "doc.htm"),
         ("MSFT", "0000789019", "ACC-OLDM", D(2025, 7, 31), D(2025, 6, 30), "o.htm"),
     ]
-    stored = [("AAPL", "ACC-1")]
+    stored = [("0000320193", "ACC-1")]
     requests = [
         (1, "aapl", None, False),  # cached and stored: skip everything
         (2, "MSFT", None, False),  # dates changed: ingest the new filing
@@ -73,7 +73,16 @@ def test_gate_same_dates_other_accession(spark):
     # cached accession is not stored, but the fresh one (same dates) is
     filings = [("0000320193", "10-Q/A", D(2025, 10, 31), D(2025, 9, 27), 0, "ACC-2", "doc2.htm")]
     cache = [("AAPL", "0000320193", "ACC-1", D(2025, 10, 31), D(2025, 9, 27), "doc.htm")]
-    got = _gate(spark, [(1, "AAPL", None, False)], cache, filings, [("AAPL", "ACC-2")])
+    got = _gate(spark, [(1, "AAPL", None, False)], cache, filings, [("0000320193", "ACC-2")])
     assert got == {1: "serve_unchanged"}
     got = _gate(spark, [(1, "AAPL", None, False)], cache, filings, [])
     assert got == {1: "ingest"}
+
+
+def test_gate_checks_store_by_cik(spark):
+    # the chunks were stored under the listing's first ticker, not the one
+    # requested: the lookup by CIK still finds them
+    filings = [("0000320193", "10-Q", D(2025, 10, 31), D(2025, 9, 27), 0, "ACC-1", "doc.htm")]
+    cache = [("AAPL", "0000320193", "ACC-1", D(2025, 10, 31), D(2025, 9, 27), "doc.htm")]
+    got = _gate(spark, [(1, "AAPL", None, False)], cache, filings, [("0000320193", "ACC-1")])
+    assert got == {1: "serve_cached"}

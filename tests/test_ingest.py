@@ -37,7 +37,7 @@ def test_skip_when_cached_and_stored(spark, tmp_table):
     cached = [("AAPL", "0000320193", "ACC-1", D(2025, 10, 31), D(2025, 9, 27), "doc.htm")]
     filings = [("0000320193", "10-Q", D(2025, 10, 31), D(2025, 9, 27), 0, "ACC-1", "doc.htm")]
     ent, req, paths, cache, f = setup(spark, tmp_table, cached, filings)
-    keys = spark.createDataFrame([("AAPL", "ACC-1")], "ticker_norm string, accession_number string")
+    keys = spark.createDataFrame([("0000320193", "ACC-1")], "cik string, accession_number string")
     decisions = gate(req, ent, cache, f, keys)
     assert [r.action for r in decisions.collect()] == ["serve_cached"]
     n = run_ingest(spark, decisions, fetched_for(spark, "ACC-1", "doc.htm"),
@@ -53,7 +53,7 @@ def test_reingest_when_dates_changed(spark, tmp_table):
         ("0000320193", "10-Q", D(2025, 7, 31), D(2025, 6, 28), 1, "ACC-OLD", "old.htm"),
     ]
     ent, req, paths, cache, f = setup(spark, tmp_table, cached, filings)
-    keys = spark.createDataFrame([], "ticker_norm string, accession_number string")
+    keys = spark.createDataFrame([], "cik string, accession_number string")
     decisions = gate(req, ent, cache, f, keys)
     assert [r.action for r in decisions.collect()] == ["ingest"]
     fetched = fetched_for(spark, "ACC-NEW", "new.htm")
@@ -76,7 +76,7 @@ def test_whole_request_after_ingest(spark, tmp_table):
     cached = []
     filings = [("0000320193", "10-Q", D(2025, 10, 31), D(2025, 9, 27), 0, "ACC-NEW", "new.htm")]
     ent, req, paths, cache, f = setup(spark, tmp_table, cached, filings)
-    keys = spark.createDataFrame([], "ticker_norm string, accession_number string")
+    keys = spark.createDataFrame([], "cik string, accession_number string")
     decisions = gate(req, ent, cache, f, keys)
     run_ingest(spark, decisions, fetched_for(spark, "ACC-NEW", "new.htm"),
                landing_path=paths["landing"], index_path=paths["index"], cache_path=paths["cache"])
