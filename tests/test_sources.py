@@ -74,3 +74,19 @@ def test_raw_bytes_drop_invalid_utf8(spark, tmp_table):
         f.write(b"<p>caf\xc3\xa9 \xff\xfeok</p>")
     got = read_raw_files(spark, folder).select("html").first().html
     assert got == "<p>café ok</p>"
+
+
+def test_select_for_quarter(spark):
+    import datetime as dt
+
+    from filinglens.operators.filings import select_for_quarter
+
+    rows = [
+        ("C1", "10-Q", dt.date(2025, 8, 1), dt.date(2025, 6, 28), 0, "A"),
+        ("C1", "10-Q", dt.date(2025, 8, 5), dt.date(2025, 6, 30), 1, "B"),
+        ("C1", "10-Q", dt.date(2025, 11, 1), dt.date(2025, 9, 27), 2, "C"),
+        ("C2", "10-K", dt.date(2025, 8, 1), dt.date(2025, 6, 30), 0, "D"),
+    ]
+    f = spark.createDataFrame(rows, "cik string, form_type string, filing_date date, period_of_report date, pos long, accession_number string")
+    got = [(r.cik, r.accession_number) for r in select_for_quarter(f, "2025-04-01").collect()]
+    assert got == [("C1", "B")]

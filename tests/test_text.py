@@ -129,3 +129,16 @@ def test_chunker_edges(spark):
     got = spark.createDataFrame([("x" * 2500,), ("   \n  ",)], "t string").select(chunk_array(F.col("t"), 2000, 200, "\n").alias("c")).collect()
     assert [len(c) for c in got[0]["c"]] == [2500]
     assert got[1]["c"] == []
+
+
+def test_random_unicode_strip_and_lines(spark):
+    from filinglens.functions.text import PY_WHITESPACE
+
+    rnd = random.Random(3)
+    alphabet = list(PY_WHITESPACE) + list("abcXYZ \u00e9\u00df\u4e2d\u00a0\u3000\r\n-.") + ["\ufeff", "\u200b"]
+    samples = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(400)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, v string")
+    got = {r.i: (r.s, r.l) for r in df.select("i", py_strip(F.col("v")).alias("s"), non_blank_lines(F.col("v")).alias("l")).collect()}
+    for i, s in enumerate(samples):
+        assert got[i][0] == s.strip(), repr(s)
+        assert got[i][1] == [x.strip() for x in s.splitlines() if x.strip()], repr(s)
