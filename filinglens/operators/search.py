@@ -142,6 +142,14 @@ def _scorer(payload, key_cols: list[str], filter_cols: list[str], vec_col: str,
     return run
 
 
+def _bucket_ids(spark: SparkSession, values: list[str], dtype: T.DataType, buckets: int) -> list[int]:
+    """Bucket numbers of a bounded list of filter values, hashed by Spark
+    exactly as at write time (same type, same xxhash64)."""
+    lit = spark.createDataFrame([(v,) for v in values], "v string")
+    rows = lit.select(F.pmod(F.xxhash64(F.col("v").cast(dtype)), F.lit(buckets)).cast("int").alias("b")).distinct()
+    return sorted(r["b"] for r in rows.collect())
+
+
 def _query_blocks(queries: DataFrame, dim_hint: int, opts: Options) -> int:
     stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("d")).first()
     n, d = int(stats["n"] or 0), int(stats["d"] or dim_hint or 1)
@@ -158,6 +166,7 @@ def cosine_topk(
     query_vector_col: str = "qvec",
     k_col: str = "k",
     filter_cols: Sequence[str] = (),
+    bucket: tuple[str, str, int] | None = None,
     opts: Options = Options(),
 ) -> DataFrame:
     """Exact top-k by cosine for every query.
@@ -166,6 +175,11 @@ def cosine_topk(
     already clamped) and one nullable column per name in ``filter_cols``
     holding the value that corpus column must equal (null or '' = no filter).
 
+    ``bucket``: (partition column, filter column, number of buckets) when
+    the corpus is stored partitioned by ``pmod(xxhash64(filter column), n)``;
+    a block whose queries all filter on that column then reads only their
+    buckets (partition pruning).
+
     Returns ``query_id, rank, score`` + ``key_cols`` ordered by score
     descending, ties broken by the key columns ascending.
     """
@@ -179,8 +193,10 @@ def cosine_topk(
     ).where(F.col("qvec").isNotNull() & (F.col("k") > 0))
 
     cols = list(dict.fromkeys(key_cols + filter_cols))
-    base = corpus.select(*cols, as_double_vector(F.col(vector_col)).alias("_vec")).where(F.col("_vec").isNotNull())
-    base = spread(base, key_cols[0])
+
+    def prepared(df: DataFrame) -> DataFrame:
+        out = df.select(*cols, as_double_vector(F.col(vector_col)).alias("_vec")).where(F.col("_vec").isNotNull())
+        return spread(out, key_cols[0])
     out_schema = T.StructType(
         [
             T.StructField("query_id", T.LongType()),
@@ -206,11 +222,18 @@ def cosine_topk(
             "vec": _as_matrix(vecs, dim),
             "filters": [np.asarray(tbl.column(f"q_{f}").to_pylist(), dtype=object) for f in filter_cols],
         }
-        # Prune the scan when every query of the block filters on a column.
-        scan = base
+        # Prune the scan when every query of the block filters on a column:
+        # the IN list reaches the Parquet reader, and on the bucketing
+        # column it also selects partitions.
+        pruned = corpus
         for f, qf in zip(filter_cols, payload["filters"]):
             if len(qf) and all(v not in (None, "") for v in qf):
-                scan = scan.where(F.col(f).isin(sorted(set(qf.tolist()))))
+                values = sorted(set(qf.tolist()))
+                pruned = pruned.where(F.col(f).cast("string").isin(values))
+                if bucket and f == bucket[1]:
+                    ids = _bucket_ids(spark, values, corpus.schema[f].dataType, bucket[2])
+                    pruned = pruned.where(F.col(bucket[0]).isin(ids))
+        scan = prepared(pruned)
         bc = spark.sparkContext.broadcast(payload)
         fn = _scorer(bc, key_cols, filter_cols, "_vec", opts.score_block_rows)
         results.append(scan.mapInPandas(fn, out_schema))
@@ -239,6 +262,7 @@ def search(
     opts: Options = Options(),
     key_cols: Sequence[str] = ("accession_number", "section_order", "chunk_index"),
     cap: int | None = None,
+    bucket_of: str | None = "cik",
 ) -> DataFrame:
     """Filtered similarity search over a chunk index (C9).
 
@@ -263,5 +287,6 @@ def search(
         ),
     )
     filters = [f for f in ("ticker_norm", "cik", "section_name", "accession_number") if f in index.columns]
-    hits = cosine_topk(index, q, key_cols=key_cols, filter_cols=filters, opts=opts)
+    bucket = ("bucket", bucket_of, opts.index_buckets) if bucket_of in filters and "bucket" in index.columns else None
+    hits = cosine_topk(index, q, key_cols=key_cols, filter_cols=filters, bucket=bucket, opts=opts)
     return hits

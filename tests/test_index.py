@@ -18,3 +18,26 @@ def test_upsert_replaces_whole_filing(spark, tmp_table):
     got = sorted((r.accession_number, r.chunk_index, r.text) for r in read_index(spark, path).collect())
     assert got == [("A", 0, "a0-new"), ("B", 0, "b0")]
     assert read_index(spark, path).select("bucket").distinct().count() >= 1
+
+
+def test_search_prunes_buckets(spark, tmp_table):
+    from filinglens.operators.search import search
+
+    path = tmp_table("index-search")
+    rows = [(f"ACC-{c}-{i}", f"{c:010d}", "T", 0, "S", i, f"t{c}{i}", [1.0, float(i)]) for c in range(20) for i in range(3)]
+    df = spark.createDataFrame(
+        rows, "accession_number string, cik string, ticker_norm string, section_order int, section_name string, chunk_index int, text string, embedding array<double>"
+    )
+    upsert_chunks(spark, path, df)
+    idx = read_index(spark, path)
+    q = spark.createDataFrame([(1, [1.0, 0.0], 2, "0000000003"), (2, [0.0, 1.0], 2, "0000000007")], "query_id long, qvec array<double>, k int, cik string")
+    key = ["accession_number", "section_order", "chunk_index"]
+    pruned = search(idx, q, key_cols=key)
+    plain = search(idx, q, key_cols=key, bucket_of=None)
+    assert sorted(pruned.collect()) == sorted(plain.collect())
+    assert {r.accession_number.split("-")[1] for r in pruned.collect()} == {"3", "7"}
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    import re
+
+    assert re.search(r"PartitionFilters: \[bucket#\d+ IN \(\d+,\d+\)\]", plan), plan
+    assert "PushedFilters: [In(cik, [0000000003,0000000007]" in plan
