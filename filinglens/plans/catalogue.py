@@ -14,14 +14,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filinglens.functions.text import non_blank_lines
 from filinglens.functions.vectors import hash_embedding
-from filinglens.operators.chunking import chunk_text
-from filinglens.operators.embedding import embed
+from filinglens.functions.vectors import norm as _vnorm
+from filinglens.operators import entity as _entity
+from filinglens.operators import filings as _filings
+from filinglens.operators import gate as _gate
+from filinglens.operators import index as _index
+from filinglens.operators import metrics as _m
+from filinglens.operators import results as _results
+from filinglens.operators.chunking import chunk_text, split_sections
+from filinglens.operators.embedding import embed, embed_distinct, normalize_vectors
 from filinglens.operators.parse import explode_lines, html_to_lines, parse_filings
 from filinglens.operators.search import clamp_k, cosine_topk
 from filinglens.options import Options
+from filinglens.plans import roles
 from filinglens.session import scratch_path
 from filinglens.sources.tables import read_table
+from filinglens.streaming import ingest as _stream
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -158,10 +168,6 @@ def q_retrieve_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Companies and filings
 # ---------------------------------------------------------------------------
-from filinglens.operators import entity as _entity  # noqa: E402
-from filinglens.operators import filings as _filings  # noqa: E402
-from filinglens.operators import gate as _gate  # noqa: E402
-from filinglens.plans import roles  # noqa: E402
 
 FILING_OUT = list(_filings.FILING_COLS)
 
@@ -300,11 +306,6 @@ def q_latest_cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Sections, vector variants, analytics
 # ---------------------------------------------------------------------------
-from filinglens.functions.text import non_blank_lines  # noqa: E402
-from filinglens.functions.vectors import norm as _vnorm  # noqa: E402
-from filinglens.operators import metrics as _m  # noqa: E402
-from filinglens.operators.chunking import split_sections  # noqa: E402
-from filinglens.operators.embedding import embed_distinct, normalize_vectors  # noqa: E402
 
 
 def with_generated_headings(text):
@@ -420,9 +421,6 @@ def q_chunk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Index upsert, prompts, results
 # ---------------------------------------------------------------------------
-from filinglens.operators import index as _index  # noqa: E402
-from filinglens.operators import results as _results  # noqa: E402
-from filinglens.session import scratch_path  # noqa: E402
 
 UPSERT_FIRST_LANGS = ("en", "de")
 UPSERT_SECOND_LANGS = ("de", "fr", "es")
@@ -522,7 +520,6 @@ def q_validate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Streaming
 # ---------------------------------------------------------------------------
-from filinglens.streaming import ingest as _stream  # noqa: E402
 
 
 def url_host(col: str):

@@ -8,7 +8,11 @@ HTML chain, chunk fold) in DuckDB's list functions and RE2 regexes.
 from __future__ import annotations
 
 from filinglens.functions.text import HTML_ENTITIES, PY_WHITESPACE
-from filinglens.options import Options
+from filinglens.operators.metrics import TOPIC_PATTERNS
+from filinglens.options import ARCHIVES_BASE as R_ARCHIVES
+from filinglens.options import DISCLAIMER_DEFAULT, GOAL_DEFAULT, THESIS_DEFAULT, Options
+from filinglens.plans import roles as R
+from filinglens.templates import DECISION_PROMPT_PREFIX, INSIGHTS_PROMPT_TEMPLATE
 
 O = Options()
 
@@ -208,7 +212,6 @@ FROM ranked WHERE rank <= least(greatest({O.retrieve_k}, 0), {O.retrieve_max_k})
 # ---------------------------------------------------------------------------
 # Companies and filings (roles as in plans/roles.py)
 # ---------------------------------------------------------------------------
-from filinglens.plans import roles as R  # noqa: E402
 
 
 def _raw_ticker(seg: str, nation: str) -> str:
@@ -323,9 +326,6 @@ def _paths(src: str) -> str:
     return f"(SELECT *, {url} AS archive_url, {path} AS storage_path FROM {src})"
 
 
-from filinglens.options import ARCHIVES_BASE as R_ARCHIVES  # noqa: E402
-
-
 @sql("filing_paths")
 def _():
     return f"WITH {ROLES_CTE} SELECT accession_number, archive_url, storage_path FROM {_paths('filings')}"
@@ -409,7 +409,6 @@ FROM {_latest('both_', part='ticker_norm', order='filing_date DESC, accession_nu
 # ---------------------------------------------------------------------------
 # Sections, vector variants, analytics
 # ---------------------------------------------------------------------------
-from filinglens.operators.metrics import TOPIC_PATTERNS  # noqa: E402
 
 
 def _head(x: str, i: str) -> str:
@@ -575,8 +574,6 @@ def _():
 # ---------------------------------------------------------------------------
 # Index upsert, prompts, results
 # ---------------------------------------------------------------------------
-from filinglens.options import DISCLAIMER_DEFAULT, GOAL_DEFAULT, THESIS_DEFAULT  # noqa: E402
-from filinglens.templates import DECISION_PROMPT_PREFIX, INSIGHTS_PROMPT_TEMPLATE  # noqa: E402
 
 
 @sql("upsert_chunks")
