@@ -32,9 +32,6 @@ from filinglens.functions.vectors import as_double_vector, hash_embedding
 from filinglens.operators.joins import spread
 from filinglens.options import COSINE_EPSILON, Options
 
-_NO_FILTER = -1
-
-
 def clamp_k(k_col, cap: int | None) -> F.Column:
     """Clamp a requested k to [0, cap] (a negative k returns nothing)."""
     k = F.greatest(F.coalesce(k_col.cast("int"), F.lit(0)), F.lit(0))
@@ -85,6 +82,7 @@ def _scorer(payload, key_cols: list[str], filter_cols: list[str], vec_col: str,
         qvec = qb["vec"]
         qnorm = _seq_norm(qvec)
         qfilters = qb["filters"]  # list of object arrays (None = no filter)
+        q_open = [np.array([v is None or v == "" for v in qf], dtype=bool) for qf in qfilters]
         kmax = int(qk.max()) if len(qk) else 0
         rows_per_block = max(64, min(block_rows, _SCORE_CELLS // max(len(qids), 1)))
         for pdf in batches:
@@ -99,44 +97,34 @@ def _scorer(payload, key_cols: list[str], filter_cols: list[str], vec_col: str,
                 cnorm = _seq_norm(cmat)
                 scores = _seq_dot(qmat, cmat) / (np.multiply.outer(qnorm, cnorm) + COSINE_EPSILON)
                 valid = np.ones(scores.shape, dtype=bool)
-                for f, qf in zip(filter_cols, qfilters):
-                    vals = part[f].to_numpy(dtype=object)
-                    codes, uniq = pd.factorize(pd.Series(vals), use_na_sentinel=True)
-                    lookup = {u: i for i, u in enumerate(uniq)}
-                    qcode = np.array(
-                        [_NO_FILTER if (v is None or v == "") else lookup.get(v, -2) for v in qf],
-                        dtype=np.int64,
-                    )
-                    valid &= (qcode[:, None] == _NO_FILTER) | (qcode[:, None] == codes[None, :])
+                for f, qf, open_ in zip(filter_cols, qfilters, q_open):
+                    codes, uniq = pd.factorize(part[f].to_numpy(dtype=object), use_na_sentinel=True)
+                    qcode = pd.Index(uniq, dtype=object).get_indexer(qf)
+                    qcode[qcode < 0] = -2  # value absent from this block: matches nothing
+                    valid &= open_[:, None] | (qcode[:, None] == codes[None, :])
                 # ordinal of each row in key order: the tie-break of the final ranking
                 key_order = part[key_cols].reset_index(drop=True).sort_values(key_cols, kind="mergesort").index.to_numpy()
                 key_rank = np.empty(len(part), dtype=np.int64)
                 key_rank[key_order] = np.arange(len(part))
-                rows_q, rows_k, rows_i, rows_s = [], [], [], []
-                for qi in range(len(qids)):
-                    k = int(qk[qi])
-                    if k <= 0:
-                        continue
-                    idx = np.flatnonzero(valid[qi])
-                    if idx.size == 0:
-                        continue
-                    s = scores[qi, idx]
-                    if idx.size > k:
-                        kth = np.partition(s, idx.size - k)[idx.size - k]
-                        keep = s >= kth
-                        idx, s = idx[keep], s[keep]
-                    order = np.lexsort((key_rank[idx], -s))[:k]
-                    rows_q.append(np.full(order.size, qids[qi]))
-                    rows_k.append(np.full(order.size, k))
-                    rows_i.append(idx[order])
-                    rows_s.append(s[order])
-                if not rows_q:
+                # Exact top-k of every query at once: keep each query's rows
+                # scoring at least its kk-th best (ties at the edge kept),
+                # sort by (query, -score, key order), rank within query.
+                kk = min(kmax, scores.shape[1])
+                scores = np.where(valid, scores, -np.inf)
+                thr = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
+                qi, ci = np.nonzero((scores >= thr[:, None]) & valid)
+                if qi.size == 0:
                     continue
-                sel = np.concatenate(rows_i)
-                out = part.iloc[sel][key_cols].reset_index(drop=True)
-                out.insert(0, "k", np.concatenate(rows_k).astype(np.int32))
-                out.insert(0, "score", np.concatenate(rows_s))
-                out.insert(0, "query_id", np.concatenate(rows_q))
+                sc = scores[qi, ci]
+                order = np.lexsort((key_rank[ci], -sc, qi))
+                qi, ci, sc = qi[order], ci[order], sc[order]
+                rank = np.arange(qi.size) - np.searchsorted(qi, qi, side="left")
+                keep = rank < qk[qi]
+                qi, ci, sc = qi[keep], ci[keep], sc[keep]
+                out = part.iloc[ci][key_cols].reset_index(drop=True)
+                out.insert(0, "k", qk[qi].astype(np.int32))
+                out.insert(0, "score", sc)
+                out.insert(0, "query_id", qids[qi])
                 yield out
 
     return run
