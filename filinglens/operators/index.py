@@ -32,6 +32,13 @@ def with_bucket(df: DataFrame, company_col: str, buckets: int) -> DataFrame:
     return df.withColumn(BUCKET_COL, F.pmod(F.xxhash64(F.col(company_col)), F.lit(buckets)).cast("int"))
 
 
+def _clustered(df: DataFrame) -> DataFrame:
+    """Cluster rows by bucket before a partitioned write so each task writes
+    few bucket folders (not every task a file in every bucket); AQE's
+    rebalance splits an oversized (hot) bucket and merges small ones."""
+    return df.hint("rebalance", BUCKET_COL)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -53,7 +60,7 @@ def upsert_chunks(
     b = with_bucket(batch, company_col, opts.index_buckets)
     writer_opts = {"partitionOverwriteMode": "dynamic"}
     if not path_exists(spark, index_path):
-        b.write.mode("overwrite").options(**writer_opts).partitionBy(BUCKET_COL).parquet(index_path)
+        _clustered(b).write.mode("overwrite").options(**writer_opts).partitionBy(BUCKET_COL).parquet(index_path)
         return
     ensure_checkpoint_dir(spark)
     # The batch is read three times below (touched buckets, filing keys,
@@ -68,7 +75,7 @@ def upsert_chunks(
         old_touched = old.join(touched, BUCKET_COL, "left_semi")
         kept = old_touched.join(b.select(filing_key).distinct(), filing_key, "left_anti")
         merged = kept.unionByName(b.select(*old.columns)).checkpoint(eager=True)
-        merged.write.mode("overwrite").options(**writer_opts).partitionBy(BUCKET_COL).parquet(index_path)
+        _clustered(merged).write.mode("overwrite").options(**writer_opts).partitionBy(BUCKET_COL).parquet(index_path)
     finally:
         b.unpersist()
 
