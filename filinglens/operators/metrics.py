@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filinglens.functions.text import non_blank_lines
-from filinglens.operators.joins import broadcast_if_small, spread
+from filinglens.operators.joins import spread
 from filinglens.operators.sequence import previous_in_group
 
 # ---------------------------------------------------------------------------
@@ -197,8 +197,10 @@ def grounding(claims: DataFrame, docs: DataFrame, claim_id: str, doc_id: str, te
     d = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("doc")), "doc_id")
     d = d.withColumn("dtok", _token_hashes(_tokens(F.col("doc"))))
     matches = None
-    n_keys = long_c.select("s", "key").distinct().limit(MAX_INLINE_KEYS + 1).count() if sizes else 0
-    if sizes and n_keys <= MAX_INLINE_KEYS:
+    # The claims (with their text) are broadcast and their keys inlined only
+    # below a measured bound on the number of claims.
+    n_long = long_c.limit(MAX_INLINE_KEYS + 1).count() if sizes else 0
+    if sizes and n_long <= MAX_INLINE_KEYS:
         # Verification stays in the document scan: each document keeps only
         # its shingles that some claim picked (hash-set IN over the bounded
         # key list), explodes those few hits, meets the broadcast claims and

@@ -1,6 +1,5 @@
 """Chunk index upsert: replace by filing, idempotent, no stale tail."""
 
-from pyspark.sql import functions as F
 
 from filinglens.operators.index import read_index, upsert_chunks
 

@@ -3,7 +3,6 @@ filing stored fetches nothing; changed dates fetch and store one filing."""
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from filinglens.operators.entity import build_entity_dim
 from filinglens.operators.gate import gate, stored_keys

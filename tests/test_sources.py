@@ -2,7 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
 
 from filinglens.operators.entity import build_entity_dim
 from filinglens.operators.filings import select_latest, select_latest_amended
