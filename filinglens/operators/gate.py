@@ -84,8 +84,11 @@ def gate(
 
     q = filings.where(F.col("form_type").isin(list(opts.forms)))
     order = [F.col("filing_date"), -F.col("pos")]
-    latest_any = _pick_latest(q, ["cik"], order)
-    latest_period = _pick_latest(q.where(F.col("period_of_report").isNotNull()), ["cik", "period_of_report"], order)
+    # One aggregation over the filings: the winner per (company, period);
+    # the winner per company is the best of those (a null period is its own
+    # group there, and never matches a requested period).
+    latest_period = _pick_latest(q, ["cik", "period_of_report"], order)
+    latest_any = _pick_latest(latest_period, ["cik"], order)
     fresh_cols = ["accession_number", "filing_date", "period_of_report", "primary_document", "form_type"]
     la = latest_any.select(F.col("cik").alias("_la_cik"), *[F.col(x).alias(f"la_{x}") for x in fresh_cols])
     lp = latest_period.select(
