@@ -39,6 +39,13 @@ def clamp_k(k_col, cap: int | None) -> F.Column:
 
 
 def _as_matrix(vectors: Sequence, dim: int) -> np.ndarray:
+    """Rows of a (n, dim) float64 matrix; missing positions and NaN are 0."""
+    try:
+        m = np.vstack(vectors).astype(np.float64, copy=False) if len(vectors) else None
+    except (ValueError, TypeError):  # ragged lengths or a null vector
+        m = None
+    if m is not None and m.shape == (len(vectors), dim):
+        return np.nan_to_num(m, nan=0.0)
     out = np.zeros((len(vectors), dim), dtype=np.float64)
     for i, v in enumerate(vectors):
         if v is None:
