@@ -1,4 +1,4 @@
-"""The reference's orchestrator cases as tables: a warm cache with the
+"""The ingest-gate cases as tables: a warm cache with the
 filing stored fetches nothing; changed dates fetch and store one filing."""
 
 import datetime as dt
