@@ -494,15 +494,15 @@ FROM doc_chunks GROUP BY lang"""
 @sql("ingest_rollup")
 def _():
     return """
-SELECT lang, source, count(*) AS n, sum(n_chars) AS total, round(quantile_cont(n_chars, 0.95), 2) AS p95,
-       CAST(GROUPING(lang, source) AS INTEGER) AS level
+SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total, round(quantile_cont(n_chars, 0.95), 2) AS p95,
+       CAST(GROUPING(lang, source) AS BIGINT) AS level
 FROM documents GROUP BY ROLLUP (lang, source)"""
 
 
 REV_CTE = """
 rev AS (
   SELECT o_custkey AS entity, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS INTEGER) AS qidx,
-         sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS revenue_cents
+         CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS revenue_cents
   FROM orders GROUP BY ALL
 )"""
 
@@ -511,8 +511,8 @@ rev AS (
 def _():
     return f"""WITH {REV_CTE},
 w AS (
-  SELECT *, sum(revenue_cents) OVER (PARTITION BY entity ORDER BY qidx RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS prev_q_cents,
-            sum(revenue_cents) OVER (PARTITION BY entity ORDER BY qidx RANGE BETWEEN 4 PRECEDING AND 4 PRECEDING) AS prev_y_cents
+  SELECT *, CAST(sum(revenue_cents) OVER (PARTITION BY entity ORDER BY qidx RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS BIGINT) AS prev_q_cents,
+            CAST(sum(revenue_cents) OVER (PARTITION BY entity ORDER BY qidx RANGE BETWEEN 4 PRECEDING AND 4 PRECEDING) AS BIGINT) AS prev_y_cents
   FROM rev
 )
 SELECT entity, qidx, revenue_cents, prev_q_cents, prev_y_cents,
@@ -525,7 +525,7 @@ FROM w"""
 def _():
     return f"""WITH {REV_CTE},
 w AS (
-  SELECT *, sum(revenue_cents) OVER (PARTITION BY entity ORDER BY qidx RANGE BETWEEN 3 PRECEDING AND CURRENT ROW) AS window_cents,
+  SELECT *, CAST(sum(revenue_cents) OVER (PARTITION BY entity ORDER BY qidx RANGE BETWEEN 3 PRECEDING AND CURRENT ROW) AS BIGINT) AS window_cents,
             count(*) OVER (PARTITION BY entity ORDER BY qidx RANGE BETWEEN 3 PRECEDING AND CURRENT ROW) AS window_quarters
   FROM rev
 )
@@ -537,7 +537,7 @@ FROM w"""
 @sql("facts_pivot")
 def _():
     amt = "CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))"
-    cols = ", ".join(f"sum(CASE WHEN l_returnflag = '{v}' THEN {amt} END) AS \"{v}\"" for v in ("A", "N", "R"))
+    cols = ", ".join(f"CAST(sum(CASE WHEN l_returnflag = '{v}' THEN {amt} END) AS BIGINT) AS \"{v}\"" for v in ("A", "N", "R"))
     return f"""
 SELECT CAST(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS row_key, {cols}
 FROM lineitem GROUP BY 1"""
@@ -695,5 +695,5 @@ SELECT page_id, CAST(section_order AS INTEGER) AS section_order, chunk_index, ch
 def _():
     return """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n_events,
-       sum(CAST(round(value * 100) AS BIGINT)) AS value_cents
+       CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value_cents
 FROM events GROUP BY ALL"""
