@@ -41,6 +41,12 @@ def test_every_query_has_an_oracle():
     assert set(E.oracle_sql()) == set(E.queries())
 
 
+SPARK_TO_DUCKDB = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "float": "FLOAT",
+}
+
+
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
@@ -48,6 +54,8 @@ def test_query_matches_oracle(spark, con, name):
     rel = con.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in rel.description]
     assert sorted(df.columns) == sorted(dcols)
+    spark_types = {f.name: SPARK_TO_DUCKDB.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert spark_types == {d[0]: str(d[1]) for d in rel.description}
     assert table(df.columns, rows) == table(dcols, rel.fetchall())
 
 
