@@ -30,4 +30,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, *keys) if keys else df.repartition(cores)
+    # Hash partitioning (on all columns when no key is given) is
+    # deterministic, so a retried task after a lost executor sees the same rows.
+    return df.repartition(cores, *(keys or df.columns))
