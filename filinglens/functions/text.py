@@ -71,40 +71,97 @@ def non_blank_lines(col: Column) -> Column:
     return F.filter(F.transform(py_splitlines(col), py_strip), lambda s: s != F.lit(""))
 
 
-_ENTITY_REF_RE = r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+# A character reference as the stdlib HTML parser finds it: a numeric or
+# named reference ends at ';' (consumed) or before any other terminating
+# character (not consumed); a reference at the very end of the text, with
+# nothing after it, is left as text.
+_ENTITY_REF_RE = (
+    r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+)(?:;|(?=[^0-9a-fA-F]))"
+    r"|[a-zA-Z][-.a-zA-Z0-9]*(?:;|(?=[^a-zA-Z0-9])))"
+)
+
+
+def _named_entity_table() -> dict[str, str]:
+    """Entity name (without ';') -> characters, from Python's HTML5 table;
+    the first spelling in sorted order wins."""
+    from html.entities import html5
+
+    table: dict[str, str] = {}
+    for name, chars in sorted(html5.items()):
+        table.setdefault(name[:-1] if name.endswith(";") else name, chars)
+    return table
+
+
+def _cp1252_table() -> dict[int, str]:
+    """Bytes 0x80-0x9F that windows-1252 defines (numeric references below
+    256 are read as windows-1252)."""
+    out = {}
+    for b in range(0x80, 0xA0):
+        try:
+            out[b] = bytes([b]).decode("cp1252")
+        except UnicodeDecodeError:
+            pass
+    return out
 
 
 def _code_point_to_string(cp: Column) -> Column:
-    # UTF-32BE bytes of the code point decode to the character; code points
-    # that are not characters (0, surrogates, beyond U+10FFFF) become U+FFFD.
-    bad = (cp <= 0) | cp.between(0xD800, 0xDFFF) | (cp > 0x10FFFF)
+    # UTF-32BE bytes of the code point decode to the character; numbers that
+    # are no character (surrogates, beyond U+10FFFF, overflow) become U+FFFD.
+    bad = cp.isNull() | (cp < 0) | cp.between(0xD800, 0xDFFF) | (cp > 0x10FFFF)
     return F.when(bad, F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32"))
 
 
 def _numeric_ref(ref: Column) -> Column:
     hexa = F.lower(F.substring(ref, 3, 1)) == F.lit("x")
-    digits = F.regexp_extract(ref, r"^&#[xX]?([0-9A-Fa-f]+);$", 1)
-    cp = F.when(hexa, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
-    return _code_point_to_string(cp)
+    digits = F.regexp_extract(ref, r"^&#[xX]?([0-9A-Fa-f]+)", 1)
+    cp = F.when(hexa, F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+    cp1252 = F.create_map(*[x for b, ch in _cp1252_table().items() for x in (F.lit(b).cast("long"), F.lit(ch))])
+    return F.coalesce(F.try_element_at(cp1252, cp), _code_point_to_string(cp))
+
+
+# Where a reference without ';' ends: a numeric one before any non-hex
+# character; a named one before a character that cannot extend the name,
+# or (the parser backtracks) before a '-' or '.' that starts the last run of
+# name characters at the end of the text.
+_NUMERIC_END = r"(?=[^0-9a-fA-F;])"
+_NAME_END = r"(?=[^-.a-zA-Z0-9;]|[-.][a-zA-Z0-9]*\z)"
+
+# Stands in for a decoded '&' until every reference is replaced, so decoded
+# text is never decoded again (U+FFFF is a noncharacter, absent from text).
+_AMP_PLACEHOLDER = "\uffff"
 
 
 def decode_entities(col: Column) -> Column:
-    """Decode character references in one pass over the distinct references
-    present (one regex scan, then one replace per distinct reference).
-    ``&amp;`` goes last so ``&amp;lt;`` yields ``&lt;``; unknown names stay."""
-    table = F.create_map(*[x for ent, ch in HTML_ENTITIES for x in (F.lit(ent), F.lit(ch))])
+    """Decode character references as the stdlib HTML parser reports them.
+
+    Known names are decoded with or without ';'; an unknown ``&name;``
+    becomes ``&name``; numeric references below 256 are read as
+    windows-1252. One regex scan collects the distinct references of the
+    row, then each is replaced everywhere by a literal ``regexp_replace``
+    whose look-ahead matches only whole references (``&copy`` never inside
+    ``&copy;`` or ``&copyx``). A decoded '&' is parked as a placeholder until
+    the end, so ``&amp;lt;`` yields ``&lt;``.
+    """
+    table = F.create_map(*[x for name, ch in _named_entity_table().items() for x in (F.lit(name), F.lit(ch))])
     refs = F.array_distinct(F.regexp_extract_all(col, F.lit(_ENTITY_REF_RE), F.lit(0)))
-    others = F.filter(refs, lambda r: r != F.lit("&amp;"))
 
     def step(acc: Column, ref: Column) -> Column:
         numeric = F.substring(ref, 2, 1) == F.lit("#")
-        value = F.when(numeric, _numeric_ref(ref)).otherwise(F.coalesce(F.try_element_at(table, ref), ref))
-        # literal pattern and replacement ('\\' and '$' are special in a
-        # Java replacement string)
+        name = F.regexp_extract(ref, r"^&([a-zA-Z][-.a-zA-Z0-9]*)", 1)
+        named = F.coalesce(F.try_element_at(table, name), F.concat(F.lit("&"), name))
+        value = F.replace(F.when(numeric, _numeric_ref(ref)).otherwise(named), F.lit("&"), F.lit(_AMP_PLACEHOLDER))
+        # a reference without ';' must not be followed by a character that
+        # would have extended it (or by the ';' of a different reference)
+        tail = F.when(ref.endswith(";"), F.lit("")).otherwise(
+            F.when(numeric, F.lit(_NUMERIC_END)).otherwise(F.lit(_NAME_END))
+        )
+        pattern = F.concat(F.lit("\\Q"), ref, F.lit("\\E"), tail)
+        # '\\' and '$' are special in a Java replacement string
         safe = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
-        return F.regexp_replace(acc, F.concat(F.lit("\\Q"), ref, F.lit("\\E")), safe)
+        return F.regexp_replace(acc, pattern, safe)
 
-    return F.replace(F.aggregate(others, col, step), F.lit("&amp;"), F.lit("&"))
+    decoded = F.replace(F.aggregate(refs, col, step), F.lit(_AMP_PLACEHOLDER), F.lit("&"))
+    return F.when(F.instr(col, "&") > 0, decoded).otherwise(col)
 
 
 def strip_markup(col: Column) -> Column:

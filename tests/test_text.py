@@ -142,3 +142,21 @@ def test_random_unicode_strip_and_lines(spark):
     for i, s in enumerate(samples):
         assert got[i][0] == s.strip(), repr(s)
         assert got[i][1] == [x.strip() for x in s.splitlines() if x.strip()], repr(s)
+
+
+def test_character_references_like_the_stdlib_parser(spark):
+    from filinglens.functions.text import decode_entities
+
+    cases = {
+        "a &amp;lt; &quot;x&quot; &#169;&#x41; &#36;1 &#92;n &bogus; &copy;&amp; end": 'a &lt; "x" ©A $1 \\n &bogus ©& end',
+        "&copy 2024 AT&T &ampx &#150; &#x81; &#169a &#0; x": "© 2024 AT&T &ampx – \x81 &#169a \x00 x",
+        "tail &amp": "tail &amp",
+        "&#38;amp; &#99999999999999999999; &#xD800;.": "&amp; � �.",
+        "&amp;#38; &#38; &copy;&copy &copy-x &copy.": "&#38; & ©© &copy-x ©.",
+        "&copy.x": "©.x",
+        "&copy-x;": "&copy-x",
+        "&lt&gt;": "<>",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "h string")
+    got = {r.h: r.d for r in df.select("h", decode_entities(F.col("h")).alias("d")).collect()}
+    assert got == cases
