@@ -32,6 +32,18 @@ from filinglens.functions.vectors import as_double_vector, hash_embedding
 from filinglens.operators.joins import spread
 from filinglens.options import COSINE_EPSILON, Options
 
+# The scorer runs in Python workers. Pickle this module's functions by value
+# so the tasks carry the code they run and workers need no installed copy
+# of the package.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle: ship the package instead
+    pass
+
 def clamp_k(k_col, cap: int | None) -> F.Column:
     """Clamp a requested k to [0, cap] (a negative k returns nothing)."""
     k = F.greatest(F.coalesce(k_col.cast("int"), F.lit(0)), F.lit(0))

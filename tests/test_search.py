@@ -123,3 +123,26 @@ def test_topk_matches_brute_force_with_ties(spark):
         cand.sort(key=lambda t: (-t[0], t[1]))
         want += [(qid, r + 1, i, sc) for r, (sc, i) in enumerate(cand[:k])]
     assert got == sorted(want)
+
+
+def test_scorer_runs_without_the_package_on_workers(tmp_path):
+    """Workers started outside the repository must not need to import the
+    package: the scorer's code travels with the task."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+from filinglens.operators.search import cosine_topk
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<double>")
+q = spark.createDataFrame([(7, [1.0, 0.1], 1)], "query_id long, qvec array<double>, k int")
+print("TOP", [r.id for r in cosine_topk(c, q, key_cols=["id"]).collect()])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), env=env, capture_output=True, text=True, timeout=300)
+    assert "TOP [1]" in out.stdout, out.stderr[-2000:]
