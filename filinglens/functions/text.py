@@ -142,13 +142,31 @@ def decode_entities(col: Column) -> Column:
     ``&copy;`` or ``&copyx``). A decoded '&' is parked as a placeholder until
     the end, so ``&amp;lt;`` yields ``&lt;``.
     """
-    table = F.create_map(*[x for name, ch in _named_entity_table().items() for x in (F.lit(name), F.lit(ch))])
+    full = _named_entity_table()
+    # Literal-map lookups scan their keys, so the common names are looked
+    # up in a small map first and the full table is consulted only on a miss.
+    common = {n: full[n] for n in ["amp"] + [e[1:-1] for e, _ in HTML_ENTITIES] if n in full}
+    common_map = F.create_map(*[x for name, ch in common.items() for x in (F.lit(name), F.lit(ch))])
+    # the rest of the table as one string "\x01name\x02chars\x01name\x02chars..."
+    rest = "".join(f"\x01{name}\x02{ch}" for name, ch in full.items() if name not in common) + "\x01"
     refs = F.array_distinct(F.regexp_extract_all(col, F.lit(_ENTITY_REF_RE), F.lit(0)))
 
     def step(acc: Column, ref: Column) -> Column:
         numeric = F.substring(ref, 2, 1) == F.lit("#")
         name = F.regexp_extract(ref, r"^&([a-zA-Z][-.a-zA-Z0-9]*)", 1)
-        named = F.coalesce(F.try_element_at(table, name), F.concat(F.lit("&"), name))
+        named = F.coalesce(
+            F.try_element_at(common_map, name),
+            F.nullif(
+                F.get(
+                    F.regexp_extract_all(
+                        F.lit(rest), F.concat(F.lit("\x01\\Q"), name, F.lit("\\E\x02([^\x01]*)")), F.lit(1)
+                    ),
+                    0,
+                ),
+                F.lit(""),
+            ),
+            F.concat(F.lit("&"), name),
+        )
         value = F.replace(F.when(numeric, _numeric_ref(ref)).otherwise(named), F.lit("&"), F.lit(_AMP_PLACEHOLDER))
         # a reference without ';' must not be followed by a character that
         # would have extended it (or by the ';' of a different reference)
