@@ -26,17 +26,18 @@ from filinglens.session import ensure_checkpoint_dir
 from filinglens.options import Options
 
 BUCKET_COL = "bucket"
+YEAR_COL = "filing_year"
 
 
 def with_bucket(df: DataFrame, company_col: str, buckets: int) -> DataFrame:
     return df.withColumn(BUCKET_COL, F.pmod(F.xxhash64(F.col(company_col)), F.lit(buckets)).cast("int"))
 
 
-def _clustered(df: DataFrame) -> DataFrame:
-    """Cluster rows by bucket before a partitioned write so each task writes
-    few bucket folders (not every task a file in every bucket); AQE's
-    rebalance splits an oversized (hot) bucket and merges small ones."""
-    return df.hint("rebalance", BUCKET_COL)
+def _clustered(df: DataFrame, parts: list[str]) -> DataFrame:
+    """Cluster rows by partition before a partitioned write so each task
+    writes few folders (not every task a file in every partition); AQE's
+    rebalance splits an oversized (hot) partition and merges small ones."""
+    return df.hint("rebalance", *parts)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -54,28 +55,39 @@ def upsert_chunks(
     *,
     filing_key: str = "accession_number",
     company_col: str = "cik",
+    date_col: str | None = None,
     opts: Options = Options(),
 ) -> None:
-    """Replace, by filing, the index rows of every filing in ``batch``."""
+    """Replace, by filing, the index rows of every filing in ``batch``.
+
+    With ``date_col`` the index is partitioned by (``filing_year``,
+    ``bucket``), so searches bounded in time prune years too. A filing's
+    company and date never change (accession numbers are immutable), so
+    its rows always live in one (year, bucket) partition.
+    """
     b = with_bucket(batch, company_col, opts.index_buckets)
+    parts = [BUCKET_COL]
+    if date_col:
+        b = b.withColumn(YEAR_COL, F.year(F.col(date_col)))
+        parts = [YEAR_COL, BUCKET_COL]
     writer_opts = {"partitionOverwriteMode": "dynamic"}
     if not path_exists(spark, index_path):
-        _clustered(b).write.mode("overwrite").options(**writer_opts).partitionBy(BUCKET_COL).parquet(index_path)
+        _clustered(b, parts).write.mode("overwrite").options(**writer_opts).partitionBy(*parts).parquet(index_path)
         return
     ensure_checkpoint_dir(spark)
-    # The batch is read three times below (touched buckets, filing keys,
+    # The batch is read three times below (touched partitions, filing keys,
     # new rows); keep it instead of re-deriving it (a lost block is simply
     # recomputed from its lineage).
     b = b.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         old = spark.read.parquet(index_path)
-        touched = b.select(BUCKET_COL).distinct()
-        # semi join on the partition column: dynamic partition pruning
-        # limits the old-side scan to the touched buckets.
-        old_touched = old.join(touched, BUCKET_COL, "left_semi")
+        touched = b.select(*parts).distinct()
+        # semi join on the partition columns: dynamic partition pruning
+        # limits the old-side scan to the touched partitions.
+        old_touched = old.join(touched, parts, "left_semi")
         kept = old_touched.join(b.select(filing_key).distinct(), filing_key, "left_anti")
         merged = kept.unionByName(b.select(*old.columns)).checkpoint(eager=True)
-        _clustered(merged).write.mode("overwrite").options(**writer_opts).partitionBy(BUCKET_COL).parquet(index_path)
+        _clustered(merged, parts).write.mode("overwrite").options(**writer_opts).partitionBy(*parts).parquet(index_path)
     finally:
         b.unpersist()
 

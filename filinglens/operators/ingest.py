@@ -57,7 +57,7 @@ def run_ingest(
     docs = todo.join(raw, "storage_path")
     meta = ["ticker_norm", "cik", "accession_number", "form_type", "filing_date", "period_of_report"]
     chunks = parse_filings(docs.select(*meta, "html"), "html", keep=meta, opts=opts)
-    upsert_chunks(spark, index_path, embed(chunks, "text", embedder), opts=opts)
+    upsert_chunks(spark, index_path, embed(chunks, "text", embedder), date_col="filing_date", opts=opts)
     write_cache(
         spark,
         todo.select("ticker_norm", "cik", "accession_number", "filing_date", "period_of_report", "primary_document"),

@@ -40,3 +40,23 @@ def test_search_prunes_buckets(spark, tmp_table):
 
     assert re.search(r"PartitionFilters: \[bucket#\d+ IN \(\d+,\d+\)\]", plan), plan
     assert "PushedFilters: [In(cik, [0000000003,0000000007]" in plan
+
+
+def test_upsert_with_year_partitions(spark, tmp_table):
+    import datetime as dt
+    import glob
+
+    path = tmp_table("index-year")
+    schema = "accession_number string, cik string, filing_date date, chunk_index int, text string"
+    first = spark.createDataFrame(
+        [("A", "c1", dt.date(2024, 5, 1), 0, "a0"), ("A", "c1", dt.date(2024, 5, 1), 1, "a1"), ("B", "c1", dt.date(2025, 2, 1), 0, "b0")],
+        schema,
+    )
+    upsert_chunks(spark, path, first, date_col="filing_date")
+    again = spark.createDataFrame([("A", "c1", dt.date(2024, 5, 1), 0, "a0-new")], schema)
+    upsert_chunks(spark, path, again, date_col="filing_date")
+    upsert_chunks(spark, path, again, date_col="filing_date")
+    got = sorted((r.accession_number, r.chunk_index, r.text, r.filing_year) for r in read_index(spark, path).collect())
+    assert got == [("A", 0, "a0-new", 2024), ("B", 0, "b0", 2025)]
+    local = path.replace("file:", "")
+    assert sorted(p.split("/")[-1] for p in glob.glob(local + "/filing_year=*")) == ["filing_year=2024", "filing_year=2025"]
