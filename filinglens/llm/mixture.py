@@ -20,15 +20,11 @@ from pyspark.sql import functions as F
 from filinglens.llm.common import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]+"
 
 
 def n_words(text):
     """How many runs of non-space characters; 0 for null."""
-    one = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    trimmed = F.trim(F.regexp_replace(one, " {2,}", " "))
-    spaces = F.length(trimmed) - F.length(F.translate(trimmed, " ", ""))
-    return F.when(trimmed == "", F.lit(0)).otherwise(spaces + 1).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), cap: int = 2) -> dict[str | None, Fraction]:
