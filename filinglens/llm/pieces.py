@@ -2,8 +2,8 @@
 
 The model file (a protobuf) is parsed here; the normaliser, the marker for
 spaces, the scores (unigram) or merges (BPE) and the byte fallback are rebuilt
-as a tokenizers pipeline. Every text's ids are compared with the SentencePiece
-library's, and decoded again.
+as a tokenizers pipeline. All ids are compared with the SentencePiece library's,
+and decoded again.
 """
 
 from __future__ import annotations
@@ -90,8 +90,9 @@ def merges(m: Model) -> list[tuple[str, str]]:
     return [x[3:] for x in sorted(out)]
 
 
-def build(m: Model):
-    """The model as a tokenizers pipeline."""
+def build(m: Model, prefix: bool = True):
+    """The model as a tokenizers pipeline; ``prefix``: for whole texts, with
+    the marker the model puts in front, else for parts of a text."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     unk = next((i for i, p in enumerate(m.pieces) if p[2] == UNKNOWN), 0)
@@ -105,41 +106,76 @@ def build(m: Model):
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.trim_spaces:
         steps += [normalizers.Strip(left=True, right=True), normalizers.Replace(Regex(" {2,}"), " ")]
-    if m.dummy_prefix:
+    if m.dummy_prefix and prefix:
         steps.append(normalizers.Prepend(MARK if m.escape_spaces else " "))
     if m.escape_spaces:
         steps.append(normalizers.Replace(" ", MARK))
     t.normalizer = normalizers.Sequence(steps)
     back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-    t.decoder = decoders.Sequence([*back, decoders.Strip(" ", 1, 0)] if m.dummy_prefix else back)
+    t.decoder = decoders.Sequence([*back, decoders.Strip(" ", 1, 0)] if m.dummy_prefix and prefix else back)
     return t
 
 
 class Encoder:
-    """Encodes batches. Where no piece joins a character and a following
-    marker, no id crosses the start of a space run, and each word is
-    encoded once, in a batch of the words not met yet (at most ``most``
-    are remembered); else whole texts are."""
-
-    def __init__(self, m: Model, most: int = 300_000):
-        self.tokenizer, self.most, self.known = build(m), most, {}
-        crosses = any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in m.pieces if kind in (NORMAL, USER))
-        self.by_word = m.kind == BPE and not crosses and not m.charsmap and not m.trim_spaces and m.dummy_prefix and m.escape_spaces
-        self.word = re.compile(" +[^ ]*|[^ ]+")
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    """Encodes and decodes batches and compares with the library.
+
+    No id spans two characters that stand side by side in no piece. Where
+    no piece joins a character and a following marker, or holds a line end,
+    texts fall apart at the start of each space run and at line ends; each
+    such word is then encoded, decoded and compared once, many to a line-ended
+    chunk (at most ``most`` are remembered). Other models get whole texts."""
+
+    def __init__(self, m: Model, library, most: int = 500_000, chunk: int = 400):
+        joined = [p for p, _, kind in m.pieces if kind in (NORMAL, USER) and re.search(f"[^{MARK}]{MARK}|\n", p)]
+        plain = not m.charsmap and not m.trim_spaces and m.dummy_prefix and m.escape_spaces
+        self.by_word = m.kind == BPE and m.byte_fallback and not joined and plain
+        self.tokenizer, self.parts, self.library = build(m), build(m, prefix=False), library
+        self.line_end = self.tokenizer.token_to_id("<0x0A>")
+        self.most, self.chunk = most, chunk
+        self.word = re.compile(r" +[^ \n]*|\n+|[^ \n]+")
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.lossy: set[str] = set()  # words that decode to something else
+        self.unlike: set[str] = set()  # words the library encodes otherwise
+
+    def meet(self, words: list[str]) -> None:
+        """Encodes words: chunks of them, each behind a line end."""
+        ends = [w for w in words if w[0] == "\n"]
+        self.known.update((w, np.full(len(w), self.line_end, "<i4").tobytes()) for w in ends)
+        words = [w for w in words if w[0] != "\n"]
+        groups = [words[i : i + self.chunk] for i in range(0, len(words), self.chunk)]
+        texts = ["\n" + "\n".join(g) for g in groups]
+        for g, e, theirs in zip(groups, self.parts.encode_batch_fast(texts, add_special_tokens=False), self.library.encode(texts, num_threads=1), strict=True):
+            ids = np.array(e.ids, dtype="<i4")
+            cut = np.append(np.flatnonzero(ids == self.line_end), len(ids)).tolist()
+            raw = ids.tobytes()
+            self.known.update((w, raw[4 * i + 4 : 4 * j]) for w, i, j in zip(g, cut[:-1], cut[1:], strict=True))
+            back = self.parts.decode(e.ids, skip_special_tokens=False).split("\n")[1:]
+            if back != g:
+                self.lossy.update(w for w, x in zip(g, back, strict=True) if w != x)
+            if e.ids != theirs[1:]:  # theirs begins with the marker of its text
+                self.unlike.update(w for w in g if self.library.encode("\n" + w)[2:] != np.frombuffer(self.known[w], "<i4").tolist())
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        """Of each text its ids, whether they are the library's, and whether
+        they decode to the (normalised) text."""
         if not self.by_word:
-            return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            like = [x == y for x, y in zip(ids, self.library.encode(texts, num_threads=1), strict=True)]
+            trip = [x == self.library.normalize(t) or x == t for x, t in zip(back, texts, strict=True)]
+            return [np.array(x, dtype="<i4") for x in ids], like, trip
         if len(self.known) > self.most:
-            self.known = {}
-        # The tokenizer puts the marker in front, where a word has its space.
-        split = [self.word.findall(" " + t) if t else [] for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w[1:] for w in new], add_special_tokens=False), strict=True):
-            # An empty rest is a lone marker, which the tokenizer doesn't add to an empty text.
-            self.known[w] = np.array(e.ids, dtype=np.int32) if w != " " else np.array([self.tokenizer.token_to_id(MARK)], dtype=np.int32)
-        known = self.known
-        return [np.concatenate([known[w] for w in words]) if words else np.zeros(0, np.int32) for words in split]
+            self.forget()
+        split = [self.word.findall(" " + t) if t else [] for t in texts]  # the marker in front is a space
+        self.meet(list(set().union(*split).difference(self.known)))
+        known = self.known.__getitem__
+        out = [np.frombuffer(b"".join(map(known, words)), "<i4") for words in split]
+        like = [self.unlike.isdisjoint(words) for words in split] if self.unlike else [True] * len(split)
+        trip = [self.lossy.isdisjoint(words) for words in split] if self.lossy else [True] * len(split)
+        return out, like, trip
 
 
 def threads() -> None:
@@ -154,8 +190,8 @@ def threads() -> None:
 
 def encode_pieces(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_crc (crc32 of the ids as little-endian int32),
-    parity (the ids equal the SentencePiece library's), round_trip (decoding
-    gives the normalised text back) and, with ``keep_ids``, token_ids, for
+    parity (the SentencePiece library gives the same ids), round_trip (decoding
+    gives the normalised text back; not where a text holds the marker itself) and, with ``keep_ids``, token_ids, for
     every row of ``docs``. Null text counts as empty: no ids, both checks true.
     Repeated rows each keep a row; other columns are not read. One pass, no
     shuffle. ``path``: the model file, readable on executors."""
@@ -168,21 +204,18 @@ def encode_pieces(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFram
         threads()
         with open(path, "rb") as f:
             m = parse(f.read())
-        encoder, library = Encoder(m), sentencepiece.SentencePieceProcessor(model_file=path)
+        encoder = Encoder(m, sentencepiece.SentencePieceProcessor(model_file=path))
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                texts = strings(part["text"])
-                ids = encoder.encode(texts)
-                # sentencepiece reads a NUL as any other character; both get whole texts.
-                parity = [np.array_equal(x, y) for x, y in zip(ids, library.encode(texts, num_threads=1), strict=True)]
-                again = encoder.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
-                plain = texts if not (m.charsmap or m.trim_spaces) else [library.normalize(t) for t in texts]
-                cols = [part["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                        pa.array(parity, pa.bool_()), pa.array([x == y for x, y in zip(again, plain, strict=True)], pa.bool_())]
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                ids, like, trip = encoder.encode(strings(part["text"]))
+                sizes = np.array([len(x) for x in ids], dtype=np.int64)
+                crc = [zlib.crc32(x.tobytes()) for x in ids]
+                cols = [part["doc_id"], pa.array(sizes), pa.array(crc, pa.int64()), pa.array(like, pa.bool_()), pa.array(trip, pa.bool_())]
                 names = ["doc_id", "n_tokens", "ids_crc", "parity", "round_trip"]
                 if keep_ids:
-                    cols.append(pa.array(ids, pa.list_(pa.int32())))
+                    cut = np.concatenate([[0], np.cumsum(sizes)])
+                    cols.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(ids))))
                     names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
