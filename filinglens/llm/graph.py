@@ -26,10 +26,9 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         order = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         up = links.groupBy("a").agg(F.min(order("b")).alias("m")).select(
             F.col("a").alias("id"), F.least(F.col("m"), order("a"))["n"].alias("up"))
-        for _ in range(2):  # follow the pointers twice
-            far = up.select(F.col("id").alias("up"), F.col("up").alias("upper"))
-            up = staged(spark, up, "pointers").join(far, "up", "left").select("id", F.coalesce("upper", "up").alias("up"))
         up = staged(spark, up, "pointers")
+        far = up.select(F.col("id").alias("up"), F.col("up").alias("upper"))
+        up = staged(spark, up.join(far, "up", "left").select("id", F.coalesce("upper", "up").alias("up")), "pointers")
         if labels is None:
             labels = up.select("id", F.col("up").alias("component"))
         else:

@@ -46,15 +46,32 @@ def unpack(column, dims: int, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(-1, dims).astype(np.float64)
 
 
-def in_blocks(queries: DataFrame, members: DataFrame, keys: list[str], query_rows: int = 2048, member_rows: int = 4096):
+def in_blocks(
+    queries: DataFrame, members: DataFrame, keys: list[str], query_rows: int = 2048, member_rows: int = 4096, id: str = "vec_id", weight=None
+):
     """Both sides with two more key columns, so that rows of one bucket meet
     in blocks of about ``query_rows`` by ``member_rows`` at most: queries are
-    repeated for each block of members and the other way round. Returns
-    (queries, members, all key columns)."""
-    count = lambda df, rows, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    repeated for each block of members and the other way round. ``weight``: what
+    a row counts for, default 1. Returns (queries, members, all key columns)."""
+    weight = F.lit(1) if weight is None else weight
+    count = lambda df, rows, name: df.groupBy(*keys).agg(F.ceil(F.sum(weight) / rows).cast("int").alias(name))
     sizes = count(queries, query_rows, "_nq").join(count(members, member_rows, "_nm"), keys)
-    block = lambda df, n: F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.col(n)).cast("int")
+    block = lambda df, n: F.pmod(F.xxhash64(F.lit(5), id), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = queries.join(sizes, keys).withColumn("_qb", block(queries, "_nq")).withColumn("_mb", each("_nm")).drop("_nq", "_nm")
     m = members.join(sizes, keys).withColumn("_mb", block(members, "_nm")).withColumn("_qb", each("_nq")).drop("_nq", "_nm")
     return q, m, [*keys, "_qb", "_mb"]
+
+
+def local_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest index reachable from each of n nodes by the links (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new

@@ -14,9 +14,11 @@ segments with one shingle deleted (such a segment covers two differences),
 and its empty segments only if even that is not enough.
 
 Documents with one set are one node. Candidates are compared exactly, first
-with the smallest node of each shared segment; only documents that this left
-in different components meet each other after that, so a large group of
-near copies costs a star and not all its pairs.
+with the best-connected node of each shared segment, so a large group of near
+copies costs a star and not all its pairs. Documents that share a segment but
+are still in different components after that meet in blocks of bounded size,
+by group and size band; a block counts all its intersections at once and
+hands on no more than one link per document.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filinglens.llm.common import mix64, renamed, staged, strings
 from filinglens.llm.graph import connected_components
+from filinglens.llm.grid import in_blocks, local_components
 
 BAND = 1.5  # the largest size of a band is this times the smallest
 SPARE = 0.12  # segments beyond H + 1, so that a document can leave some out
@@ -58,8 +61,9 @@ class Shingles:
         k = min(self.k, len(words))
         out = np.full(len(words) - k + 1, k, np.uint64)
         for i in range(k):
-            out = mix64(out + h[i : len(h) - k + 1 + i])
-        return np.unique(out)
+            out *= np.uint64(0x9E3779B97F4A7C15)  # odd: no word is lost
+            out += h[i : len(h) - k + 1 + i]
+        return np.unique(mix64(out))
 
 
 def differences(a: int, b: int, percent: int) -> int:
@@ -134,18 +138,58 @@ def _sets(k: int, percent: int):
     return run
 
 
-def _texts(k: int):
-    """Texts of the nodes asked for; a doc_id may name several texts."""
+def _texts(k: int, as_sets: bool = False):
+    """Texts (or sets) of the nodes asked for; a doc_id may name several texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingles(k)
         for b in batches:
             nodes = b["node"].to_pylist()
-            keep = []
+            keep, held = [], []
             for i, t in enumerate(strings(b["text"])):
                 s = of(t)
                 if len(s) and int(_signed(mix64(np.add.reduce(mix64(s), keepdims=True) + np.uint64(len(s))))[0]) == nodes[i]:
                     keep.append(i)
-            yield b.select(["node", "text"]).take(pa.array(keep, pa.int64()))
+                    held.append(s.tobytes() if as_sets else t)
+            yield pa.RecordBatch.from_arrays([b["node"].take(pa.array(keep, pa.int64())), pa.array(held, pa.binary() if as_sets else pa.string())],
+                                             names=["node", "shingles" if as_sets else "text"])
+    return run
+
+
+def _shared_sets(percent: int):
+    """Links between two blocks of sets that are in different components: one
+    per set at most, enough to connect what is linked."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not left.num_rows or not right.num_rows:
+            return none
+        a, b = (t["node"].to_numpy() for t in (left, right))
+        sets = [np.frombuffer(x, np.uint64) for t in (left, right) for x in t["shingles"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        x, y = size[: len(a), None], size[None, len(a) :]
+        able = (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]) & (100 * x >= percent * y) & (100 * y >= percent * x)
+        if not able.any():
+            return none
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        side = row < len(a)
+        n = int(column.max()) + 1
+        both = (np.bincount(column[side], minlength=n) > 0) & (np.bincount(column[~side], minlength=n) > 0)
+        place = np.cumsum(both) - 1
+        keep = both[column]
+        row, column = row[keep], place[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        shared = np.zeros((len(a), len(b)), np.float32)
+        for lo in range(0, int(both.sum()), 4096):
+            i, j = np.searchsorted(column, (lo, lo + 4096))
+            held = np.zeros((len(sets), 4096), np.float32)
+            held[row[i:j], column[i:j] - lo] = 1
+            shared += held[: len(a)] @ held[len(a) :].T
+        rows, cols = np.nonzero(able & (100 * shared >= percent * (x + y - shared)))
+        names = np.unique(np.concatenate([a[rows], b[cols]]))
+        root = local_components(np.searchsorted(names, a[rows]), np.searchsorted(names, b[cols]), len(names))
+        hit = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"a": pa.array(names[hit], pa.int64()), "b": pa.array(names[root[hit]], pa.int64())})
     return run
 
 
@@ -191,8 +235,8 @@ def shingle_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent
     segments = flat.select(F.explode("segments").alias("sig"), "node", "band", F.lit(False).alias("extra")).unionAll(
         flat.where(F.size("extra") > 0).select(F.explode("extra").alias("sig"), "node", "band", F.lit(True).alias("extra")))
     segments = segments.select("sig", "node", F.when(F.col("extra"), -F.col("band") - 1).otherwise(F.col("band")).alias("band"))
-    counts = segments.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
-    shared = staged(spark, segments.join(counts, "sig"), "shingle-segments")
+    alike = F.count("*").over(Window.partitionBy("sig"))
+    shared = staged(spark, segments.withColumn("n", alike).where("n > 1"), "shingle-segments")
 
     # Of the need, segments that nobody shares find nobody; the rest is taken where it is cheapest.
     wants = flat.select("node", "band", "need", F.size("segments").alias("filled"))
@@ -202,41 +246,48 @@ def shingle_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent
     chosen = chosen.unionAll(shared.where("band < 0").select("node", "sig"))
     asked = staged(spark, chosen.withColumn("asks", F.lit(True)), "shingle-lookups")
     live = asked.select("sig").distinct()
+    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
     groups = staged(spark, shared.select("sig", "node").join(live, "sig").join(asked.distinct(), ["sig", "node"], "left")
                     .groupBy("sig", "node").agg(F.coalesce(F.max("asks"), F.lit(False)).alias("asks"))
-                    .join(nodes.select("node", "n", "doc_id"), "node"), "shingle-groups")
+                    .join(nodes.select("node", "n", "doc_id"), "node").join(degree, "node"), "shingle-groups")
 
     def fits(x: str, y: str):
         return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
-    hubs = groups.groupBy("sig").agg(F.min(F.struct("doc_id", "node", "n", "asks")).alias("hub"))
+    # The hub of a segment shares most segments with others: copies of one text differ less from it than from each other.
+    hubs = groups.groupBy("sig").agg(F.max(F.struct("degree", "node", "n", "asks")).alias("hub"))
     star = groups.join(hubs, "sig").where((F.col("node") != F.col("hub.node")) & (F.col("asks") | F.col("hub.asks")) & fits("n", "hub.n"))
     star = staged(spark, star.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), "shingle-star")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        found = text.join(wanted.join(nodes.select("node", "doc_id"), "node"), "doc_id").select("node", "text").mapInArrow(_texts(k), "node long, text string")
-        found = staged(spark, found.dropDuplicates(["node"]), "shingle-texts")
-        a = found.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
-        b = found.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-        return staged(spark, pairs.join(a, "a").join(b, "b").select("a", "a_text", "b", "b_text").mapInArrow(_verified(k, percent), "a long, b long"), "shingle-links")
+    def content(wanted: DataFrame, as_sets: bool = False) -> DataFrame:
+        rows = text.join(wanted.join(nodes.select("node", "doc_id"), "node"), "doc_id").select("node", "text")
+        rows = rows.mapInArrow(_texts(k, as_sets), "node long, shingles binary" if as_sets else "node long, text string")
+        return staged(spark, rows.dropDuplicates(["node"]), "shingle-texts")
 
-    links = verified(star)
+    found = content(star.select(F.col("a").alias("node")).unionAll(star.select(F.col("b").alias("node"))).distinct())
+    pairs = star.join(found.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").join(
+        found.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
+    links = staged(spark, pairs.select("a", "a_text", "b", "b_text").mapInArrow(_verified(k, percent), "a long, b long"), "shingle-links")
     parts = connected_components(spark, links)
 
-    # Documents of one segment that are still apart: all their pairs, but for those compared above.
+    # Documents that share a segment and are still apart.
     at = groups.join(parts.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi AND size > 2")
-    at = staged(spark, at.join(split.select("sig"), "sig").select("sig", "node", "n", "asks", "component"), "shingle-apart")
-    x = at.select("sig", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "asks", "component")])
-    y = at.select("sig", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "asks", "component")])
-    apart = x.where("asks_x").join(y, "sig").where((F.col("component_x") != F.col("component_y")) & fits("n_x", "n_y"))
-    apart = apart.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    apart = staged(spark, apart.join(seen, ["a", "b"], "left_anti"), "shingle-apart-pairs")
+    split = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.min("node").alias("first"))
+    apart = staged(spark, at.join(split.where("lo <> hi AND size > 2").select("sig", "first"), "sig").select("first", "node", "n", "component"), "shingle-apart")
     if not apart.isEmpty():
-        links = links.unionAll(verified(apart))
-        parts = connected_components(spark, links)
+        cluster = connected_components(spark, apart.select(F.col("node").alias("a"), F.col("first").alias("b")))
+        sized = apart.select("node", "n", "component").distinct().join(cluster.select(F.col("id").alias("node"), F.col("component").alias("cluster")), "node")
+        # Sets that fit are in one band of sizes or in neighbours; the base is a hair wide for rounding.
+        size_band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent) * 1.0001)).cast("int")
+        sized = sized.join(content(sized.select("node"), as_sets=True), "node").withColumn("size_band", size_band)
+        sized = staged(spark, sized, "shingle-blocks")
+        member = sized.select(*[F.col(c).alias(c) for c in sized.columns])
+        query = sized.withColumn("size_band", F.explode(F.array(F.col("size_band"), F.col("size_band") + 1)))
+        q, m, keys = in_blocks(query, member, ["cluster", "size_band"], 1_000_000, 1_000_000, id="node", weight=F.col("n") + 2000)
+        more = q.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInArrow(_shared_sets(percent), "a long, b long")
+        more = staged(spark, more, "shingle-links")
+        if not more.isEmpty():
+            parts = connected_components(spark, links.unionAll(more))
 
     # A doc_id with several texts ties nothing together by its id alone.
     low = parts.join(nodes.select(F.col("node").alias("id"), "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from filinglens.llm.common import staged
 from filinglens.llm.graph import connected_components
-from filinglens.llm.grid import dims_of, in_blocks, pack, unpack
+from filinglens.llm.grid import dims_of, in_blocks, local_components, pack, unpack
 
 SUBSPACE = 4  # components a code stands for
 CODES = 256
@@ -86,20 +86,6 @@ class Quantiser:
         return out
 
 
-def local_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest index reachable from each of n nodes by the links (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def near_duplicates(
     spark: SparkSession, vectors: DataFrame, threshold: float = 0.9, rows_per_list: int = 512, sample_rows: int = 16_384,
     most_lists: int = 4096, slack: float = 2.0, seed: int = 17,
