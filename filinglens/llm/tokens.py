@@ -49,7 +49,7 @@ def word_starts(encoding) -> tuple[np.ndarray, np.ndarray]:
     return np.array([offsets[i][0] for i in first], dtype=np.int64), np.array(first, dtype=np.int64)
 
 
-def count_spliced(tokenizer, text: str, chunk: int = 16_384, overlap: int = 512) -> int:
+def count_spliced(tokenizer, text: str, chunk: int = 65_536, overlap: int = 1024) -> int:
     """Tokens of ``text`` as one encoding would give, from chunks."""
     done, start = 0, 0  # tokens counted up to position start, which is a boundary of the whole text
     size = chunk
@@ -106,7 +106,7 @@ class Counter:
         return [extra + sum(map(known, words)) for extra, words in split]
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk: int = 16_384, overlap: int = 512) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk: int = 65_536, overlap: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``) of every
     row of ``docs``; null text counts as empty, repeated rows each keep a row,
     other columns are not read. One pass without a shuffle; a task's memory is
