@@ -48,9 +48,9 @@ HTML_ENTITIES = (
 _COMMENT_RE = r"(?s)<!--.*?(?:-->|$)"
 _RAW_BLOCK_RE = r"(?is)<{tag}\b[^>]*>(?:.*?</{tag}\s*>|.*)"
 _DECL_RE = r"<[!?][^>]*>"
-# A start or end tag: '<' or '</' then a letter; quoted attribute values may
-# hold '>'.
-_TAG_RE = r"</?[A-Za-z][^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*>"
+# A start or end tag: '<' or '</' then a letter; a value quoted right after
+# '=' may hold '>', any other quote is an ordinary character.
+_TAG_RE = r"</?[A-Za-z][^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')?[^>=]*+)*+>"
 
 BOILERPLATE_TAGS = ("nav", "header", "footer", "aside")
 _AD_BLOCK_RE = r"(?is)<div\b[^>]*\bclass\s*=\s*[\"']?ad[\"']?[^>]*>.*?</div\s*>"

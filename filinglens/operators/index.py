@@ -56,41 +56,79 @@ def upsert_chunks(
     filing_key: str = "accession_number",
     company_col: str = "cik",
     date_col: str | None = None,
+    filings: DataFrame | None = None,
     opts: Options = Options(),
 ) -> None:
     """Replace, by filing, the index rows of every filing in ``batch``.
 
+    ``filings``: the keys to replace, if they are more than those of the
+    batch's rows (a filing that now parses to no chunk loses its old ones).
+
     With ``date_col`` the index is partitioned by (``filing_year``,
-    ``bucket``), so searches bounded in time prune years too. A filing's
-    company and date never change (accession numbers are immutable), so
-    its rows always live in one (year, bucket) partition.
+    ``bucket``), so searches bounded in time prune years too. A filing whose
+    company or date changed moves: its old rows are looked up by key
+    wherever they are. An empty batch changes nothing.
     """
     b = with_bucket(batch, company_col, opts.index_buckets)
     parts = [BUCKET_COL]
     if date_col:
-        b = b.withColumn(YEAR_COL, F.year(F.col(date_col)))
+        # Year 0 holds the filings without a date.
+        b = b.withColumn(YEAR_COL, F.coalesce(F.year(F.col(date_col)), F.lit(0)))
         parts = [YEAR_COL, BUCKET_COL]
     writer_opts = {"partitionOverwriteMode": "dynamic"}
-    if not path_exists(spark, index_path):
-        _clustered(b, parts).write.mode("overwrite").options(**writer_opts).partitionBy(*parts).parquet(index_path)
-        return
     ensure_checkpoint_dir(spark)
-    # The batch is read three times below (touched partitions, filing keys,
-    # new rows); keep it instead of re-deriving it (a lost block is simply
-    # recomputed from its lineage).
+    # The batch is read several times below; keep it instead of re-deriving it
+    # (a lost block is simply recomputed from its lineage).
     b = b.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if not path_exists(spark, index_path):
+            if not b.isEmpty():  # a folder without a schema could not be read again
+                _clustered(b, parts).write.mode("overwrite").options(**writer_opts).partitionBy(*parts).parquet(index_path)
+            return
+        replaced = (b if filings is None else filings).select(F.col(filing_key)).distinct()
         old = spark.read.parquet(index_path)
-        touched = b.select(*parts).distinct()
-        # semi join on the partition columns: dynamic partition pruning
-        # limits the old-side scan to the touched partitions.
-        old_touched = old.join(touched, parts, "left_semi")
-        kept = old_touched.join(b.select(filing_key).distinct(), filing_key, "left_anti")
-        merged = kept.unionByName(b.select(*old.columns)).checkpoint(eager=True)
+        # Where the filings are now (one column of the index) and where they go:
+        # at most one row per partition, so the scan below has partition filters.
+        held = old.select(filing_key, *parts).join(replaced, filing_key, "left_semi").select(*parts)
+        touched = [tuple(r) for r in held.unionAll(b.select(*parts)).distinct().collect()]
+        if not touched:
+            return
+        merged = (
+            old.where(_in_partitions(parts, touched))
+            .join(replaced, filing_key, "left_anti")
+            .unionByName(b.select(*old.columns))
+            .checkpoint(eager=True)
+        )
         _clustered(merged, parts).write.mode("overwrite").options(**writer_opts).partitionBy(*parts).parquet(index_path)
+        # Dynamic overwrite leaves partitions that get no row as they were.
+        filled = {tuple(r) for r in merged.select(*parts).distinct().collect()}
+        for values in touched:
+            if values not in filled:
+                _drop_partition(spark, index_path, parts, values)
     finally:
         b.unpersist()
 
 
+def _in_partitions(parts: list[str], values: list[tuple]):
+    """A condition on partition columns only: bucket lists by year."""
+    by_year: dict[tuple, list[int]] = {}
+    for v in values:
+        by_year.setdefault(v[:-1], []).append(v[-1])
+    conds = []
+    for year, buckets in by_year.items():
+        c = F.col(parts[-1]).isin(buckets)
+        conds.append((F.col(parts[0]) == year[0]) & c if year else c)
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return out
+
+
+def _drop_partition(spark: SparkSession, index_path: str, parts: list[str], values: tuple) -> None:
+    folder = "/".join([index_path.rstrip("/"), *(f"{p}={v}" for p, v in zip(parts, values, strict=True))])
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def read_index(spark: SparkSession, index_path: str) -> DataFrame:
     return spark.read.parquet(index_path)

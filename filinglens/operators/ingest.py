@@ -19,6 +19,8 @@ from filinglens.operators.parse import parse_filings
 from filinglens.options import Options
 from filinglens.sources.raw_files import bytes_to_text, land_filings, read_landed, write_cache
 
+CACHE_COLUMNS = ("ticker_norm", "cik", "accession_number", "filing_date", "period_of_report", "primary_document")
+
 
 def filings_to_ingest(decisions: DataFrame) -> DataFrame:
     """Gate output → one row per distinct filing to ingest, in filing
@@ -51,18 +53,23 @@ def run_ingest(
     newly landed. ``fetched`` holds (archive_url, html) for the filings a
     fetcher retrieved (the network part is outside Spark)."""
     todo = filing_paths(filings_to_ingest(decisions))
-    wanted = todo.join(fetched.select("archive_url", "html"), "archive_url")
+    # A filing fetched twice lands once; its largest text counts.
+    once = fetched.groupBy("archive_url").agg(F.max("html").alias("html"))
+    wanted = todo.join(once, "archive_url")
     n_new = land_filings(spark, wanted.select("storage_path", "html"), landing_path)
     raw = read_landed(spark, landing_path).select("storage_path", bytes_to_text(F.col("content")).alias("html"))
     docs = todo.join(raw, "storage_path")
     meta = ["ticker_norm", "cik", "accession_number", "form_type", "filing_date", "period_of_report"]
     chunks = parse_filings(docs.select(*meta, "html"), "html", keep=meta, opts=opts)
-    upsert_chunks(spark, index_path, embed(chunks, "text", embedder), date_col="filing_date", opts=opts)
-    write_cache(
-        spark,
-        todo.select("ticker_norm", "cik", "accession_number", "filing_date", "period_of_report", "primary_document"),
-        cache_path,
-    )
+    stored = docs.select("accession_number").distinct()
+    upsert_chunks(spark, index_path, embed(chunks, "text", embedder), date_col="filing_date", filings=stored, opts=opts)
+    # One cache row per requesting ticker, and only for filings that are stored:
+    # a filing that was not fetched stays marked for ingest in the next run.
+    asked = decisions.where(F.col("action") == "ingest").select(
+        "ticker_norm", "cik", F.col("fresh_accession_number").alias("accession_number"), F.col("fresh_filing_date").alias("filing_date"),
+        F.col("fresh_period_of_report").alias("period_of_report"), F.col("fresh_primary_document").alias("primary_document"),
+    ).distinct()
+    write_cache(spark, asked.join(stored, "accession_number", "left_semi").select(*CACHE_COLUMNS), cache_path)
     return n_new
 
 

@@ -10,7 +10,7 @@ from filinglens.session import ensure_checkpoint_dir
 
 def previous_in_group(df: DataFrame, group_col: str, order_col: str, partitions: int | None = None) -> DataFrame:
     """(group, order, prior): the previous ``order_col`` value of the same
-    group, null for the first.
+    group (null is a group too), null for the first and for rows without an order.
 
     ``Window.partitionBy(group)`` would sort a hot group (say a third of all
     rows) inside one task. Instead the (group, order) pairs are
@@ -36,5 +36,9 @@ def previous_in_group(df: DataFrame, group_col: str, order_col: str, partitions:
     carry = lasts.withColumn("_carry", F.lag("_last").over(Window.partitionBy(group_col).orderBy("_pid"))).select(
         "_pid", group_col, "_carry"
     )
-    out = local.join(carry, ["_pid", group_col], "left")
-    return out.select(group_col, order_col, F.coalesce("prior", "_carry").alias("prior"))
+    carry = carry.select(F.col("_pid").alias("_cpid"), F.col(group_col).alias("_cgroup"), "_carry")
+    # Null is a group like any other.
+    out = local.join(carry, (F.col("_pid") == F.col("_cpid")) & F.col(group_col).eqNullSafe(F.col("_cgroup")), "left")
+    out = out.select(group_col, order_col, F.coalesce("prior", "_carry").alias("prior"))
+    unordered = df.select(group_col, order_col).where(F.col(order_col).isNull())
+    return out.unionAll(unordered.withColumn("prior", F.lit(None).cast(df.schema[order_col].dataType)))

@@ -351,9 +351,7 @@ def q_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def q_l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = normalize_vectors(_t(spark, sf_dir, "embeddings"), "embedding", "unit")
-    return v.select(
-        "vec_id", *[F.col("unit")[i].alias(f"c{i}") for i in range(4)], _vnorm(F.col("unit")).alias("unit_norm")
-    )
+    return v.select("vec_id", _vnorm(F.col("unit")).alias("unit_norm"), F.posexplode("unit").alias("pos", "component"))
 
 
 @register

@@ -454,9 +454,9 @@ def _():
     n = f"sqrt(list_reduce(list_transform({v}, lambda x: x * x), lambda x, y: x + y, 0.0::DOUBLE))"
     return f"""
 WITH u AS (SELECT vec_id, CASE WHEN {n} > 0 THEN list_transform({v}, lambda x: x / {n}) ELSE {v} END AS unit FROM embeddings)
-SELECT vec_id, unit[1] AS c0, unit[2] AS c1, unit[3] AS c2, unit[4] AS c3,
-       sqrt(list_reduce(list_transform(unit, lambda x: x * x), lambda x, y: x + y, 0.0::DOUBLE)) AS unit_norm
-FROM u"""
+SELECT vec_id, sqrt(list_reduce(list_transform(unit, lambda x: x * x), lambda x, y: x + y, 0.0::DOUBLE)) AS unit_norm,
+       CAST(i - 1 AS INTEGER) AS pos, unit[i] AS component
+FROM u, range(1, len(unit) + 1) r(i)"""
 
 
 @sql("recall_at_k")

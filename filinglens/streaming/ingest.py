@@ -3,10 +3,9 @@
 * ``stream_ingest``: arriving raw filings (a file source) → parse → embed →
   ``foreachBatch`` upsert into the chunk index. The upsert replaces whole
   filings, so replaying a micro-batch after a failure leaves the index as
-  it was after the first run. Copies of one filing arriving within the
-  watermark are dropped first.
-* ``stream_hourly_counts``: arrivals per hour with a watermark; complete
-  mode, so every window's final count is kept.
+  it was after the first run. No watermark: late files are ingested too.
+* ``stream_hourly_counts``: arrivals per hour; complete mode, so every
+  window's final count is kept.
 
 Both run with ``trigger(availableNow=True)``: process everything present,
 then stop. Checkpoints live under the shared checkpoint folder.
@@ -26,12 +25,11 @@ from filinglens.session import scratch_path
 
 
 def file_stream(spark: SparkSession, folder: str, file_glob: str, schema: T.StructType, max_files: int = 1000) -> DataFrame:
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", file_glob)
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(folder)
-    )
+    """Files named ``file_glob`` in ``folder``, or the part files of folders
+    of that name (a table of many files)."""
+    # In braces the name is a pattern, which may match a file or a folder.
+    path = f"{folder.rstrip('/')}/{{{file_glob}}}"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
 def stream_ingest(
@@ -41,22 +39,24 @@ def stream_ingest(
     *,
     id_col: str = "page_id",
     company_col: str = "company",
-    dedup_watermark: str = "1 hour",
     opts: Options = Options(),
     checkpoint: str | None = None,
 ) -> None:
-    """Run the ingest stream to completion (availableNow)."""
-    arrived = pages.withColumn("arrived_at", F.col("_metadata.file_modification_time"))
-    unique = arrived.withWatermark("arrived_at", dedup_watermark).dropDuplicatesWithinWatermark([id_col])
+    """Run the ingest stream to completion (availableNow). Of several copies
+    of a filing in a micro-batch the newest file's counts; a copy in a later
+    micro-batch replaces it, however old its file is."""
+    raw = pages.select(id_col, company_col, "html", F.col("_metadata.file_modification_time").alias("_arrived"))
     keep = [id_col, company_col]
-    raw = unique.select(*keep, "html")
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        # Parsing runs on the micro-batch as a plain DataFrame, so an
-        # under-split batch is spread over the cores before the text work.
+        newest = F.max_by(F.struct(company_col, "html"), F.struct("_arrived", "html"))
+        batch = batch.groupBy(id_col).agg(newest.alias("_f")).select(id_col, f"_f.{company_col}", "_f.html")
+        key = F.col(id_col).cast("string").alias("accession_number")
         chunks = parse_filings(batch, "html", keep=keep, opts=opts)
-        rows = embed(chunks, "text").withColumn("accession_number", F.col(id_col).cast("string"))
-        upsert_chunks(spark, index_path, rows, filing_key="accession_number", company_col=company_col, opts=opts)
+        rows = embed(chunks, "text").withColumn("accession_number", key)
+        upsert_chunks(
+            spark, index_path, rows, filing_key="accession_number", company_col=company_col, filings=batch.select(key), opts=opts
+        )
 
     q = (
         raw.writeStream.foreachBatch(write_batch)
@@ -76,8 +76,8 @@ def stream_hourly_counts(
     watermark: str = "40 days",
     checkpoint: str | None = None,
 ) -> None:
-    """Hourly counts per event type with late data accepted up to the
-    watermark; the full result table is rewritten each micro-batch."""
+    """Hourly counts per event type; the full result table is rewritten each
+    micro-batch (complete mode keeps all windows, so late data always counts)."""
     # Watermarks need TIMESTAMP; a TIMESTAMP_NTZ column is read in the
     # session time zone (UTC), which keeps its wall-clock value.
     timed = events.withColumn(ts_col, F.col(ts_col).cast("timestamp"))

@@ -60,3 +60,23 @@ def test_upsert_with_year_partitions(spark, tmp_table):
     assert got == [("A", 0, "a0-new", 2024), ("B", 0, "b0", 2025)]
     local = path.replace("file:", "")
     assert sorted(p.split("/")[-1] for p in glob.glob(local + "/filing_year=*")) == ["filing_year=2024", "filing_year=2025"]
+
+
+def rows_of(spark, path, *cols):
+    return sorted(tuple(r) for r in read_index(spark, path).select(*cols).collect())
+
+
+def test_null_dates_moves_empty_batches_and_vanished_filings(spark, tmp_table):
+    schema = "accession_number string, cik string, filing_date date, text string"
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    path = tmp_table("odd-index")
+    upsert_chunks(spark, path, make([]), date_col="filing_date")  # nothing, and no folder without a schema
+    upsert_chunks(spark, path, make([("A", "c1", None, "a"), ("B", "c1", None, "b"), ("C", "c2", None, "c")]), date_col="filing_date")
+    upsert_chunks(spark, path, make([("A", "c1", None, "a2")]), date_col="filing_date")
+    assert rows_of(spark, path, "accession_number", "text") == [("A", "a2"), ("B", "b"), ("C", "c")]
+    upsert_chunks(spark, path, make([]), date_col="filing_date")
+    upsert_chunks(spark, path, make([("C", "c9", None, "moved")]), date_col="filing_date")
+    assert rows_of(spark, path, "accession_number", "cik", "text") == [("A", "c1", "a2"), ("B", "c1", "b"), ("C", "c9", "moved")]
+    gone = spark.createDataFrame([("A",), ("C",)], "accession_number string")
+    upsert_chunks(spark, path, make([]), date_col="filing_date", filings=gone)
+    assert rows_of(spark, path, "accession_number") == [("B",)]

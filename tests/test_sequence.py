@@ -14,3 +14,12 @@ def test_previous_in_group_matches_lag_with_hot_group(spark):
     w = Window.partitionBy("g").orderBy("o")
     want = sorted(tuple(r) for r in df.select("g", "o", F.lag("o").over(w).alias("prior")).collect())
     assert got == want
+
+
+def test_null_group_and_null_order(spark):
+    rows = [(None, i) for i in range(40)] + [("a", 1), ("a", None), ("a", 2)]
+    df = spark.createDataFrame(rows, "g string, o long")
+    got = [tuple(r) for r in previous_in_group(df, "g", "o", partitions=8).collect()]
+    assert len(got) == len(rows)
+    assert [o for g, o, p in got if g is None and p is None] == [0]
+    assert sorted((str(o), p) for g, o, p in got if g == "a") == [("1", None), ("2", 1), ("None", None)]

@@ -48,3 +48,29 @@ def test_stream_hourly_counts_equal_batch(spark, tmp_table):
         .collect()
     }
     assert got == want
+
+
+def test_old_files_corrections_and_folders_of_files(spark, tmp_table, tmp_path):
+    import os
+
+    folder = tmp_path / "in" / "pages.parquet"
+    folder.mkdir(parents=True)
+    schema = "page_id long, html string, company string"
+
+    def land(name, mtime, rows):
+        spark.createDataFrame(rows, schema).toPandas().to_parquet(folder / name)
+        os.utime(folder / name, (mtime, mtime))
+
+    index_path, checkpoint = tmp_table("late"), tmp_table("late-ckpt")
+
+    def run():
+        stream = file_stream(spark, str(tmp_path / "in"), "pages.parquet", spark.createDataFrame([], schema).schema)
+        stream_ingest(spark, stream, index_path, company_col="company", checkpoint=checkpoint)
+        return sorted(tuple(r) for r in spark.read.parquet(index_path).select("page_id", "company", "text").collect())
+
+    land("a.parquet", 2_000_000_000, [(1, "<p>one</p>", "x"), (3, "<p>three</p>", "x")])
+    assert run() == [(1, "x", "one"), (3, "x", "three")]
+    land("b.parquet", 1_999_980_000, [(2, "<p>two</p>", "x"), (3, "", "x")])  # hours older; 3 has no text any more
+    land("c.parquet", 1_999_990_000, [(1, "<p>uno</p>", "y")])  # moved to another company
+    land("d.parquet", 1_999_970_000, [(1, "<p>old</p>", "z")])
+    assert run() == [(1, "y", "uno"), (2, "x", "two")]

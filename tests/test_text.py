@@ -160,3 +160,13 @@ def test_character_references_like_the_stdlib_parser(spark):
     df = spark.createDataFrame([(k,) for k in cases], "h string")
     got = {r.h: r.d for r in df.select("h", decode_entities(F.col("h")).alias("d")).collect()}
     assert got == cases
+
+
+def test_a_quote_in_an_unquoted_value_swallows_no_text(spark):
+    from pyspark.sql import functions as F
+
+    from filinglens.functions.text import html_to_text
+
+    df = spark.createDataFrame([("<p>it's <a href=x'y>link</a> don't</p><i a=\"1>2\" b='>'>x</i>",)], "h string")
+    text = df.select(html_to_text(F.col("h"))).first()[0]
+    assert text.split() == ["it's", "link", "don't", "x"]
