@@ -45,7 +45,7 @@ class Shingles:
     of non-space characters with A-Z in lower case; fewer than k words make
     one shingle, none make none."""
 
-    def __init__(self, k: int, most: int = 500_000):
+    def __init__(self, k: int, most: int = 150_000):
         self.k, self.most, self.known = k, most, {}
 
     def __call__(self, text: str) -> np.ndarray:
@@ -230,8 +230,8 @@ def shingle_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent
     nodes = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     nodes = staged(spark, nodes, "shingle-nodes")
 
-    one = named.select("node", "doc_id", "bands").join(nodes.select("node", "doc_id"), ["node", "doc_id"]).dropDuplicates(["node"])
-    flat = one.select("node", F.explode("bands").alias("x")).select("node", "x.*")
+    flat = named.groupBy("node").agg(F.min_by("bands", "doc_id").alias("bands"))
+    flat = flat.select("node", F.explode("bands").alias("x")).select("node", "x.*")
     segments = flat.select(F.explode("segments").alias("sig"), "node", "band", F.lit(False).alias("extra")).unionAll(
         flat.where(F.size("extra") > 0).select(F.explode("extra").alias("sig"), "node", "band", F.lit(True).alias("extra")))
     segments = segments.select("sig", "node", F.when(F.col("extra"), -F.col("band") - 1).otherwise(F.col("band")).alias("band"))
