@@ -125,7 +125,7 @@ class Encoder:
     such word is then encoded, decoded and compared once, many to a line-ended
     chunk (at most ``most`` are remembered). Other models get whole texts."""
 
-    def __init__(self, m: Model, library, most: int = 500_000, chunk: int = 400):
+    def __init__(self, m: Model, library, most: int = 150_000, chunk: int = 400):
         joined = [p for p, _, kind in m.pieces if kind in (NORMAL, USER) and re.search(f"[^{MARK}]{MARK}|\n", p)]
         plain = not m.charsmap and not m.trim_spaces and m.dummy_prefix and m.escape_spaces
         self.by_word = m.kind == BPE and m.byte_fallback and not joined and plain
@@ -206,8 +206,8 @@ def encode_pieces(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFram
             m = parse(f.read())
         encoder = Encoder(m, sentencepiece.SentencePieceProcessor(model_file=path))
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
                 ids, like, trip = encoder.encode(strings(part["text"]))
                 sizes = np.array([len(x) for x in ids], dtype=np.int64)
                 crc = [zlib.crc32(x.tobytes()) for x in ids]

@@ -103,7 +103,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["quality"], pa.array(ids, pa.binary())], names=["quality", "ids"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 5000, seed: int = 11) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 3000, seed: int = 11) -> QualityModel:
     """Fit on at most ``max_fit_rows`` labelled rows outside the held-out
     third, the smallest by a seeded hash of doc_id. Null ids or labels take no
     part; of several labels of one id the smallest counts, of several texts
@@ -152,7 +152,8 @@ def score_quality(spark: SparkSession, docs: DataFrame, model: QualityModel) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, flags = QualityModel(*shared.value), np.zeros(SLOTS, dtype=bool)
         for b in batches:
-            m = margins(strings(b["text"]), own, flags)
+            parts = [margins(strings(b["text"].slice(lo, 512)), own, flags) for lo in range(0, b.num_rows, 512)]
+            m = np.concatenate(parts) if parts else np.zeros(0)
             s = 1.0 / (1.0 + np.exp(-np.clip(2.0 * m, -500, 500)))
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"]
