@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filinglens.functions.text import cik10, normalize_ticker
-from filinglens.operators.joins import broadcast_if_small
 
 
 def build_entity_dim(universe: DataFrame) -> DataFrame:
@@ -38,8 +37,6 @@ def resolve_tickers(requests: DataFrame, entity: DataFrame, ticker_col: str = "t
     """Left lookup of each request's normalised ticker; a miss gets
     ``status = 'unknown_ticker'`` instead of raising."""
     req = requests.withColumn("ticker_norm", normalize_ticker(F.col(ticker_col)))
-    dim = broadcast_if_small(
-        entity.select(F.col("ticker").alias("ticker_norm"), "cik", "cik_int", "company_name")
-    )
+    dim = entity.select(F.col("ticker").alias("ticker_norm"), "cik", "cik_int", "company_name")
     out = req.join(dim, "ticker_norm", "left")
     return out.withColumn("status", F.when(F.col("cik").isNull(), F.lit("unknown_ticker")).otherwise(F.lit("ok")))

@@ -1,4 +1,4 @@
-"""Join helpers: broadcast only behind a measured size bound."""
+"""Spreading of inputs whose scan yields too few partitions."""
 
 from __future__ import annotations
 
@@ -7,20 +7,6 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when it holds at most ``max_rows`` rows.
-
-    The bound is measured (``limit(max_rows + 1).count()`` stops reading
-    once the bound is passed); above it the plain DataFrame is returned and
-    the planner shuffles both sides (with AQE's runtime re-planning).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 _SHUFFLE = re.compile(r"Exchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning|SinglePartition)")
 
 

@@ -31,8 +31,7 @@ TOPIC_PATTERNS = {
 }
 
 SHINGLE_WORDS = 5
-MAX_SHORT_CLAIMS = 10_000
-MAX_INLINE_KEYS = 100_000
+GRAM_CHARS = 4
 
 
 def cents(col: Column) -> Column:
@@ -175,93 +174,70 @@ def _shingle_hashes(token_hashes: Column, size: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(token_hashes, i, size)))
 
 
+def _char_grams(text: Column, size: int) -> Column:
+    """Hashes of the distinct runs of ``size`` characters (0: one empty run)."""
+    if size == 0:
+        return F.array(F.xxhash64(F.lit("")))
+    n = F.char_length(text) - F.lit(size) + 1
+    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(text, i, F.lit(size)))))
+
+
 def grounding(claims: DataFrame, docs: DataFrame, claim_id: str, doc_id: str, text_col: str = "text") -> DataFrame:
     """Which claims occur verbatim in some document, and in how many.
 
-    Exact, without pairing every claim with every document:
+    One plan for any number of claims: each claim picks one key that every
+    document with the claim must hold, documents are joined on those keys,
+    and every candidate pair is verified on the whole claim text.
 
     * A claim with >= 3 tokens: its interior tokens are whitespace-bounded
       inside the claim, so they are whole tokens wherever the claim occurs.
-      The claim picks one interior shingle (up to 5 tokens); documents
-      keep only shingles some claim picked and every candidate pair is
-      verified on the whole claim text.
-    * A shorter claim (no interior token) is matched by ``instr`` against
-      every document inside the scan, from a size-checked literal list.
+      The key is one interior shingle (up to 5 tokens).
+    * A shorter claim (no interior token): the key is its first characters
+      (up to 4; none for the empty claim, which every document holds).
+
+    A document gives its keys of the sizes in use, cut by a semi join to
+    those some claim picked. A null claim is not grounded; a null document
+    holds no claim.
     """
-    c = claims.select(F.col(claim_id).alias("claim_id"), F.col(text_col).alias("claim")).withColumn(
-        "tok", _tokens(F.col("claim"))
+    c = claims.select(F.col(claim_id).alias("claim_id"), F.col(text_col).alias("claim"))
+    c = c.withColumn("_tok", _tokens(F.col("claim")))
+    words = F.least(F.lit(SHINGLE_WORDS), F.size("_tok") - 2)
+    chars = F.least(F.lit(GRAM_CHARS), F.char_length("claim"))
+    keyed = c.where(F.col("claim").isNotNull()).select(
+        "claim_id",
+        "claim",
+        (F.size("_tok") >= 3).alias("is_words"),
+        F.when(F.size("_tok") >= 3, words).otherwise(chars).alias("s"),
+        F.when(F.size("_tok") >= 3, F.xxhash64(F.slice(_token_hashes(F.col("_tok")), 2, F.greatest(words, F.lit(1)))))
+        .otherwise(F.xxhash64(F.substring(F.col("claim"), F.lit(1), chars)))
+        .alias("key"),
     )
-    long_c = c.where(F.size("tok") >= 3).withColumn("s", F.least(F.lit(SHINGLE_WORDS), F.size("tok") - 2))
-    long_c = long_c.withColumn("key", F.xxhash64(F.slice(_token_hashes(F.col("tok")), 2, F.col("s"))))
-    sizes = [r["s"] for r in long_c.select("s").distinct().collect()]  # at most SHINGLE_WORDS values
-    d = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("doc")), "doc_id")
-    d = d.withColumn("dtok", _token_hashes(_tokens(F.col("doc"))))
-    matches = None
-    # The claims (with their text) are broadcast and their keys inlined only
-    # below a measured bound on the number of claims.
-    n_long = long_c.limit(MAX_INLINE_KEYS + 1).count() if sizes else 0
-    if sizes and n_long <= MAX_INLINE_KEYS:
-        # Verification stays in the document scan: each document keeps only
-        # its shingles that some claim picked (hash-set IN over the bounded
-        # key list), explodes those few hits, meets the broadcast claims and
-        # checks containment. Documents are never shuffled.
-        by_size = {}
-        for r in long_c.select("s", "key").distinct().collect():
-            by_size.setdefault(int(r["s"]), []).append(int(r["key"]))
-        def picked(ks):
-            return lambda x: x.isin(ks)
-
-        def tagged(sz):
-            return lambda x: F.struct(F.lit(sz).alias("s"), x.alias("key"))
-
-        hit_parts = [
-            F.transform(F.filter(F.array_distinct(_shingle_hashes(F.col("dtok"), sz)), picked(ks)), tagged(sz))
-            for sz, ks in sorted(by_size.items())
-        ]
-        hits = d.select("doc_id", "doc", F.explode(F.concat(*hit_parts)).alias("h")).select(
-            "doc_id", "doc", F.col("h.s").alias("s"), F.col("h.key").alias("key")
+    kind = ["is_words", "s", "key"]
+    # The sizes in use: at most SHINGLE_WORDS + GRAM_CHARS + 1 rows.
+    sizes = sorted(tuple(r) for r in keyed.select("is_words", "s").distinct().collect())
+    d = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("doc")).where(F.col("doc").isNotNull()), "doc_id")
+
+    def tagged(is_words, size):
+        hashes = (
+            F.array_distinct(_shingle_hashes(F.col("dtok"), size)) if is_words else _char_grams(F.col("doc"), size)
         )
-        claims_b = F.broadcast(long_c.select("claim_id", "claim", "s", "key"))
-        matches = (
-            hits.join(claims_b, ["s", "key"])
-            .where(F.col("doc").contains(F.col("claim")))
-            .select("claim_id", "doc_id")
-            .distinct()
+        return F.transform(hashes, lambda x: F.struct(F.lit(is_words).alias("is_words"), F.lit(size).alias("s"), x.alias("key")))
+
+    if sizes:
+        keys = d.withColumn("dtok", _token_hashes(_tokens(F.col("doc")))).select(
+            "doc_id", F.inline(F.concat(*[tagged(w, z) for w, z in sizes]))
         )
-    elif sizes:
-        # Too many claims to inline: semi join the shingles against the
-        # claim keys, then bring candidate pairs to the documents.
-        keys = long_c.select("s", "key").distinct()
-        cand_parts = []
-        for sz in sizes:
-            ds = d.select("doc_id", F.explode(F.array_distinct(_shingle_hashes(F.col("dtok"), sz))).alias("key"))
-            ds = ds.join(keys.where(F.col("s") == sz).select("key"), "key", "left_semi").withColumn("s", F.lit(sz))
-            cand_parts.append(ds)
-        cand = cand_parts[0]
-        for p in cand_parts[1:]:
-            cand = cand.unionByName(p)
-        pairs = cand.join(long_c.select("claim_id", "claim", "s", "key"), ["s", "key"]).select("claim_id", "claim", "doc_id")
-        matches = (
-            pairs.join(d.select("doc_id", "doc"), "doc_id")
+        picked = keys.join(keyed.select(*kind).distinct(), kind, "left_semi")
+        pairs = picked.join(keyed, kind).select("claim_id", "claim", "doc_id")
+        counts = (
+            pairs.join(d, "doc_id")
             .where(F.col("doc").contains(F.col("claim")))
-            .select("claim_id", "doc_id")
-            .distinct()
+            .groupBy("claim_id")
+            .agg(F.count_distinct("doc_id").alias("n_docs"))
         )
-    short = c.where(F.size("tok") < 3)
-    n_short = short.limit(MAX_SHORT_CLAIMS + 1).count()
-    if n_short > MAX_SHORT_CLAIMS:
-        raise ValueError(f"more than {MAX_SHORT_CLAIMS} claims shorter than three tokens")
-    if n_short:
-        rows = short.select("claim_id", "claim").collect()
-        lits = F.array(*[F.struct(F.lit(r["claim_id"]).alias("id"), F.lit(r["claim"]).alias("t")) for r in rows])
-        sm = d.select("doc_id", F.explode(F.filter(lits, lambda x: F.col("doc").contains(x["t"]))).alias("m"))
-        sm = sm.select(F.col("m.id").alias("claim_id"), "doc_id")
-        matches = sm if matches is None else matches.unionByName(sm)
-    counts = (
-        matches.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n_docs"))
-        if matches is not None
-        else c.select("claim_id").limit(0).withColumn("n_docs", F.lit(0).cast("long"))
-    )
+    else:
+        counts = c.select("claim_id").limit(0).withColumn("n_docs", F.lit(0).cast("long"))
     out = c.select("claim_id").join(counts, "claim_id", "left")
     return out.select(
         F.col("claim_id").alias(claim_id),

@@ -1,25 +1,30 @@
 """Filtered cosine top-k search for many queries at once.
 
-Plan shape (per block of queries):
-
-    corpus scan (pruned, filtered) ──mapInPandas: score vs broadcast queries,
-        keep local top-k per query──▶ exchange(query_id) ──▶ window top-k
-
-* Only ``k`` rows per query per corpus partition cross the shuffle; all
-  (query, chunk) pairs are scored inside the task and never materialised as
-  rows.
-* The query block is broadcast only after its byte size is checked against
-  ``Options.query_broadcast_bytes``; bigger query sets are split into
-  blocks, each block one more scan of the corpus.
+Plan shape:
+
+    queries ──route, query block──┐
+                                  ├─ cogroup per cell: score, top-k ─▶ window top-k
+    corpus ──route, corpus block──┘
+
+* A query's *route* is its first filter (column and value), or the open
+  route if it has none. Only rows with that value meet the query, so no
+  other pair is scored; further filters are tested inside the cell.
+* The queries and the rows of a route are cut by hash into blocks of about
+  ``Options.query_block_rows`` and ``Options.corpus_block_rows``. Every
+  (query block, corpus block) cell is one group, so a route with a third of
+  all rows is many cells and no task holds more than two blocks. Queries
+  never pass through the driver and nothing is broadcast by hand.
+* A cell yields at most ``k`` rows per query; the final window has a literal
+  bound, so each task cuts its rows again before the last shuffle.
 * Scores use the same left-to-right summation as the SQL form
   ``aggregate(zip_with(q, v, x*y), 0, +) / (|q|·|v| + 1e-9)``, so they are
-  bit-identical to it.
+  bit-identical to it. Null components count as 0. NaN and infinite
+  components are kept: such a score is NaN and ranks after all numbers.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,8 +34,8 @@ from pyspark.sql import types as T
 
 from filinglens.functions.text import normalize_ticker
 from filinglens.functions.vectors import as_double_vector, hash_embedding
-from filinglens.operators.joins import spread
 from filinglens.options import COSINE_EPSILON, Options
+from filinglens.session import scratch_path
 
 # The scorer runs in Python workers. Pickle this module's functions by value
 # so the tasks carry the code they run and workers need no installed copy
@@ -51,20 +56,11 @@ def clamp_k(k_col, cap: int | None) -> F.Column:
 
 
 def _as_matrix(vectors: Sequence, dim: int) -> np.ndarray:
-    """Rows of a (n, dim) float64 matrix; missing positions and NaN are 0."""
-    try:
-        m = np.vstack(vectors).astype(np.float64, copy=False) if len(vectors) else None
-    except (ValueError, TypeError):  # ragged lengths or a null vector
-        m = None
-    if m is not None and m.shape == (len(vectors), dim):
-        return np.nan_to_num(m, nan=0.0)
+    """Rows of a (n, dim) float64 matrix; positions past a vector's end are 0
+    (null components are 0 already)."""
     out = np.zeros((len(vectors), dim), dtype=np.float64)
     for i, v in enumerate(vectors):
-        if v is None:
-            continue
-        arr = np.asarray(v, dtype=np.float64)
-        n = min(len(arr), dim)
-        out[i, :n] = np.nan_to_num(arr[:n], nan=0.0)
+        out[i, : len(v)] = v
     return out
 
 
@@ -76,92 +72,83 @@ def _seq_norm(m: np.ndarray) -> np.ndarray:
     return np.sqrt(acc)
 
 
+# Cells of a score tile: small enough that the passes over the dimensions
+# stay in a core's cache.
+_TILE_CELLS = 131_072
+# Upper bound on the (queries x rows) scores held by one task.
+_SCORE_CELLS = 2_000_000
+
+
 def _seq_dot(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """(nq, nc) dot products summed in index order (bit-equal to a fold)."""
-    dim = min(q.shape[1], c.shape[1])
-    acc = np.zeros((q.shape[0], c.shape[0]), dtype=np.float64)
-    term = np.empty_like(acc)
-    for j in range(dim):
-        np.multiply.outer(q[:, j], c[:, j], out=term)
-        acc += term
-    return acc
-
-
-# Upper bound on the (queries x rows) score matrix held by one task.
-_SCORE_CELLS = 4_000_000
-
-
-def _scorer(payload, key_cols: list[str], filter_cols: list[str], vec_col: str, block_rows: int):
-    """Build the mapInPandas function for one broadcast query block."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qb = payload.value if hasattr(payload, "value") else payload
-        qids = qb["query_id"]
-        qk = qb["k"]
-        qvec = qb["vec"]
-        qnorm = _seq_norm(qvec)
-        qfilters = qb["filters"]  # list of object arrays (None = no filter)
-        q_open = [np.array([v is None or v == "" for v in qf], dtype=bool) for qf in qfilters]
-        kmax = int(qk.max()) if len(qk) else 0
-        rows_per_block = max(64, min(block_rows, _SCORE_CELLS // max(len(qids), 1)))
-        for pdf in batches:
-            if kmax <= 0 or pdf.empty:
-                continue
-            for lo in range(0, len(pdf), rows_per_block):
-                part = pdf.iloc[lo : lo + rows_per_block]
-                cvec = part[vec_col].tolist()
-                dim = max(qvec.shape[1], max((len(v) for v in cvec if v is not None), default=0))
-                cmat = _as_matrix(cvec, dim)
-                qmat = qvec if qvec.shape[1] == dim else np.pad(qvec, ((0, 0), (0, dim - qvec.shape[1])))
-                cnorm = _seq_norm(cmat)
-                scores = _seq_dot(qmat, cmat) / (np.multiply.outer(qnorm, cnorm) + COSINE_EPSILON)
-                valid = np.ones(scores.shape, dtype=bool)
-                for f, qf, open_ in zip(filter_cols, qfilters, q_open):
-                    codes, uniq = pd.factorize(part[f].to_numpy(dtype=object), use_na_sentinel=True)
-                    qcode = pd.Index(uniq, dtype=object).get_indexer(qf)
-                    qcode[qcode < 0] = -2  # value absent from this block: matches nothing
-                    valid &= open_[:, None] | (qcode[:, None] == codes[None, :])
-                # ordinal of each row in key order: the tie-break of the final ranking
-                key_order = part[key_cols].reset_index(drop=True).sort_values(key_cols, kind="mergesort").index.to_numpy()
-                key_rank = np.empty(len(part), dtype=np.int64)
-                key_rank[key_order] = np.arange(len(part))
-                # Exact top-k of every query at once: keep each query's rows
-                # scoring at least its kk-th best (ties at the edge kept),
-                # sort by (query, -score, key order), rank within query.
-                kk = min(kmax, scores.shape[1])
-                scores = np.where(valid, scores, -np.inf)
-                thr = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
-                qi, ci = np.nonzero((scores >= thr[:, None]) & valid)
-                if qi.size == 0:
-                    continue
-                sc = scores[qi, ci]
-                order = np.lexsort((key_rank[ci], -sc, qi))
-                qi, ci, sc = qi[order], ci[order], sc[order]
-                rank = np.arange(qi.size) - np.searchsorted(qi, qi, side="left")
-                keep = rank < qk[qi]
-                qi, ci, sc = qi[keep], ci[keep], sc[keep]
-                out = part.iloc[ci][key_cols].reset_index(drop=True)
-                out.insert(0, "k", qk[qi].astype(np.int32))
-                out.insert(0, "score", sc)
-                out.insert(0, "query_id", qids[qi])
-                yield out
-
-    return run
-
-
-def _bucket_ids(spark: SparkSession, values: list[str], dtype: T.DataType, buckets: int) -> list[int]:
-    """Bucket numbers of a bounded list of filter values, hashed by Spark
-    exactly as at write time (same type, same xxhash64)."""
-    lit = spark.createDataFrame([(v,) for v in values], "v string")
-    rows = lit.select(F.pmod(F.xxhash64(F.col("v").cast(dtype)), F.lit(buckets)).cast("int").alias("b")).distinct()
-    return sorted(r["b"] for r in rows.collect())
-
-
-def _query_blocks(queries: DataFrame, dim_hint: int, opts: Options) -> int:
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("d")).first()
-    n, d = int(stats["n"] or 0), int(stats["d"] or dim_hint or 1)
-    bytes_needed = n * max(d, 1) * 8 + n * 64
-    return max(1, math.ceil(bytes_needed / opts.query_broadcast_bytes))
+    out = np.zeros((q.shape[0], c.shape[0]), dtype=np.float64)
+    width = max(1, _TILE_CELLS // max(q.shape[0], 1))
+    for lo in range(0, c.shape[0], width):
+        ct = np.ascontiguousarray(c[lo : lo + width].T)
+        acc = np.zeros((q.shape[0], ct.shape[1]), dtype=np.float64)
+        term = np.empty_like(acc)
+        for j in range(q.shape[1]):
+            np.multiply.outer(q[:, j], ct[j], out=term)
+            acc += term
+        out[:, lo : lo + width] = acc
+    return out
+
+
+def _cell_scorer(key_cols: list[str], n_filters: int):
+    """Build the cogroup function: exact top-k of one cell's queries among
+    its rows."""
+
+    def score_cell(qs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        columns = ["query_id", "score", "k", *key_cols]
+        if qs.empty or rows.empty:
+            return pd.DataFrame(columns=columns)
+        # Rows in key order: their position is the tie-break of the ranking.
+        rows = rows.sort_values(key_cols, kind="mergesort", na_position="first").reset_index(drop=True)
+        qvecs, cvecs = qs["_vec"].tolist(), rows["_vec"].tolist()
+        dim = max(max(map(len, qvecs)), max(map(len, cvecs)))
+        qmat, cmat = _as_matrix(qvecs, dim), _as_matrix(cvecs, dim)
+        with np.errstate(all="ignore"):
+            qnorm, cnorm = _seq_norm(qmat), _seq_norm(cmat)
+        qk = qs["k"].to_numpy(dtype=np.int64)
+        qids = qs["query_id"].to_numpy()
+        tests = []
+        for i in range(n_filters):
+            codes, uniq = pd.factorize(rows[f"_f{i}"].to_numpy(dtype=object), use_na_sentinel=True)
+            want = qs[f"_f{i}"].to_numpy(dtype=object)
+            open_ = pd.isna(want)
+            qcode = pd.Index(uniq, dtype=object).get_indexer(want)
+            qcode[qcode < 0] = -2  # a value no row of the cell has
+            tests.append((open_, qcode, codes))
+        kk = min(int(qk.max()), len(rows))
+        step = max(1, _SCORE_CELLS // len(rows))
+        parts = []
+        for lo in range(0, len(qs), step):
+            sl = slice(lo, lo + step)
+            with np.errstate(all="ignore"):
+                scores = _seq_dot(qmat[sl], cmat) / (np.multiply.outer(qnorm[sl], cnorm) + COSINE_EPSILON)
+            valid = np.ones(scores.shape, dtype=bool)
+            for open_, qcode, codes in tests:
+                valid &= open_[sl, None] | (qcode[sl, None] == codes[None, :])
+            nan = np.isnan(scores)
+            order_by = np.where(valid & ~nan, scores, -np.inf)
+            thr = -np.partition(-order_by, kk - 1, axis=1)[:, kk - 1]
+            qi, ci = np.nonzero((order_by >= thr[:, None]) & valid)
+            order = np.lexsort((ci, -order_by[qi, ci], nan[qi, ci], qi))
+            qi, ci = qi[order], ci[order]
+            keep = np.arange(qi.size) - np.searchsorted(qi, qi, side="left") < qk[sl][qi]
+            qi, ci = qi[keep], ci[keep]
+            out = rows.iloc[ci][key_cols].reset_index(drop=True)
+            out.insert(0, "k", qk[sl][qi].astype(np.int32))
+            out.insert(0, "score", scores[qi, ci])
+            out.insert(0, "query_id", qids[sl][qi])
+            parts.append(out)
+        return pd.concat(parts, ignore_index=True)
+
+    return score_cell
+
+
+def _vector(col: F.Column) -> F.Column:
+    return F.transform(as_double_vector(col), lambda x: F.coalesce(x, F.lit(0.0)))
 
 
 def cosine_topk(
@@ -173,7 +160,7 @@ def cosine_topk(
     query_vector_col: str = "qvec",
     k_col: str = "k",
     filter_cols: Sequence[str] = (),
-    bucket: tuple[str, str, int] | None = None,
+    partition_col: str | None = None,
     opts: Options = Options(),
 ) -> DataFrame:
     """Exact top-k by cosine for every query.
@@ -181,79 +168,89 @@ def cosine_topk(
     ``queries``: ``query_id`` (long), ``qvec`` (array<double>), ``k`` (int,
     already clamped) and one nullable column per name in ``filter_cols``
     holding the value that corpus column must equal (null or '' = no filter).
+    Put the most selective filter first: it routes the query.
 
-    ``bucket``: (partition column, filter column, number of buckets) when
-    the corpus is stored partitioned by ``pmod(xxhash64(filter column), n)``;
-    a block whose queries all filter on that column then reads only their
-    buckets (partition pruning).
+    ``partition_col``: a column the stored corpus is partitioned by. When
+    every query has a filter, the partitions that hold some wanted value are
+    looked up first (filter columns only) and only those are scanned.
 
     Returns ``query_id, rank, score`` + ``key_cols`` ordered by score
     descending, ties broken by the key columns ascending.
     """
     spark: SparkSession = corpus.sparkSession
-    key_cols, filter_cols = list(key_cols), list(filter_cols)
-    q = queries.select(
-        F.col("query_id").cast("long").alias("query_id"),
-        as_double_vector(F.col(query_vector_col)).alias("qvec"),
-        F.col(k_col).cast("int").alias("k"),
-        *[F.col(f).cast("string").alias(f"q_{f}") for f in filter_cols],
-    ).where(F.col("qvec").isNotNull() & (F.col("k") > 0))
-
-    cols = list(dict.fromkeys(key_cols + filter_cols))
-
-    def prepared(df: DataFrame) -> DataFrame:
-        out = df.select(*cols, as_double_vector(F.col(vector_col)).alias("_vec")).where(F.col("_vec").isNotNull())
-        return spread(out, key_cols[0])
+    key_cols, n = list(key_cols), len(filter_cols)
+    fcols = [f"_f{i}" for i in range(n)]
+    route, cell = ["_rc", "_rv"], ["_rc", "_rv", "_qb", "_cb"]
     out_schema = T.StructType(
-        [
-            T.StructField("query_id", T.LongType()),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("k", T.IntegerType()),
-        ]
+        [T.StructField("query_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("k", T.IntegerType())]
         + [corpus.schema[c] for c in key_cols]
     )
 
-    n_blocks = _query_blocks(q, 0, opts)
-    results = []
-    for b in range(n_blocks):
-        qb = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        # Size-checked above: at most ~query_broadcast_bytes reach the driver.
-        tbl = qb.toArrow()
-        if tbl.num_rows == 0:
-            continue
-        vecs = tbl.column("qvec").to_pylist()
-        dim = max((len(v) for v in vecs if v is not None), default=0)
-        payload = {
-            "query_id": np.asarray(tbl.column("query_id").to_pylist(), dtype=np.int64),
-            "k": np.asarray(tbl.column("k").to_pylist(), dtype=np.int64),
-            "vec": _as_matrix(vecs, dim),
-            "filters": [np.asarray(tbl.column(f"q_{f}").to_pylist(), dtype=object) for f in filter_cols],
-        }
-        # Prune the scan when every query of the block filters on a column:
-        # the IN list reaches the Parquet reader, and on the bucketing
-        # column it also selects partitions.
-        pruned = corpus
-        for f, qf in zip(filter_cols, payload["filters"]):
-            if len(qf) and all(v not in (None, "") for v in qf):
-                values = sorted(set(qf.tolist()))
-                pruned = pruned.where(F.col(f).cast("string").isin(values))
-                if bucket and f == bucket[1]:
-                    ids = _bucket_ids(spark, values, corpus.schema[f].dataType, bucket[2])
-                    pruned = pruned.where(F.col(bucket[0]).isin(ids))
-        scan = prepared(pruned)
-        bc = spark.sparkContext.broadcast(payload)
-        fn = _scorer(bc, key_cols, filter_cols, "_vec", opts.score_block_rows)
-        results.append(scan.mapInPandas(fn, out_schema))
-
-    if not results:
-        return spark.createDataFrame([], T.StructType(
-            [T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()),
-             T.StructField("score", T.DoubleType())] + [corpus.schema[c] for c in key_cols]))
-    partial = results[0]
-    for r in results[1:]:
-        partial = partial.unionByName(r)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *[F.col(c).asc() for c in key_cols])
-    ranked = partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("k"))
+    q = queries.select(
+        F.col("query_id").cast("long").alias("query_id"),
+        _vector(F.col(query_vector_col)).alias("_vec"),
+        F.col(k_col).cast("int").alias("k"),
+        *[F.nullif(F.col(f).cast("string"), F.lit("")).alias(c) for f, c in zip(filter_cols, fcols)],
+    ).where(F.col("_vec").isNotNull() & (F.col("k") > 0))
+    # The route: number of the first filter set (n: open) and its value.
+    q = q.withColumn("_rc", F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(i)) for i, c in enumerate(fcols)], F.lit(n)))
+    q = q.withColumn("_rv", F.coalesce(*[F.col(c) for c in fcols], F.lit("")))
+    q_routes = q.groupBy(*route).agg(F.count(F.lit(1)).alias("_nq"), F.max("k").alias("_k"))
+    used = {r["_rc"]: r["_k"] for r in q_routes.groupBy("_rc").agg(F.max("_k").alias("_k")).collect()}  # <= n + 1 rows
+    kmax = max(used.values(), default=0)
+
+    def routed(df: DataFrame, *cols) -> DataFrame:
+        """One copy of a row for every kind of route in use."""
+        named = df.select(*cols, *[F.col(f).cast("string").alias(c) for f, c in zip(filter_cols, fcols)])
+        kinds = [
+            F.struct(F.lit(i).alias("_rc"), (F.col(fcols[i]) if i < n else F.lit("")).alias("_rv")) for i in sorted(used)
+        ]
+        return named.select("*", F.inline(F.array(*kinds))).where(F.col("_rv").isNotNull())
+
+    empty = spark.createDataFrame([], out_schema)
+    if used and partition_col and n not in used:
+        held = routed(corpus, partition_col).join(q_routes, route, "left_semi").select(partition_col).distinct()
+        corpus = corpus.where(F.col(partition_col).isin([r[0] for r in held.collect()]))  # one value per partition
+    n_cells = 0
+    if used:
+        # Blocks per route, written so that the planner knows the table's size.
+        path = scratch_path(spark, "search-grid")
+        routed(corpus).groupBy(*route).agg(F.count(F.lit(1)).alias("_nc")).join(q_routes, route).select(
+            *route,
+            F.ceil(F.col("_nq") / opts.query_block_rows).alias("_qbs"),
+            F.ceil(F.col("_nc") / opts.corpus_block_rows).alias("_cbs"),
+        ).write.parquet(path)
+        grid = spark.read.parquet(path)
+        n_cells = grid.agg(F.sum(F.col("_qbs") * F.col("_cbs"))).first()[0] or 0
+    if n_cells:
+        # A fixed count: cells are small in bytes and heavy in work, so they
+        # must not be merged by size.
+        tasks = max(1, min(n_cells, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+        def block(hash_cols, count):
+            return F.pmod(F.xxhash64(*hash_cols), F.col(count))
+
+        def each(count):
+            return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+        def sized(df):
+            if set(used) == {n}:  # only the open route: one row
+                g = grid.first()
+                return df.withColumn("_qbs", F.lit(g["_qbs"])).withColumn("_cbs", F.lit(g["_cbs"]))
+            return df.join(grid, route)
+
+        left = sized(q).withColumn("_qb", block(["query_id"], "_qbs")).withColumn("_cb", each("_cbs"))
+        c = routed(corpus, *key_cols, _vector(F.col(vector_col)).alias("_vec")).where(F.col("_vec").isNotNull())
+        right = sized(c).withColumn("_cb", block(key_cols, "_cbs")).withColumn("_qb", each("_qbs"))
+        left = left.select(*cell, "query_id", "k", "_vec", *fcols).repartition(tasks, *cell)
+        right = right.select(*cell, *key_cols, "_vec", *fcols).repartition(tasks, *cell)
+        hits = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_cell_scorer(key_cols, n), out_schema)
+    else:
+        hits = empty
+    hits = hits.withColumn("score", F.coalesce("score", F.lit(float("nan"))))  # pandas hands NaN back as null
+    best_first = [F.isnan("score"), F.col("score").desc(), *[F.col(c).asc() for c in key_cols]]
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*best_first))
+    ranked = hits.withColumn("rank", rank).where((F.col("rank") <= F.lit(kmax)) & (F.col("rank") <= F.col("k")))
     return ranked.select("query_id", "rank", "score", *key_cols)
 
 
@@ -269,7 +266,7 @@ def search(
     opts: Options = Options(),
     key_cols: Sequence[str] = ("accession_number", "section_order", "chunk_index"),
     cap: int | None = None,
-    bucket_of: str | None = "cik",
+    partition_col: str | None = "bucket",
 ) -> DataFrame:
     """Filtered similarity search over a chunk index (C9).
 
@@ -278,22 +275,22 @@ def search(
     (null or '' = off; an accession pins one filing instead of mixing a
     company's older filings into the answer). The
     ticker filter is case-insensitive: it compares the stored
-    ``ticker_norm`` with the normalised query value, which keeps the
-    predicate pushable to the Parquet scan.
+    ``ticker_norm`` with the normalised query value. A filter on a column
+    that the index lacks raises.
     """
-    qcols = set(queries.columns)
+    asked = {"accession_number": "accession_number", "cik": "cik", "ticker_norm": "ticker", "section_name": "section_name"}
+    asked = {stored: given for stored, given in asked.items() if given in queries.columns}
+    lacking = [stored for stored in asked if stored not in index.columns]
+    if lacking:
+        raise ValueError(f"the index has no column {', '.join(lacking)} to filter on")
     q = queries.select(
         "query_id",
         "qvec",
-        clamp_k(F.col("k") if "k" in qcols else F.lit(opts.search_k), cap).alias("k"),
-        (normalize_ticker(F.col("ticker")) if "ticker" in qcols else F.lit(None).cast("string")).alias("ticker_norm"),
-        (F.col("cik") if "cik" in qcols else F.lit(None).cast("string")).alias("cik"),
-        (F.col("section_name") if "section_name" in qcols else F.lit(None).cast("string")).alias("section_name"),
-        (F.col("accession_number") if "accession_number" in qcols else F.lit(None).cast("string")).alias(
-            "accession_number"
-        ),
+        clamp_k(F.col("k") if "k" in queries.columns else F.lit(opts.search_k), cap).alias("k"),
+        *[
+            (normalize_ticker(F.col(given)) if stored == "ticker_norm" else F.col(given).cast("string")).alias(stored)
+            for stored, given in asked.items()
+        ],
     )
-    filters = [f for f in ("ticker_norm", "cik", "section_name", "accession_number") if f in index.columns]
-    bucket = ("bucket", bucket_of, opts.index_buckets) if bucket_of in filters and "bucket" in index.columns else None
-    hits = cosine_topk(index, q, key_cols=key_cols, filter_cols=filters, bucket=bucket, opts=opts)
-    return hits
+    part = partition_col if partition_col in index.columns else None
+    return cosine_topk(index, q, key_cols=key_cols, filter_cols=list(asked), partition_col=part, opts=opts)

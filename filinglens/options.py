@@ -7,7 +7,7 @@ together below.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for equal results)
@@ -51,9 +51,6 @@ class Options:
     # Index layout: rows are bucketed by company so that upserts rewrite only
     # the touched buckets and ticker/cik-filtered searches prune files.
     index_buckets: int = 64
-    # Upper bound on the bytes of query vectors shipped to every executor.
-    # Above it, queries are scored in blocks (one corpus scan per block).
-    query_broadcast_bytes: int = 64 * 1024 * 1024
-    # Rows of corpus scored per numpy block inside one task.
-    score_block_rows: int = 8192
-    extra: dict = field(default_factory=dict)
+    # Queries and corpus rows of one search cell (one group of a cogroup).
+    query_block_rows: int = 4096
+    corpus_block_rows: int = 4096

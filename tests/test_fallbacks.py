@@ -1,35 +1,33 @@
-"""The paths taken above the size bounds give the same results."""
-
-from pyspark.sql import functions as F
+"""Grounding by key joins, and spreading of under-split inputs."""
 
 from filinglens.operators import metrics
-from filinglens.operators.joins import broadcast_if_small, spread
-
-
-def test_grounding_fallback_equals_inline(spark, monkeypatch):
-    docs = spark.createDataFrame(
-        [(1, "alpha beta gamma delta epsilon zeta eta"), (2, "xx alpha beta gamma delta yy"), (3, "ab")],
-        "doc_id long, text string",
-    )
-    claims = spark.createDataFrame(
-        [(10, "beta gamma delta"), (11, "alpha beta gamma delta epsilon zeta"), (12, "a"), (13, "gamma delta zz")],
-        "item_id long, text string",
-    )
-    inline = sorted(metrics.grounding(claims, docs, "item_id", "doc_id").collect())
-    monkeypatch.setattr(metrics, "MAX_INLINE_KEYS", 0)
-    fallback = sorted(metrics.grounding(claims, docs, "item_id", "doc_id").collect())
-    assert inline == fallback
-    assert [(r.item_id, r.n_docs) for r in inline] == [(10, 2), (11, 1), (12, 3), (13, 0)]
-
-
-def test_broadcast_only_below_bound(spark):
-    small = spark.range(10)
-    big = broadcast_if_small(small, 5)
-    left = spark.range(1000).withColumnRenamed("id", "x")
-    plan = left.join(big, left.x == big.id)._jdf.queryExecution().logical().toString()
-    assert "broadcast" not in plan.lower()
-    plan_small = left.join(broadcast_if_small(small, 100), left.x == F.col("id"))._jdf.queryExecution().logical().toString()
-    assert "broadcast" in plan_small.lower()
+from filinglens.operators.joins import spread
+
+
+def test_grounding_long_short_and_odd_claims(spark):
+    docs = [
+        (1, "alpha beta gamma delta epsilon zeta eta"), (2, "xx alpha beta gamma delta yy"), (3, "ab"), (4, ""), (5, None),
+        (6, "  two  spaces\nline\u00e9 "),
+    ]
+    texts = [
+        "beta gamma delta", "alpha beta gamma delta epsilon zeta", "a", "gamma delta zz", "", " ", "  ", "eta", "pha be",
+        "ab", "abc", "e\u00e9 ", "nothing here at all", None, "beta gamma delta", "mma delta e", "spaces\nline\u00e9",
+    ]
+    claims = list(enumerate(texts, 10))
+    got = metrics.grounding(
+        spark.createDataFrame(claims, "item_id long, text string"),
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        "item_id", "doc_id",
+    ).collect()
+    want = [(i, sum(d is not None and t in d for _, d in docs) if t is not None else 0) for i, t in claims]
+    assert sorted((r.item_id, r.n_docs) for r in got) == want
+    assert all(r.grounded == (r.n_docs > 0) for r in got)
+
+
+def test_grounding_without_claims(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert metrics.grounding(none, docs, "item_id", "doc_id").count() == 0
 
 
 def test_spread_is_noop_when_split_enough(spark):

@@ -73,7 +73,7 @@ def test_query_blocks_give_same_result(spark):
         F.col("id").alias("query_id"), F.array(F.cos(F.col("id")), F.sin(F.col("id")), F.lit(1.0)).alias("qvec"), F.lit(3).alias("k")
     )
     one = cosine_topk(corpus, queries, key_cols=["id"]).collect()
-    many = cosine_topk(corpus, queries, key_cols=["id"], opts=Options(query_broadcast_bytes=200, score_block_rows=17)).collect()
+    many = cosine_topk(corpus, queries, key_cols=["id"], opts=Options(query_block_rows=7, corpus_block_rows=17)).collect()
     assert sorted(one) == sorted(many)
     assert len(one) == 90
 
@@ -106,7 +106,7 @@ def test_topk_matches_brute_force_with_ties(spark):
     queries = [(q, [float(rnd.randint(0, 2)) for _ in range(3)], rnd.randint(0, 7), rnd.choice(["a", "b", None, ""])) for q in range(60)]
     c = spark.createDataFrame(corpus, "id long, embedding array<double>, sec string")
     qs = spark.createDataFrame(queries, "query_id long, qvec array<double>, k int, sec string")
-    got = cosine_topk(c, qs, key_cols=["id"], filter_cols=["sec"], opts=Options(score_block_rows=37)).collect()
+    got = cosine_topk(c, qs, key_cols=["id"], filter_cols=["sec"], opts=Options(query_block_rows=11, corpus_block_rows=37)).collect()
     got = sorted((r.query_id, r.rank, r.id, r.score) for r in got)
 
     def score(a, b):
@@ -146,3 +146,46 @@ print("TOP", [r.id for r in cosine_topk(c, q, key_cols=["id"]).collect()])
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), env=env, capture_output=True, text=True, timeout=300)
     assert "TOP [1]" in out.stdout, out.stderr[-2000:]
+
+
+def test_final_rank_is_limited_before_the_shuffle(spark):
+    corpus = spark.range(50).select("id", F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    queries = corpus.select(F.col("id").alias("query_id"), F.col("embedding").alias("qvec"), F.lit(3).alias("k"))
+    plan = cosine_topk(corpus, queries, key_cols=["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_nan_and_inf_rank_last(spark):
+    inf, nan = float("inf"), float("nan")
+    corpus = spark.createDataFrame(
+        [(1, [inf, 0.0]), (2, [nan, 1.0]), (3, [-1.0, 0.0]), (4, [1.0, None])], "id long, embedding array<double>"
+    )
+    queries = spark.createDataFrame([(7, [1.0, 0.0], 4)], "query_id long, qvec array<double>, k int")
+    rows = cosine_topk(corpus, queries, key_cols=["id"]).orderBy("rank").collect()
+    assert [r.id for r in rows] == [4, 3, 1, 2]
+    assert all(r.score != r.score for r in rows[2:])
+
+
+def test_empty_inputs_give_no_rows(spark, store):
+    assert search(store, q(spark).limit(0)).count() == 0
+    assert search(store.limit(0), q(spark)).count() == 0
+    assert search(store, q(spark, ticker="NONE")).count() == 0
+
+
+def test_unknown_filter_raises(spark, store):
+    with pytest.raises(ValueError, match="section_name"):
+        search(store.drop("section_name"), q(spark, section_name="S"))
+
+
+def test_partition_pruning_does_not_depend_on_the_bucket_count(spark, tmp_table):
+    from filinglens.operators.index import read_index, upsert_chunks
+
+    rows = [(f"T{i}", f"C{i}", f"A{i}", 0, "S", 0, "x", [1.0, float(i)]) for i in range(12)]
+    path = tmp_table("pruned")
+    upsert_chunks(spark, path, spark.createDataFrame(rows, INDEX_SCHEMA), opts=Options(index_buckets=16))
+    queries = spark.createDataFrame(
+        [(i, [1.0, 0.0], 3, f"C{i}") for i in range(6)], "query_id long, qvec array<double>, k int, cik string"
+    )
+    got = search(read_index(spark, path), queries, opts=Options(index_buckets=4)).collect()
+    assert sorted((r.query_id, r.accession_number) for r in got) == [(i, f"A{i}") for i in range(6)]
