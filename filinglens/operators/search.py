@@ -213,15 +213,22 @@ def cosine_topk(
         corpus = corpus.where(F.col(partition_col).isin([r[0] for r in held.collect()]))  # one value per partition
     n_cells = 0
     if used:
-        # Blocks per route, written so that the planner knows the table's size.
-        path = scratch_path(spark, "search-grid")
-        routed(corpus).groupBy(*route).agg(F.count(F.lit(1)).alias("_nc")).join(q_routes, route).select(
+        # Blocks per route. A single open route is one row; other grids are
+        # written, so that the planner knows the table's size.
+        sizes = routed(corpus).groupBy(*route).agg(F.count(F.lit(1)).alias("_nc")).join(q_routes, route)
+        grid = sizes.select(
             *route,
             F.ceil(F.col("_nq") / opts.query_block_rows).alias("_qbs"),
             F.ceil(F.col("_nc") / opts.corpus_block_rows).alias("_cbs"),
-        ).write.parquet(path)
-        grid = spark.read.parquet(path)
-        n_cells = grid.agg(F.sum(F.col("_qbs") * F.col("_cbs"))).first()[0] or 0
+        )
+        only = grid.first() if set(used) == {n} else None
+        if set(used) != {n}:
+            path = scratch_path(spark, "search-grid")
+            grid.write.parquet(path)
+            grid = spark.read.parquet(path)
+            n_cells = grid.agg(F.sum(F.col("_qbs") * F.col("_cbs"))).first()[0] or 0
+        elif only:
+            n_cells = only["_qbs"] * only["_cbs"]
     if n_cells:
         # A fixed count: cells are small in bytes and heavy in work, so they
         # must not be merged by size.
@@ -231,12 +238,11 @@ def cosine_topk(
             return F.pmod(F.xxhash64(*hash_cols), F.col(count))
 
         def each(count):
-            return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+            return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1))
 
         def sized(df):
-            if set(used) == {n}:  # only the open route: one row
-                g = grid.first()
-                return df.withColumn("_qbs", F.lit(g["_qbs"])).withColumn("_cbs", F.lit(g["_cbs"]))
+            if only:
+                return df.withColumn("_qbs", F.lit(only["_qbs"])).withColumn("_cbs", F.lit(only["_cbs"]))
             return df.join(grid, route)
 
         left = sized(q).withColumn("_qb", block(["query_id"], "_qbs")).withColumn("_cb", each("_cbs"))

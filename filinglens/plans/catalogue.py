@@ -26,7 +26,7 @@ from filinglens.operators import results as _results
 from filinglens.operators.chunking import chunk_text, split_sections
 from filinglens.operators.embedding import embed, embed_distinct, normalize_vectors
 from filinglens.operators.parse import explode_lines, html_to_lines, parse_filings
-from filinglens.operators.search import clamp_k, cosine_topk
+from filinglens.operators.search import cosine_topk, search
 from filinglens.options import Options
 from filinglens.plans import roles
 from filinglens.session import scratch_path
@@ -133,30 +133,66 @@ def page_chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed(chunks, "text")
 
 
+def company_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as stored chunks: company by label, section and filing by id."""
+    n = F.col("vec_id")
+    return _t(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        "embedding",
+        F.concat(F.lit("T"), "label").alias("ticker_norm"),
+        (F.col("label") % 7).cast("string").alias("cik"),
+        F.concat(F.lit("S"), n % 3).alias("section_name"),
+        F.concat(F.lit("A"), n % 20).alias("accession_number"),
+    )
+
+
 @register
-def q_retrieve_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark text asks for 20 chunks of the page corpus; the tool
-    caps k at 5 and cuts each chunk's text at 1,500 characters."""
-    # Built once and written to the shared folder, as an ingest run would;
-    # the search scan and the join back both read the written table.
+def q_search_by_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a query through ``search``: by ticker (any case),
+    CIK, section, filing, ticker and section, or nothing; filters that are
+    off are null or empty; k is negative, 0 or above the cap for some."""
+    n = F.col("vec_id")
+    turn = n % 6
+    queries = _t(spark, sf_dir, "embeddings").select(
+        n.alias("query_id"),
+        F.col("embedding").alias("qvec"),
+        F.when(n % 9 == 0, F.lit(-1)).otherwise(n % 13).alias("k"),
+        F.when(turn.isin(1, 5), F.concat(F.lit(" t"), "label")).alias("ticker"),
+        F.when(turn == 2, (F.col("label") % 7).cast("string")).otherwise(F.lit("")).alias("cik"),
+        F.when(turn.isin(3, 5), F.concat(F.lit("S"), n % 4)).alias("section_name"),
+        F.when(turn == 4, F.concat(F.lit("A"), n % 20)).alias("accession_number"),
+    )
+    return search(company_index(spark, sf_dir), queries, key_cols=["vec_id"], cap=OPTS.search_k, opts=OPTS)
+
+
+PAGE_KEY = ["page_id", "section_order", "chunk_index"]
+
+
+def _stored_page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built once and written to the shared folder, as an ingest run would;
+    the search scan and the join back both read the written table."""
     path = scratch_path(spark, "page-index")
     page_chunk_index(spark, sf_dir).write.parquet(path)
-    index = spark.read.parquet(path)
-    queries = _t(spark, sf_dir, "benchmark").select(
+    return spark.read.parquet(path)
+
+
+def _benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text asks for 20 chunks."""
+    return _t(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"),
         hash_embedding(F.col("text")).alias("qvec"),
-        clamp_k(F.lit(OPTS.retrieve_k), OPTS.retrieve_max_k).alias("k"),
+        F.lit(OPTS.retrieve_k).alias("k"),
     )
-    key = ["page_id", "section_order", "chunk_index"]
-    hits = cosine_topk(index, queries, key_cols=key, opts=OPTS)
-    ctx = hits.join(index.select(*key, "section_name", "text", "chars"), key)
+
+
+def _context_rows(hits: DataFrame, index: DataFrame) -> DataFrame:
+    """Hits with their text cut at 1,500 characters."""
+    ctx = hits.join(index.select(*PAGE_KEY, "section_name", "text", "chars"), PAGE_KEY)
     cut = F.substring("text", 1, OPTS.retrieve_max_chars)
     return ctx.select(
         "query_id",
         "rank",
-        "page_id",
-        "section_order",
-        "chunk_index",
+        *PAGE_KEY,
         "section_name",
         "score",
         F.col("chars").alias("full_chars"),
@@ -165,6 +201,28 @@ def q_retrieve_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def q_retrieve_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole page corpus; the tool caps k at 5."""
+    index = _stored_page_index(spark, sf_dir)
+    hits = search(index, _benchmark_queries(spark, sf_dir), key_cols=PAGE_KEY, cap=OPTS.retrieve_max_k, opts=OPTS)
+    return _context_rows(hits, index)
+
+
+@register
+def q_retrieve_by_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the tool is called: only chunks of the asked company (pages and
+    questions belong to one of eight)."""
+
+    def company(c):
+        return F.concat(F.lit("T"), F.col(c) % 8)
+
+    index = _stored_page_index(spark, sf_dir).withColumn("ticker_norm", company("page_id"))
+    queries = _benchmark_queries(spark, sf_dir).withColumn("ticker", F.lower(company("query_id")))
+    hits = search(index, queries, key_cols=PAGE_KEY, cap=OPTS.retrieve_max_k, opts=OPTS)
+    return _context_rows(hits, index)
+
+
 # ---------------------------------------------------------------------------
 # Companies and filings
 # ---------------------------------------------------------------------------
@@ -488,8 +546,11 @@ def decision_records(events: DataFrame) -> DataFrame:
     et = F.col("event_type")
     k = F.get_json_object("props", "$.k").cast("int")
     cents = F.round(F.col("value") * 100).cast("long")
-    conf = F.when(et == "error", F.lit('"high"')).otherwise(
-        F.concat((cents / 1000).cast("long").cast("string"), F.lit("."), F.lpad((cents % 1000).cast("string"), 3, "0"))
+    number = F.concat((cents / 1000).cast("long").cast("string"), F.lit("."), F.lpad((cents % 1000).cast("string"), 3, "0"))
+    conf = (
+        F.when(et == "error", F.lit('"high"'))
+        .when(k % 10 == 6, F.concat(F.lit('"'), number, F.lit('"')))
+        .otherwise(number)
     )
     decision = (
         F.when(et == "purchase", F.lit('"decision":"buy",'))
@@ -500,11 +561,16 @@ def decision_records(events: DataFrame) -> DataFrame:
     )
     body = F.concat(
         F.lit("{"), decision, F.lit('"confidence":'), conf, F.lit(","),
-        F.when(k < 10, F.lit("")).otherwise(F.lit('"time_horizon":"6-12 months",')),
-        F.lit('"positives":["'), et, F.lit('"],"negatives":[],'),
+        F.when(k < 10, F.lit("")).when(k % 10 == 7, F.lit('"time_horizon":5,')).otherwise(
+            F.lit('"time_horizon":"6-12 months",')
+        ),
+        F.when(k % 10 == 3, F.lit('"positives":"oops",'))
+        .when(k % 10 == 4, F.lit('"positives":["a",null],'))
+        .otherwise(F.concat(F.lit('"positives":["'), et, F.lit('"],'))),
+        F.lit('"negatives":[],'),
         F.when(et == "view", F.lit("")).otherwise(F.lit('"uncertainties":[],')),
         F.lit('"risk_profile":"moderate"'),
-        F.when(k >= 50, F.lit(',"disclaimer":"custom"')).otherwise(F.lit("")),
+        F.when(k % 10 == 5, F.lit(',"disclaimer":null')).when(k >= 50, F.lit(',"disclaimer":"custom"')).otherwise(F.lit("")),
     )
     return events.select("event_id", F.when(k >= 95, body).otherwise(F.concat(body, F.lit("}"))).alias("json"))
 
@@ -515,6 +581,22 @@ def q_validate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.drop("json")
 
 
+@register
+def q_validate_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One insights reply per company, most with one defect."""
+    c = _t(spark, sf_dir, "customer")
+    text = F.replace(
+        F.replace(F.lit(roles.INSIGHTS_REPLY), F.lit("@name"), F.col("c_name")), F.lit("@cik"), F.col("c_custkey").cast("string")
+    )
+    n = F.col("c_custkey") % (len(roles.INSIGHTS_DEFECTS) + 2)
+    reply = text
+    for i, (old, new) in enumerate(roles.INSIGHTS_DEFECTS, 2):
+        reply = F.when(n == i, F.replace(text, F.lit(old), F.lit(new))).otherwise(reply)
+    reply = F.when(n == 1, F.left(text, F.lit(200))).otherwise(reply)
+    v = _results.validate_insights(c.select(F.col("c_custkey").alias("record_id"), reply.alias("json")), "json")
+    return v.drop("json")
+
+
 # ---------------------------------------------------------------------------
 # Streaming
 # ---------------------------------------------------------------------------

@@ -168,6 +168,29 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 """
 
 
+@sql("search_by_company")
+def _():
+    return f"""
+WITH idx AS (
+  SELECT vec_id, embedding, 'T' || label AS ticker_norm, CAST(label % 7 AS VARCHAR) AS cik, 'S' || (vec_id % 3) AS section_name,
+         'A' || (vec_id % 20) AS accession_number FROM embeddings
+), qs AS (
+  SELECT vec_id AS query_id, embedding AS qvec, least(CASE WHEN vec_id % 9 = 0 THEN -1 ELSE vec_id % 13 END, {O.search_k}) AS k,
+         CASE WHEN vec_id % 6 IN (1, 5) THEN 'T' || label END AS ticker_norm,
+         CASE vec_id % 6 WHEN 2 THEN CAST(label % 7 AS VARCHAR) END AS cik,
+         CASE WHEN vec_id % 6 IN (3, 5) THEN 'S' || (vec_id % 4) END AS section_name,
+         CASE vec_id % 6 WHEN 4 THEN 'A' || (vec_id % 20) END AS accession_number
+  FROM embeddings
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT query_id, k, c.vec_id, s.score, row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, c.vec_id) AS rank
+  FROM qs, idx c, LATERAL (SELECT {cosine('CAST(qs.qvec AS DOUBLE[])', 'CAST(c.embedding AS DOUBLE[])')} AS score) s
+  WHERE coalesce(qs.ticker_norm = c.ticker_norm, true) AND coalesce(qs.cik = c.cik, true)
+    AND coalesce(qs.section_name = c.section_name, true) AND coalesce(qs.accession_number = c.accession_number, true)
+) WHERE rank <= k
+"""
+
+
 def page_chunks_sql() -> str:
     """pages → lines → one 'Unknown' section per page (pages carry no Item
     headings; the general split is exercised by the ``sections`` query) →
@@ -188,15 +211,14 @@ page_index AS (SELECT *, {hash_vec('text')} AS embedding FROM page_chunks)
 """
 
 
-@sql("retrieve_context")
-def _():
+def _context(same_company: str) -> str:
     return f"""
 WITH {page_chunks_sql()},
 qs AS (SELECT item_id AS query_id, {hash_vec('text')} AS qvec FROM benchmark),
 scored AS (
   SELECT qs.query_id, c.page_id, c.section_order, c.chunk_index, c.section_name, c.text, c.chars,
          {cosine('qs.qvec', 'c.embedding')} AS score
-  FROM qs, page_index c
+  FROM qs, page_index c WHERE {same_company}
 ),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id, section_order, chunk_index) AS rank
@@ -209,6 +231,16 @@ FROM ranked WHERE rank <= least(greatest({O.retrieve_k}, 0), {O.retrieve_max_k})
 """
 
 
+@sql("retrieve_context")
+def _():
+    return _context("true")
+
+
+@sql("retrieve_by_company")
+def _():
+    return _context("qs.query_id % 8 = c.page_id % 8")
+
+
 # ---------------------------------------------------------------------------
 # Companies and filings (roles as in plans/roles.py)
 # ---------------------------------------------------------------------------
@@ -644,20 +676,30 @@ SELECT cik, insights_json, md5({q(DECISION_PROMPT_PREFIX)} || insights_json) AS
 def _():
     k = "CAST(json_extract(props, '$.k') AS INTEGER)"
     cents = "CAST(round(value * 100) AS BIGINT)"
-    conf = f"""CASE WHEN event_type = 'error' THEN '"high"'
-      ELSE CAST({cents} // 1000 AS VARCHAR) || '.' || lpad(CAST({cents} % 1000 AS VARCHAR), 3, '0') END"""
+    number = f"CAST({cents} // 1000 AS VARCHAR) || '.' || lpad(CAST({cents} % 1000 AS VARCHAR), 3, '0')"
+    conf = f"""CASE WHEN event_type = 'error' THEN '"high"' WHEN {k} % 10 = 6 THEN '"' || {number} || '"' ELSE {number} END"""
     dec = """CASE event_type WHEN 'purchase' THEN '"decision":"buy",' WHEN 'view' THEN '"decision":"hold",'
       WHEN 'signup' THEN '"decision":"sell",' WHEN 'click' THEN '"decision":"strong buy",' ELSE '' END"""
     body = f"""'{{' || {dec} || '"confidence":' || {conf} || ',' ||
-      CASE WHEN {k} < 10 THEN '' ELSE '"time_horizon":"6-12 months",' END ||
-      '"positives":["' || event_type || '"],"negatives":[],' ||
+      CASE WHEN {k} < 10 THEN '' WHEN {k} % 10 = 7 THEN '"time_horizon":5,' ELSE '"time_horizon":"6-12 months",' END ||
+      CASE {k} % 10 WHEN 3 THEN '"positives":"oops",' WHEN 4 THEN '"positives":["a",null],'
+        ELSE '"positives":["' || event_type || '"],' END || '"negatives":[],' ||
       CASE WHEN event_type = 'view' THEN '' ELSE '"uncertainties":[],' END ||
-      '"risk_profile":"moderate"' || CASE WHEN {k} >= 50 THEN ',"disclaimer":"custom"' ELSE '' END"""
-    req = ("decision", "confidence", "time_horizon", "positives", "negatives", "uncertainties", "risk_profile")
-    missing = [f"CASE WHEN json_extract(json, '$.{f}') IS NULL THEN 'missing:{f}' END" for f in req]
-    numeric = "json_type(json, '$.confidence') IN ('DOUBLE', 'UBIGINT', 'BIGINT')"
-    checks = missing + [
-        f"CASE WHEN json_extract(json, '$.confidence') IS NOT NULL AND NOT ({numeric}) THEN 'type:confidence' END",
+      '"risk_profile":"moderate"' || CASE WHEN {k} % 10 = 5 THEN ',"disclaimer":null' WHEN {k} >= 50 THEN ',"disclaimer":"custom"' ELSE '' END"""
+    conf_num = "try_cast(json_extract_string(json, '$.confidence') AS DOUBLE)"
+    checks = []
+    for f in ("decision", "confidence", "time_horizon", "positives", "negatives", "uncertainties", "risk_profile", "disclaimer"):
+        if f == "confidence":
+            ok = f"json_type(json, '$.confidence') <> 'NULL' AND {conf_num} IS NOT NULL"
+        elif f in ("positives", "negatives", "uncertainties"):
+            ok = f"json_type(json, '$.{f}') = 'ARRAY' AND NOT list_contains(json_type(json, ['$.{f}[0]', '$.{f}[1]']), 'NULL')"
+        else:
+            ok = f"json_type(json, '$.{f}') = 'VARCHAR'"
+        if f == "disclaimer":
+            checks.append(f"CASE WHEN json_type(json, '$.{f}') IS NOT NULL AND NOT ({ok}) THEN 'type:{f}' END")
+        else:
+            checks.append(f"CASE WHEN json_type(json, '$.{f}') IS NULL THEN 'missing:{f}' WHEN NOT ({ok}) THEN 'type:{f}' END")
+    checks += [
         "CASE WHEN dec IS NOT NULL AND dec NOT IN ('buy', 'sell', 'hold') THEN 'enum:decision' END",
         "CASE WHEN conf IS NOT NULL AND NOT (conf BETWEEN 0.0 AND 1.0) THEN 'range:confidence' END",
     ]
@@ -667,7 +709,7 @@ WITH r AS (
 ), p AS (
   SELECT event_id, json, NOT json_valid(json) AS malformed,
          CASE WHEN json_valid(json) THEN json_extract_string(json, '$.decision') END AS dec,
-         CASE WHEN json_valid(json) AND {numeric} THEN CAST(json_extract(json, '$.confidence') AS DOUBLE) END AS conf,
+         CASE WHEN json_valid(json) THEN {conf_num} END AS conf,
          CASE WHEN json_valid(json) THEN json_extract_string(json, '$.disclaimer') END AS disc,
          CASE WHEN json_valid(json) THEN json_array_length(json, '$.positives') END AS npos
   FROM r
@@ -680,6 +722,36 @@ SELECT event_id, array_to_string(errs, ',') AS errors, len(errs) = 0 AS valid, d
 FROM e"""
 
 
+@sql("validate_insights")
+def _():
+    from filinglens.plans.roles import INSIGHTS_DEFECTS, INSIGHTS_REPLY
+
+    n = f"c_custkey % {len(INSIGHTS_DEFECTS) + 2}"
+    cases = " ".join(f"WHEN {i} THEN replace(t, {q(old)}, {q(new)})" for i, (old, new) in enumerate(INSIGHTS_DEFECTS, 2))
+    # What each reply must be reported for, said outright.
+    want = {
+        1: "malformed", 2: "type:company_profile.sector", 3: "missing:company_profile",
+        4: "missing:company_profile.ticker,missing:filing_metadata.ticker", 5: "type:filing_metadata.filing_date",
+        6: "missing:filing_metadata.period_of_report", 7: "type:high_level_summary", 8: "type:financial_summary.key_metrics",
+        9: "item:risk_summary", 10: "item:risk_summary", 11: "type:notable_events", 12: "type:liquidity_and_capital_structure",
+        13: "type:liquidity_and_capital_structure.leverage_metrics", 14: "missing:guidance_and_outlook.narrative",
+        15: "type:open_questions",
+    }
+    codes = " ".join(f"WHEN {i} THEN {q(w)}" for i, w in want.items())
+    return f"""
+WITH t AS (
+  SELECT c_custkey, {n} AS n, replace(replace({q(INSIGHTS_REPLY)}, '@name', c_name), '@cik', CAST(c_custkey AS VARCHAR)) AS t FROM customer
+), r AS (
+  SELECT c_custkey, n, CASE WHEN n = 1 THEN NULL ELSE CASE n {cases} ELSE t END END AS json FROM t
+), e AS (SELECT *, CASE n {codes} ELSE '' END AS errors FROM r)
+SELECT c_custkey AS record_id, errors, errors = '' AS valid, json_extract_string(json, '$.company_profile.name') AS company_name,
+       CASE WHEN json_type(json, '$.high_level_summary') = 'VARCHAR' THEN json_extract_string(json, '$.high_level_summary') END
+         AS high_level_summary,
+       CAST(coalesce(json_array_length(json, '$.risk_summary'), 0) AS INTEGER) AS n_risks,
+       CAST(coalesce(json_array_length(json, '$.open_questions'), 0) AS INTEGER) AS n_questions
+FROM e"""
+
+
 # ---------------------------------------------------------------------------
 # Streaming (final state equals the batch result)
 # ---------------------------------------------------------------------------

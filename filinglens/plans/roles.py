@@ -84,3 +84,34 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_mktsegment") == TARGET_SEGMENT, F.to_date(F.lit(TARGET_PERIOD))).alias("filing_period"),
         (F.col("c_mktsegment") == FORCE_SEGMENT).alias("force_refresh"),
     )
+
+
+# An insights reply (@name, @cik: the company's) and defects as replacements
+# of a part of it.
+INSIGHTS_REPLY = (
+    '{"company_profile":{"name":"@name","ticker":"T","cik":"@cik","sector":null},'
+    '"filing_metadata":{"ticker":"T","cik":"@cik","company_name":"@name","form_type":"10-Q","filing_date":"2024-05-01",'
+    '"period_of_report":null,"accession_number":"A","primary_document":"d.htm"},'
+    '"high_level_summary":"sound","financial_summary":{"key_metrics":{"revenue":1.5,"eps":"0.25"},"narrative":"n"},'
+    '"risk_summary":[{"title":"t","description":"d","changed_since_prior":true},{"title":"u","description":"e"}],'
+    '"notable_events":[{"category":"M&A","summary":"s"}],'
+    '"liquidity_and_capital_structure":{"narrative":"l","leverage_metrics":{"debt_to_equity":2}},'
+    '"guidance_and_outlook":{"narrative":"g","time_horizon":null},"open_questions":["q","r"]}'
+)
+INSIGHTS_DEFECTS = (
+    ('"sector":null', '"sector":7'),
+    ('{"company_profile":', '{"company":'),
+    ('"ticker":"T","cik"', '"symbol":"T","cik"'),
+    ('"2024-05-01"', '"2024-13-01"'),
+    ('"period_of_report":null,', ''),
+    ('"sound"', '5'),
+    ('1.5', '"a lot"'),
+    ('"title":"u",', ''),
+    ('"changed_since_prior":true', '"changed_since_prior":"maybe"'),
+    ('[{"category":"M&A","summary":"s"}]', '"none"'),
+    ('{"narrative":"l","leverage_metrics":{"debt_to_equity":2}}', 'null'),
+    ('{"debt_to_equity":2}', '[2]'),
+    ('"narrative":"g",', ''),
+    ('["q","r"]', '["q",null]'),
+    (',"open_questions":["q","r"]', ''),
+)
