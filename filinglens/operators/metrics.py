@@ -103,17 +103,23 @@ def trailing(rev: DataFrame, quarters: int = 4) -> DataFrame:
 
 
 def pivot_facts(facts: DataFrame, row_key: Column, pivot_col: str, values: list[str], amount: Column) -> DataFrame:
-    return facts.groupBy(row_key.alias("row_key")).pivot(pivot_col, values).agg(F.sum(amount))
+    """Sums per row key, one column per value; every other value, null
+    included, adds to the column ``other``."""
+    value = F.when(F.col(pivot_col).isin(values), F.col(pivot_col)).otherwise(F.lit("other"))
+    keyed = facts.select(row_key.alias("row_key"), value.alias("_value"), amount.alias("_amount"))
+    return keyed.groupBy("row_key").pivot("_value", [*values, "other"]).agg(F.sum("_amount"))
 
 
 # -- X7 --------------------------------------------------------------------------
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: the 64-bit hashes of its distinct lines (rows
+    of one id count as one document)."""
     docs = spread(docs.select(id_col, text_col), id_col)
-    return docs.select(id_col, F.explode(non_blank_lines(F.col(text_col))).alias("line")).select(
-        id_col, F.md5("line").alias("h")
-    ).distinct()
+    lines = F.transform(non_blank_lines(F.col(text_col)), lambda x: F.xxhash64(x))
+    each = docs.select(id_col, F.coalesce(F.array_distinct(lines), F.array().cast("array<bigint>")).alias("h"))
+    return each.groupBy(id_col).agg(F.array_distinct(F.flatten(F.collect_list("h"))).alias("h"))
 
 
 def changed_since_prior(docs: DataFrame, group_col: str, id_col: str, text_col: str) -> DataFrame:
@@ -121,37 +127,24 @@ def changed_since_prior(docs: DataFrame, group_col: str, id_col: str, text_col:
     document of the same group (by id).
 
     The previous document comes from ``previous_in_group`` (no group is
-    sorted inside one task). Each distinct
-    (document, line hash) is emitted twice, once for its own document and
-    once, via the next-document map, for the document that follows it; one
-    aggregation by (document, hash) then tells whether the line is in the
-    current document, the prior one, or both. Keys are (document, hash), so
-    a line repeated across many documents is not a hot key.
+    sorted inside one task). Only line hashes are shuffled, eight bytes a
+    line: a document's array meets its own row and that of its prior, and
+    the differences are array functions. Keys are document ids, so neither a
+    group nor a line repeated across documents is a hot key.
     """
     pairs = previous_in_group(docs, group_col, id_col).withColumnRenamed("prior", "prior_id")
     h = line_hashes(docs, id_col, text_col)
-    nxt = pairs.where(F.col("prior_id").isNotNull()).select(F.col("prior_id").alias("_p"), F.col(id_col).alias("_next"))
-    as_cur = h.select(F.col(id_col).alias("_doc"), "h", F.lit(1).alias("in_cur"), F.lit(0).alias("in_prior"))
-    as_prior = h.join(nxt, h[id_col] == nxt["_p"]).select(
-        F.col("_next").alias("_doc"), "h", F.lit(0).alias("in_cur"), F.lit(1).alias("in_prior")
-    )
-    per_line = as_cur.unionByName(as_prior).groupBy("_doc", "h").agg(
-        F.max("in_cur").alias("c"), F.max("in_prior").alias("p")
-    )
-    per_doc = per_line.groupBy("_doc").agg(
-        F.sum("c").alias("n_lines"),
-        F.sum(F.when((F.col("c") == 1) & (F.col("p") == 0), 1).otherwise(0)).alias("added"),
-        F.sum(F.when((F.col("c") == 0) & (F.col("p") == 1), 1).otherwise(0)).alias("removed"),
-    )
-    out = pairs.join(per_doc, pairs[id_col] == per_doc["_doc"], "left")
+    cur = h.select(F.col(id_col).alias("_doc"), F.col("h").alias("_cur"))
+    prior = h.select(F.col(id_col).alias("_p"), F.col("h").alias("_prior"))
+    both = pairs.join(cur, pairs[id_col] == cur["_doc"], "left").join(prior, F.col("prior_id") == F.col("_p"), "left")
     has_prior = F.col("prior_id").isNotNull()
-    return out.select(
+    return both.select(
         group_col,
         id_col,
         "prior_id",
-        F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
-        F.when(has_prior, F.coalesce("added", F.lit(0))).cast("long").alias("added"),
-        F.when(has_prior, F.coalesce("removed", F.lit(0))).cast("long").alias("removed"),
+        F.coalesce(F.size("_cur"), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(has_prior, F.size(F.array_except("_cur", "_prior"))).cast("long").alias("added"),
+        F.when(has_prior, F.size(F.array_except("_prior", "_cur"))).cast("long").alias("removed"),
     )
 
 

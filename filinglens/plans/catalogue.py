@@ -478,14 +478,15 @@ def q_chunk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Index upsert, prompts, results
 # ---------------------------------------------------------------------------
 
-UPSERT_FIRST_LANGS = ("en", "de")
-UPSERT_SECOND_LANGS = ("de", "fr", "es")
+# Every document is in a batch, and most of the second batch is not in the first.
+UPSERT_LATER_LANGS = ("fr", "es")
+UPSERT_STABLE_LANG = "en"
 UPSERT_SECOND_OPTS = Options(max_chars=1000, overlap_chars=100)
 
 
-def _doc_index_batch(spark, sf_dir, langs, opts: Options) -> DataFrame:
+def _doc_index_batch(spark, sf_dir, tag: str, in_batch, opts: Options) -> DataFrame:
     """Documents as filings: accession = doc id, company = source."""
-    docs = _t(spark, sf_dir, "documents").where(F.col("lang").isin(*langs)).select(
+    docs = _t(spark, sf_dir, "documents").where(in_batch).select(
         F.col("doc_id").cast("string").alias("accession_number"),
         F.col("source").alias("cik"),
         F.upper("source").alias("ticker_norm"),
@@ -494,7 +495,7 @@ def _doc_index_batch(spark, sf_dir, langs, opts: Options) -> DataFrame:
         "text",
     )
     chunks = chunk_text(docs, "text", opts, keep=["accession_number", "cik", "ticker_norm", "section_order", "section_name"])
-    return embed(chunks, "text").withColumn("batch", F.lit(",".join(langs)))
+    return embed(chunks, "text").withColumn("batch", F.lit(tag))
 
 
 @register
@@ -502,8 +503,11 @@ def q_upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write a first batch, then upsert an overlapping re-chunked batch
     twice (the second run must change nothing); read the index back."""
     path = scratch_path(spark, "chunk-index")
-    _index.upsert_chunks(spark, path, _doc_index_batch(spark, sf_dir, UPSERT_FIRST_LANGS, OPTS), opts=OPTS)
-    second = _doc_index_batch(spark, sf_dir, UPSERT_SECOND_LANGS, UPSERT_SECOND_OPTS)
+    lang = F.coalesce("lang", F.lit(""))
+    _index.upsert_chunks(
+        spark, path, _doc_index_batch(spark, sf_dir, "first", ~lang.isin(*UPSERT_LATER_LANGS), OPTS), opts=OPTS
+    )
+    second = _doc_index_batch(spark, sf_dir, "second", lang != UPSERT_STABLE_LANG, UPSERT_SECOND_OPTS)
     _index.upsert_chunks(spark, path, second, opts=OPTS)
     _index.upsert_chunks(spark, path, second, opts=OPTS)
     idx = _index.read_index(spark, path)

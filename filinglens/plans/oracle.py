@@ -570,6 +570,7 @@ FROM w"""
 def _():
     amt = "CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))"
     cols = ", ".join(f"CAST(sum(CASE WHEN l_returnflag = '{v}' THEN {amt} END) AS BIGINT) AS \"{v}\"" for v in ("A", "N", "R"))
+    cols += f", CAST(sum(CASE WHEN coalesce(l_returnflag, '') NOT IN ('A', 'N', 'R') THEN {amt} END) AS BIGINT) AS other"
     return f"""
 SELECT CAST(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS row_key, {cols}
 FROM lineitem GROUP BY 1"""
@@ -610,20 +611,15 @@ def _():
 
 @sql("upsert_chunks")
 def _():
-    def part(langs, mx, ov):
-        lang_list = ", ".join(q(x) for x in langs)
-        tag = q(",".join(langs))
+    def part(tag, in_batch, mx, ov):
         return f"""
-SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, CAST(length(cs[i]) AS INTEGER) AS chars, md5(cs[i]) AS chunk_md5, {tag} AS batch
-FROM (SELECT doc_id, {chunk_list('text', chr(10), mx, ov)} AS cs FROM documents WHERE lang IN ({lang_list})) t,
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, CAST(length(cs[i]) AS INTEGER) AS chars, md5(cs[i]) AS chunk_md5, {q(tag)} AS batch
+FROM (SELECT doc_id, {chunk_list('text', chr(10), mx, ov)} AS cs FROM documents WHERE {in_batch}) t,
      range(1, len(cs) + 1) r(i)"""
 
-    first = part(("en", "de"), O.max_chars, O.overlap_chars)
-    second = part(("de", "fr", "es"), 1000, 100)
-    return f"""
-SELECT * FROM ({first}) a WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang IN ('de', 'fr', 'es'))
-UNION ALL
-{second}"""
+    kept = part("first", "lang = 'en'", O.max_chars, O.overlap_chars)
+    replaced = part("second", "lang IS DISTINCT FROM 'en'", 1000, 100)
+    return f"{kept} UNION ALL {replaced}"
 
 
 def _prompt_sql(ticker: str, thesis: str, goal: str) -> str:

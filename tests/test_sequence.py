@@ -23,3 +23,18 @@ def test_null_group_and_null_order(spark):
     assert len(got) == len(rows)
     assert [o for g, o, p in got if g is None and p is None] == [0]
     assert sorted((str(o), p) for g, o, p in got if g == "a") == [("1", None), ("2", 1), ("None", None)]
+
+
+def test_changed_since_prior_odd_documents(spark):
+    from filinglens.operators.metrics import changed_since_prior
+
+    rows = [
+        ("s", 1, "a\nb\nb"), ("s", 2, "b\nc"), ("s", 3, None), ("s", 4, ""), ("s", 5, "c\n\nd"),
+        (None, 6, "x"), (None, 7, "x"), ("t", None, "y"),
+    ]
+    df = spark.createDataFrame(rows, "source string, doc_id long, text string")
+    got = {(r.source, r.doc_id): tuple(r)[2:] for r in changed_since_prior(df, "source", "doc_id", "text").collect()}
+    assert got == {
+        ("s", 1): (None, 2, None, None), ("s", 2): (1, 2, 1, 1), ("s", 3): (2, 0, 0, 2), ("s", 4): (3, 0, 0, 0),
+        ("s", 5): (4, 2, 2, 0), (None, 6): (None, 1, None, None), (None, 7): (6, 1, 0, 0), ("t", None): (None, 0, None, None),
+    }
