@@ -23,10 +23,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (4-word shingles, Jaccard 0.85) the document
+    """Of each group of near copies (5-word shingles, Jaccard 0.8) the document
     with the smallest id; of rows that repeat an id and text, one. Documents
     without words or without an id are in no group and stay."""
-    groups = shingle_join.shingle_components(spark, docs)
+    groups = shingle_join.shingle_components(spark, docs, k=5, percent=80)
     first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     kept = docs.join(first, "doc_id")
     once = kept.where("_rows = 1").select(*docs.columns)
