@@ -8,9 +8,11 @@ cosine in double precision.
 
 Which lists suffice: a vector x linked with q lies at most d = sqrt(2 - 2t)
 from it. If x is in list j and q in list h, x is on j's side of the plane
-between the two centres, so q is at most d beyond that plane. A random
+between the two centres, so q is at most d beyond that plane (exact). A random
 direction takes only about d / sqrt(dims) of a step of length d; lists are
-visited up to ``slack`` times that. (``slack = sqrt(dims)`` would be exact.)
+visited up to ``slack`` times that, or further where links need it: all links
+of a sample of vectors are computed exactly, and lists are visited up to
+``margin`` times what the farthest of them takes, at most d.
 The lookup adds no loss: a code is dropped only if its distance plus its own
 known error rules out a link.
 """
@@ -58,11 +60,15 @@ class Quantiser:
     def distances(self, x: np.ndarray) -> np.ndarray:
         return (x * x).sum(axis=1)[:, None] + (self.centres**2).sum(axis=1) - 2 * x @ self.centres.T
 
-    def homes(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """Home list of each row, and which lists it has to visit."""
+    def beyond(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Home list of each row, and how far it is beyond the plane to each list."""
         d = self.distances(x)
         home = d.argmin(axis=1)
-        beyond = (d - d.min(axis=1, keepdims=True)) / self.gaps[home]
+        return home, (d - d.min(axis=1, keepdims=True)) / self.gaps[home]
+
+    def homes(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Home list of each row, and which lists it has to visit."""
+        home, beyond = self.beyond(x)
         visits = beyond <= reach
         visits[np.arange(len(x)), home] = True
         return home, visits
@@ -86,9 +92,35 @@ class Quantiser:
         return out
 
 
+def reach_of_links(spark: SparkSession, classes: DataFrame, shared, threshold: float, dims: int, dtype: str, rows: int, seed: int) -> float:
+    """How far beyond a plane the links of ``rows`` of the vectors with any
+    other take: a link is found when either end visits the other's list."""
+    asked = classes.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(rows).select("vec_id", "vec").toArrow()
+    asked = spark.sparkContext.broadcast((asked["vec_id"].to_numpy(), b"".join(asked["vec"].to_pylist())))  # at most rows vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = asked.value
+        q = np.frombuffer(q, dtype).reshape(-1, dims).astype(np.float64)
+        q /= np.sqrt((q * q).sum(axis=1, keepdims=True))
+        q_home, q_beyond = shared.value.beyond(q)
+        far = 0.0
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                x = unpack(part["vec"], dims, dtype)
+                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+                home, beyond = shared.value.beyond(x)
+                i, j = np.nonzero((q @ x.T >= threshold) & (ids[:, None] != part["vec_id"].to_numpy()[None, :]))
+                if len(i):
+                    far = max(far, float(np.minimum(q_beyond[i, home[j]], beyond[j, q_home[i]]).max()))
+        yield pa.RecordBatch.from_arrays([pa.array([far])], names=["far"])
+
+    return classes.select("vec_id", "vec").mapInArrow(run, "far double").agg(F.max("far")).first()[0]
+
+
 def near_duplicates(
     spark: SparkSession, vectors: DataFrame, threshold: float = 0.9, rows_per_list: int = 512, sample_rows: int = 16_384,
-    most_lists: int = 4096, slack: float = 2.0, seed: int = 17,
+    most_lists: int = 4096, slack: float = 2.0, seed: int = 17, reach_rows: int = 2048, margin: float = 1.25,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors``
     (vec_id: long, embedding). n_links: other rows with cosine >= ``threshold``
@@ -102,7 +134,9 @@ def near_duplicates(
     the id is null). Other columns are not read.
 
     The quantiser is fitted on at most ``sample_rows`` vectors (the smallest
-    by a seeded hash); every vector is indexed. Pairs are counted where they
+    by a seeded hash), the visits on the links of ``reach_rows``; every vector
+    is indexed. A link is lost only if it lies farther beyond a plane than
+    ``margin`` times every link of those. Pairs are counted where they
     are found and leave the task as counts and one edge per vector."""
     dims = dims_of(vectors)
     packed, dtype = pack(spark, vectors, dims)
@@ -116,7 +150,9 @@ def near_duplicates(
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
         lists = max(1, min(n // rows_per_list, most_lists, len(x) // 8))
         shared = spark.sparkContext.broadcast(Quantiser(x, lists, seed))  # at most most_lists centres
-    reach = slack * np.sqrt(2 - 2 * threshold) / np.sqrt(dims)
+        step = np.sqrt(2 - 2 * threshold)
+        reach = max(slack * step / np.sqrt(dims), margin * reach_of_links(spark, classes, shared, threshold, dims, dtype, reach_rows, seed + 1))
+        reach = min(reach, step + 1e-9)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

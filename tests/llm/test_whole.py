@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from filinglens.llm import neighbours
+from filinglens.llm import neighbours, vector_dedup
 
 
 def table_of(spark, x):
@@ -58,3 +58,25 @@ def test_neighbours_of_clusters_skip_products_and_keep_recall():
     for t in range(tables):
         met |= (neighbours.buckets(pairs[0], 23 + t, 64, probes) == neighbours.buckets(pairs[1], 23 + t, 64, 1)).any(axis=1)
     assert met.mean() >= 0.98
+
+
+def spectrum(power, n=6000, dims=64):
+    return np.random.default_rng(8).normal(size=(n, dims)) * np.arange(1, dims + 1) ** -power
+
+
+def common_shifts(n=6000, dims=64):
+    r = np.random.default_rng(9)
+    x = unit(r.normal(size=(n, dims)))
+    x[n // 2 :] = x[: n // 2]
+    x[n // 2 :, :4] += 0.22 * unit(r.normal(size=(n - n // 2, 4)))
+    return x * 2
+
+
+@pytest.mark.parametrize("kind", ["spectrum-1", "spectrum-1.5", "shifts"])
+def test_vector_dedup_finds_links_along_few_directions(spark, kind):
+    x = common_shifts() if kind == "shifts" else spectrum(float(kind.split("-")[1]))
+    near = unit(x) @ unit(x).T >= 0.9
+    np.fill_diagonal(near, False)
+    out = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicates(spark, table_of(spark, x)).collect()}
+    found = np.array([out[i] for i in range(len(x))])
+    assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.999 * near.sum()
