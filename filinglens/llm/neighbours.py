@@ -58,20 +58,28 @@ def best(q: np.ndarray, q_ids: np.ndarray, m: np.ndarray, m_ids: np.ndarray, k:
     with other ids, ties to the smaller id. Scores don't depend on the block."""
     order = np.argsort(m_ids, kind="stable")
     m, m_ids = m[order], m_ids[order]
+    m_ids, first, many = np.unique(m_ids, return_index=True, return_counts=True)  # rows that repeat an id take one place
+    k = min(k, len(m_ids))
     out = []
     for lo in range(0, len(q), 256):
         s = q[lo : lo + 256] @ m.T
+        if len(m_ids) < len(m):
+            s = np.maximum.reduceat(s, first, axis=1)
         s[q_ids[lo : lo + 256, None] == m_ids[None, :]] = -np.inf
-        least = np.partition(s, max(len(m) - k, 0), axis=1)[:, max(len(m) - k, 0)]
+        least = np.partition(s, len(m_ids) - k, axis=1)[:, len(m_ids) - k]
         # A hair of slack: the product of a block may differ in its last bits.
         rows, cols = np.nonzero((s >= (least - 1e-9 * np.maximum(1.0, np.abs(least)))[:, None]) & (s > -np.inf))
-        score = (q[lo + rows] * m[cols]).sum(axis=1)
+        if not len(rows):
+            continue
+        start = np.cumsum(many[cols]) - many[cols]
+        each = np.arange(many[cols].sum()) + np.repeat(first[cols] - start, many[cols])
+        score = np.maximum.reduceat((q[lo + np.repeat(rows, many[cols])] * m[each]).sum(axis=1), start)
         at = np.lexsort((cols, -score, rows))
         rows, cols, score = rows[at], cols[at], score[at]
         rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
         keep = rank < k
         out.append((q_ids[lo + rows[keep]], m_ids[cols[keep]], score[keep]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def fitted(q: np.ndarray, m: np.ndarray, band: np.ndarray, members: list[int], tables: int, probes: int, seed: int, dims: int, recall: float) -> list[tuple[int, int]]:
@@ -114,7 +122,8 @@ def nearest(
     the best of their scores (as a query too). Other columns are not read.
     ``tables`` at most and ``probes`` at least are used in each band of
     lengths, as many as find ``recall`` of the true neighbours of
-    ``sample_queries`` queries. Cost: half of all query-member products or
+    ``sample_queries`` queries; a query that so meets fewer than ``k`` is
+    scored against all, so it has all candidates if they are fewer. Cost: half of all query-member products or
     less in a band that is probed, all in one that is not, in blocks; buckets
     of any size are cut into blocks, none is capped."""
     dims = dims_of(vectors)
@@ -183,4 +192,13 @@ def nearest(
 
     id_type = packed.schema["vec_id"].dataType.simpleString()
     schema = f"vec_id {id_type}, vec binary, band int, table int, bucket int"
-    return ranked(asked.mapInArrow(index(True), schema), packed.mapInArrow(index(False), schema), ["band", "table", "bucket"])
+    probed = staged(spark, ranked(asked.mapInArrow(index(True), schema), packed.mapInArrow(index(False), schema), ["band", "table", "bucket"]), "neighbours")
+
+    # A query that met fewer than k although there are more is scored against all.
+    full = min(k, packed.select("vec_id").distinct().count() - 1)
+    served = probed.groupBy("query_id").count().where(F.col("count") >= full).select(F.col("query_id").alias("vec_id"))
+    short = staged(spark, asked.select("vec_id", "vec").join(served, "vec_id", "left_anti"), "short-queries")
+    if short.isEmpty():
+        return probed
+    again = short.select(F.col("vec_id").alias("query_id")).distinct()
+    return probed.join(again, "query_id", "left_anti").unionAll(exact(short))

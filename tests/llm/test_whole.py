@@ -80,3 +80,25 @@ def test_vector_dedup_finds_links_along_few_directions(spark, kind):
     out = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicates(spark, table_of(spark, x)).collect()}
     found = np.array([out[i] for i in range(len(x))])
     assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.999 * near.sum()
+
+
+@pytest.mark.parametrize("n", [15, 60])
+def test_neighbours_of_small_tables_are_all_there(spark, n):
+    x = unit(np.random.default_rng(n).normal(size=(n, 64)))
+    out = neighbours.nearest(spark, table_of(spark, x), queries="true").collect()
+    assert len(out) == n * min(20, n - 1) and recall_of(out, x, range(n), min(20, n - 1)) == 1.0
+
+
+def test_queries_that_met_too_few_are_scored_against_all(spark, monkeypatch):
+    r = np.random.default_rng(10)
+    x = unit(np.repeat(r.normal(size=(60, 32)), 5, axis=0) + 0.01 * r.normal(size=(300, 32)))
+    monkeypatch.setattr(neighbours, "fitted", lambda *a: [(1, 1)])  # a bucket holds the five or a few more
+    out = neighbours.nearest(spark, table_of(spark, x), queries="true").collect()
+    fewest = min(sum(r["query_id"] == q for r in out) for q in range(300))
+    assert fewest == 20 and sorted((r["query_id"], r["rank"]) for r in out) == [(q, k) for q in range(300) for k in range(1, 21)]
+
+
+def test_rows_that_repeat_an_id_take_one_place():
+    m = np.array([[9.0], [8.0], [9.5], [1.0], [2.0], [3.0]])
+    ids, found, score = neighbours.best(np.array([[1.0], [2.0]]), np.array([7, 5]), m, np.array([5, 5, 5, 1, 2, 7]), 2)
+    assert list(zip(ids, found, score)) == [(7, 5, 9.5), (7, 2, 2.0), (5, 7, 6.0), (5, 2, 4.0)]
