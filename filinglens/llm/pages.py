@@ -36,7 +36,8 @@ PART = re.compile(r"[a-z]+|[0-9]+")
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe object select".split())
+RAW = frozenset("script style noscript template textarea title iframe".split())  # without an end they take the rest of the page
+LEFT_BY_BLOCKS = frozenset("select svg".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
                    "time tt u var wbr img data".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
@@ -116,7 +117,7 @@ def tree(page: str) -> list[Node]:
                 at = end.end() if end else len(page)
             if tag not in ("script", "style", "template", "title"):
                 flush()
-                nodes[stack[-1][1]].inputs += tag in ("textarea", "select")
+                nodes[stack[-1][1]].inputs += tag == "textarea"
             continue
         if tag in INLINE:
             if closing:
@@ -140,6 +141,11 @@ def tree(page: str) -> list[Node]:
                 stack.pop()
                 inline.clear()
             continue
+        if tag in CLOSES_P:
+            for k in range(1, len(stack)):
+                if stack[k][0] in LEFT_BY_BLOCKS:
+                    del stack[k:]
+                    break
         if tag in CLOSES_P and stack[-1][0] == "p":
             stack.pop()
             inline.clear()
@@ -171,7 +177,7 @@ def tree(page: str) -> list[Node]:
         up.runs += v.runs
         up.paragraphs += v.paragraphs + (v.tag == "p")
         up.items += v.items + (v.tag == "li")
-        up.inputs += v.inputs + (v.tag in ("form", "button"))
+        up.inputs += v.inputs + (v.tag in ("form", "button", "select"))
     return nodes
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from filinglens.llm import neighbours, vector_dedup
+from filinglens.llm import neighbours, pages, vector_dedup
 
 
 def table_of(spark, x):
@@ -102,3 +102,20 @@ def test_rows_that_repeat_an_id_take_one_place():
     m = np.array([[9.0], [8.0], [9.5], [1.0], [2.0], [3.0]])
     ids, found, score = neighbours.best(np.array([[1.0], [2.0]]), np.array([7, 5]), m, np.array([5, 5, 5, 1, 2, 7]), 2)
     assert list(zip(ids, found, score)) == [(7, 5, 9.5), (7, 2, 2.0), (5, 7, 6.0), (5, 2, 4.0)]
+
+
+@pytest.mark.parametrize("odd", ["<select>", "<select><option>x", "<svg>", "<svg><path d='M0 0'>", "<object data=x>", "<object><object></object></object>"])
+def test_an_open_tag_keeps_the_rest_of_the_page(odd):
+    texts = [v.text for v in pages.tree(f"<div>a{odd}</div><article><p>b</p><p>c{odd}<p>d</p></article>") if v.text]
+    assert [t for t in texts if t != "x"] == ["a", "b", "c", "d"]
+    assert [v.text for v in pages.tree("<p>a<script>b</p>") if v.text] == ["a"]
+
+
+def test_main_text_after_an_open_tag(spark, sf):
+    table = spark.read.parquet(f"{sf}/pages.parquet")
+    model = pages.train(table, sample_pages=40, rounds=8, depth=4)
+    odd = [f"replace(html, '<article>', '{x}<article>') AS html" for x in ("<div><select><option>x</div>", "<div><object></div>", "<div><svg></div>")]
+    want = {r["page_id"]: r["text"] for r in pages.main_text(spark, table, model).collect()}
+    for x in odd:
+        got = {r["page_id"]: r["text"] for r in pages.main_text(spark, table.selectExpr("page_id", "url", x), model).collect()}
+        assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
