@@ -46,6 +46,11 @@ TEMPLATES = (
 THRESHOLD = 0.9
 
 
+def _step(words: int) -> int:
+    """16, 64, or for longer templates the next power of two."""
+    return 16 if words <= 16 else max(64, 1 << (words - 1).bit_length())
+
+
 def template_rows(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[dict]:
     """Distinct words, block step and least overlap of each template. Blocks
     are ``2 * step`` words long and start every ``step`` words, so any run
@@ -54,7 +59,7 @@ def template_rows(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[dic
     for i, (label, text) in enumerate(templates):
         tokens = text.replace(".", " ").split()
         words = sorted(set(tokens))
-        out.append({"template": i, "label": label, "words": words, "step": 16 if len(tokens) <= 16 else 64,
+        out.append({"template": i, "label": label, "words": words, "step": _step(len(tokens)),
                     "need": math.ceil(threshold * len(words) - 1e-9)})
     return out
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from filinglens.llm import neighbours, pages, vector_dedup
+from filinglens.llm import licenses, neighbours, pages, vector_dedup
 
 
 def table_of(spark, x):
@@ -119,3 +119,11 @@ def test_main_text_after_an_open_tag(spark, sf):
     for x in odd:
         got = {r["page_id"]: r["text"] for r in pages.main_text(spark, table.selectExpr("page_id", "url", x), model).collect()}
         assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+
+
+def test_long_templates_are_found_wherever_they_stand(spark, docs_of):
+    template = " ".join(f"t{i}" for i in range(150))
+    rows = [(n, " ".join(["word"] * n + [template, "end"])) for n in range(0, 200, 13)]
+    out = licenses.license_scan(spark, docs_of(rows), templates=(("long", template),)).collect()
+    assert {r["doc_id"]: r["labels"] for r in out} == {n: "long" for n, _ in rows}
+    assert {r["step"] for r in licenses.template_rows()} == {16, 64}
