@@ -114,12 +114,16 @@ def pivot_facts(facts: DataFrame, row_key: Column, pivot_col: str, values: list[
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: the 64-bit hashes of its distinct lines (rows
-    of one id count as one document)."""
-    docs = spread(docs.select(id_col, text_col), id_col)
+    """One row per document with an id: the 64-bit hashes of its distinct lines
+    (rows of one id count as one document). Rows of a repeated id are gathered
+    hash by hash, so equal ones are dropped on the way."""
+    docs = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)
+    again = docs.groupBy(F.col(id_col).alias("_id")).agg((F.count("*") > 1).alias("_again")).where("_again")
     lines = F.transform(non_blank_lines(F.col(text_col)), lambda x: F.xxhash64(x))
-    each = docs.select(id_col, F.coalesce(F.array_distinct(lines), F.array().cast("array<bigint>")).alias("h"))
-    return each.groupBy(id_col).agg(F.array_distinct(F.flatten(F.collect_list("h"))).alias("h"))
+    each = spread(docs, id_col).select(id_col, F.coalesce(F.array_distinct(lines), F.array().cast("array<bigint>")).alias("h"))
+    each = each.join(again, F.col(id_col) == F.col("_id"), "left")
+    parts = F.when(F.col("_again"), F.transform("h", lambda x: F.array(x))).otherwise(F.array("h"))
+    return each.select(id_col, F.explode_outer(parts).alias("h")).groupBy(id_col).agg(F.flatten(F.collect_set("h")).alias("h"))
 
 
 def changed_since_prior(docs: DataFrame, group_col: str, id_col: str, text_col: str) -> DataFrame:
