@@ -2,10 +2,14 @@
 
 import random
 
+import duckdb
 import numpy as np
+import public_tokenizers
+import sentencepiece
 
 import corpus_pipeline as pipeline
-from filinglens.llm import shingle_join
+from filinglens.llm import quality, shingle_join
+from filinglens.llm.queries import SQL
 
 
 def shingles(text, k=5):
@@ -66,3 +70,44 @@ def test_signatures_meet_at_four_fifths():
         assert keys[0] & keys[1]
         met += 1
     assert met > 100
+
+
+def test_stages_match_brute_force(spark, tmp_path):
+    r = random.Random(6)
+    good = [(i, f"plain words number {i} make a calm sentence about item{r.random()} here and there.", f"s{i % 3}") for i in range(100)]
+    bad = [(i, f"BUY!! NOW!! {i}!! CLICK!! HERE!!", "s0") for i in range(100, 160)]
+    copies = [(200 + i, good[i][1], good[i][2]) for i in range(10)]
+    odd = [(300, None, "s1"), (301, "", "s1"), (None, good[20][1], "s2"), (3, good[3][1], "s0"), (4, "another calm sentence with plain words here and there.", "s1")]
+    docs = spark.createDataFrame(good + bad + copies + odd, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in range(160)], "doc_id long, quality int")
+    for n, empty in enumerate((False, True)):
+        at = str(tmp_path / f"in{n}")
+        labels.write.parquet(f"{at}/labels.parquet")
+        (docs.limit(0) if empty else docs).write.parquet(f"{at}/documents.parquet")
+        now = spark.read.parquet(f"{at}/documents.parquet")
+        for i, (_, stage) in enumerate(pipeline.STAGES):
+            stage(spark, now, at).write.parquet(f"{at}/out{i}")
+            before, now = now, spark.read.parquet(f"{at}/out{i}")
+            was, got = ([tuple(x) for x in df.collect()] for df in (before, now))
+            if i == 0:
+                model = quality.fit(before, labels)
+                want = [tuple(x)[:3] for x in quality.score_quality(spark, before, model).collect() if x["predicted"] == 1]
+                assert empty or {d[0] for d in good} - {x[0] for x in got} == set() and not {x[0] for x in got} & {d[0] for d in bad}
+            elif i == 1:
+                stay = one_of_near_copies([x[:2] for x in was])
+                got = [x[:2] for x in got]
+                want = stay
+            elif i == 2:
+                con = duckdb.connect()
+                con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+                if was:
+                    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", was)
+                taken = {(d, n): t for d, n, _, _, t in con.execute(SQL["op4_mixture"]).fetchall()}
+                want = [x for x in was if (n := len((x[1] or "").split())) for _ in range(int(taken[x[0], n] / n + 0.5))]
+            else:
+                library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+                want = [tuple(library.encode(x[1] or "")) for x in was]
+                got = [tuple(x["token_ids"]) for x in now.collect()]
+            assert sorted(got, key=repr) == sorted(want, key=repr), i
+        whole = pipeline.run(spark, at)
+        assert sorted(map(repr, whole.collect())) == sorted(map(repr, now.collect())) and (whole.count() == 0) == empty
