@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filinglens.llm import licenses, mixture, neighbours, pages, pieces, quality, shards, shingle_join, tokens, vector_dedup
+from filinglens.llm import audit, licenses, mixture, neighbours, pages, pieces, quality, shards, shingle_join, tokens, vector_dedup
 from filinglens.sources.tables import read_table
 
 
@@ -57,9 +57,14 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark, read_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 20 == 0)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_licenses, op3_shards, op4_mixture, op5_pieces, op6_vector_dedup, op7_shingle_join, op8_token_counts, op9_main_text, op10_neighbours)
+    for f in (op1_quality, op2_licenses, op3_shards, op4_mixture, op5_pieces, op6_vector_dedup, op7_shingle_join, op8_token_counts, op9_main_text, op10_neighbours,
+              op12_filter_audit)
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -147,5 +152,41 @@ reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM s UNION SELECT reach.doc_id, e.y FROM reach JOIN e ON reach.other = e.x
 )
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, (SELECT min(other) FROM reach WHERE reach.doc_id = s.doc_id) AS component_id FROM s
+""",
+    # Every order's steps from the counts of failure combinations.
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS low FROM d),
+f AS (
+  SELECT doc_id, part,
+    CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN low < doc_id THEN 16 ELSE 0 END AS bits
+  FROM w
+), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, bits, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY part, bits
+), x(v) AS (VALUES (0), (1), (2), (3), (4)),
+o AS (
+  SELECT [a.v, b.v, c.v, d.v, e.v] AS o FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.v, b.v, c.v, d.v, e.v])) = 5
+), s AS (
+  SELECT array_to_string(list_transform(o, lambda i: chr(65 + i)), '') AS filter_order, step::INTEGER AS step, 1 << o[step] AS own,
+    list_sum(list_transform(o[1 : step - 1], lambda i: 1 << i)) AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS step)
+), r AS (
+  SELECT part, filter_order, step, own,
+    CAST(coalesce(sum(n) FILTER (WHERE bits & (own | coalesce(before, 0)::INTEGER) = 0), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (WHERE bits & own > 0 AND bits & coalesce(before, 0)::INTEGER = 0), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (WHERE bits & own > 0 AND bits & coalesce(before, 0)::INTEGER > 0), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (WHERE bits = own), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (WHERE bits & own > 0 AND bits & coalesce(before, 0)::INTEGER = 0), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (WHERE bits & own > 0 AND bits & coalesce(before, 0)::INTEGER = 0), 0) AS BIGINT) AS toxic_lost
+  FROM c, s GROUP BY ALL
+)
+SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
 """,
 }
