@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filinglens.llm import audit, licenses, mixture, neighbours, pages, pieces, quality, shards, shingle_join, tokens, vector_dedup
+from filinglens.llm import align, audit, licenses, mixture, neighbours, pages, pieces, quality, shards, shingle_join, tokens, vector_dedup
 from filinglens.sources.tables import read_table
 
 
@@ -61,10 +61,15 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return align.align(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_quality, op2_licenses, op3_shards, op4_mixture, op5_pieces, op6_vector_dedup, op7_shingle_join, op8_token_counts, op9_main_text, op10_neighbours,
-              op12_filter_audit)
+              op12_filter_audit, op13_alignment)
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
