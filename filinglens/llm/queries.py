@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filinglens.llm import align, audit, licenses, mixture, neighbours, pages, pieces, quality, shards, shingle_join, tokens, vector_dedup
+from filinglens.llm import align, audit, licenses, mixture, neighbours, pages, pieces, pii, quality, shards, shingle_join, tokens, vector_dedup
 from filinglens.sources.tables import read_table
 
 
@@ -57,6 +57,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark, read_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 20 == 0)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -69,7 +73,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (op1_quality, op2_licenses, op3_shards, op4_mixture, op5_pieces, op6_vector_dedup, op7_shingle_join, op8_token_counts, op9_main_text, op10_neighbours,
-              op12_filter_audit, op13_alignment)
+              op11_pii, op12_filter_audit, op13_alignment)
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
