@@ -17,7 +17,7 @@ import hashlib
 import pickle
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -28,11 +28,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from filinglens.llm.common import renamed, staged
+from filinglens.llm.pieces import threads
 
 # A space between two characters that are no white space (some other
 # characters are left out too): no token of either kind spans its start.
 SAFE = re.compile(
-    rb"(?:[\x21-\x7e]|[\xc3-\xdf][\x80-\xbf]|[\xe0\xe4-\xee][\x80-\xbf]{2}|\xe3[\x81-\xbf][\x80-\xbf]|[\xf0-\xf4][\x80-\xbf]{3})"
+    rb"(?:(?<=[\x21-\x7e])|(?<=[\xc3-\xdf][\x80-\xbf])|(?<=[\xe0\xe4-\xee][\x80-\xbf]{2})|(?<=\xe3[\x81-\xbf][\x80-\xbf])|(?<=[\xf0-\xf4][\x80-\xbf]{3}))"
     rb"(?= (?:[\x21-\x7e\xc3-\xe0\xe4-\xee\xf0-\xf4]|\xe3[\x81-\xbf]))")
 WIDE_GROUP = 4096  # links; in wider groups equal ids are counted first
 
@@ -214,8 +215,8 @@ class Fragment:
             out.pair, out.times = self.pair, self.times
             low = None
         elif not len(common):
-            out.prefix = seam  # so right is open too
-            return out
+            # Where ``right`` is closed, the other kind's token up to its first common end began further left.
+            return replace(right, prefix=seam)
         else:
             low, common = common[0], common[1:]
             out.prefix = seam.between(None, low)
@@ -263,35 +264,90 @@ def columns_of(f: Fragment) -> tuple:
     return f.n_a, f.n_b, f.n_groups, f.n_links, hashlib.sha256(f.groups[:-1].encode()).hexdigest(), f.pair.astype("<i8").tobytes(), f.times.astype("<i4").tobytes()
 
 
-def whole_texts(t: Tokenizers, raw: list[bytes]) -> list[tuple]:
-    """``columns_of`` the finished fragments of short texts, in one go: end
-    to end, they are one run of groups."""
-    out: list[tuple] = [EMPTY] * len(raw)
-    ids = t.encode(raw)
-    good = [i for i, x in enumerate(ids) if x is not None]
-    if not good:
+class Words:
+    """Fragments of words, which lie between two safe places and so are closed
+    at both ends, each computed once, and their products. At most ``most`` short words are remembered."""
+
+    def __init__(self, t: Tokenizers, most: int = 60_000):
+        self.t, self.most = t, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.text: list[str] = []
+        self.size = 0  # of the words and their texts
+        self.counts = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links, whether the tokens spell the word
+        self.pair, self.times, self.end = (np.zeros(0, np.int64) for _ in range(3))
+
+    def meet(self, words: list[bytes]) -> None:
+        """Computes the fragments of new words: end to end, they are one run of groups."""
+        ids = self.t.encode(words)
+        good = [i for i, x in enumerate(ids) if x is not None]
+        counts = np.zeros((len(words), 5), np.int64)
+        text, times_of = [""] * len(words), np.zeros(len(words), np.int64)
+        pair = times = np.zeros(0, np.int64)
+        if good:
+            a, b = (np.concatenate([ids[i][k] for i in good]) for k in (0, 1))
+            a_end, b_end = np.cumsum(self.t.a_len[a]), np.cumsum(self.t.b_len[b])
+            common = np.intersect1d(a_end, b_end, assume_unique=True)
+            ga, gb = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
+            links, group, pair, times = pairs_of(a, ga, b, gb, len(common), self.t.width)
+            cut = np.concatenate([[0], np.searchsorted(common, np.cumsum([len(words[i]) for i in good]), side="right")])
+            word, pair, times = summed(np.searchsorted(cut[1:], group, side="right"), pair, times)
+            names, start = spelled(self.t, a, ga, b, gb, len(common))
+            total = np.concatenate([[0], np.cumsum(links)])
+            counts[good] = np.column_stack([[len(ids[i][0]) for i in good], [len(ids[i][1]) for i in good], np.diff(cut), np.diff(total[cut]), np.ones(len(good), np.int64)])
+            for i, lo, hi in zip(good, cut[:-1], cut[1:], strict=True):
+                text[i] = "".join(names[start[lo] : start[hi]])
+            times_of[good] = np.bincount(word, minlength=len(good))
+        before = self.end[-1] if len(self.end) else 0
+        self.number.update(zip(words, range(len(self.text), len(self.text) + len(words)), strict=True))
+        self.text += text
+        self.size += sum(map(len, words)) + sum(map(len, text))
+        self.counts = np.concatenate([self.counts, counts])
+        self.pair, self.times = np.concatenate([self.pair, pair]), np.concatenate([self.times, times])
+        self.end = np.concatenate([self.end, before + np.cumsum(times_of)])
+
+    def products(self, texts: list[list[bytes]]) -> list[Fragment]:
+        """The closed fragment of each text, given as its words."""
+        if len(self.number) > self.most or self.size > self.most * 200:
+            self.forget()
+        new = sorted(set().union(*texts).difference(self.number))
+        if new:
+            self.meet(new)
+        ids = [np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)) for words in texts]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        every, doc = np.concatenate(ids) if ids else np.zeros(0, np.int64), np.repeat(np.arange(len(ids)), sizes)
+        doc, word, n = summed(doc, every, np.ones(len(every), np.int64))
+        held = np.diff(self.end, prepend=0)[word]
+        at = np.repeat(self.end[word] - held - (np.cumsum(held) - held), held) + np.arange(held.sum())
+        owner, pair, times = summed(np.repeat(doc, held), self.pair[at], self.times[at] * np.repeat(n, held))
+        cut = np.searchsorted(owner, np.arange(len(ids) + 1))
+        out = []
+        for k, x in enumerate(ids):
+            c = self.counts[x]
+            if not c[:, 4].all():
+                out.append(Fragment(False, NO_TOKENS))
+                continue
+            n_a, n_b, n_groups, n_links = c[:, :4].sum(axis=0).tolist()
+            part = slice(cut[k], cut[k + 1])
+            out.append(Fragment(True, NO_TOKENS, NO_TOKENS, "".join(map(self.text.__getitem__, x.tolist())), n_groups, n_links, n_a, n_b, pair[part], times[part]))
         return out
-    a, b = (np.concatenate([ids[i][k] for i in good]) for k in (0, 1))
-    a_end, b_end = np.cumsum(t.a_len[a]), np.cumsum(t.b_len[b])
-    common = np.intersect1d(a_end, b_end, assume_unique=True)
-    ga, gb = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
-    links, group, pair, times = pairs_of(a, ga, b, gb, len(common), t.width)
-    cut = np.searchsorted(common, np.cumsum([len(raw[i]) for i in good]), side="right")  # groups up to each text's end
-    doc = np.searchsorted(cut, group, side="right")
-    doc, pair, times = summed(doc, pair, times)
-    names, start = spelled(t, a, ga, b, gb, len(common))
-    total = np.concatenate([[0], np.cumsum(links)])
-    at = np.searchsorted(doc, np.arange(len(good) + 1))
-    first = 0
-    for k, i in enumerate(good):
-        last = int(cut[k])
-        text = "".join(names[start[first] : start[last]])[:-1]
-        part = slice(at[k], at[k + 1])
-        if raw[i]:
-            out[i] = (len(ids[i][0]), len(ids[i][1]), last - first, int(total[last] - total[first]), hashlib.sha256(text.encode()).hexdigest(),
-                      pair[part].astype("<i8").tobytes(), times[part].astype("<i4").tobytes())
-        first = last
-    return out
+
+    def range_of(self, raw: bytes, at: int, low: int, high: int) -> Fragment:
+        """The fragment of [low, high) of a text of which ``raw``, from offset
+        ``at`` on, begins and ends at safe places: its outer words may be cut."""
+        words = SAFE.split(raw)
+        edges = [words[0], words[-1]][: len(words)]
+        first, *last = (leaf(self.t, x, place, low, high) for x, place in zip(self.t.encode(edges), (at, at + len(raw) - len(words[-1])), strict=False))
+        for f in [*self.products([words[1:-1]] if len(words) > 2 else []), *last]:
+            first = first.then(self.t, f)
+        return first
+
+
+def whole_texts(w: Words, raw: list[bytes]) -> list[tuple]:
+    """``columns_of`` the fragments of texts (each begins with the space in front)."""
+    return [columns_of(f) for f in w.products([SAFE.split(r) if r else [] for r in raw])]
 
 
 def aligned(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, span: int, fan: int) -> tuple[DataFrame, str]:
@@ -301,26 +357,27 @@ def aligned(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, span
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        t = Tokenizers(path_a, path_b)
+        threads()
+        w = Words(Tokenizers(path_a, path_b))
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64).to_pydict()
-                rows, spans = [], []
-                raw = [b" " + x.encode() if x else b"" for x in part["text"]]
-                long = [t.by_range and len(r) > span for r in raw]
-                short = whole_texts(t, [b"" if x else r for r, x in zip(raw, long, strict=True)])
-                for r, doc_id, is_long, done in zip(raw, part["doc_id"], long, short, strict=True):
-                    cuts = spans_of(len(r), [m.end() for m in SAFE.finditer(r)], span) if is_long else []
-                    if len(cuts) > 1:
-                        spans += [(row, doc_id, *done, no, low, high, at, r[at:to]) for no, (low, high, at, to) in enumerate(cuts)]
-                    else:
-                        rows.append((row, doc_id, *(whole_texts(t, [r])[0] if is_long else done), None, None, None, None, None))
+                part = batch.slice(lo, 64)
+                raw = [b" " + x.encode() if x else b"" for x in part["text"].to_pylist()]
+                cuts = [spans_of(len(r), [m.end() for m in SAFE.finditer(r)], span) if w.t.by_range and len(r) > span else [] for r in raw]
+                done = whole_texts(w, [b"" if len(c) > 1 else r for r, c in zip(raw, cuts, strict=True)])
+                rows, size = [], 0
+                for r, doc_id, own, spans in zip(raw, part["doc_id"].to_pylist(), done, cuts, strict=True):
+                    if len(spans) < 2:
+                        rows.append((row, doc_id, *own, None, None, None, None, None))
+                    for no, (low, high, at, to) in enumerate(spans if len(spans) > 1 else []):
+                        rows.append((row, doc_id, *own, no, low, high, at, r[at:to]))
+                        size += to - at
+                        if size > 1 << 21:
+                            yield table(rows)
+                            rows, size = [], 0
                     row += 1
-                    if sum(len(s[-1]) for s in spans) > 1 << 22:
-                        yield table(spans)
-                        spans = []
-                yield table(rows + spans)
+                yield table(rows)
 
     schema = ROW.format(kind) + ", no int, low long, high long, at long, bytes binary"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
@@ -336,14 +393,14 @@ def aligned(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, span
     if most is None:
         return whole, kind
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = Tokenizers(path_a, path_b)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        threads()
+        w = Words(Tokenizers(path_a, path_b))
         for b in batches:
-            for lo in range(0, len(b), 32):
-                p = b.iloc[lo : lo + 32]
-                ids = t.encode([bytes(x) for x in p["bytes"]])
-                f = [leaf(t, x, *place).packed() for x, place in zip(ids, p[["at", "low", "high"]].itertuples(index=False), strict=True)]
-                yield pd.DataFrame({"row": p["row"], "doc_id": p["doc_id"], "no": p["no"], "fragment": f})
+            for lo in range(0, b.num_rows, 64):
+                p = b.slice(lo, 64)
+                found = [w.range_of(*x).packed() for x in zip(*(p[c].to_pylist() for c in ("bytes", "at", "low", "high")), strict=True)]
+                yield pa.RecordBatch.from_arrays([p["row"], p["doc_id"], p["no"], pa.array(found, pa.binary())], names=["row", "doc_id", "no", "fragment"])
 
     def compose(p: pd.DataFrame) -> pd.DataFrame:
         t = known(path_a, path_b)
@@ -360,7 +417,7 @@ def aligned(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, span
             yield pd.concat([b[["row", "doc_id"]], done], axis=1)
 
     shape = f"row long, doc_id {kind}, no int, fragment binary"
-    level = parts.repartition(F.col("row"), F.col("no")).mapInPandas(encode, shape)
+    level = parts.repartition(F.col("row"), F.col("no")).mapInArrow(encode, shape)
     while most:
         level = staged(spark, level, "fragments").groupBy("row", F.floor(F.col("no") / fan).alias("_up")).applyInPandas(compose, shape)
         most //= fan

@@ -59,7 +59,13 @@ def test_groups_meet_in_any_order():
     for text in (x for x in TEXTS if x and "▁" not in x and "\x00" not in x):
         raw = b" " + text.encode()
         ids = t.encode([raw])[0]
-        want = align.whole_texts(t, [raw])[0]
+        words = align.Words(t)
+        want = align.whole_texts(words, [raw])[0]
+        safe = [m.end() for m in align.SAFE.finditer(raw)]
+        parts = [words.range_of(raw[at:to], at, lo, hi) for lo, hi, at, to in align.spans_of(len(raw), safe, 50)]
+        while len(parts) > 1:
+            parts[-2:] = [parts[-2].then(t, parts[-1])]
+        assert align.columns_of(align.finished(t, parts[0])) == want
         for _ in range(6):
             cuts = sorted({0, len(raw), *(r.randrange(len(raw)) for _ in range(r.randrange(9)))})
             parts = [align.leaf(t, ids, 0, lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
