@@ -32,9 +32,11 @@ from filinglens.llm.pieces import threads
 
 # A space between two characters that are no white space (some other
 # characters are left out too): no token of either kind spans its start.
-SAFE = re.compile(
-    rb"(?:(?<=[\x21-\x7e])|(?<=[\xc3-\xdf][\x80-\xbf])|(?<=[\xe0\xe4-\xee][\x80-\xbf]{2})|(?<=\xe3[\x81-\xbf][\x80-\xbf])|(?<=[\xf0-\xf4][\x80-\xbf]{3}))"
-    rb"(?= (?:[\x21-\x7e\xc3-\xe0\xe4-\xee\xf0-\xf4]|\xe3[\x81-\xbf]))")
+_LEFT = (rb"[\x21-\x7e]", rb"[\xc3-\xdf][\x80-\xbf]", rb"[\xe0\xe4-\xee][\x80-\xbf]{2}", rb"\xe3[\x81-\xbf][\x80-\xbf]", rb"[\xf0-\xf4][\x80-\xbf]{3}")
+_RIGHT = rb" (?:[\x21-\x7e\xc3-\xe0\xe4-\xee\xf0-\xf4]|\xe3[\x81-\xbf])"
+SAFE = re.compile(b"(?:" + b"|".join(b"(?<=" + x + b")" for x in _LEFT) + b")(?=" + _RIGHT + b")")
+# A word that may stand between any two others, with a safe place on each side.
+JOINS = re.compile(_RIGHT + b"(?s:.*)(?:" + b"|".join(b"(?<=" + x + b")" for x in _LEFT) + b")")
 WIDE_GROUP = 4096  # links; in wider groups equal ids are counted first
 
 
@@ -268,7 +270,7 @@ class Words:
     """Fragments of words, which lie between two safe places and so are closed
     at both ends, each computed once, and their products. At most ``most`` short words are remembered."""
 
-    def __init__(self, t: Tokenizers, most: int = 60_000):
+    def __init__(self, t: Tokenizers, most: int = 150_000):
         self.t, self.most = t, most
         self.forget()
 
@@ -280,26 +282,38 @@ class Words:
         self.pair, self.times, self.end = (np.zeros(0, np.int64) for _ in range(3))
 
     def meet(self, words: list[bytes]) -> None:
-        """Computes the fragments of new words: end to end, they are one run of groups."""
-        ids = self.t.encode(words)
-        good = [i for i, x in enumerate(ids) if x is not None]
-        counts = np.zeros((len(words), 5), np.int64)
-        text, times_of = [""] * len(words), np.zeros(len(words), np.int64)
+        """Computes the fragments of new words. Many are encoded as one text,
+        end to end, as they'd stand in a document; all are one run of groups."""
+        joined, alone = [w for w in words if JOINS.fullmatch(w)], [w for w in words if not JOINS.fullmatch(w)]
+        texts = [joined[i : i + 400] for i in range(0, len(joined), 400)] + [[w] for w in alone]
+        ids = self.t.encode([b"".join(x) for x in texts])
+        for i in [i for i, x in enumerate(ids) if x is None and len(texts[i]) > 1]:  # some word isn't spelt by its tokens
+            texts += [[w] for w in texts[i]]
+            ids += self.t.encode(texts[i])
+            texts[i] = []
+        good = [(x, y) for x, y in zip(texts, ids, strict=True) if x and y is not None]
+        words = [w for x, _ in good for w in x]
+        n = len(words)
+        counts, text, held = np.zeros((n, 5), np.int64), [], np.zeros(n, np.int64)
         pair = times = np.zeros(0, np.int64)
         if good:
-            a, b = (np.concatenate([ids[i][k] for i in good]) for k in (0, 1))
+            a, b = (np.concatenate([y[k] for _, y in good]) for k in (0, 1))
             a_end, b_end = np.cumsum(self.t.a_len[a]), np.cumsum(self.t.b_len[b])
             common = np.intersect1d(a_end, b_end, assume_unique=True)
             ga, gb = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
             links, group, pair, times = pairs_of(a, ga, b, gb, len(common), self.t.width)
-            cut = np.concatenate([[0], np.searchsorted(common, np.cumsum([len(words[i]) for i in good]), side="right")])
+            ends = np.cumsum([0, *map(len, words)])
+            of_a, of_b, cut = (np.searchsorted(x, ends, side="right") for x in (a_end, b_end, common))
             word, pair, times = summed(np.searchsorted(cut[1:], group, side="right"), pair, times)
             names, start = spelled(self.t, a, ga, b, gb, len(common))
             total = np.concatenate([[0], np.cumsum(links)])
-            counts[good] = np.column_stack([[len(ids[i][0]) for i in good], [len(ids[i][1]) for i in good], np.diff(cut), np.diff(total[cut]), np.ones(len(good), np.int64)])
-            for i, lo, hi in zip(good, cut[:-1], cut[1:], strict=True):
-                text[i] = "".join(names[start[lo] : start[hi]])
-            times_of[good] = np.bincount(word, minlength=len(good))
+            counts = np.column_stack([np.diff(of_a), np.diff(of_b), np.diff(cut), np.diff(total[cut]), np.ones(n, np.int64)])
+            places = start[cut].tolist()
+            text = ["".join(names[lo:hi]) for lo, hi in zip(places[:-1], places[1:], strict=True)]
+            held = np.bincount(word, minlength=n)
+        bad = [w for x, y in zip(texts, ids, strict=True) if y is None for w in x]
+        words, text = words + bad, text + [""] * len(bad)
+        counts, times_of = np.concatenate([counts, np.zeros((len(bad), 5), np.int64)]), np.concatenate([held, np.zeros(len(bad), np.int64)])
         before = self.end[-1] if len(self.end) else 0
         self.number.update(zip(words, range(len(self.text), len(self.text) + len(words)), strict=True))
         self.text += text
