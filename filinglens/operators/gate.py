@@ -124,3 +124,13 @@ def gate(
         .otherwise("ingest")
     )
     return req.withColumn("action", action)
+
+
+def reconcile(listing: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that the two tables hold a different number of times, with
+    ``missing`` (listed more often than stored) and ``surplus`` (the other way round):
+    EXCEPT ALL both ways as one aggregation, combined before its only
+    shuffle, so that a key with very many copies is one row per task. Null keys are keys."""
+    both = listing.select(*keys, F.lit(1).cast("long").alias("_n")).unionAll(index.select(*keys, F.lit(-1).cast("long").alias("_n")))
+    left = both.groupBy(*keys).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    return left.select(*keys, F.greatest("_n", F.lit(0)).alias("missing"), F.greatest(-F.col("_n"), F.lit(0)).alias("surplus"))

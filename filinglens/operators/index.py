@@ -75,6 +75,12 @@ def upsert_chunks(
         # Year 0 holds the filings without a date.
         b = b.withColumn(YEAR_COL, F.coalesce(F.year(F.col(date_col)), F.lit(0)))
         parts = [YEAR_COL, BUCKET_COL]
+    replace_rows(spark, index_path, b, parts, filing_key, filings)
+
+
+def replace_rows(spark: SparkSession, index_path: str, b: DataFrame, parts: list[str], filing_key: str, filings: DataFrame | None = None) -> None:
+    """Replace, by filing, rows of a table partitioned by ``parts``: those of
+    the filings in ``b`` (and ``filings``) go, the rows of ``b`` come."""
     writer_opts = {"partitionOverwriteMode": "dynamic"}
     ensure_checkpoint_dir(spark)
     # The batch is read several times below; keep it instead of re-deriving it

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from filinglens.functions.text import non_blank_lines
 from filinglens.functions.vectors import hash_embedding
 from filinglens.functions.vectors import norm as _vnorm
+from filinglens.operators import ann as _ann
 from filinglens.operators import entity as _entity
 from filinglens.operators import filings as _filings
 from filinglens.operators import gate as _gate
@@ -27,6 +28,8 @@ from filinglens.operators.chunking import chunk_text, split_sections
 from filinglens.operators.embedding import embed, embed_distinct, normalize_vectors
 from filinglens.operators.parse import explode_lines, html_to_lines, parse_filings
 from filinglens.operators.search import cosine_topk, search
+from filinglens.operators.sequence import global_ranks
+from filinglens.operators.temporal import asof_join, points_in_intervals
 from filinglens.options import Options
 from filinglens.plans import roles
 from filinglens.session import scratch_path
@@ -361,6 +364,43 @@ def q_latest_cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gate.merge_latest_cache(old, batch)
 
 
+@register
+def q_asof_filing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest filing of its company known when each request arrived."""
+    known = roles.filings(spark, sf_dir).withColumn("filed", roles.filed_at())
+    joined = asof_join(roles.arrivals(spark, sf_dir), known, by="cik", left_time="arrived", right_time="filed", carry=["filed", "accession_number", "form_type"])
+    return joined.select("event_id", "cik", "accession_number", "form_type", (F.col("arrived") - F.col("filed")).alias("age_seconds"))
+
+
+@register
+def q_valid_at_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with every filing of their company that holds when they
+    arrive: a year, a quarter, a month or a day, by form."""
+    days = F.lit(None).cast("long")
+    for form, n in roles.HOLDS_DAYS.items():
+        days = F.when(F.col("form_type") == form, F.lit(n).cast("long")).otherwise(days)
+    held = roles.filings(spark, sf_dir).select("cik", "accession_number", roles.filed_at().alias("begins"), (roles.filed_at() + days * 86_400).alias("ends"))
+    met = points_in_intervals(roles.arrivals(spark, sf_dir), held, by="cik", time="arrived", start="begins", end="ends", width=86_400)
+    return met.select("event_id", "accession_number", (F.col("arrived") - F.col("begins")).alias("age_seconds"))
+
+
+@register
+def q_reconcile_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed filings against stored ones, some of which are stored twice,
+    not at all, or under a number that no listing has."""
+    f = roles.filings(spark, sf_dir)
+    stored = f.where("pos % 3 <> 0").select("cik", "accession_number")
+    twice = f.where("pos % 5 = 0").select("cik", "accession_number")
+    unlisted = f.where("pos % 7 = 0").select("cik", F.concat(F.lit("X"), "accession_number").alias("accession_number"))
+    return _gate.reconcile(f, stored.unionAll(twice).unionAll(unlisted), ["cik", "accession_number"])
+
+
+@register
+def q_filing_size_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank, percent rank and decile of every document by its length."""
+    return global_ranks(_t(spark, sf_dir, "documents"), "doc_id", "n_chars", 10)
+
+
 # ---------------------------------------------------------------------------
 # Sections, vector variants, analytics
 # ---------------------------------------------------------------------------
@@ -424,6 +464,30 @@ def q_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumnRenamed("qlabel", "label")
 
 
+ANN_RECALL = 0.95
+
+
+@register
+def q_ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a query against an inverted-list index of all vectors,
+    built by two upserts that overlap (the second run twice): its best hit,
+    and whether the ten hits of all queries reach the wanted recall."""
+    stored = company_index(spark, sf_dir).withColumn("accession_number", F.concat("accession_number", F.lit("-"), (F.col("vec_id") / 100).cast("long")))
+    path = scratch_path(spark, "ann")
+    part = F.substring_index(F.substring("accession_number", 2, 99), "-", 1).cast("int")
+    _ann.upsert_ann(spark, path, stored.where(part < 15), opts=OPTS)
+    for _ in range(2):
+        _ann.upsert_ann(spark, path, stored.where(part >= 10), opts=OPTS)
+    probes = _ann.fit_probes(spark, path, key_cols=["vec_id"], k=OPTS.search_k, opts=OPTS)
+    queries = _vector_queries(stored.select("vec_id", "embedding", F.lit(0).alias("label")), OPTS.search_k, False)
+    out = scratch_path(spark, "ann-hits")
+    _ann.ann_topk(spark, path, queries, key_cols=["vec_id"], probes=probes, opts=OPTS).write.parquet(out)
+    hits = spark.read.parquet(out)
+    true = cosine_topk(stored, queries, key_cols=["vec_id"], opts=OPTS).select("query_id", "vec_id")
+    met = true.join(hits.select("query_id", "vec_id", F.lit(1).alias("_found")), ["query_id", "vec_id"], "left").agg(F.avg(F.coalesce("_found", F.lit(0))).alias("r")).first()
+    return hits.where("rank = 1").select("query_id", F.col("vec_id").alias("top_id"), F.col("score").alias("top_score"), F.lit(met["r"] is None or met["r"] >= ANN_RECALL).alias("recall_reached"))
+
+
 @register
 def q_ingest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -632,3 +696,17 @@ def q_stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n_events", "value_cents"
     )
+
+
+@register
+def q_stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events arrive twice, the copies in later micro-batches."""
+    events = _t(spark, sf_dir, "events")
+    folder = scratch_path(spark, "arrivals")
+    events.write.parquet(folder)
+    n = len(spark.read.parquet(folder).inputFiles())
+    events.write.mode("append").parquet(folder)
+    out = scratch_path(spark, "distinct")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", n).parquet(folder)
+    _stream.stream_distinct(spark, stream, out, key=["event_id"], time_col="ts", delay="40 days")
+    return spark.read.parquet(out).select("event_id", "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("value_cents"))

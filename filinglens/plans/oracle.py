@@ -765,3 +765,67 @@ def _():
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n_events,
        CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value_cents
 FROM events GROUP BY ALL"""
+
+
+# ---------------------------------------------------------------------------
+# Joins on time, ranks over the whole table, reconciliation, inverted lists
+# ---------------------------------------------------------------------------
+
+ARRIVALS_CTE = f"""arrivals AS (
+  SELECT event_id, printf('%010d', user_id) AS cik,
+         CAST({R.ARRIVALS_FROM} + (epoch_us(ts) // 1000000 - {R.EVENTS_FROM}) * {R.STRETCH} AS BIGINT) AS arrived
+  FROM events
+)"""
+FILED = "CAST(epoch_us(CAST(filing_date AS TIMESTAMP)) // 1000000 AS BIGINT)"
+
+
+@sql("asof_filing")
+def _():
+    return f"""WITH {ROLES_CTE}, {ARRIVALS_CTE}, known AS (
+  SELECT cik, {FILED} AS filed, max(struct_pack(a := accession_number, f := form_type)) AS r FROM filings GROUP BY ALL
+)
+SELECT event_id, a.cik, r.a AS accession_number, r.f AS form_type, arrived - filed AS age_seconds
+FROM arrivals a ASOF LEFT JOIN known k ON a.cik = k.cik AND a.arrived >= k.filed"""
+
+
+@sql("valid_at_arrival")
+def _():
+    days = " ".join(f"WHEN {q(form)} THEN {n}" for form, n in R.HOLDS_DAYS.items())
+    return f"""WITH {ROLES_CTE}, {ARRIVALS_CTE}, held AS (
+  SELECT cik, accession_number, {FILED} AS begins, {FILED} + 86400 * CASE form_type {days} END AS ends FROM filings
+)
+SELECT event_id, accession_number, arrived - begins AS age_seconds
+FROM arrivals a JOIN held h ON a.cik = h.cik AND begins <= arrived AND arrived < ends"""
+
+
+@sql("reconcile_filings")
+def _():
+    return f"""WITH {ROLES_CTE}, l AS (SELECT cik, accession_number FROM filings), s AS (
+  SELECT cik, accession_number FROM filings WHERE pos % 3 <> 0 UNION ALL SELECT cik, accession_number FROM filings WHERE pos % 5 = 0
+  UNION ALL SELECT cik, 'X' || accession_number FROM filings WHERE pos % 7 = 0
+), d AS (
+  SELECT *, 1 AS m, 0 AS p FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM s) UNION ALL SELECT *, 0, 1 FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM l)
+)
+SELECT cik, accession_number, CAST(sum(m) AS BIGINT) AS missing, CAST(sum(p) AS BIGINT) AS surplus FROM d GROUP BY ALL"""
+
+
+@sql("filing_size_ranks")
+def _():
+    return """SELECT doc_id, n_chars, row_number() OVER o AS position, rank() OVER v AS rank, percent_rank() OVER v AS percent_rank,
+  CAST(ntile(10) OVER o AS INTEGER) AS tile
+FROM documents WINDOW v AS (ORDER BY n_chars DESC NULLS LAST), o AS (ORDER BY n_chars DESC NULLS LAST, doc_id)"""
+
+
+@sql("ann_topk")
+def _():
+    return f"""
+SELECT query_id, vec_id AS top_id, score AS top_score, true AS recall_reached FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, s.score, row_number() OVER (PARTITION BY q.vec_id ORDER BY s.score DESC, c.vec_id) AS rank
+  FROM embeddings q, embeddings c,
+       LATERAL (SELECT {cosine('CAST(q.embedding AS DOUBLE[])', 'CAST(c.embedding AS DOUBLE[])')} AS score) s
+) WHERE rank = 1"""
+
+
+@sql("stream_distinct")
+def _():
+    return "SELECT event_id, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS value_cents FROM events"

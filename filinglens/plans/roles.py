@@ -86,6 +86,26 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Events happen within a month, filings within years: an arrival's moment is
+# the event's, stretched over the years of the filings.
+ARRIVALS_FROM, EVENTS_FROM, STRETCH = 788_918_400, 1_704_067_200, 80
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, cik, arrived: seconds) of requests that arrive over time."""
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return read_table(spark, sf_dir, "events").select(
+        "event_id", cik10(F.col("user_id")).alias("cik"), (F.lit(ARRIVALS_FROM) + (seconds - EVENTS_FROM) * STRETCH).alias("arrived"))
+
+
+def filed_at(col: str = "filing_date") -> Column:
+    return F.unix_seconds(F.col(col).cast("timestamp"))
+
+
+# Days for which a filing holds.
+HOLDS_DAYS = {"10-K": 365, "10-Q": 91, "10-Q/A": 30, "8-K": 1}
+
+
 # An insights reply (@name, @cik: the company's) and defects as replacements
 # of a part of it.
 INSIGHTS_REPLY = (

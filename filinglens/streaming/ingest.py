@@ -4,10 +4,12 @@
   ``foreachBatch`` upsert into the chunk index. The upsert replaces whole
   filings, so replaying a micro-batch after a failure leaves the index as
   it was after the first run. No watermark: late files are ingested too.
+* ``stream_distinct``: copies of a row that arrive in any later micro-batch
+  are dropped; the keys seen are kept until the watermark passes them.
 * ``stream_hourly_counts``: arrivals per hour; complete mode, so every
   window's final count is kept.
 
-Both run with ``trigger(availableNow=True)``: process everything present,
+All run with ``trigger(availableNow=True)``: process everything present,
 then stop. Checkpoints live under the shared checkpoint folder.
 """
 
@@ -98,3 +100,32 @@ def stream_hourly_counts(
         .start()
     )
     q.awaitTermination()
+
+
+def stream_distinct(
+    spark: SparkSession,
+    rows: DataFrame,
+    out_path: str,
+    *,
+    key: list[str],
+    time_col: str,
+    delay: str = "7 days",
+    checkpoint: str | None = None,
+) -> list[int]:
+    """Appends each key's first row to ``out_path`` (Parquet). A copy is
+    dropped, in whatever micro-batch it comes, if its time is within ``delay`` of the first
+    one's; keys older than that leave the state, which so holds ``delay`` worth of keys, not
+    the history. Rows later than the watermark, or without a time, are not written. Restarting from the
+    checkpoint writes nothing twice. Returns the state's rows after each micro-batch."""
+    timed = rows.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay)
+    q = (
+        timed.dropDuplicatesWithinWatermark(key)
+        .writeStream.format("parquet")
+        .option("path", out_path)
+        .option("checkpointLocation", checkpoint or scratch_path(spark, "distinct-stream"))
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
