@@ -86,3 +86,17 @@ def test_gate_checks_store_by_cik(spark):
     cache = [("AAPL", "0000320193", "ACC-1", D(2025, 10, 31), D(2025, 9, 27), "doc.htm")]
     got = _gate(spark, [(1, "AAPL", None, False)], cache, filings, [("0000320193", "ACC-1")])
     assert got == {1: "serve_cached"}
+
+
+def test_reconcile(spark):
+    from filinglens.operators.gate import reconcile
+
+    listed = [("a", "1")] * 500 + [("a", "2"), ("b", None), (None, None), ("c", "9")]
+    stored = [("a", "1")] * 498 + [("a", "2")] * 3 + [("d", "4"), (None, None), ("b", None), ("b", None)]
+    schema = "cik string, accession_number string"
+    keys = ["cik", "accession_number"]
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    got = sorted(map(tuple, reconcile(frame(listed), frame(stored), keys).collect()), key=repr)
+    assert got == sorted([("a", "1", 2, 0), ("a", "2", 0, 2), ("b", None, 0, 1), ("c", "9", 1, 0), ("d", "4", 0, 1)], key=repr)
+    assert reconcile(frame([]), frame([]), keys).count() == 0
+    assert [tuple(r) for r in reconcile(frame([("x", "y")]), frame([]), keys).collect()] == [("x", "y", 1, 0)]

@@ -1,9 +1,11 @@
 """previous_in_group equals a window lag, also when one group dominates."""
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from filinglens.operators.sequence import previous_in_group
+from filinglens.operators.sequence import global_ranks, previous_in_group
 
 
 def test_previous_in_group_matches_lag_with_hot_group(spark):
@@ -38,3 +40,22 @@ def test_changed_since_prior_odd_documents(spark):
         ("s", 1): (None, 2, None, None), ("s", 2): (1, 2, 1, 1), ("s", 3): (2, 0, 0, 2), ("s", 4): (3, 0, 0, 0),
         ("s", 5): (4, 2, 2, 0), (None, 6): (None, 1, None, None), (None, 7): (6, 1, 0, 0), ("t", None): (None, 0, None, None),
     }
+
+
+def _ranks(rows, tiles):
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    n, out = len(order), []
+    size, more = divmod(n, tiles)
+    for at, (i, v) in enumerate(order, 1):
+        rank = 1 + next(j for j, (_, w) in enumerate(order) if w == v)
+        tile = (at - 1) // (size + 1) + 1 if at <= more * (size + 1) else more + (at - 1 - more * (size + 1)) // size + 1
+        out.append((i, v, at, rank, (rank - 1) / max(n - 1, 1), tile))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 8])
+def test_global_ranks(spark, partitions):
+    cases = [[(i, (i * 7919) % 50) for i in range(200)], [(i, 5 if i % 3 else None) for i in range(90)], [(i, 1) for i in range(25)], [(1, 4)], [(1, None), (2, None)], [], [(i, i // 20) for i in range(100)]]
+    for rows in cases:
+        got = global_ranks(spark.createDataFrame(rows, "id long, size long"), "id", "size", 7, partitions=partitions)
+        assert sorted(map(tuple, got.collect())) == _ranks(rows, 7)

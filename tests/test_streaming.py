@@ -74,3 +74,33 @@ def test_old_files_corrections_and_folders_of_files(spark, tmp_table, tmp_path):
     land("c.parquet", 1_999_990_000, [(1, "<p>uno</p>", "y")])  # moved to another company
     land("d.parquet", 1_999_970_000, [(1, "<p>old</p>", "z")])
     assert run() == [(1, "y", "uno"), (2, "x", "two")]
+
+
+def test_stream_distinct_across_batches(spark, tmp_table):
+    from filinglens.streaming.ingest import stream_distinct
+
+    folder, out, checkpoint = tmp_table("in"), tmp_table("out"), tmp_table("ck")
+    schema = "id long, at timestamp, v string"
+
+    def land(rows):
+        spark.createDataFrame([(i, at, v) for i, at, v in rows], "id long, at string, v string").selectExpr("id", "to_timestamp(at) AS at", "v").coalesce(1).write.mode("append").parquet(folder)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        state = stream_distinct(spark, stream, out, key=["id"], time_col="at", delay="1 hour", checkpoint=checkpoint)
+        return sorted(((r["id"], r["v"]) for r in spark.read.parquet(out).collect()), key=repr), state
+
+    land([(1, "2024-01-01 00:00:00", "a"), (1, "2024-01-01 00:05:00", "copy"), (2, "2024-01-01 00:10:00", "b"), (None, "2024-01-01 00:10:00", "null"), (None, "2024-01-01 00:11:00", "null")])
+    first, _ = run()
+    assert [x[0] for x in first if x[0]] == [1, 2] and len(first) == 3
+    land([(1, "2024-01-01 00:30:00", "late copy"), (3, "2024-01-01 00:40:00", "c")])
+    assert [x[0] for x in run()[0] if x[0]] == [1, 2, 3]
+    many = [(i, f"2024-01-01 {5 + i // 60:02d}:{i % 60:02d}:00", "m") for i in range(100, 220)]
+    land(many)
+    land([(500, "2024-01-02 00:00:00", "day")])
+    got, state = run()
+    assert len(got) == 3 + 1 + 120 + 1
+    land([(501, "2024-01-02 00:00:01", "day")])
+    got, state = run()
+    assert len(got) == 126 and state[-1] <= 3  # keys that the watermark passed are gone
+    assert run()[0] == got  # nothing new, nothing written twice
