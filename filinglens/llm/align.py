@@ -34,7 +34,7 @@ from filinglens.llm.pieces import threads
 # characters are left out too): no token of either kind spans its start.
 _LEFT = (rb"[\x21-\x7e]", rb"[\xc3-\xdf][\x80-\xbf]", rb"[\xe0\xe4-\xee][\x80-\xbf]{2}", rb"\xe3[\x81-\xbf][\x80-\xbf]", rb"[\xf0-\xf4][\x80-\xbf]{3}")
 _RIGHT = rb" (?:[\x21-\x7e\xc3-\xe0\xe4-\xee\xf0-\xf4]|\xe3[\x81-\xbf])"
-SAFE = re.compile(b"(?:" + b"|".join(b"(?<=" + x + b")" for x in _LEFT) + b")(?=" + _RIGHT + b")")
+SAFE = re.compile(b"(?=" + _RIGHT + b")(?:" + b"|".join(b"(?<=" + x + b")" for x in _LEFT) + b")")
 # A word that may stand between any two others, with a safe place on each side.
 JOINS = re.compile(_RIGHT + b"(?s:.*)(?:" + b"|".join(b"(?<=" + x + b")" for x in _LEFT) + b")")
 WIDE_GROUP = 4096  # links; in wider groups equal ids are counted first
@@ -326,7 +326,7 @@ class Words:
         """The closed fragment of each text, given as its words."""
         if len(self.number) > self.most or self.size > self.most * 200:
             self.forget()
-        new = sorted(set().union(*texts).difference(self.number))
+        new = list(set().union(*texts).difference(self.number))
         if new:
             self.meet(new)
         ids = [np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)) for words in texts]
@@ -348,15 +348,20 @@ class Words:
             out.append(Fragment(True, NO_TOKENS, NO_TOKENS, "".join(map(self.text.__getitem__, x.tolist())), n_groups, n_links, n_a, n_b, pair[part], times[part]))
         return out
 
-    def range_of(self, raw: bytes, at: int, low: int, high: int) -> Fragment:
-        """The fragment of [low, high) of a text of which ``raw``, from offset
+    def ranges(self, places: list[tuple[bytes, int, int, int]]) -> list[Fragment]:
+        """The fragments of [low, high) of texts of which ``raw``, from offset
         ``at`` on, begins and ends at safe places: its outer words may be cut."""
-        words = SAFE.split(raw)
-        edges = [words[0], words[-1]][: len(words)]
-        first, *last = (leaf(self.t, x, place, low, high) for x, place in zip(self.t.encode(edges), (at, at + len(raw) - len(words[-1])), strict=False))
-        for f in [*self.products([words[1:-1]] if len(words) > 2 else []), *last]:
-            first = first.then(self.t, f)
-        return first
+        words = [SAFE.split(raw) for raw, *_ in places]
+        first = self.t.encode([x[0] for x in words])
+        last = self.t.encode([x[-1] if len(x) > 1 else b"" for x in words])
+        inner = self.products([x[1:-1] for x in words])
+        out = []
+        for x, a, b, c, (raw, at, low, high) in zip(words, first, last, inner, places, strict=True):
+            f = leaf(self.t, a, at, low, high)
+            if len(x) > 2:
+                f = f.then(self.t, c)
+            out.append(f.then(self.t, leaf(self.t, b, at + len(raw) - len(x[-1]), low, high)) if len(x) > 1 else f)
+        return out
 
 
 def whole_texts(w: Words, raw: list[bytes]) -> list[tuple]:
@@ -375,8 +380,8 @@ def aligned(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, span
         w = Words(Tokenizers(path_a, path_b))
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
                 raw = [b" " + x.encode() if x else b"" for x in part["text"].to_pylist()]
                 cuts = [spans_of(len(r), [m.end() for m in SAFE.finditer(r)], span) if w.t.by_range and len(r) > span else [] for r in raw]
                 done = whole_texts(w, [b"" if len(c) > 1 else r for r, c in zip(raw, cuts, strict=True)])
@@ -413,7 +418,7 @@ def aligned(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, span
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 p = b.slice(lo, 64)
-                found = [w.range_of(*x).packed() for x in zip(*(p[c].to_pylist() for c in ("bytes", "at", "low", "high")), strict=True)]
+                found = [f.packed() for f in w.ranges(list(zip(*(p[c].to_pylist() for c in ("bytes", "at", "low", "high")), strict=True)))]
                 yield pa.RecordBatch.from_arrays([p["row"], p["doc_id"], p["no"], pa.array(found, pa.binary())], names=["row", "doc_id", "no", "fragment"])
 
     def compose(p: pd.DataFrame) -> pd.DataFrame:

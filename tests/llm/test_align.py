@@ -62,7 +62,7 @@ def test_groups_meet_in_any_order():
         words = align.Words(t)
         want = align.whole_texts(words, [raw])[0]
         safe = [m.end() for m in align.SAFE.finditer(raw)]
-        parts = [words.range_of(raw[at:to], at, lo, hi) for lo, hi, at, to in align.spans_of(len(raw), safe, 50)]
+        parts = words.ranges([(raw[at:to], at, lo, hi) for lo, hi, at, to in align.spans_of(len(raw), safe, 50)])
         while len(parts) > 1:
             parts[-2:] = [parts[-2].then(t, parts[-1])]
         assert align.columns_of(align.finished(t, parts[0])) == want
