@@ -1,15 +1,16 @@
 """Operator 3: training-order materialisation of token ids.
 
 Texts are encoded once and cut into sequences of one length. Sequences are
-numbered 0 to N - 1; a keyed Feistel network permutes the numbers (values of
+numbered 0 to N - 1 in the order of a hash of (doc_id, text), whatever the
+files or splits they came in; a keyed Feistel network permutes the numbers (values of
 N and more are sent through it again until they fall below: cycle walking), so
 a sequence's place in training is a function of its number and the key alone.
 Ranges of places are shards: files of fixed-stride records in training order,
 so a reader seeks to any place, and resumes there, without an index.
 
-Shards are written by Spark's text writer (one record a "line"; the two bytes
-of the line end are part of the stride), hence by its commit protocol and to
-any file system Spark knows.
+Shards are written by Spark's text writer (the two bytes of the line end are
+part of the stride), hence by its commit protocol and to any file system Spark
+knows. A shard reaches the writer as one value, its records already in order.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,41 +70,71 @@ def write_shards(
 
     Each text's ids are followed by one END, and its last sequence is filled up
     with END. Null and empty texts give no sequence; repeated rows each give
-    theirs; other columns are not read. Memory of a task is bounded by its
-    Arrow batch or by one shard (``per_shard`` records)."""
-    stride = 2 * length
+    theirs (equal rows take neighbouring numbers, in any order); equal texts of
+    different ids are ordered by the hash; a null id is hashed as absent. Other columns are not
+    read. The same rows in other files give the same slots and shards. Memory of
+    a task is bounded by its Arrow batch or by one shard (``per_shard`` records,
+    at most 65,536)."""
+    if not 0 < per_shard <= 1 << 16:
+        raise ValueError("per_shard must be 1 to 65536")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # ranges of the hash; a number each reaches the driver
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, at = encoding(ranks_path), TaskContext.get().partitionId(), 0
+        import zstandard
+
+        words, squeeze = encoding(ranks_path), zstandard.ZstdCompressor(level=3)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 some = b.slice(lo, 512)
                 ids = [np.array(x + [END], dtype="<u2") if x else np.zeros(0, "<u2") for x in words.encode_ordinary_batch(strings(some["text"]), num_threads=1)]
                 sizes = np.array([len(x) for x in ids], dtype=np.int64)
-                n = -(-sizes // length)
-                first = at + np.cumsum(n) - n
-                at += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [some["doc_id"], pa.array(np.full(len(ids), part, np.int32)), pa.array(first), pa.array(n), pa.array(sizes), pa.array([x.tobytes() for x in ids], pa.binary())],
-                    names=["doc_id", "part", "first", "n", "size", "ids"])
+                    [some["doc_id"], some["h"], some["g"], some["bucket"], pa.array(sizes), pa.array([squeeze.compress(x.tobytes()) for x in ids], pa.binary())],
+                    names=["doc_id", "h", "g", "bucket", "size", "ids"])
 
-    coded = staged(spark, renamed(docs, doc_id="doc_id", text="text").mapInArrow(
-        encode, f"doc_id {kind}, part int, first long, n long, size long, ids binary"), "token-ids").where("n > 0")
-    parts = {r["part"]: r["n"] for r in coded.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a number per input split
-    total, offset = 0, {}
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row's first number within its bucket: rows come in order, a bucket in one task."""
+        now, at = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = -(-b["size"].to_numpy() // length)
+            bucket = b["bucket"].to_numpy()
+            before = np.cumsum(n) - n
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            base = np.repeat(before[starts], np.diff(np.append(starts, len(n))))
+            first = before - base
+            if bucket[0] == now:
+                first[: starts[1] if len(starts) > 1 else None] += at
+            now, at = bucket[-1], int(first[-1] + n[-1])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["bucket"], pa.array(first), pa.array(n), b["size"], b["ids"]],
+                                             names=["doc_id", "bucket", "first", "n", "size", "ids"])
+
+    # The upper bits of h, as a number from 0, give the bucket: buckets are ranges of h.
+    own = renamed(docs, doc_id="doc_id", text="text").where("text != ''").withColumn("h", F.xxhash64("doc_id", "text"))
+    own = own.withColumn("g", F.xxhash64(F.lit(key), "text", "doc_id"))
+    own = own.withColumn("bucket", F.floor((F.shiftright("h", 32) + F.lit(1 << 31)) * F.lit(buckets) / F.lit(1 << 32)).cast("int"))
+    rows = own.mapInArrow(encode, f"doc_id {kind}, h long, g long, bucket int, size long, ids binary")
+    rows = rows.repartition(max(1, buckets // 16), "bucket").sortWithinPartitions("bucket", "h", "g")
+    coded = staged(spark, rows.mapInArrow(numbered, f"doc_id {kind}, bucket int, first long, n long, size long, ids binary"), "token-ids")
+    parts = {r["bucket"]: r["n"] for r in coded.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # at most ``buckets`` rows
+    total, offset = 0, np.zeros(buckets, dtype=np.int64)
     for p in sorted(parts):
         offset[p], total = total, total + parts[p]
 
     def sequences(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each sequence: its row, its number in the row, its ids, its place."""
-        n, first = b["n"].to_numpy(), b["first"].to_numpy() + np.array([offset[p] for p in b["part"].to_pylist()], dtype=np.int64)
+        import zstandard
+
+        loose = zstandard.ZstdDecompressor()
+        n, first = b["n"].to_numpy(), b["first"].to_numpy() + offset[b["bucket"].to_numpy()]
         row = np.repeat(np.arange(len(n)), n)
         no = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         ids = np.full((len(row), length), END, dtype="<u2")
         flat, at = ids.reshape(-1), 0
         for raw, k in zip(b["ids"].to_pylist(), n, strict=True):
-            x = np.frombuffer(raw, "<u2")
+            x = np.frombuffer(loose.decompress(raw), "<u2")
             flat[at : at + len(x)] = x
             at += int(k) * length
         return row, no, ids, feistel(first[row] + no, total, key)
@@ -130,6 +160,7 @@ def write_shards(
             order = np.argsort(slot, kind="stable")
             ids, slot = ids[order], slot[order]
             shards, at = np.unique(slot // per_shard, return_index=True)
+            slot = (slot % per_shard).astype("<u2")  # within the shard
             cut = [*at, len(slot)]
             spans = list(zip(cut[:-1], cut[1:], strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -140,21 +171,26 @@ def write_shards(
         import zstandard
 
         loose = zstandard.ZstdDecompressor()
-        slot = np.concatenate([np.frombuffer(x, np.int64) for x in t["slots"].to_pylist()])
+        slot = np.concatenate([np.frombuffer(x, "<u2") for x in t["slots"].to_pylist()])
         ids = np.concatenate([np.frombuffer(loose.decompress(x), "<u2").reshape(-1, length) for x in t["records"].to_pylist()])
-        order = np.argsort(slot)
-        data = pa.py_buffer(ids[order].tobytes())
-        records = pa.FixedSizeBinaryArray.from_buffers(pa.binary(stride), len(slot), [None, data]).cast(pa.binary())
-        return pa.table({"shard": pa.array(np.full(len(slot), t["shard"][0].as_py(), np.int64)), "slot": slot[order], "record": records})
+        ends = np.full((len(slot), length + len(LINE_END) // 2), int.from_bytes(LINE_END.encode(), "little"), dtype="<u2")
+        ends[:, :length] = ids[np.argsort(slot)]
+        return pa.table({"shard": pa.array([t["shard"][0].as_py()], pa.int64()), "records": pa.array([ends.tobytes()[: -len(LINE_END)]], pa.binary())})
 
     path = out_path or scratch_path(spark, "token-shards")
-    (
-        coded.select("part", "first", "n", "ids").mapInArrow(dealt, "shard long, slots binary, records binary")
-        .groupBy("shard").applyInArrow(ordered, "shard long, slot long, record binary")
-        .sortWithinPartitions("shard", "slot")
-        .select("shard", F.col("record").cast("string").alias("value"))
-        .write.partitionBy("shard").option("lineSep", LINE_END).text(path)
+    shards = (
+        coded.select("bucket", "first", "n", "ids").mapInArrow(dealt, "shard long, slots binary, records binary")
+        .groupBy("shard").applyInArrow(ordered, "shard long, records binary")
+        .select("shard", F.col("records").cast("string").alias("value"))
     )
+    # A shard is one row: with a writer open per shard of a task nothing is sorted before writing.
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "64")
+    try:
+        shards.write.partitionBy("shard").option("lineSep", LINE_END).text(path)
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
     out = coded.mapInArrow(listed, f"doc_id {kind}, seq_no long, slot long, shard long, n_tokens long, ids_crc long")
     return out, path, total
 
