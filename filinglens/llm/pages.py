@@ -8,8 +8,10 @@ a node is kept only with all its ancestors, and of all such choices the one
 with the largest sum is taken, so a kept block never stands in a dropped part.
 
 The trees are trained here, on a bounded sample of the pages: each as it is
-(its <article> or <main> is the main text) and laid out anew at random with
-other tags and class names, where the parts are known.
+(its <article> or <main> is the main text), with those tags replaced by blocks
+without a telling name, and laid out anew at random with other tags, class
+names and nameless blocks, where the parts are known. Most main texts seen have
+no name, so the trees have to go by density, depth and siblings.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,10 +30,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filinglens.llm.common import renamed, strings
+from filinglens.llm.common import renamed, staged, strings
 
-# A value may hold ">" only in quotes after "=".
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*)>""", re.S)
+# A value may hold ">" only in quotes after "="; where such quotes leave the
+# tag without an end, the first ">" ends it. No part gives back what it took.
+OPEN_ENDED = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)"
+TOKEN = re.compile(OPEN_ENDED + r"""|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+(?=>)|[^>]*+)>""", re.S)
+TAIL = re.compile(OPEN_ENDED + "|(?!)()()()", re.S)  # what may still stand after the page's last ">"
 ATTRIBUTE = re.compile(r"""(?:^|[\s/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+|[0-9]+")
 
@@ -43,10 +49,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
                      "hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul body html".split())
 SELF_CLOSING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
+TWIN = {"dt": "dd", "dd": "dt", "td": "th", "th": "td"}
 GROUPS = ("article main", "nav menu", "header", "footer", "aside", "form button input fieldset", "p", "h1 h2 h3 h4 h5 h6", "ul ol li dl dt dd", "table tr td th tbody",
           "div section", "pre blockquote figure", "body html", "#text")
 GROUP = {tag: i for i, g in enumerate(GROUPS) for tag in g.split()}
-OWN, ABOVE = 64, 96  # slots for words of a node and of its ancestors
+OWN, ABOVE = 192, 192  # slots for words of a node and of its ancestors
 NUMBERS = 18
 WIDTH = NUMBERS + len(GROUPS) + OWN + ABOVE
 
@@ -75,7 +82,8 @@ def tree(page: str) -> list[Node]:
     of their block element, white space in them made one space."""
     nodes = [Node("#root", -1, 0, [])]
     stack: list[tuple[str, int]] = [("#root", 0)]  # blocks that are open
-    inline: list[str] = []
+    opened: Counter[str] = Counter()  # of the stack's tags
+    inline: Counter[str] = Counter()
     buffer: list[str] = []
     linked = 0
 
@@ -96,12 +104,16 @@ def tree(page: str) -> list[Node]:
         nonlocal linked
         text = html.unescape(raw) if "&" in raw else raw
         buffer.append(text)
-        if "a" in inline:
+        if inline["a"]:
             linked += len(" ".join(text.split()))
 
-    at = 0
+    def close(k: int) -> None:
+        opened.subtract(t for t, _ in stack[k:])
+        del stack[k:]
+
+    at, last = 0, page.rfind(">") + 1
     while True:
-        m = TOKEN.search(page, at)
+        m = (TOKEN if page.find("<", at, last) >= 0 else TAIL).search(page, at)
         said(page[at : m.start() if m else len(page)])
         if not m:
             break
@@ -121,12 +133,9 @@ def tree(page: str) -> list[Node]:
             continue
         if tag in INLINE:
             if closing:
-                if tag in inline:
-                    inline.reverse()
-                    inline.remove(tag)
-                    inline.reverse()
+                inline[tag] -= inline[tag] > 0
             elif tag not in VOID:
-                inline.append(tag)
+                inline[tag] += 1
             nodes[stack[-1][1]].tags += not closing
             continue
         flush()
@@ -135,26 +144,24 @@ def tree(page: str) -> list[Node]:
             nodes[stack[-1][1]].inputs += tag == "input"
             continue
         if closing:
-            if any(t == tag for t, _ in stack):
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
                 inline.clear()
             continue
-        if tag in CLOSES_P:
-            for k in range(1, len(stack)):
-                if stack[k][0] in LEFT_BY_BLOCKS:
-                    del stack[k:]
-                    break
+        if tag in CLOSES_P and any(opened[t] for t in LEFT_BY_BLOCKS):
+            close(next(k for k in range(1, len(stack)) if stack[k][0] in LEFT_BY_BLOCKS))
         if tag in CLOSES_P and stack[-1][0] == "p":
-            stack.pop()
+            close(len(stack) - 1)
             inline.clear()
-        if tag in SELF_CLOSING:
+        if tag in SELF_CLOSING and (opened[tag] or opened[TWIN.get(tag, tag)]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in SELF_CLOSING[tag]:
                     break
-                if stack[k][0] == tag or {stack[k][0], tag} in ({"dt", "dd"}, {"td", "th"}):
-                    del stack[k:]
+                if stack[k][0] in (tag, TWIN.get(tag)):
+                    close(k)
                     break
         words = [w for a in ATTRIBUTE.finditer(m[4]) for w in PART.findall((a[2] or a[3] or a[4] or "").lower())] if m[4] else []
         up = stack[-1][1]
@@ -162,6 +169,7 @@ def tree(page: str) -> list[Node]:
         nodes[up].children.append(len(nodes) - 1)
         if not m[4].rstrip().endswith("/"):
             stack.append((tag, len(nodes) - 1))
+            opened[tag] += 1
     flush()
 
     seen = 0
@@ -185,7 +193,8 @@ def slot(word: str, n: int) -> int:
     return zlib.crc32(word.encode()) % n
 
 
-def features(nodes: list[Node]) -> np.ndarray:
+def features(nodes: list[Node], known: frozenset[str]) -> np.ndarray:
+    """A row of features per node; words that aren't ``known`` say nothing."""
     x = np.zeros((len(nodes), WIDTH), dtype=np.float32)
     total = max(nodes[0].chars, 1)
     log = np.log1p
@@ -203,7 +212,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         own = NUMBERS + len(GROUPS)
         if i:
             x[i, own + OWN :] = x[v.parent, own + OWN :]
-        for w in [v.tag, *v.words]:
+        for w in known.intersection([v.tag, *v.words]):
             x[i, own + slot(w, OWN)] = 1
             if v.tag != "#text":
                 x[i, own + OWN + slot(w, ABOVE)] = 1
@@ -212,13 +221,15 @@ def features(nodes: list[Node]) -> np.ndarray:
 
 @dataclass
 class Trees:
-    """Boosted trees as arrays: a child of -1 marks a leaf."""
+    """Boosted trees as arrays: a child of -1 marks a leaf. ``known``: the tags
+    and words of attributes that the features tell apart."""
 
     feature: list[np.ndarray]
     threshold: list[np.ndarray]
     left: list[np.ndarray]
     right: list[np.ndarray]
     value: list[np.ndarray]
+    known: frozenset[str] = frozenset()
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         out, rows = np.zeros(len(x)), np.arange(len(x))
@@ -230,9 +241,9 @@ class Trees:
         return 2.0 * out
 
 
-def arrays_of(model) -> Trees:
+def arrays_of(model, known: frozenset[str]) -> Trees:
     """The trained trees of a classification model, read node by node."""
-    out = Trees([], [], [], [], [])
+    out = Trees([], [], [], [], [], known)
     for tree_, weight in zip(model.trees, model.treeWeights, strict=True):
         f, t, lo, hi, v = [], [], [], [], []
 
@@ -283,6 +294,9 @@ REST = {
 }
 
 
+LAYOUT_WORDS = frozenset(GROUP) | frozenset(w for spec in [*MAIN, *sum(REST.values(), ())] for w in PART.findall(spec))
+
+
 def _open(spec: str) -> tuple[str, str]:
     tag, _, rest = spec.partition("[")
     name, mark, word = re.fullmatch(r"(\w+)([.#]?)(.*)", tag).groups()
@@ -291,6 +305,19 @@ def _open(spec: str) -> tuple[str, str]:
     return f"<{name}" + (f" class={word!r}" if mark == "." else f' id="{word}"' if mark else "") + ">", f"</{name}>"
 
 
+def nameless(r: np.random.Generator) -> tuple[str, str]:
+    """A block without a class, or with one that tells nothing."""
+    tag = ("div", "div", "section")[int(r.integers(3))]
+    word = "".join(chr(97 + int(c)) for c in r.integers(0, 26, int(r.integers(2, 8)))) + ("" if r.random() < 0.5 else str(int(r.integers(100))))
+    return f"<{tag}" + (f' class="{word}"' if r.random() < 0.6 else "") + ">", f"</{tag}>"
+
+
+def unmarked(page: str, r: np.random.Generator) -> str:
+    """The page with <article> and <main> replaced by nameless blocks; its nodes stay the same."""
+    a, z = nameless(r)
+    return re.sub(r"(?i)</(article|main)\s*>", z, re.sub(r"(?i)<(article|main)(?=[\s/>])", a[:-1], page))
+
+
 def laid_out(blocks: list[str], scraps: list[str], r: np.random.Generator) -> str:
     """A page with the blocks as its main text and the scraps around and in it.
     Scraps stand after a NUL, which no feature sees, so that labels follow."""
@@ -298,7 +325,7 @@ def laid_out(blocks: list[str], scraps: list[str], r: np.random.Generator) -> st
     esc = lambda s: html.escape(s, quote=False)
 
     def part(kind: str) -> str:
-        a, z = _open(pick(REST[kind]))
+        a, z = _open(pick(REST[kind])) if r.random() < 0.85 or kind in ("comments", "side") else nameless(r)
         texts = ["\0" + esc(pick(scraps)) for _ in range(int(r.integers(1, 6)))]
         if kind == "menu" or kind == "share":
             inner = "<ul>" + "".join(f'<li><a href="#">{t[:24]}</a></li>' for t in texts) + "</ul>"
@@ -323,7 +350,8 @@ def laid_out(blocks: list[str], scraps: list[str], r: np.random.Generator) -> st
                       f"<blockquote><p>{esc(b)}</p></blockquote>", f"<ul><li>{esc(b)}</li></ul>", f"<h2>{esc(b)}</h2>" if len(b) < 80 else f"<p>{esc(b)}</p>", f"<div>{esc(b)}</div>")))
         if r.random() < 0.15:
             inside.append(part(pick(("ad", "side", "share", "notice"))))
-    a, z = _open(pick(MAIN)) if r.random() < 0.88 else ("", "")  # some pages don't wrap their text
+    wrap = r.random()
+    a, z = _open(pick(MAIN)) if wrap < 0.4 else nameless(r) if wrap < 0.9 else ("", "")  # some pages don't wrap their text
     if a and r.random() < 0.3:
         b, y = _open(pick(MAIN))
         a, z = a + b, y + z
@@ -338,9 +366,9 @@ def laid_out(blocks: list[str], scraps: list[str], r: np.random.Generator) -> st
     return f"<html><head><title>x</title></head><body>{body}</body></html>"
 
 
-def labelled(page: str, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Features and labels of the nodes of a page and of two new layouts of it.
-    A node's label: its subtree holds main text."""
+def labelled(page: str, seed: int, known: frozenset[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and labels of the nodes of a page, twice of the page
+    without its marks and of two new layouts of it. A node's label: its subtree holds main text."""
     nodes = tree(page)
     main = np.zeros(len(nodes), dtype=bool)
     for i, v in enumerate(nodes[1:], 1):
@@ -351,40 +379,57 @@ def labelled(page: str, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     if not blocks:
         return
     r = np.random.default_rng(seed)
-    for k in range(3):
-        if k:
+    for k in range(5):
+        if 0 < k < 3:
+            nodes = tree(unmarked(page, r))
+            if len(nodes) != len(main):
+                continue
+        if k > 2:
             # Long scraps too: a comment may read like a paragraph.
             nodes = tree(laid_out(blocks[: int(r.integers(1, 24))], scraps + blocks[-2:] or blocks, r))
         y = np.zeros(len(nodes))
         for i, v in enumerate(nodes):
             if v.text:
-                y[i] = main[i] if not k else "\0" not in v.text
+                y[i] = main[i] if k < 3 else "\0" not in v.text
         for i in range(len(nodes) - 1, 0, -1):
             y[nodes[i].parent] = max(y[nodes[i].parent], y[i])
-        yield features(nodes), y
+        yield features(nodes, known), y
 
 
-def train(pages: DataFrame, sample_pages: int = 240, seed: int = 5, rounds: int = 20, depth: int = 5) -> Trees:
+def train(pages: DataFrame, sample_pages: int = 240, seed: int = 5, rounds: int = 20, depth: int = 5, words: int = 400) -> Trees:
     """Trees fitted on at most ``sample_pages`` pages, the smallest by a seeded
     hash of their html; without a page that marks its main text, on one of a
-    few words."""
+    few words. Known words: those of the layouts made here and the
+    ``words`` that most of the sampled pages hold, in at least two."""
 
     def nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for page in strings(b["html"]):
-                for x, y in labelled(page, zlib.crc32(page.encode()) ^ seed):
+                for x, y in labelled(page, zlib.crc32(page.encode()) ^ seed, known):
                     yield pa.RecordBatch.from_arrays([pa.array(list(x.astype(float)), pa.list_(pa.float64())), pa.array(y)], names=["x", "label"])
 
     marked = renamed(pages, html="html").where(F.lower(F.col("html")).rlike("<(article|main)[\\s>]"))
-    some = marked.distinct().orderBy(F.xxhash64(F.lit(seed), "html"), "html").limit(sample_pages)
-    if marked.isEmpty():
+    # Only hashes are shuffled; then the pages that have the smallest, each once.
+    marked = marked.withColumn("h", F.xxhash64(F.lit(seed), "html"))
+    hashes = [r["h"] for r in marked.select("h").distinct().orderBy("h").limit(sample_pages).collect()]
+    some = marked.where(F.col("h").isin(hashes)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").select("html")
+    if not hashes:
         some = pages.sparkSession.createDataFrame([("<body><nav>menu</nav><article><h1>Some title</h1><p>Some words of a text, and more of them.</p></article></body>",)], "html string")
+    some = staged(pages.sparkSession, some.coalesce(1), "sampled-pages")
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for page in strings(b["html"]):
+                yield pa.RecordBatch.from_arrays([pa.array(sorted({w for v in tree(page) for w in (v.tag, *v.words)}), pa.string())], names=["w"])
+
+    common = some.mapInArrow(words_of, "w string").groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(words)
+    known = frozenset(r["w"] for r in common.collect()) | LAYOUT_WORDS
     rows = some.coalesce(1).mapInArrow(nodes_of, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").cache()
     try:
         model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=32).fit(rows)
     finally:
         rows.unpersist()
-    return arrays_of(model)
+    return arrays_of(model, known)
 
 
 def main_text(spark: SparkSession, pages: DataFrame, model: Trees) -> DataFrame:
@@ -392,14 +437,15 @@ def main_text(spark: SparkSession, pages: DataFrame, model: Trees) -> DataFrame:
     html). Null, empty and text-free html gives an empty text; repeated rows
     each keep a row; other columns are not read. One pass without a shuffle;
     the broadcast model's size is set by its rounds and depth."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.feature, model.threshold, model.left, model.right, model.value, model.known))  # arrays: no class to import
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Trees(*shared.value)
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 part = b.slice(lo, 200)
                 trees = [tree(p) for p in strings(part["html"])]
-                odds = shared.value.log_odds(np.concatenate([features(t) for t in trees]))
+                odds = model.log_odds(np.concatenate([features(t, model.known) for t in trees]))
                 cut = np.cumsum([0, *map(len, trees)])
                 texts = [decode(t, odds[i:j]) for t, i, j in zip(trees, cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
