@@ -123,7 +123,9 @@ class Encoder:
     no piece joins a character and a following marker, or holds a line end,
     texts fall apart at the start of each space run and at line ends; each
     such word is then encoded, decoded and compared once, many to a line-ended
-    chunk (at most ``most`` are remembered). Other models get whole texts."""
+    chunk (at most ``most`` are remembered). Texts that hold the marker itself,
+    which the library's pieces may join across a word's start, and other
+    models get whole texts."""
 
     def __init__(self, m: Model, library, most: int = 150_000, chunk: int = 400):
         joined = [p for p, _, kind in m.pieces if kind in (NORMAL, USER) and re.search(f"[^{MARK}]{MARK}|\n", p)]
@@ -160,13 +162,24 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
         """Of each text its ids, whether they are the library's, and whether
-        they decode to the (normalised) text."""
-        if not self.by_word:
+        they decode to the (normalised) text. Compared are the whole texts, or
+        all words of which a text is made."""
+        apart = [self.by_word and MARK not in t for t in texts]
+        some = lambda own: [t for t, a in zip(texts, apart, strict=True) if a is own]
+        by = {own: zip(*run(some(own)), strict=True) for own, run in ((False, self.whole), (True, self.by_words))}
+        out = [next(by[a]) for a in apart]
+        return [x[0] for x in out], [x[1] for x in out], [x[2] for x in out]
+
+    def whole(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        if texts:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
             like = [x == y for x, y in zip(ids, self.library.encode(texts, num_threads=1), strict=True)]
             trip = [x == self.library.normalize(t) or x == t for x, t in zip(back, texts, strict=True)]
             return [np.array(x, dtype="<i4") for x in ids], like, trip
+        return [], [], []
+
+    def by_words(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
         if len(self.known) > self.most:
             self.forget()
         split = [self.word.findall(" " + t) if t else [] for t in texts]  # the marker in front is a space
@@ -190,8 +203,10 @@ def threads() -> None:
 
 def encode_pieces(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_crc (crc32 of the ids as little-endian int32),
-    parity (the SentencePiece library gives the same ids), round_trip (decoding
-    gives the normalised text back; not where a text holds the marker itself) and, with ``keep_ids``, token_ids, for
+    parity (the SentencePiece library gives the same ids: compared on the whole
+    text where it holds the marker or the model can't be split at words, else on each
+    of its words), round_trip (decoding gives the normalised text back; not
+    where a text holds the marker itself) and, with ``keep_ids``, token_ids, for
     every row of ``docs``. Null text counts as empty: no ids, both checks true.
     Repeated rows each keep a row; other columns are not read. One pass, no
     shuffle. ``path``: the model file, readable on executors."""
