@@ -46,17 +46,22 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 
 class Quantiser:
-    """Coarse centres and a code book per subspace, fitted on a sample."""
-
-    def __init__(self, sample: np.ndarray, lists: int, seed: int = 3):
-        self.dims = sample.shape[1]
-        self.centres = k_means(sample, lists, 8, seed)
-        rest = sample - self.centres[self.distances(sample).argmin(axis=1)]
-        self.cuts = list(range(0, self.dims, SUBSPACE))
-        self.books = [k_means(rest[:, c : c + SUBSPACE], CODES, 6, seed + 1 + c) for c in self.cuts]
-        gaps = ((self.centres[:, None] - self.centres[None]) ** 2).sum(axis=2)
+    """Coarse centres and a code book per subspace. Tasks make it from the
+    broadcast arrays, so that workers need not import this class."""
+
+    def __init__(self, centres: np.ndarray, books: list[np.ndarray]):
+        self.centres, self.books = centres, books
+        self.cuts = list(range(0, centres.shape[1], SUBSPACE))
+        square = (centres * centres).sum(axis=1)
+        gaps = square[:, None] + square - 2 * centres @ centres.T
         self.gaps = 2 * np.sqrt(np.maximum(gaps, 1e-12))
 
+    @staticmethod
+    def fit(sample: np.ndarray, lists: int, seed: int = 3) -> tuple[np.ndarray, list[np.ndarray]]:
+        centres = k_means(sample, lists, 8, seed)
+        rest = sample - centres[(2 * sample @ centres.T - (centres * centres).sum(axis=1)).argmax(axis=1)]
+        return centres, [k_means(rest[:, c : c + SUBSPACE], CODES, 6, seed + 1 + c) for c in range(0, sample.shape[1], SUBSPACE)]
+
     def distances(self, x: np.ndarray) -> np.ndarray:
         return (x * x).sum(axis=1)[:, None] + (self.centres**2).sum(axis=1) - 2 * x @ self.centres.T
 
@@ -95,27 +100,28 @@ class Quantiser:
 def reach_of_links(spark: SparkSession, classes: DataFrame, shared, threshold: float, dims: int, dtype: str, rows: int, seed: int) -> float:
     """How far beyond a plane the links of ``rows`` of the vectors with any
     other take: a link is found when either end visits the other's list."""
-    asked = classes.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(rows).select("vec_id", "vec").toArrow()
-    asked = spark.sparkContext.broadcast((asked["vec_id"].to_numpy(), b"".join(asked["vec"].to_pylist())))  # at most rows vectors
+    asked = classes.orderBy(F.xxhash64(F.lit(seed), "vec"), "vec").limit(rows).select("cid", "vec").toArrow()
+    asked = spark.sparkContext.broadcast((asked["cid"].to_numpy(), b"".join(asked["vec"].to_pylist())))  # at most rows vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = asked.value
         q = np.frombuffer(q, dtype).reshape(-1, dims).astype(np.float64)
         q /= np.sqrt((q * q).sum(axis=1, keepdims=True))
-        q_home, q_beyond = shared.value.beyond(q)
+        own = Quantiser(*shared.value)
+        q_home, q_beyond = own.beyond(q)
         far = 0.0
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 x = unpack(part["vec"], dims, dtype)
                 x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-                home, beyond = shared.value.beyond(x)
-                i, j = np.nonzero((q @ x.T >= threshold) & (ids[:, None] != part["vec_id"].to_numpy()[None, :]))
+                home, beyond = own.beyond(x)
+                i, j = np.nonzero((q @ x.T >= threshold) & (ids[:, None] != part["cid"].to_numpy()[None, :]))
                 if len(i):
                     far = max(far, float(np.minimum(q_beyond[i, home[j]], beyond[j, q_home[i]]).max()))
         yield pa.RecordBatch.from_arrays([pa.array([far])], names=["far"])
 
-    return classes.select("vec_id", "vec").mapInArrow(run, "far double").agg(F.max("far")).first()[0]
+    return classes.select("cid", "vec").mapInArrow(run, "far double").agg(F.max("far")).first()[0]
 
 
 def near_duplicates(
@@ -127,8 +133,8 @@ def near_duplicates(
     found; component_id: the smallest vec_id reachable by links; kept: vec_id is
     its component's.
 
-    Equal vectors are handled as one with a weight, so copies cost no pairs;
-    rows that repeat an id count as vectors of their own. Rows without an id,
+    Equal vectors are one class with a weight and a number of its own, so copies
+    cost no pairs and rows that repeat an id count as vectors of their own. Rows without an id,
     and vectors that are null, zero, of another length than most, or with null
     or non-finite components, link with nothing (0, their own id, kept unless
     the id is null). Other columns are not read.
@@ -142,47 +148,51 @@ def near_duplicates(
     packed, dtype = pack(spark, vectors, dims)
     usable = packed.where("norm > 0 AND vec_id IS NOT NULL")
     classes = usable.groupBy("vec").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
-    classes = staged(spark, classes, "vector-classes")
+    classes = staged(spark, classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")  # numbered once: it is written
     n = classes.count()
-    sample = classes.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample_rows).select("vec").toArrow()
+    sample = classes.orderBy(F.xxhash64(F.lit(seed), "vec"), "vec").limit(sample_rows).select("vec").toArrow()
     if n:
         x = unpack(sample["vec"], dims, dtype)
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
         lists = max(1, min(n // rows_per_list, most_lists, len(x) // 8))
-        shared = spark.sparkContext.broadcast(Quantiser(x, lists, seed))  # at most most_lists centres
+        shared = spark.sparkContext.broadcast(Quantiser.fit(x, lists, seed))  # at most most_lists centres
         step = np.sqrt(2 - 2 * threshold)
         reach = max(slack * step / np.sqrt(dims), margin * reach_of_links(spark, classes, shared, threshold, dims, dtype, reach_rows, seed + 1))
         reach = min(reach, step + 1e-9)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Quantiser(*shared.value) if n else None
         for b in batches:
             if not b.num_rows:
                 continue
             x = unpack(b["vec"], dims, dtype)
             x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-            home, visits = shared.value.homes(x, reach)
-            codes, left = shared.value.encode(x, home)
+            home, visits = own.homes(x, reach)
+            codes, left = own.encode(x, home)
             yield pa.RecordBatch.from_arrays(
-                [b["vec_id"], b["vec"], b["weight"], pa.array(home.astype(np.int32)), pa.array([np.flatnonzero(v).astype(np.int32) for v in visits], pa.list_(pa.int32())),
+                [b["cid"], b["vec"], b["weight"], pa.array(home.astype(np.int32)), pa.array([np.flatnonzero(v).astype(np.int32) for v in visits], pa.list_(pa.int32())),
                  pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left)],
-                names=["vec_id", "vec", "weight", "home", "visits", "codes", "left"])
+                names=["cid", "vec", "weight", "home", "visits", "codes", "left"])
 
-    coded = staged(spark, classes.select("vec_id", "vec", "weight").mapInArrow(
-        index, "vec_id long, vec binary, weight long, home int, visits array<int>, codes binary, left double"), "codes")
-    visiting = coded.select("vec_id", "vec", "weight", "home", F.explode("visits").alias("list"))
+    coded = staged(spark, classes.select("cid", "vec", "weight").mapInArrow(
+        index, "cid long, vec binary, weight long, home int, visits array<int>, codes binary, left double"), "codes")
+    visiting = coded.select("cid", "vec", "weight", "home", F.explode("visits").alias("list"))
     members = coded.select(*[F.col(c).alias(c) for c in coded.columns], F.col("home").alias("list"))  # columns of its own for the cogroup
-    q, m, keys = in_blocks(visiting, members, ["list"])
+    q, m, keys = in_blocks(visiting, members, ["list"], id="cid")
 
     def links(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, counts, roots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if left.num_rows and right.num_rows:
-            own = shared.value
+            own = Quantiser(*shared.value)
             here = right["list"][0].as_py()
             unit = lambda t: (x := unpack(t["vec"], dims, dtype)) / np.sqrt((x * x).sum(axis=1, keepdims=True))
             qx, mx = unit(left), unit(right)
-            q_id, m_id = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+            q_id, m_id = left["cid"].to_numpy(), right["cid"].to_numpy()
             q_weight, m_weight = left["weight"].to_numpy(), right["weight"].to_numpy()
-            q_home, m_visits = left["home"].to_numpy(), right["visits"].to_pylist()
+            q_home, n_lists = left["home"].to_numpy().astype(np.int64), len(own.centres)
+            m_visits = right["visits"].combine_chunks()
+            rows_of = np.repeat(np.arange(len(mx)), np.diff(m_visits.offsets.to_numpy()))
+            m_visits = np.sort(rows_of * n_lists + m_visits.flatten().to_numpy())  # (member, list) as one number
             codes = np.frombuffer(b"".join(right["codes"].to_pylist()), np.uint8).reshape(len(mx), -1)
             bound = threshold - 1e-9 - right["left"].to_numpy()
             names = np.unique(np.concatenate([q_id, m_id]))
@@ -197,7 +207,8 @@ def near_duplicates(
                 np.add.at(count, q_at[rows], m_weight[cols])
                 # Who doesn't visit the other's list back hears of the link here.
                 deaf = np.flatnonzero(q_home[rows] != here)
-                deaf = np.array([i for i in deaf if q_home[rows[i]] not in m_visits[cols[i]]], dtype=np.int64)
+                back = cols[deaf] * n_lists + q_home[rows[deaf]]
+                deaf = deaf[m_visits[np.minimum(np.searchsorted(m_visits, back), len(m_visits) - 1)] != back]
                 np.add.at(count, m_at[cols[deaf]], q_weight[rows[deaf]])
                 if len(rows):
                     a, b = q_at[rows], m_at[cols]
@@ -219,9 +230,10 @@ def near_duplicates(
     met = staged(spark, met, "vector-links")
     counts = met.groupBy("id").agg(F.sum("n").alias("n"))
     parts = connected_components(spark, met.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    low = parts.groupBy("component").agg(F.min("id").alias("low"))
+    named = parts.join(classes.select(F.col("cid").alias("id"), "vec_id"), "id")
+    low = named.groupBy("component").agg(F.min("vec_id").alias("low"))
     parts = parts.join(low, "component").select("id", "low")
-    told = classes.join(counts, classes["vec_id"] == counts["id"], "left").drop("id").join(parts, F.col("vec_id") == parts["id"], "left")
+    told = classes.join(counts, classes["cid"] == counts["id"], "left").drop("id").join(parts, F.col("cid") == parts["id"], "left")
     told = told.select("vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("low", "vec_id").alias("component_id"))
     linked = usable.join(told, "vec").select("vec_id", "n_links", "component_id")
     alone = packed.where("NOT (norm > 0 AND vec_id IS NOT NULL)").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
