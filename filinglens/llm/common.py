@@ -11,11 +11,12 @@ from filinglens.session import scratch_path
 MASK64 = (1 << 64) - 1
 
 
-def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def staged(spark: SparkSession, df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back: a
-    lost executor rereads the table instead of recomputing its lineage."""
+    lost executor rereads the table instead of recomputing its lineage.
+    ``level``: of the compression."""
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

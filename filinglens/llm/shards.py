@@ -81,16 +81,14 @@ def write_shards(
     buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # ranges of the hash; a number each reaches the driver
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        words, squeeze = encoding(ranks_path), zstandard.ZstdCompressor(level=3)
+        words = encoding(ranks_path)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 some = b.slice(lo, 512)
                 ids = [np.array(x + [END], dtype="<u2") if x else np.zeros(0, "<u2") for x in words.encode_ordinary_batch(strings(some["text"]), num_threads=1)]
                 sizes = np.array([len(x) for x in ids], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [some["doc_id"], some["h"], some["g"], some["bucket"], pa.array(sizes), pa.array([squeeze.compress(x.tobytes()) for x in ids], pa.binary())],
+                    [some["doc_id"], some["h"], some["g"], some["bucket"], pa.array(sizes), pa.array([x.tobytes() for x in ids], pa.binary())],
                     names=["doc_id", "h", "g", "bucket", "size", "ids"])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +115,7 @@ def write_shards(
     own = own.withColumn("bucket", F.floor((F.shiftright("h", 32) + F.lit(1 << 31)) * F.lit(buckets) / F.lit(1 << 32)).cast("int"))
     rows = own.mapInArrow(encode, f"doc_id {kind}, h long, g long, bucket int, size long, ids binary")
     rows = rows.repartition(max(1, buckets // 16), "bucket").sortWithinPartitions("bucket", "h", "g")
-    coded = staged(spark, rows.mapInArrow(numbered, f"doc_id {kind}, bucket int, first long, n long, size long, ids binary"), "token-ids")
+    coded = staged(spark, rows.mapInArrow(numbered, f"doc_id {kind}, bucket int, first long, n long, size long, ids binary"), "token-ids", level=9)
     parts = {r["bucket"]: r["n"] for r in coded.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # at most ``buckets`` rows
     total, offset = 0, np.zeros(buckets, dtype=np.int64)
     for p in sorted(parts):
@@ -125,16 +123,13 @@ def write_shards(
 
     def sequences(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each sequence: its row, its number in the row, its ids, its place."""
-        import zstandard
-
-        loose = zstandard.ZstdDecompressor()
         n, first = b["n"].to_numpy(), b["first"].to_numpy() + offset[b["bucket"].to_numpy()]
         row = np.repeat(np.arange(len(n)), n)
         no = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         ids = np.full((len(row), length), END, dtype="<u2")
         flat, at = ids.reshape(-1), 0
         for raw, k in zip(b["ids"].to_pylist(), n, strict=True):
-            x = np.frombuffer(loose.decompress(raw), "<u2")
+            x = np.frombuffer(raw, "<u2")
             flat[at : at + len(x)] = x
             at += int(k) * length
         return row, no, ids, feistel(first[row] + no, total, key)
@@ -154,7 +149,7 @@ def write_shards(
         """Records by shard, compressed together: fewer and smaller rows to shuffle."""
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=6)
         for b in batches:
             _, _, ids, slot = sequences(b)
             order = np.argsort(slot, kind="stable")
