@@ -24,6 +24,7 @@ from filinglens.operators import gate as _gate
 from filinglens.operators import index as _index
 from filinglens.operators import metrics as _m
 from filinglens.operators import results as _results
+from filinglens.operators import sketches as _sketches
 from filinglens.operators.chunking import chunk_text, split_sections
 from filinglens.operators.embedding import embed, embed_distinct, normalize_vectors
 from filinglens.operators.parse import explode_lines, html_to_lines, parse_filings
@@ -710,3 +711,47 @@ def q_stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", n).parquet(folder)
     _stream.stream_distinct(spark, stream, out, key=["event_id"], time_col="ts", delay="40 days")
     return spark.read.parquet(out).select("event_id", "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("value_cents"))
+
+
+@register
+def q_stream_closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, the earlier half of the time first; hours the watermark closed."""
+    events = _t(spark, sf_dir, "events")
+    folder = scratch_path(spark, "arrivals")
+    ends = events.agg(F.min("ts").cast("timestamp").cast("double").alias("lo"), F.max("ts").cast("timestamp").cast("double").alias("hi")).first()
+    middle = ((ends["lo"] or 0.0) + (ends["hi"] or 0.0)) / 2
+    early = F.col("ts").cast("timestamp").cast("double") <= middle
+    events.where(early).write.parquet(folder)
+    n = len(spark.read.parquet(folder).inputFiles())
+    events.where(~early).write.mode("append").parquet(folder)
+    out = scratch_path(spark, "closed")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(n, 1)).parquet(folder)
+    _stream.stream_closed_windows(spark, stream, out)
+    return spark.read.parquet(out).select(
+        F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n_events", "value_cents")
+
+
+@register
+def q_summary_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in three batches that leave summaries only; the cube
+    over them is held against exact figures of all documents: distinct texts
+    within 5 % (three standard errors), quantiles within 1 %."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.md5(F.coalesce("text", F.lit(""))).alias("h"))
+    path, dims, percents = scratch_path(spark, "summaries"), ["lang", "source"], {"p50": 50, "p95": 95}
+    for i in range(3):
+        _sketches.append_summaries(docs.where(F.pmod("doc_id", F.lit(3)) == i), path, batch=str(i), dims=dims, distinct_col="h", value_col="n_chars")
+    told = _sketches.cube_of_summaries(*_sketches.read_summaries(spark, path), dims, percents)
+    sizes = _sketches.grouped(docs.where("n_chars IS NOT NULL"), dims, ["n_chars"], F.count(F.lit(1)).alias("n"))
+    ranks = _sketches.at_ranks(sizes, dims, "n_chars", percents)
+    exact = _sketches.grouped(docs, dims, [], F.countDistinct("h").alias("exact_distinct"))
+
+    def beside(left: DataFrame, right: DataFrame, tag: str) -> DataFrame:
+        right = right.select(*[F.col(c).alias(f"{tag}_{c}") for c in right.columns])
+        return left.join(right, F.expr(" AND ".join(f"{c} <=> {tag}_{c}" for c in ("level", *dims))))
+
+    both = beside(beside(told, ranks, "r"), exact, "x")
+    near = lambda a, b, share: F.abs(F.col(a) - F.col(b)) <= F.col(b) * F.lit(share + 1e-9)
+    return both.select(
+        *dims, F.col("level").cast("long").alias("level"), "n", "total", F.col("x_exact_distinct").alias("exact_distinct"), F.col("r_p50").cast("long").alias("exact_p50"),
+        F.col("r_p95").cast("long").alias("exact_p95"), near("n_distinct", "x_exact_distinct", 0.05).alias("distinct_near"),
+        (near("p50", "r_p50", 0.01) & near("p95", "r_p95", 0.01)).alias("quantiles_near"))

@@ -829,3 +829,21 @@ SELECT query_id, vec_id AS top_id, score AS top_score, true AS recall_reached FR
 @sql("stream_distinct")
 def _():
     return "SELECT event_id, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS value_cents FROM events"
+
+
+@sql("stream_closed_windows")
+def _():
+    return """
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n_events,
+       CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value_cents
+FROM events GROUP BY date_trunc('hour', ts), event_type
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY"""
+
+
+@sql("summary_cube")
+def _():
+    return """
+SELECT lang, source, CAST(grouping(lang, source) AS BIGINT) AS level, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total,
+  count(DISTINCT md5(coalesce(text, ''))) AS exact_distinct, CAST(quantile_disc(n_chars, 0.5) AS BIGINT) AS exact_p50,
+  CAST(quantile_disc(n_chars, 0.95) AS BIGINT) AS exact_p95, true AS distinct_near, true AS quantiles_near
+FROM documents GROUP BY CUBE (lang, source)"""
