@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 
 from filinglens.llm import licenses, neighbours, pages, vector_dedup
-from filinglens.operators import metrics
 
 
 def table_of(spark, x):
@@ -128,10 +127,3 @@ def test_long_templates_are_found_wherever_they_stand(spark, docs_of):
     out = licenses.license_scan(spark, docs_of(rows), templates=(("long", template),)).collect()
     assert {r["doc_id"]: r["labels"] for r in out} == {n: "long" for n, _ in rows}
     assert {r["step"] for r in licenses.template_rows()} == {16, 64}
-
-
-def test_line_hashes_of_null_and_repeated_ids(spark):
-    rows = [(None, "a\nb")] * 50 + [(1, "a\nb")] * 40 + [(1, "b\nc"), (1, ""), (2, "a\na"), (3, None), (4, ""), (4, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: len(r["h"]) for r in metrics.line_hashes(df, "doc_id", "text").collect()}
-    assert got == {1: 3, 2: 1, 3: 0, 4: 0}
