@@ -28,6 +28,7 @@ from filinglens.llm.common import renamed, strings
 # Fixed value: the words of byte-level vocabularies, as the library splits them.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MARGIN = 32  # longer than any special string and any look-ahead of the splitter
+CHUNK, OVERLAP = 8_192, 512  # characters
 
 
 def load(path: str):
@@ -40,28 +41,58 @@ def load(path: str):
     return t
 
 
-def word_starts(encoding) -> tuple[np.ndarray, np.ndarray]:
-    """Character offsets where a word of the splitter begins, and how many
-    tokens stand before each."""
-    words = encoding.word_ids
-    first = [i for i, w in enumerate(words) if i == 0 or w is None or words[i - 1] is None or w != words[i - 1]]
-    offsets = encoding.offsets
-    return np.array([offsets[i][0] for i in first], dtype=np.int64), np.array(first, dtype=np.int64)
+class Counter:
+    """Token counts of words, each encoded by the library once and remembered
+    up to ``most`` words, then anew."""
+
+    def __init__(self, tokenizer, most: int = 400_000):
+        self.tokenizer, self.most, self.known = tokenizer, most, {}
+        self.words = regex.compile(WORDS)
+        special = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = regex.compile(f"({'|'.join(map(regex.escape, special))})") if special else None
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text, which cover it without gaps; a special string is one word."""
+        if self.special is None or not self.special.search(text):
+            return self.words.findall(text)
+        parts = self.special.split(text)  # every second one is special
+        return [w for i, p in enumerate(parts) for w in ([p] if i % 2 else self.words.findall(p))]
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) > self.most:
+            self.known = {}
+        new = list(words.difference(self.known))
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[w] = len(e.ids)
+
+    def counts(self, texts: list[str]) -> list[int]:
+        split = [self.split(t) for t in texts]
+        self.learn({w for words in split for w in words})
+        known = self.known.__getitem__
+        return [sum(map(known, words)) for words in split]
+
+    def encode(self, chunk: str) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets where the words of a chunk begin, its end added, and how
+        many of its tokens stand before each."""
+        words = self.split(chunk)
+        self.learn(set(words))
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        tokens = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        return np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(tokens)])
 
 
-def count_spliced(tokenizer, text: str, chunk: int = 65_536, overlap: int = 1024) -> int:
+def count_spliced(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, counter: Counter | None = None) -> int:
     """Tokens of ``text`` as one encoding would give, from chunks."""
+    counter = counter or Counter(tokenizer)
     done, start = 0, 0  # tokens counted up to position start, which is a boundary of the whole text
     size = chunk
     while start + size < len(text):
         end = start + size
-        left = tokenizer.encode(text[start:end], add_special_tokens=False)
-        places, before = word_starts(left)
+        places, before = counter.encode(text[start:end])
         wide = overlap
         at = None
         while at is None and wide < size:
-            right = tokenizer.encode(text[end - wide : end + MARGIN], add_special_tokens=False)
-            both = np.intersect1d(places + start, word_starts(right)[0] + end - wide)
+            both = np.intersect1d(places + start, counter.encode(text[end - wide : end + MARGIN])[0] + end - wide)
             both = both[(both > max(start, end - wide)) & (both < end - MARGIN)]
             # The last one may end a word that touches the margin only if it is the margin's own; take the one before.
             at = int(both[-2]) if len(both) > 1 else None
@@ -71,42 +102,10 @@ def count_spliced(tokenizer, text: str, chunk: int = 65_536, overlap: int = 1024
             continue
         done += int(before[np.searchsorted(places, at - start)])
         start, size = at, chunk
-    return done + len(tokenizer.encode(text[start:], add_special_tokens=False).ids)
-
-
-class Counter:
-    """Counts of short texts from the counts of their words, each encoded by
-    the library once and remembered up to ``most`` words, then anew."""
-
-    def __init__(self, tokenizer, most: int = 400_000):
-        self.tokenizer, self.most, self.known = tokenizer, most, {}
-        self.words = regex.compile(WORDS)
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-
-    def counts(self, texts: list[str]) -> list[int]:
-        split = []
-        new = set()
-        for t in texts:
-            extra = 0
-            if self.special is not None and self.special.search(t):
-                parts = self.special.split(t)
-                extra = len(parts) - 1
-            else:
-                parts = [t]
-            words = [w for p in parts for w in self.words.findall(p)]
-            split.append((extra, words))
-            new.update(words)
-        if len(self.known) > self.most:
-            self.known = {}
-        new = list(new.difference(self.known))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = len(e.ids)
-        known = self.known.__getitem__
-        return [extra + sum(map(known, words)) for extra, words in split]
+    return done + int(counter.encode(text[start:])[1][-1])
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk: int = 65_536, overlap: int = 1024) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``) of every
     row of ``docs``; null text counts as empty, repeated rows each keep a row,
     other columns are not read. One pass without a shuffle; a task's memory is
@@ -125,7 +124,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk: int = 65_5
                 n[part] = counter.counts([texts[i] for i in part])
             for i, t in enumerate(texts):
                 if len(t) > chunk:
-                    n[i] = count_spliced(tokenizer, t, chunk, overlap)
+                    n[i] = count_spliced(tokenizer, t, chunk, overlap, counter)
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n), pa.array(n > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"])

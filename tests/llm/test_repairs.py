@@ -146,3 +146,25 @@ def test_crc_of_slots(spark, docs_of):
     assert {r["slot"]: r["ids_crc"] for r in out.collect()} == {i: zlib.crc32(x.tobytes()) for i, x in enumerate(ids)}
     with pytest.raises(ValueError):
         shards.write_shards(spark, docs_of([]), "", per_shard=1 << 17)
+
+
+def test_chunks_of_production_size_equal_one_encoding():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from filinglens.llm import tokens
+
+    t = tokens.load(public_tokenizers.path("byte_bpe_50k.json"))
+    counter = tokens.Counter(t)
+    parts = ["word ", "it's ", "   ", "\n\n\n", "\t ", "<|endoftext|>", "12345", "日本語", "é", "🙂🙂", "....", "x" * 700, " " * 600, "'ll", "a-b ", "   "]
+
+    @settings(max_examples=40, deadline=None)
+    @given(st.lists(st.tuples(st.sampled_from(parts), st.integers(1, 400)), min_size=1, max_size=40))
+    def check(runs):
+        text = "".join(p * n for p, n in runs)
+        want = len(t.encode(text, add_special_tokens=False).ids)
+        assert tokens.count_spliced(t, text, counter=counter) == want
+        assert tokens.count_spliced(t, text, chunk=300, overlap=40, counter=counter) == want
+        assert counter.counts([text]) == [want]
+
+    check()
