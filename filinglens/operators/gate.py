@@ -7,12 +7,14 @@ the whole request table is gated in one plan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filinglens.operators.entity import resolve_tickers
 from filinglens.operators.filings import _pick_latest
+from filinglens.operators.index import stored_among
 from filinglens.options import Options
+from filinglens.session import ensure_checkpoint_dir
 
 CACHE_COLS = ("cik", "accession_number", "filing_date", "period_of_report", "primary_document")
 
@@ -77,10 +79,28 @@ def gate(
     Stage A fires only when the requested period is null or equals the
     cached one (the reference would serve any period from the cache).
     """
+    return _decide(_candidates(requests, entity, cache, filings, opts), index_keys)
+
+
+def gate_with_index(
+    spark: SparkSession, requests: DataFrame, entity: DataFrame, cache: DataFrame, filings: DataFrame, index_path: str, opts: Options = Options()
+) -> DataFrame:
+    """As ``gate``, against the stored index: the filings that the requests
+    could be served from are found first, and only the index partitions that the
+    key sidecar names for them are read. The candidates are checkpointed, so the
+    decisions don't change when an ingest rewrites cache or index."""
+    ensure_checkpoint_dir(spark)
+    found = _candidates(requests, entity, cache, filings, opts).checkpoint(eager=True)
+    wanted = found.select(F.explode(F.array("cached_accession_number", "fresh_accession_number")).alias("accession_number"))
+    keys = stored_among(spark, index_path, wanted.where("accession_number IS NOT NULL"), opts=opts)
+    return _decide(found, keys.checkpoint(eager=True))
+
+
+def _candidates(requests: DataFrame, entity: DataFrame, cache: DataFrame, filings: DataFrame, opts: Options) -> DataFrame:
+    """Requests with their company, cached filing and the listing's filing."""
     req = resolve_tickers(requests.withColumn("force_refresh", F.coalesce("force_refresh", F.lit(False))), entity)
     c = cache.select("ticker_norm", *[F.col(x).alias(f"cached_{x}") for x in CACHE_COLS])
     req = req.join(c, "ticker_norm", "left")
-    req = _flag_stored(req, index_keys, "cached_cik", "cached_accession_number", "cached_stored")
 
     q = filings.where(F.col("form_type").isin(list(opts.forms)))
     order = [F.col("filing_date"), -F.col("pos")]
@@ -108,6 +128,11 @@ def gate(
             fresh = F.when(targeted, F.col(f"lp_{x}")).otherwise(F.col(f"la_{x}"))
         req = req.withColumn(f"fresh_{x}", fresh)
     req = req.drop(*[c for c in req.columns if c.startswith(("la_", "lp_", "_la_", "_lp_"))])
+    return req
+
+
+def _decide(req: DataFrame, index_keys: DataFrame) -> DataFrame:
+    req = _flag_stored(req, index_keys, "cached_cik", "cached_accession_number", "cached_stored")
     req = _flag_stored(req, index_keys, "cik", "fresh_accession_number", "fresh_stored")
 
     has_cache = F.col("cached_accession_number").isNotNull()

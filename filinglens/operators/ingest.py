@@ -56,8 +56,8 @@ def run_ingest(
     # A filing fetched twice lands once; its largest text counts.
     once = fetched.groupBy("archive_url").agg(F.max("html").alias("html"))
     wanted = todo.join(once, "archive_url")
-    n_new = land_filings(spark, wanted.select("storage_path", "html"), landing_path)
-    raw = read_landed(spark, landing_path).select("storage_path", bytes_to_text(F.col("content")).alias("html"))
+    n_new = land_filings(spark, wanted.select("storage_path", "html"), landing_path, opts.landing_buckets)
+    raw = read_landed(spark, landing_path, todo, opts.landing_buckets).select("storage_path", bytes_to_text(F.col("content")).alias("html"))
     docs = todo.join(raw, "storage_path")
     meta = ["ticker_norm", "cik", "accession_number", "form_type", "filing_date", "period_of_report"]
     chunks = parse_filings(docs.select(*meta, "html"), "html", keep=meta, opts=opts)

@@ -51,6 +51,10 @@ class Options:
     # Index layout: rows are bucketed by company so that upserts rewrite only
     # the touched buckets and ticker/cik-filtered searches prune files.
     index_buckets: int = 64
+    # Slots of the index's key sidecar and buckets of the landing table: a look-up
+    # of few filings reads few of them.
+    key_slots: int = 64
+    landing_buckets: int = 64
     # Queries and corpus rows of one search cell (one group of a cogroup).
     query_block_rows: int = 4096
     corpus_block_rows: int = 4096

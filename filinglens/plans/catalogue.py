@@ -22,6 +22,7 @@ from filinglens.operators import entity as _entity
 from filinglens.operators import filings as _filings
 from filinglens.operators import gate as _gate
 from filinglens.operators import index as _index
+from filinglens.operators import ingest as _ingest
 from filinglens.operators import metrics as _m
 from filinglens.operators import results as _results
 from filinglens.operators import sketches as _sketches
@@ -34,6 +35,8 @@ from filinglens.operators.temporal import asof_join, points_in_intervals
 from filinglens.options import Options
 from filinglens.plans import roles
 from filinglens.session import scratch_path
+from filinglens.sources.filings_json import read_listings, read_ticker_universe
+from filinglens.sources.raw_files import read_cache, write_cache
 from filinglens.sources.tables import read_table
 from filinglens.streaming import ingest as _stream
 
@@ -252,11 +255,10 @@ def q_resolve_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTING_PAGE = 1000
 
 
-@register
-def q_unzip_parallel_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filings regrouped into listing pages of at most 1,000 filings per
     company (parallel arrays; pages whose first filing is in December carry
-    no periodOfReport array), then unzipped."""
+    no periodOfReport array)."""
     f = roles.filings(spark, sf_dir).withColumn("page", (F.col("pos") / LISTING_PAGE).cast("long"))
     g = f.groupBy("cik", "page").agg(
         F.sort_array(
@@ -267,7 +269,7 @@ def q_unzip_parallel_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("filing_date").alias("first_date"),
     )
     iso = "yyyy-MM-dd"
-    listing = g.select(
+    return g.select(
         "cik",
         "page",
         F.transform("fs", lambda x: x["form_type"]).alias("form"),
@@ -279,12 +281,44 @@ def q_unzip_parallel_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.transform("fs", lambda x: F.coalesce(F.date_format(x["period_of_report"], iso), F.lit(""))),
         ).alias("periodOfReport"),
     )
+
+
+@register
+def q_unzip_parallel_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings regrouped into listing pages of at most 1,000 filings per
+    company (parallel arrays; pages whose first filing is in December carry
+    no periodOfReport array), then unzipped."""
+    listing = _listing_pages(spark, sf_dir)
     return _filings.unzip_listing(listing, keep=["cik", "page"]).select(
         "cik", "page", F.col("pos").cast("int").alias("pos"), "form_type", "filing_date",
         "accession_number", "primary_document", "period_of_report",
     )
 
 
+@register
+def q_universe_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies written as universe files and read back in splits."""
+    folder = scratch_path(spark, "universe")
+    roles.write_universe_json(spark, sf_dir, folder)
+    return read_ticker_universe(spark, folder).select("pos", "cik_str", "ticker", "title")
+
+
+@register
+def q_listings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing pages written as JSON, a document a line, and read back: the
+    first ticker of a list (none for every seventh company), dates from text."""
+    listed = _listing_pages(spark, sf_dir)
+    number = F.col("cik").cast("long")
+    recent = F.struct(*_filings.LISTING_ARRAYS)
+    document = F.struct(
+        "cik", F.lit("operating").alias("entityType"), F.when(number % 5 != 0, F.lit("3571")).alias("sic"), F.concat(F.lit('"Co", {'), "cik").alias("name"),
+        F.when(number % 7 != 0, F.array(F.concat(F.lit("T"), number.cast("string")), F.lit("OLD"))).alias("tickers"), F.struct(recent.alias("recent")).alias("filings"))
+    folder = scratch_path(spark, "listings")
+    listed.select(F.to_json(document).alias("value")).write.text(folder)
+    return read_listings(spark, folder, lines=True).select(
+        "cik", "entity_type", "sic", "company_name", "ticker", "form_type", "filing_date", "accession_number", "primary_document", "period_of_report")
+
+
 @register
 def q_latest_filing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filings.select_latest(roles.filings(spark, sf_dir), OPTS).select(*FILING_OUT)
@@ -582,6 +616,66 @@ def q_upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def q_stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all documents by company, some of which move to another
+    company with a second batch; then every document and as many unknown ones are looked up
+    by key. Found ones carry the company they are stored with."""
+    docs = _t(spark, sf_dir, "documents")
+    moved = F.coalesce("lang", F.lit("")).isin(*UPSERT_LATER_LANGS)
+    path = scratch_path(spark, "lookup-index")
+    rows = [F.col("doc_id").cast("string").alias("accession_number"), F.md5(F.coalesce("text", F.lit(""))).alias("text")]
+    _index.upsert_chunks(spark, path, docs.select(F.coalesce("source", F.lit("")).alias("cik"), *rows), opts=OPTS)
+    _index.upsert_chunks(spark, path, docs.where(moved).select(F.concat(F.lit("m-"), "lang").alias("cik"), *rows), opts=OPTS)
+    known = docs.select(F.col("doc_id").cast("string").alias("accession_number"))
+    asked = known.unionAll(known.select(F.concat("accession_number", F.lit("-x"))))
+    found = _index.stored_among(spark, path, asked, opts=OPTS)
+    return asked.join(found, "accession_number", "left").select("accession_number", F.col("cik").alias("company"))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str, int, int]:
+    """A whole ingest: the universe from JSON files, the gate against a
+    cache of earlier filings and an empty index, landing, parsing, index, cache; then
+    the same requests once more. Decisions of both runs, the index, and how many filings each landed."""
+    at = scratch_path(spark, "request")
+    paths = {"landing_path": f"{at}/landing", "index_path": f"{at}/index", "cache_path": f"{at}/cache"}
+    roles.write_universe_json(spark, sf_dir, f"{at}/universe")
+    entity = _entity.build_entity_dim(read_ticker_universe(spark, f"{at}/universe"))
+    filings, requests = roles.filings(spark, sf_dir), roles.requests(spark, sf_dir)
+    cut = F.to_date(F.lit(roles.CACHE_CUT_DATE))
+    write_cache(spark, _cache_for(filings, entity, F.col("filing_date") < cut), paths["cache_path"])
+    runs, landed = [], []
+    for _ in range(2):
+        decisions = _gate.gate_with_index(spark, requests, entity, read_cache(spark, paths["cache_path"]), filings, paths["index_path"], OPTS)
+        wanted = _ingest.filings_to_ingest(decisions).select("accession_number")
+        archive = _filings.filing_paths(filings.join(wanted, "accession_number", "left_semi"))
+        landed.append(_ingest.run_ingest(spark, decisions, roles.fetched(spark, sf_dir, archive), **paths, opts=OPTS))
+        runs.append(decisions)
+    return *runs, paths["index_path"], *landed
+
+
+@register
+def q_ingest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request before and after an ingest run, with what is stored of its filing."""
+    first, second, path, landed, again = _ingested(spark, sf_dir)
+    stored = _index.read_index(spark, path).groupBy("accession_number").agg(F.count("*").alias("n_chunks"), F.sum("chars").cast("long").alias("chars"))
+    second = second.select(
+        "request_id", F.col("action").alias("second_action"), F.col("cached_accession_number").alias("second_cached"), F.col("fresh_accession_number").alias("accession_number"))
+    both = first.select("request_id", F.col("action").alias("first_action"), F.col("cached_accession_number").alias("first_cached")).join(second, "request_id")
+    return both.join(stored, "accession_number", "left").select(
+        "request_id", "first_action", "first_cached", "second_action", "second_cached", "accession_number", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"),
+        "chars", F.lit(landed).cast("long").alias("landed"), F.lit(again).cast("long").alias("landed_again"))
+
+
+@register
+def q_report_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After an ingest run, the context of every request's fixed questions."""
+    _, decisions, path, _, _ = _ingested(spark, sf_dir)
+    context, _ = _ingest.prepare_reports(spark, decisions, _index.read_index(spark, path), list(roles.QUESTIONS), opts=OPTS)
+    return context.select(
+        "request_id", "question_no", "rank", "score", "accession_number", "section_order", "chunk_index", "section_name", "truncated", F.md5("text").alias("context_md5"))
+
+
 @register
 def q_prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer")

@@ -324,6 +324,26 @@ SELECT cik, page,
 FROM paged"""
 
 
+@sql("universe_json")
+def _():
+    n = R.UNIVERSE_FILE_ENTRIES
+    odd = f"(c_custkey // {n}) % 2 = 1 AND c_custkey % 50 = 7"
+    return f"""
+SELECT c_custkey AS pos, CAST(c_custkey AS VARCHAR) AS cik_str, {_raw_ticker('c_mktsegment', 'c_nationkey')} AS ticker,
+       c_name || CASE WHEN {odd} THEN ' {{a}},"1":{{b}}' ELSE '' END AS title
+FROM customer"""
+
+
+@sql("listings_json")
+def _():
+    return f"""WITH {ROLES_CTE}, paged AS (SELECT *, pos // 1000 AS page, CAST(cik AS BIGINT) AS number FROM filings)
+SELECT cik, 'operating' AS entity_type, CASE WHEN number % 5 <> 0 THEN '3571' END AS sic, '"Co", {{' || cik AS company_name,
+       CASE WHEN number % 7 <> 0 THEN 'T' || number ELSE '' END AS ticker, form_type, filing_date, accession_number, primary_document,
+       CASE WHEN month(min(filing_date) OVER (PARTITION BY cik, page)) = 12 THEN NULL ELSE period_of_report END
+         AS period_of_report
+FROM paged"""
+
+
 @sql("latest_filing")
 def _():
     return f"WITH {ROLES_CTE} SELECT {FILING_SEL} FROM {_latest('quarterly')}"
@@ -622,6 +642,94 @@ FROM (SELECT doc_id, {chunk_list('text', chr(10), mx, ov)} AS cs FROM documents
     return f"{kept} UNION ALL {replaced}"
 
 
+@sql("stored_lookup")
+def _():
+    later = ", ".join(q(x) for x in ("fr", "es"))
+    return f"""
+SELECT CAST(doc_id AS VARCHAR) AS accession_number, CASE WHEN lang IN ({later}) THEN 'm-' || lang ELSE coalesce(source, '') END AS company FROM documents
+UNION ALL SELECT CAST(doc_id AS VARCHAR) || '-x', NULL FROM documents"""
+
+
+def _gate_run(n: int, cache: str, stored: str) -> str:
+    """CTEs r{n}, d{n}: the gate's decisions against a cache and stored filings."""
+    return f"""
+r{n} AS (
+  SELECT r.request_id, {_norm_ticker('r.ticker')} AS ticker_norm, e.cik, r.filing_period, coalesce(r.force_refresh, false) AS force_refresh,
+         c.accession_number AS cached_accession_number, c.filing_date AS cached_filing_date, c.period_of_report AS cached_period_of_report,
+         f.accession_number AS fresh_accession_number, f.filing_date AS fresh_filing_date, f.period_of_report AS fresh_period_of_report,
+         f.primary_document AS fresh_primary_document,
+         EXISTS (SELECT 1 FROM {stored} s WHERE s.cik = c.cik AND s.accession_number = c.accession_number) AS cached_stored,
+         EXISTS (SELECT 1 FROM {stored} s WHERE s.cik = e.cik AND s.accession_number = f.accession_number) AS fresh_stored
+  FROM requests r
+  LEFT JOIN entity e ON {_norm_ticker('r.ticker')} = e.ticker
+  LEFT JOIN {cache} c ON {_norm_ticker('r.ticker')} = c.ticker_norm
+  LEFT JOIN latest_both f ON f.cik = e.cik AND f.asked IS NOT DISTINCT FROM r.filing_period
+),
+d{n} AS (
+  SELECT *, CASE
+    WHEN cached_accession_number IS NOT NULL AND NOT force_refresh
+         AND (filing_period IS NULL OR filing_period = cached_period_of_report) AND cached_stored THEN 'serve_cached'
+    WHEN cik IS NULL THEN 'unknown_ticker'
+    WHEN fresh_accession_number IS NULL THEN 'no_filing'
+    WHEN cached_accession_number IS NOT NULL AND NOT force_refresh AND cached_filing_date = fresh_filing_date
+         AND cached_period_of_report IS NOT DISTINCT FROM fresh_period_of_report AND fresh_stored THEN 'serve_unchanged'
+    ELSE 'ingest' END AS action FROM r{n}
+)"""
+
+
+def _ingest_ctes() -> str:
+    """Both runs: d1, d2; got (filings landed, with their page); stored (those with chunks)."""
+    return f"""WITH {ROLES_CTE}, {_cache_cte('cache0', f'filing_date < DATE {q(R.CACHE_CUT_DATE)}')}, {page_chunks_sql()},
+latest_both AS (
+  SELECT *, NULL::DATE AS asked FROM {_latest('quarterly')}
+  UNION ALL SELECT *, period_of_report AS asked FROM {_latest('(SELECT * FROM quarterly WHERE period_of_report IS NOT NULL)', part='cik, period_of_report')}
+),
+nothing AS (SELECT '' AS cik, '' AS accession_number WHERE false),
+{_gate_run(1, 'cache0', 'nothing')},
+got AS (
+  SELECT DISTINCT d.ticker_norm, d.cik, f.accession_number, f.filing_date, f.period_of_report, f.primary_document, p.page_id
+  FROM d1 d JOIN filings f ON f.accession_number = d.fresh_accession_number
+  JOIN pages p ON p.page_id = f.pos % (SELECT max(page_id) + 1 FROM pages)
+  WHERE d.action = 'ingest' AND f.status <> 'P' AND p.html IS NOT NULL
+),
+stored AS (SELECT * FROM got WHERE page_id IN (SELECT page_id FROM page_chunks)),
+both_caches AS (SELECT * FROM cache0 UNION ALL SELECT ticker_norm, cik, accession_number, filing_date, period_of_report, primary_document FROM got),
+cache1 AS (SELECT * EXCLUDE (_rn) FROM {_latest('both_caches', part='ticker_norm', order='filing_date DESC, accession_number DESC')}),
+{_gate_run(2, 'cache1', 'stored')}"""
+
+
+@sql("ingest_run")
+def _():
+    return f"""{_ingest_ctes()},
+sizes AS (SELECT accession_number, count(*) AS n_chunks, CAST(sum(chars) AS BIGINT) AS chars FROM stored JOIN page_chunks USING (page_id) GROUP BY 1)
+SELECT request_id, d1.action AS first_action, d1.cached_accession_number AS first_cached, d2.action AS second_action,
+       d2.cached_accession_number AS second_cached, d2.fresh_accession_number AS accession_number, coalesce(n_chunks, 0) AS n_chunks, chars,
+       (SELECT count(*) FROM got) AS landed, CAST(0 AS BIGINT) AS landed_again
+FROM d1 JOIN d2 USING (request_id) LEFT JOIN sizes ON sizes.accession_number = d2.fresh_accession_number"""
+
+
+@sql("report_context")
+def _():
+    asked = ", ".join(f"({i}, {q(text)})" for i, text in enumerate(R.QUESTIONS))
+    return f"""{_ingest_ctes()},
+questions AS (SELECT CAST(no AS INTEGER) AS question_no, {hash_vec('question')} AS qvec FROM (VALUES {asked}) v(no, question)),
+served AS (
+  SELECT request_id, ticker_norm, CASE WHEN action = 'serve_cached' THEN cached_accession_number ELSE fresh_accession_number END AS accession_number
+  FROM d2 WHERE action IN ('serve_cached', 'serve_unchanged', 'ingest')
+),
+scored AS (
+  SELECT page_id, section_order, chunk_index, section_name, text, question_no, chars, {cosine('questions.qvec', 'c.embedding')} AS score
+  FROM questions, page_index c
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY request_id, question_no ORDER BY score DESC, section_order, chunk_index) AS rank
+  FROM served JOIN stored USING (ticker_norm, accession_number) JOIN scored USING (page_id)
+)
+SELECT request_id, question_no, CAST(rank AS INTEGER) AS rank, score, accession_number, CAST(section_order AS INTEGER) AS section_order, chunk_index, section_name,
+       chars > {O.retrieve_max_chars} AS truncated, md5(substring(text, 1, {O.retrieve_max_chars})) AS context_md5
+FROM ranked WHERE rank <= least({O.retrieve_k}, {O.retrieve_max_k})"""
+
+
 def _prompt_sql(ticker: str, thesis: str, goal: str) -> str:
     parts = []
     rest = INSIGHTS_PROMPT_TEMPLATE

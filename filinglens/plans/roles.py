@@ -135,3 +135,43 @@ INSIGHTS_DEFECTS = (
     ('["q","r"]', '["q",null]'),
     (',"open_questions":["q","r"]', ''),
 )
+
+
+# What a report asks of every filing.
+QUESTIONS = ("revenue and margins", "risks and uncertainties", "liquidity and outlook")
+
+# Entries of one universe file.
+UNIVERSE_FILE_ENTRIES = 500
+
+
+def universe_title() -> Column:
+    """Titles of every second file's entries hold braces and quotes now and then."""
+    odd = (F.floor(F.col("c_custkey") / UNIVERSE_FILE_ENTRIES) % 2 == 1) & (F.col("c_custkey") % 50 == 7)
+    return F.when(odd, F.concat("c_name", F.lit(' {a},"1":{b}'))).otherwise(F.col("c_name"))
+
+
+def write_universe_json(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Companies as universe files: objects keyed by position, company numbers
+    written as JSON numbers or, for odd ones, as text."""
+    c = read_table(spark, sf_dir, "customer")
+    names = [raw_ticker(F.col("c_mktsegment"), F.col("c_nationkey")).alias("ticker"), universe_title().alias("title")]
+    entry = F.when(
+        F.col("c_custkey") % 2 == 0, F.to_json(F.struct(F.col("c_custkey").alias("cik_str"), *names))
+    ).otherwise(F.to_json(F.struct(F.col("c_custkey").cast("string").alias("cik_str"), *names)))
+    keyed = c.select(
+        F.floor(F.col("c_custkey") / UNIVERSE_FILE_ENTRIES).alias("part"), "c_custkey",
+        F.concat(F.lit('"'), F.col("c_custkey").cast("string"), F.lit('":'), entry).alias("entry"))
+    # At most UNIVERSE_FILE_ENTRIES entries a group.
+    files = keyed.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "entry"))).alias("es"))
+    text = F.concat(F.lit("{"), F.array_join(F.transform("es", lambda x: x["entry"]), ","), F.lit("}"))
+    files.select("part", text.alias("value")).write.partitionBy("part").text(folder)
+
+
+def fetched(spark: SparkSession, sf_dir: str, archive: DataFrame) -> DataFrame:
+    """(archive_url, html): what a fetcher brings of ``archive`` (filings with
+    their paths). Filing n is page n modulo the number of pages; pending orders'
+    filings are not to be had."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "html")
+    n = (pages.agg(F.max("page_id")).first()[0] or 0) + 1
+    got = archive.where("status <> 'P'").withColumn("page_id", F.pmod("pos", F.lit(n)))
+    return got.join(pages, "page_id").select("archive_url", "html")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filinglens.operators.gate import merge_latest_cache
-from filinglens.operators.index import path_exists
+from filinglens.operators.index import BUCKET_COL, path_exists, with_bucket
+from filinglens.options import Options
 from filinglens.session import ensure_checkpoint_dir
 
 CACHE_SCHEMA = T.StructType(
@@ -39,24 +40,38 @@ def read_raw_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     return df.select("path", F.col("modificationTime").alias("modified"), bytes_to_text(F.col("content")).alias("html"))
 
 
-def read_landed(spark: SparkSession, path: str) -> DataFrame:
-    if not path_exists(spark, path):
+def read_landed(spark: SparkSession, path: str, wanted: DataFrame | None = None, buckets: int = Options().landing_buckets) -> DataFrame:
+    """Landed filings (storage_path, content). The table is partitioned by hash
+    of the path; with ``wanted`` (storage_path) only the buckets and rows of
+    those paths are read. The number of buckets is part of the folder's name, so
+    another number reads another table."""
+    table = _landing(path, buckets)
+    if not path_exists(spark, table):
         return spark.createDataFrame([], LANDED_SCHEMA)
-    return spark.read.schema(LANDED_SCHEMA).parquet(path)
+    rows = spark.read.schema(T.StructType([*LANDED_SCHEMA.fields, T.StructField(BUCKET_COL, T.IntegerType())])).parquet(table)
+    if wanted is not None:
+        keys = with_bucket(wanted.select("storage_path").distinct(), "storage_path", buckets)
+        hit = [r[0] for r in keys.select(BUCKET_COL).distinct().collect()]  # at most one row per bucket
+        rows = rows.where(F.col(BUCKET_COL).isin(hit)).join(keys, [BUCKET_COL, "storage_path"], "left_semi")
+    return rows.select(*LANDED_SCHEMA.names)
+
+
+def _landing(path: str, buckets: int) -> str:
+    return f"{path.rstrip('/')}/by-path-{buckets}"
 
 
-def land_filings(spark: SparkSession, fetched: DataFrame, path: str) -> int:
+def land_filings(spark: SparkSession, fetched: DataFrame, path: str, buckets: int = Options().landing_buckets) -> int:
     """Append fetched filings (storage_path, html) whose path is not landed
     yet (write-if-absent as a left anti join). Returns rows appended."""
     ensure_checkpoint_dir(spark)
-    landed = read_landed(spark, path).select("storage_path")
+    landed = read_landed(spark, path, fetched, buckets).select("storage_path")
     new = fetched.join(landed, "storage_path", "left_anti").select(
         "storage_path", F.encode(F.col("html"), "UTF-8").alias("content")
     )
     new = new.checkpoint(eager=True)
     n = new.count()
     if n:
-        new.write.mode("append").parquet(path)
+        with_bucket(new, "storage_path", buckets).hint("rebalance", BUCKET_COL).write.mode("append").partitionBy(BUCKET_COL).parquet(_landing(path, buckets))
     return n
 
 

@@ -82,3 +82,63 @@ def test_null_dates_moves_empty_batches_and_vanished_filings(spark, tmp_table):
     gone = spark.createDataFrame([("A",), ("C",)], "accession_number string")
     upsert_chunks(spark, path, make([]), date_col="filing_date", filings=gone)
     assert rows_of(spark, path, "accession_number") == [("B",)]
+
+
+def sidecar(spark, path, slots=64):
+    from filinglens.operators.index import sidecar_path
+
+    return sorted((r.accession_number, r.bucket) for r in spark.read.parquet(sidecar_path(path, slots)).collect())
+
+
+def held(spark, path):
+    return sorted({(r.accession_number, r.bucket) for r in read_index(spark, path).collect() if r.accession_number is not None})
+
+
+def test_sidecar_follows_moves_replays_and_vanished_filings(spark, tmp_table):
+    path = tmp_table("keyed")
+    upsert_chunks(spark, path, batch(spark, [("A", "c1", 0, "a0"), ("A", "c1", 1, "a1"), ("B", "c2", 0, "b0"), (None, "c3", 0, "n")]))
+    assert sidecar(spark, path) == held(spark, path)
+    upsert_chunks(spark, path, batch(spark, [("A", "c9", 0, "moved"), ("C", "c1", 0, "c0")]))
+    assert sidecar(spark, path) == held(spark, path) and len(sidecar(spark, path)) == 3
+    upsert_chunks(spark, path, batch(spark, [("A", "c9", 0, "moved"), ("C", "c1", 0, "c0")]))  # replay
+    assert sidecar(spark, path) == held(spark, path)
+    upsert_chunks(spark, path, batch(spark, []), filings=spark.createDataFrame([("B",)], "accession_number string"))
+    assert sidecar(spark, path) == held(spark, path) and "B" not in dict(sidecar(spark, path))
+
+
+def test_sidecar_is_built_for_an_index_without_one_and_never_read_stale(spark, tmp_table):
+    import shutil
+
+    from filinglens.operators.index import sidecar_path, stored_among
+    from filinglens.options import Options
+
+    path = tmp_table("unkeyed")
+    upsert_chunks(spark, path, batch(spark, [("A", "c1", 0, "a0"), ("B", "c2", 0, "b0")]))
+    wanted = spark.createDataFrame([("A",), ("A",), (None,), ("Z",)], "accession_number string")
+    few = Options(key_slots=3)
+    assert [tuple(r) for r in stored_among(spark, path, wanted, opts=few).collect()] == [("c1", "A")]
+    upsert_chunks(spark, path, batch(spark, [("A", "c7", 0, "moved")]), opts=few)
+    assert sidecar(spark, path, 3) == held(spark, path)
+    shutil.rmtree(sidecar_path(path, 3).replace("file:", ""))
+    assert [tuple(r) for r in stored_among(spark, path, wanted, opts=few).collect()] == [("c7", "A")]
+    assert stored_among(spark, tmp_table("absent"), wanted).collect() == []
+    assert stored_among(spark, path, wanted.where("false"), opts=few).collect() == []
+    # An index that was deleted and begun anew forgets its old places.
+    shutil.rmtree(path.replace("file:", ""))
+    upsert_chunks(spark, path, batch(spark, [("D", "c1", 0, "d0")]), opts=few)
+    assert sidecar(spark, path, 3) == held(spark, path) == [("D", held(spark, path)[0][1])]
+
+
+def test_lookup_scans_candidate_partitions_only(spark, tmp_table):
+    import re
+
+    from filinglens.operators.index import stored_among
+
+    path = tmp_table("pruned")
+    # One company holds a third of all filings: many rows, one bucket.
+    upsert_chunks(spark, path, batch(spark, [(f"F{i}", "hot" if i % 3 == 0 else f"c{i}", j, "t") for i in range(150) for j in range(2)]))
+    got = stored_among(spark, path, spark.createDataFrame([("F3",), ("F4",), ("none",)], "accession_number string"))
+    assert sorted(tuple(r) for r in got.collect()) == [("c4", "F4"), ("hot", "F3")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[bucket#\d+ IN \(\d+,\d+\)\]", plan), plan
+    assert held(spark, path) == sidecar(spark, path)
