@@ -30,6 +30,7 @@ from filinglens.operators.chunking import chunk_text, split_sections
 from filinglens.operators.embedding import embed, embed_distinct, normalize_vectors
 from filinglens.operators.parse import explode_lines, html_to_lines, parse_filings
 from filinglens.operators.search import cosine_topk, search
+from filinglens.operators.section_rows import sections_of_lines
 from filinglens.operators.sequence import global_ranks
 from filinglens.operators.temporal import asof_join, points_in_intervals
 from filinglens.options import Options
@@ -475,6 +476,17 @@ def q_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def q_sections_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``sections``, from a table of lines."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", non_blank_lines(with_generated_headings(F.col("text"))).alias("lines"))
+    s = sections_of_lines(explode_lines(docs, ["doc_id"]), "doc_id", OPTS)
+    return s.select(
+        "doc_id", "section_order", "section_item", "section_name",
+        F.char_length("text").alias("chars"), F.md5("text").alias("text_md5"),
+    )
+
+
 @register
 def q_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embed_distinct(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text")

@@ -497,6 +497,9 @@ FROM secs, range(1, len(sv) + 1) r(i)
 """
 
 
+ORACLE["sections_from_lines"] = ORACLE["sections"]
+
+
 ORACLE["embed_dedup"] = ORACLE["embed_hash"]
 
 
