@@ -9,11 +9,16 @@ Plan shape:
 * A query's *route* is its first filter (column and value), or the open
   route if it has none. Only rows with that value meet the query, so no
   other pair is scored; further filters are tested inside the cell.
-* The queries and the rows of a route are cut by hash into blocks of about
-  ``Options.query_block_rows`` and ``Options.corpus_block_rows``. Every
+* The queries and the rows of a route are cut by hash into blocks of at least
+  about ``Options.query_block_rows`` and ``Options.corpus_block_rows`` rows,
+  larger ones (bounded in rows and bytes) for a large route, because the
+  vectors are shuffled once per block of the other side. Every
   (query block, corpus block) cell is one group, so a route with a third of
   all rows is many cells and no task holds more than two blocks. Queries
   never pass through the driver and nothing is broadcast by hand.
+* A cell multiplies its blocks as float32 matrices, tile by tile. What may be
+  among a query's ``k`` best, given the largest error that such a product can
+  have, is scored again in double precision; nothing else is left out.
 * A cell yields at most ``k`` rows per query; the final window has a literal
   bound, so each task cuts its rows again before the last shuffle.
 * Scores use the same left-to-right summation as the SQL form
@@ -94,6 +99,126 @@ def _seq_dot(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+# Queries and rows of a tile of the matrix product, and the rows of a tile that
+# are looked at together (by their largest score) at most.
+_TILE_QUERIES, _TILE_ROWS, _GROUP_ROWS = 256, 4096, 32
+# Upper bound on the candidates that wait for their exact score.
+_CANDIDATES = 1 << 20
+# Vectors shorter than this are multiplied in double precision, as the 1e-9 of
+# the score counts there; longer than the other and non-finite ones are not multiplied.
+_SHORT, _LONG = 1e-2, 1e100
+
+
+def _ranked(qi: np.ndarray, ci: np.ndarray, score: np.ndarray, qk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best of each query: NaN last, ties by position of the row."""
+    nan = np.isnan(score)
+    order = np.lexsort((ci, np.where(nan, 0.0, -score), nan, qi))
+    qi, ci, score = qi[order], ci[order], score[order]
+    keep = np.arange(qi.size) - np.searchsorted(qi, qi, side="left") < qk[qi]
+    return qi[keep], ci[keep], score[keep]
+
+
+def _pair_scores(qi: np.ndarray, ci: np.ndarray, qt: np.ndarray, ct: np.ndarray, qnorm: np.ndarray, cnorm: np.ndarray) -> np.ndarray:
+    """Exact scores of pairs, summed in index order. ``qt``, ``ct``: a column a vector."""
+    acc = np.zeros(qi.size, dtype=np.float64)
+    for x, y in zip(qt, ct):
+        acc += x[qi] * y[ci]
+    return acc / (qnorm[qi] * cnorm[ci] + COSINE_EPSILON)
+
+
+def _once_per_vector(vectors: np.ndarray, codes: list[np.ndarray], k: int) -> np.ndarray:
+    """Positions without those that ``k`` earlier rows with the same vector and
+    filter values precede: no query ranks such a row among its ``k`` best."""
+    group = pd.factorize(np.array([v.tobytes() for v in vectors], dtype=object))[0]
+    for c in codes:
+        group = pd.factorize(group * (int(c.max()) + 2) + c + 1)[0]
+    return np.flatnonzero(pd.Series(group).groupby(group).cumcount().to_numpy() < k)
+
+
+def _all_candidates(qpos, cpos, q, c, valid, qk):
+    """Best of the queries ``qpos`` among the rows ``cpos``, all pairs summed
+    in index order."""
+    (qmat, qnorm), (cmat, cnorm) = q, c
+    parts = []
+    step = max(1, _SCORE_CELLS // len(cpos))
+    for lo in range(0, len(qpos), step):
+        qs = qpos[lo : lo + step]
+        scores = _seq_dot(qmat[qs], cmat[cpos]) / (np.multiply.outer(qnorm[qs], cnorm[cpos]) + COSINE_EPSILON)
+        ok = valid(qs, cpos)
+        order_by = np.where(np.isnan(scores) | (False if ok is None else ~ok), -np.inf, scores)
+        kk = min(int(qk[qs].max()), len(cpos))
+        thr = -np.partition(-order_by, kk - 1, axis=1)[:, kk - 1]
+        qi, ci = np.nonzero((order_by >= thr[:, None]) & (True if ok is None else ok))
+        parts.append(_ranked(qs[qi], cpos[ci], scores[qi, ci], qk))
+    return parts
+
+
+def _product_candidates(qpos, cpos, q, c, valid, qk, single: bool):
+    """Best of the queries ``qpos`` among the rows ``cpos``: a matrix product,
+    with norms divided out, says which pairs may be among the best; those get
+    exact scores. ``single``: in float32, else in double precision."""
+    (qmat, qnorm), (cmat, cnorm) = q, c
+    dim = qmat.shape[1]
+    # Twice the difference that a product and the exact score may have, twice as wide.
+    slack = (dim + 8) * (2.0**-22 if single else 2.0**-50)
+    if single:
+        qn, cn = qnorm[qpos], cnorm[cpos]
+        slack += 4 * COSINE_EPSILON / (qn.min() * cn.min())
+        left = (qmat[qpos] / qn[:, None]).astype(np.float32)
+        right = (cmat[cpos] / cn[:, None]).astype(np.float32)
+    else:
+        left, right = qmat[qpos], cmat[cpos]
+    ct = np.ascontiguousarray(cmat.T)
+    space = np.empty((min(_TILE_ROWS, len(cpos)), min(_TILE_QUERIES, len(qpos))), dtype=left.dtype)
+    parts = []
+    for lo in range(0, len(qpos), _TILE_QUERIES):
+        qs = qpos[lo : lo + _TILE_QUERIES]
+        qt, own = np.ascontiguousarray(qmat[qs].T), np.ascontiguousarray(left[lo : lo + _TILE_QUERIES].T)
+        kk = min(int(qk[qs].max()), len(cpos))
+        best = np.full((kk, len(qs)), -np.inf, dtype=left.dtype)  # lower bounds of the kk largest so far
+        held, n_held = [], 0
+
+        def settle(held):
+            qi, ci, near = (np.concatenate(x) for x in zip(*held))
+            some = near >= (best[0] - slack)[qi]
+            qi, ci = qi[some], ci[some]
+            exact = _pair_scores(qi, cpos[ci], qt, ct, qnorm[qs], cnorm)
+            return _ranked(qi, ci, exact, qk[qs])
+
+        for at in range(0, len(cpos), _TILE_ROWS):
+            some = right[at : at + _TILE_ROWS]
+            tile = np.matmul(some, own, out=space.reshape(-1)[: len(some) * len(qs)].reshape(len(some), len(qs)))
+            if not single:
+                tile /= np.multiply.outer(cnorm[cpos[at : at + _TILE_ROWS]], qnorm[qs]) + COSINE_EPSILON
+            ok = valid(qs, cpos[at : at + _TILE_ROWS])
+            if ok is not None:
+                tile[~ok.T] = -np.inf
+            width = max(1, min(_GROUP_ROWS, len(tile) // (2 * kk)))
+            n = len(tile) // width
+            # Row j * n + g of the tile is in group g; what is left over is a group a row.
+            tops = tile[: n * width].reshape(width, n, len(qs)).max(axis=0)
+            tops = np.concatenate([tops, tile[n * width :]])
+            bound = np.concatenate([best, tops])
+            best = np.partition(bound, len(bound) - kk, axis=0)[len(bound) - kk :]
+            least = best[0] - slack
+            g, qi = np.nonzero((tops >= least) & (tops > -np.inf))
+            rest = g >= n
+            rows = g[~rest] + n * np.arange(width)[:, None]
+            cols = np.broadcast_to(qi[~rest], rows.shape).ravel()
+            rows = np.concatenate([rows.ravel(), g[rest] - n + n * width])
+            cols = np.concatenate([cols, qi[rest]])
+            near = tile[rows, cols]
+            some = (near >= least[cols]) & (near > -np.inf)
+            held.append((cols[some], at + rows[some], near[some]))
+            n_held += len(held[-1][0])
+            if n_held > _CANDIDATES:  # keeps the k best of each query so far, by their exact scores
+                qi, ci, exact = settle(held)
+                held, n_held = [(qi, ci, np.full(len(qi), np.inf))], len(qi)
+        qi, ci, exact = settle(held)
+        parts.append((qs[qi], cpos[ci], exact))
+    return parts
+
+
 def _cell_scorer(key_cols: list[str], n_filters: int):
     """Build the cogroup function: exact top-k of one cell's queries among
     its rows."""
@@ -105,50 +230,65 @@ def _cell_scorer(key_cols: list[str], n_filters: int):
         # Rows in key order: their position is the tie-break of the ranking.
         rows = rows.sort_values(key_cols, kind="mergesort", na_position="first").reset_index(drop=True)
         qvecs, cvecs = qs["_vec"].tolist(), rows["_vec"].tolist()
-        dim = max(max(map(len, qvecs)), max(map(len, cvecs)))
+        dim = max(max(map(len, qvecs)), max(map(len, cvecs)), 1)
         qmat, cmat = _as_matrix(qvecs, dim), _as_matrix(cvecs, dim)
-        with np.errstate(all="ignore"):
-            qnorm, cnorm = _seq_norm(qmat), _seq_norm(cmat)
         qk = qs["k"].to_numpy(dtype=np.int64)
         qids = qs["query_id"].to_numpy()
-        tests = []
+        tests, codes_of = [], []
         for i in range(n_filters):
             codes, uniq = pd.factorize(rows[f"_f{i}"].to_numpy(dtype=object), use_na_sentinel=True)
             want = qs[f"_f{i}"].to_numpy(dtype=object)
             open_ = pd.isna(want)
             qcode = pd.Index(uniq, dtype=object).get_indexer(want)
             qcode[qcode < 0] = -2  # a value no row of the cell has
-            tests.append((open_, qcode, codes))
-        kk = min(int(qk.max()), len(rows))
-        step = max(1, _SCORE_CELLS // len(rows))
-        parts = []
-        for lo in range(0, len(qs), step):
-            sl = slice(lo, lo + step)
-            with np.errstate(all="ignore"):
-                scores = _seq_dot(qmat[sl], cmat) / (np.multiply.outer(qnorm[sl], cnorm) + COSINE_EPSILON)
-            valid = np.ones(scores.shape, dtype=bool)
+            codes_of.append(codes)
+            if not (open_ | ((qcode == 0) & (codes == 0).all())).all():  # else all rows fit
+                tests.append((open_, qcode, codes))
+
+        def valid(qpos: np.ndarray, cpos: np.ndarray) -> np.ndarray | None:
+            out = None
             for open_, qcode, codes in tests:
-                valid &= open_[sl, None] | (qcode[sl, None] == codes[None, :])
-            nan = np.isnan(scores)
-            order_by = np.where(valid & ~nan, scores, -np.inf)
-            thr = -np.partition(-order_by, kk - 1, axis=1)[:, kk - 1]
-            qi, ci = np.nonzero((order_by >= thr[:, None]) & valid)
-            order = np.lexsort((ci, -order_by[qi, ci], nan[qi, ci], qi))
-            qi, ci = qi[order], ci[order]
-            keep = np.arange(qi.size) - np.searchsorted(qi, qi, side="left") < qk[sl][qi]
-            qi, ci = qi[keep], ci[keep]
-            out = rows.iloc[ci][key_cols].reset_index(drop=True)
-            out.insert(0, "k", qk[sl][qi].astype(np.int32))
-            out.insert(0, "score", scores[qi, ci])
-            out.insert(0, "query_id", qids[sl][qi])
-            parts.append(out)
-        return pd.concat(parts, ignore_index=True)
+                ok = open_[qpos, None] | (qcode[qpos, None] == codes[None, cpos])
+                out = ok if out is None else out & ok
+            return out
+
+        with np.errstate(all="ignore"):
+            q, c = (qmat, _seq_norm(qmat)), (cmat, _seq_norm(cmat))
+            some = _once_per_vector(cmat, codes_of, int(qk.max()))
+            kind = lambda norm: np.where(~(norm <= _LONG), 2, np.where(norm < _SHORT, 1, 0))
+            q_kind, c_kind = kind(q[1]), kind(c[1][some])
+            parts = []
+            for i in range(3):
+                for j in range(3):
+                    qpos, cpos = np.flatnonzero(q_kind == i), some[c_kind == j]
+                    if not len(qpos) or not len(cpos):
+                        continue
+                    most = int(qk[qpos].max())
+                    if max(i, j) == 2 or 8 * most > len(cpos) or 4 * most > _TILE_ROWS:
+                        parts += _all_candidates(qpos, cpos, q, c, valid, qk)
+                    else:
+                        parts += _product_candidates(qpos, cpos, q, c, valid, qk, single=i == j == 0)
+        qi, ci, score = _ranked(*(np.concatenate(x) for x in zip(*parts)), qk)
+        out = rows.iloc[ci][key_cols].reset_index(drop=True)
+        out.insert(0, "k", qk[qi].astype(np.int32))
+        out.insert(0, "score", score)
+        out.insert(0, "query_id", qids[qi])
+        return out
 
     return score_cell
 
 
-def _vector(col: F.Column) -> F.Column:
-    return F.transform(as_double_vector(col), lambda x: F.coalesce(x, F.lit(0.0)))
+# Most rows of a block of queries, as a multiple of Options.query_block_rows, and of a
+# block of rows likewise; most components; blocks of queries if rows suffice; least cells.
+_QUERY_ROWS, _CORPUS_ROWS, _COMPONENTS, _QUERY_BLOCKS, _CELLS = 4, 16, 1 << 22, 32, 32
+
+
+def _vector(df: DataFrame, name: str) -> F.Column:
+    """The column with 0 for null components; floats stay floats (doubles only in the scorer)."""
+    kind = df.select(name).schema[0].dataType
+    floats = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    col = F.col(name) if floats else as_double_vector(F.col(name))
+    return F.transform(col, lambda x: F.coalesce(x, F.lit(0.0).cast("float" if floats else "double")))
 
 
 def cosine_topk(
@@ -188,7 +328,7 @@ def cosine_topk(
 
     q = queries.select(
         F.col("query_id").cast("long").alias("query_id"),
-        _vector(F.col(query_vector_col)).alias("_vec"),
+        _vector(queries, query_vector_col).alias("_vec"),
         F.col(k_col).cast("int").alias("k"),
         *[F.nullif(F.col(f).cast("string"), F.lit("")).alias(c) for f, c in zip(filter_cols, fcols)],
     ).where(F.col("_vec").isNotNull() & (F.col("k") > 0))
@@ -215,12 +355,16 @@ def cosine_topk(
     if used:
         # Blocks per route. A single open route is one row; other grids are
         # written, so that the planner knows the table's size.
-        sizes = routed(corpus).groupBy(*route).agg(F.count(F.lit(1)).alias("_nc")).join(q_routes, route)
-        grid = sizes.select(
-            *route,
-            F.ceil(F.col("_nq") / opts.query_block_rows).alias("_qbs"),
-            F.ceil(F.col("_nc") / opts.corpus_block_rows).alias("_cbs"),
-        )
+        sizes = routed(corpus, F.size(vector_col).alias("_dim")).groupBy(*route).agg(F.count(F.lit(1)).alias("_nc"), F.max("_dim").alias("_dim"))
+        sizes = sizes.join(q_routes, route)
+
+        def blocks(n: str, rows: int, most: int, wanted):
+            """Few and large ones, as long as memory is bounded and the cells are enough."""
+            least = F.greatest(F.ceil(F.col(n) / (rows * most)), F.ceil(F.col(n) * F.col("_dim") / _COMPONENTS))
+            return F.greatest(least, F.least(F.ceil(F.col(n) / rows), wanted)).cast("long")
+
+        grid = sizes.withColumn("_qbs", blocks("_nq", opts.query_block_rows, _QUERY_ROWS, F.lit(_QUERY_BLOCKS)))
+        grid = grid.withColumn("_cbs", blocks("_nc", opts.corpus_block_rows, _CORPUS_ROWS, F.ceil(F.lit(_CELLS) / F.col("_qbs")))).select(*route, "_qbs", "_cbs")
         only = grid.first() if set(used) == {n} else None
         if set(used) != {n}:
             path = scratch_path(spark, "search-grid")
@@ -233,6 +377,8 @@ def cosine_topk(
         # A fixed count: cells are small in bytes and heavy in work, so they
         # must not be merged by size.
         tasks = max(1, min(n_cells, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        if only:  # large cells: about one each
+            tasks = min(n_cells, 2000)
 
         def block(hash_cols, count):
             return F.pmod(F.xxhash64(*hash_cols), F.col(count))
@@ -246,7 +392,7 @@ def cosine_topk(
             return df.join(grid, route)
 
         left = sized(q).withColumn("_qb", block(["query_id"], "_qbs")).withColumn("_cb", each("_cbs"))
-        c = routed(corpus, *key_cols, _vector(F.col(vector_col)).alias("_vec")).where(F.col("_vec").isNotNull())
+        c = routed(corpus, *key_cols, _vector(corpus, vector_col).alias("_vec")).where(F.col("_vec").isNotNull())
         right = sized(c).withColumn("_cb", block(key_cols, "_cbs")).withColumn("_qb", each("_qbs"))
         left = left.select(*cell, "query_id", "k", "_vec", *fcols).repartition(tasks, *cell)
         right = right.select(*cell, *key_cols, "_vec", *fcols).repartition(tasks, *cell)

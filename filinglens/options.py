@@ -55,6 +55,7 @@ class Options:
     # of few filings reads few of them.
     key_slots: int = 64
     landing_buckets: int = 64
-    # Queries and corpus rows of one search cell (one group of a cogroup).
+    # Queries and corpus rows of one search cell (one group of a cogroup), at least
+    # if there are more; large routes have cells of up to 4 times the queries and 16 times the rows.
     query_block_rows: int = 4096
     corpus_block_rows: int = 4096
