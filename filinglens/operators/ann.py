@@ -9,15 +9,17 @@ many lists it looks into is fitted to a wanted recall on sampled queries.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filinglens.functions.vectors import as_double_vector
 from filinglens.operators.index import path_exists, replace_rows
-from filinglens.operators.search import cosine_topk
+from filinglens.operators.search import cosine_topk, list_places, listed_topk
 from filinglens.options import Options
 
 LIST_COL = "list"
@@ -91,21 +93,21 @@ def read_ann(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def ann_topk(spark: SparkSession, path: str, queries: DataFrame, *, key_cols: list[str], probes: int, vector_col: str = "embedding", opts: Options = Options()) -> DataFrame:
     """query_id, rank, score and ``key_cols`` of the nearest rows by cosine in
-    the ``probes`` nearest lists of every query (query_id, a long below
-    2 ** 63 / ``probes``; qvec; k). Scores are exact;
+    the ``probes`` nearest lists of every query (query_id, a long; qvec; k). Scores are exact;
     ties by the key. Only partitions that some query looks into are scanned. A query
-    without a direction, or whose lists hold fewer than k rows, has fewer rows."""
+    without a direction, or whose lists hold fewer than k rows, has fewer rows. The
+    centroids go to every task; a query's lists are one value of its row."""
     rows, centroids = read_ann(spark, path)
-    asked = _usable(queries.select(F.col("query_id").cast("long").alias("query_id"), "qvec", F.col("k").cast("int").alias("k")), "qvec")
-    places = nearest_lists(asked, centroids, probes, id_col="query_id", vector_col="qvec", opts=opts)
-    # Each (query, list) is a query of its own, routed to its list.
-    split = asked.join(places, "query_id").select((F.col("query_id") * probes + F.col("place") - 1).alias("query_id"), "qvec", "k", F.col("list").cast("string").alias(LIST_COL))
-    hits = cosine_topk(rows, split, key_cols=key_cols, vector_col=vector_col, filter_cols=[LIST_COL], partition_col=LIST_COL, opts=opts)
-    whole = F.call_function("div", F.col("query_id") - F.pmod("query_id", F.lit(probes)), F.lit(probes))
-    hits = hits.select(whole.alias("query_id"), "score", *key_cols).join(asked.select("query_id", "k"), "query_id")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), *key_cols)
-    ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.col("k"))
-    return ranked.select("query_id", "rank", "score", *key_cols)
+    asked = _usable(queries.select(F.col("query_id").cast("long").alias("query_id"), as_double_vector(F.col("qvec")).alias("qvec"), F.col("k").cast("int").alias("k")), "qvec")
+    near = list_places(centroids, probes)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = near([x.values.to_numpy() for x in b["qvec"]]) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*b.schema.names, "lists"])
+
+    split = asked.mapInArrow(placed, "query_id long, qvec array<double>, k int, lists array<int>")
+    return listed_topk(rows, split, key_cols=key_cols, list_col=LIST_COL, vector_col=vector_col, opts=opts)
 
 
 def fit_probes(spark: SparkSession, path: str, *, key_cols: list[str], k: int = 10, recall: float = 0.98, sample: int = 200, seed: int = 23, vector_col: str = "embedding", opts: Options = Options()) -> int:

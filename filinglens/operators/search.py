@@ -29,10 +29,11 @@ Plan shape:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,7 +102,7 @@ def _seq_dot(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 # Queries and rows of a tile of the matrix product, and the rows of a tile that
 # are looked at together (by their largest score) at most.
-_TILE_QUERIES, _TILE_ROWS, _GROUP_ROWS = 256, 4096, 32
+_TILE_QUERIES, _TILE_ROWS, _GROUP_ROWS = 256, 1024, 32
 # Upper bound on the candidates that wait for their exact score.
 _CANDIDATES = 1 << 20
 # Vectors shorter than this are multiplied in double precision, as the 1e-9 of
@@ -109,10 +110,10 @@ _CANDIDATES = 1 << 20
 _SHORT, _LONG = 1e-2, 1e100
 
 
-def _ranked(qi: np.ndarray, ci: np.ndarray, score: np.ndarray, qk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best of each query: NaN last, ties by position of the row."""
+def _ranked(qi: np.ndarray, ci: np.ndarray, score: np.ndarray, qk: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best of each query: NaN last, ties by position of the row (``place``; default: ``ci``)."""
     nan = np.isnan(score)
-    order = np.lexsort((ci, np.where(nan, 0.0, -score), nan, qi))
+    order = np.lexsort((ci if place is None else place, np.where(nan, 0.0, -score), nan, qi))
     qi, ci, score = qi[order], ci[order], score[order]
     keep = np.arange(qi.size) - np.searchsorted(qi, qi, side="left") < qk[qi]
     return qi[keep], ci[keep], score[keep]
@@ -135,7 +136,7 @@ def _once_per_vector(vectors: np.ndarray, codes: list[np.ndarray], k: int) -> np
     return np.flatnonzero(pd.Series(group).groupby(group).cumcount().to_numpy() < k)
 
 
-def _all_candidates(qpos, cpos, q, c, valid, qk):
+def _all_candidates(qpos, cpos, q, c, valid, qk, lists=None):
     """Best of the queries ``qpos`` among the rows ``cpos``, all pairs summed
     in index order."""
     (qmat, qnorm), (cmat, cnorm) = q, c
@@ -145,6 +146,9 @@ def _all_candidates(qpos, cpos, q, c, valid, qk):
         qs = qpos[lo : lo + step]
         scores = _seq_dot(qmat[qs], cmat[cpos]) / (np.multiply.outer(qnorm[qs], cnorm[cpos]) + COSINE_EPSILON)
         ok = valid(qs, cpos)
+        if lists is not None:
+            inside = lists[0][qs][:, lists[1][cpos]]
+            ok = inside if ok is None else ok & inside
         order_by = np.where(np.isnan(scores) | (False if ok is None else ~ok), -np.inf, scores)
         kk = min(int(qk[qs].max()), len(cpos))
         thr = -np.partition(-order_by, kk - 1, axis=1)[:, kk - 1]
@@ -153,14 +157,22 @@ def _all_candidates(qpos, cpos, q, c, valid, qk):
     return parts
 
 
-def _product_candidates(qpos, cpos, q, c, valid, qk, single: bool):
+def _product_candidates(qpos, cpos, q, c, valid, qk, single: bool, lists=None):
     """Best of the queries ``qpos`` among the rows ``cpos``: a matrix product,
     with norms divided out, says which pairs may be among the best; those get
-    exact scores. ``single``: in float32, else in double precision."""
+    exact scores. ``single``: in float32, else in double precision. ``lists``:
+    whether each query looks into each list, and the list of each row; a list's rows are
+    multiplied with the queries that look into it only."""
     (qmat, qnorm), (cmat, cnorm) = q, c
     dim = qmat.shape[1]
     # Twice the difference that a product and the exact score may have, twice as wide.
     slack = (dim + 8) * (2.0**-22 if single else 2.0**-50)
+    cuts = np.arange(0, len(cpos), _TILE_ROWS)
+    if lists is not None:
+        cpos = cpos[np.argsort(lists[1][cpos], kind="stable")]
+        begin = np.flatnonzero(np.append(True, np.diff(lists[1][cpos]) != 0))
+        cuts = np.concatenate([np.arange(lo, hi, _TILE_ROWS) for lo, hi in zip(begin, [*begin[1:], len(cpos)])])
+    cuts = [*zip(cuts.tolist(), [*cuts[1:].tolist(), len(cpos)])]
     if single:
         qn, cn = qnorm[qpos], cnorm[cpos]
         slack += 4 * COSINE_EPSILON / (qn.min() * cn.min())
@@ -183,24 +195,29 @@ def _product_candidates(qpos, cpos, q, c, valid, qk, single: bool):
             some = near >= (best[0] - slack)[qi]
             qi, ci = qi[some], ci[some]
             exact = _pair_scores(qi, cpos[ci], qt, ct, qnorm[qs], cnorm)
-            return _ranked(qi, ci, exact, qk[qs])
-
-        for at in range(0, len(cpos), _TILE_ROWS):
-            some = right[at : at + _TILE_ROWS]
-            tile = np.matmul(some, own, out=space.reshape(-1)[: len(some) * len(qs)].reshape(len(some), len(qs)))
+            return _ranked(qi, ci, exact, qk[qs], cpos[ci])
+
+        every = np.arange(len(qs))
+        for at, to in cuts:
+            asks = every if lists is None else np.flatnonzero(lists[0][qs, lists[1][cpos[at]]])
+            if not len(asks):
+                continue
+            tile = space.reshape(-1)[: (to - at) * len(asks)].reshape(to - at, len(asks))
+            np.matmul(right[at:to], own if len(asks) == len(qs) else own[:, asks], out=tile)
             if not single:
-                tile /= np.multiply.outer(cnorm[cpos[at : at + _TILE_ROWS]], qnorm[qs]) + COSINE_EPSILON
-            ok = valid(qs, cpos[at : at + _TILE_ROWS])
+                tile /= np.multiply.outer(cnorm[cpos[at:to]], qnorm[qs[asks]]) + COSINE_EPSILON
+            ok = valid(qs[asks], cpos[at:to])
             if ok is not None:
                 tile[~ok.T] = -np.inf
             width = max(1, min(_GROUP_ROWS, len(tile) // (2 * kk)))
             n = len(tile) // width
             # Row j * n + g of the tile is in group g; what is left over is a group a row.
-            tops = tile[: n * width].reshape(width, n, len(qs)).max(axis=0)
+            tops = tile[: n * width].reshape(width, n, len(asks)).max(axis=0)
             tops = np.concatenate([tops, tile[n * width :]])
-            bound = np.concatenate([best, tops])
-            best = np.partition(bound, len(bound) - kk, axis=0)[len(bound) - kk :]
-            least = best[0] - slack
+            risen = np.flatnonzero(tops.max(axis=0) > best[0, asks])
+            bound = np.concatenate([best[:, asks[risen]], tops[:, risen]])
+            best[:, asks[risen]] = np.partition(bound, len(bound) - kk, axis=0)[len(bound) - kk :]
+            least = best[0, asks] - slack
             g, qi = np.nonzero((tops >= least) & (tops > -np.inf))
             rest = g >= n
             rows = g[~rest] + n * np.arange(width)[:, None]
@@ -209,19 +226,21 @@ def _product_candidates(qpos, cpos, q, c, valid, qk, single: bool):
             cols = np.concatenate([cols, qi[rest]])
             near = tile[rows, cols]
             some = (near >= least[cols]) & (near > -np.inf)
-            held.append((cols[some], at + rows[some], near[some]))
+            held.append((asks[cols[some]], at + rows[some], near[some]))
             n_held += len(held[-1][0])
             if n_held > _CANDIDATES:  # keeps the k best of each query so far, by their exact scores
                 qi, ci, exact = settle(held)
                 held, n_held = [(qi, ci, np.full(len(qi), np.inf))], len(qi)
+        if not held:
+            continue
         qi, ci, exact = settle(held)
         parts.append((qs[qi], cpos[ci], exact))
     return parts
 
 
-def _cell_scorer(key_cols: list[str], n_filters: int):
+def _cell_scorer(key_cols: list[str], n_filters: int, in_lists: bool = False):
     """Build the cogroup function: exact top-k of one cell's queries among
-    its rows."""
+    its rows. ``in_lists``: among the rows whose ``_list`` is in the query's ``_lists``."""
 
     def score_cell(qs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "score", "k", *key_cols]
@@ -245,6 +264,15 @@ def _cell_scorer(key_cols: list[str], n_filters: int):
             if not (open_ | ((qcode == 0) & (codes == 0).all())).all():  # else all rows fit
                 tests.append((open_, qcode, codes))
 
+        lists = None
+        if in_lists:
+            codes, uniq = pd.factorize(rows["_list"])
+            codes_of.append(codes)
+            at = pd.Index(uniq).get_indexer(np.concatenate(qs["_lists"].tolist()))
+            owner = np.repeat(np.arange(len(qs)), [len(x) for x in qs["_lists"]])
+            lists = np.zeros((len(qs), len(uniq)), dtype=bool), codes
+            lists[0][owner[at >= 0], at[at >= 0]] = True
+
         def valid(qpos: np.ndarray, cpos: np.ndarray) -> np.ndarray | None:
             out = None
             for open_, qcode, codes in tests:
@@ -265,9 +293,11 @@ def _cell_scorer(key_cols: list[str], n_filters: int):
                         continue
                     most = int(qk[qpos].max())
                     if max(i, j) == 2 or 8 * most > len(cpos) or 4 * most > _TILE_ROWS:
-                        parts += _all_candidates(qpos, cpos, q, c, valid, qk)
+                        parts += _all_candidates(qpos, cpos, q, c, valid, qk, lists)
                     else:
-                        parts += _product_candidates(qpos, cpos, q, c, valid, qk, single=i == j == 0)
+                        parts += _product_candidates(qpos, cpos, q, c, valid, qk, i == j == 0, lists)
+        if not parts:  # no query looks into a list of the cell
+            return pd.DataFrame(columns=columns)
         qi, ci, score = _ranked(*(np.concatenate(x) for x in zip(*parts)), qk)
         out = rows.iloc[ci][key_cols].reset_index(drop=True)
         out.insert(0, "k", qk[qi].astype(np.int32))
@@ -406,6 +436,103 @@ def cosine_topk(
     return ranked.select("query_id", "rank", "score", *key_cols)
 
 
+def listed_topk(
+    corpus: DataFrame,
+    queries: DataFrame,
+    *,
+    key_cols: Sequence[str],
+    list_col: str,
+    vector_col: str = "embedding",
+    opts: Options = Options(),
+) -> DataFrame:
+    """As ``cosine_topk`` (without filters), each query among the rows of its own
+    lists only: the numbers in its column ``lists``. ``corpus`` is partitioned by
+    ``list_col``; only lists that some query looks into are scanned. Lists are put together in
+    groups of bounded size (a longer list is cut by hash), and a query goes once to each group that
+    holds some of its lists, not once to each list."""
+    spark: SparkSession = corpus.sparkSession
+    key_cols = list(key_cols)
+    path = scratch_path(spark, "listed-queries")
+    queries.select(
+        F.col("query_id").cast("long").alias("query_id"), _vector(queries, "qvec").alias("_vec"), F.col("k").cast("int").alias("k"), F.col("lists").alias("_lists")
+    ).where(F.col("_vec").isNotNull() & (F.col("k") > 0) & (F.size("_lists") > 0)).write.parquet(path)
+    q = spark.read.parquet(path)
+    out_schema = T.StructType(
+        [T.StructField("query_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("k", T.IntegerType())]
+        + [corpus.schema[c] for c in key_cols]
+    )
+    asked = [r[0] for r in q.select(F.explode("_lists")).distinct().collect()]  # as many as there are lists at most
+    corpus = corpus.where(F.col(list_col).isin(asked))
+    sizes = corpus.groupBy(F.col(list_col).alias("_list")).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector_col)).alias("dim")).orderBy("_list").collect()
+    nq = q.count()
+    # A row for each list: its first group and how many groups it is cut over.
+    most = max(1, min(_CORPUS_ROWS * opts.corpus_block_rows, _COMPONENTS // max([1, *(r["dim"] for r in sizes)])))
+    places, group, filled = [], 0, 0
+    for r in sizes:
+        if filled and filled + r["n"] > most:
+            group, filled = group + 1, 0
+        cut = -(-r["n"] // most)
+        places.append((r["_list"], group, cut))
+        group, filled = (group + cut, 0) if cut > 1 else (group, filled + r["n"])
+    if not nq or not places:
+        hits = spark.createDataFrame([], out_schema)
+    else:
+        groups = spark.createDataFrame(places, "_list int, _first int, _cut int")
+        qbs = max(-(-nq // (_QUERY_ROWS * opts.query_block_rows)), min(_QUERY_BLOCKS, -(-nq // opts.query_block_rows)))
+        tasks = min(qbs * (group + 1), 2000)
+        held, first, cut_over = (np.array(x, dtype=np.int64) for x in zip(*places))
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A query once for each group, with its lists there."""
+            for b in batches:
+                flat = b["_lists"].flatten().to_numpy()
+                row = np.repeat(np.arange(b.num_rows), np.diff(b["_lists"].offsets.to_numpy()))
+                at = np.minimum(np.searchsorted(held, flat), len(held) - 1)
+                met = held[at] == flat
+                row, flat, at = row[met], flat[met], at[met]
+                if not len(row):
+                    continue
+                n = cut_over[at]
+                each = np.repeat(np.arange(len(at)), n)
+                g = first[at][each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                order = np.lexsort((g, row[each]))
+                row, g, flat = row[each][order], g[order], flat[each][order]
+                start = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(g) != 0)))
+                inside = pa.ListArray.from_arrays(pa.array([*start, len(flat)], pa.int32()), pa.array(flat, pa.int32()))
+                take = pa.array(row[start])
+                yield pa.RecordBatch.from_arrays([pa.array(g[start], pa.int32()), *(b[c].take(take) for c in ("query_id", "k", "_vec")), inside], names=["_g", "query_id", "k", "_vec", "_lists"])
+
+        left = q.mapInArrow(spread, f"_g int, query_id long, k int, _vec {q.schema['_vec'].dataType.simpleString()}, _lists array<int>")
+        left = left.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(qbs)))
+        right = corpus.select(F.col(list_col).alias("_list"), *key_cols, _vector(corpus, vector_col).alias("_vec")).where(F.col("_vec").isNotNull()).join(F.broadcast(groups), "_list")
+        right = right.select((F.col("_first") + F.pmod(F.xxhash64(*key_cols), F.col("_cut"))).cast("int").alias("_g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qbs - 1).cast("long"))).alias("_qb"), "_list", *key_cols, "_vec")
+        left, right = (x.repartition(tasks, "_g", "_qb") for x in (left, right))
+        hits = left.groupBy("_g", "_qb").cogroup(right.groupBy("_g", "_qb")).applyInPandas(_cell_scorer(key_cols, 0, True), out_schema)
+    hits = hits.withColumn("score", F.coalesce("score", F.lit(float("nan"))))
+    best_first = [F.isnan("score"), F.col("score").desc(), *[F.col(c).asc() for c in key_cols]]
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*best_first))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).select("query_id", "rank", "score", *key_cols)
+
+
+def list_places(centroids: DataFrame, n: int):
+    """A function that gives each row of a matrix its ``n`` nearest lists, in the
+    order that ``cosine_topk`` has: by score, ties by number."""
+    rows = centroids.orderBy("list").collect()  # a row per list
+    numbers, center = np.array([r["list"] for r in rows], dtype=np.int64), _as_matrix([r["centroid"] for r in rows], max([1, *(len(r["centroid"]) for r in rows)]))
+
+    def near(vectors: list) -> list[list[int]]:
+        out = []
+        for lo in range(0, len(vectors), 256):
+            some = vectors[lo : lo + 256]
+            dim = max(center.shape[1], *map(len, some))
+            q, c = _as_matrix(some, dim), np.pad(center, ((0, 0), (0, dim - center.shape[1])))
+            score = _seq_dot(q, c) / (np.multiply.outer(_seq_norm(q), _seq_norm(c)) + COSINE_EPSILON)
+            out += numbers[np.argsort(-score, axis=1, kind="stable")[:, :n]].tolist()
+        return out
+
+    return near
+
+
 def embed_queries(queries: DataFrame, text_col: str = "text", embedder=None) -> DataFrame:
     emb = embedder or hash_embedding
     return queries.withColumn("qvec", emb(F.col(text_col)))

@@ -70,3 +70,35 @@ def test_hard_vectors(spark, tmp_table):
     ann.upsert_ann(spark, empty, df.limit(0))
     ann.upsert_ann(spark, empty, df.where("chunk = 3"))
     assert ann.fit_probes(spark, empty, key_cols=["chunk"]) == 1
+
+
+def test_a_query_goes_to_groups_of_lists(spark, tmp_table, monkeypatch):
+    """Not once to every list: with 20 probes of 39 lists that was 20 copies of
+    each query, and 20 times k hits of each."""
+    from filinglens.options import Options
+
+    path, rows = tmp_table("ann"), clustered(spark, 1500)
+    ann.upsert_ann(spark, path, rows)
+    stored, centroids = ann.read_ann(spark, path)
+    near = {}
+    for r in ann.nearest_lists(asked(rows), centroids, 20, id_col="query_id", vector_col="qvec").collect():
+        near.setdefault(r["query_id"], set()).add(r["list"])
+    # Exact: every pair of a query and a row of its lists, ranked by the exact search.
+    lists = spark.createDataFrame([(q, x) for q, ls in near.items() for x in ls], "query_id long, list int")
+    pairs = cosine_topk(stored, asked(rows, 1500), key_cols=["chunk"]).join(stored.select("chunk", "list"), "chunk").join(lists, ["query_id", "list"])
+    want = {}
+    for r in pairs.orderBy("query_id", "rank").collect():
+        if len(want.setdefault(r["query_id"], [])) < 10:
+            want[r["query_id"]].append((r["chunk"], r["score"]))
+    kind, sent = type(rows), {}
+    old = kind.repartition
+    for i, opts in enumerate((Options(), Options(query_block_rows=100, corpus_block_rows=2))):  # the second cuts lists
+        monkeypatch.setattr(kind, "repartition", lambda self, *a: sent.setdefault(i, []).append(self) or old(self, *a))
+        hits = ann.ann_topk(spark, path, asked(rows), key_cols=["chunk"], probes=20, opts=opts)
+        monkeypatch.undo()
+        got = {}
+        for r in hits.orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["chunk"], r["score"]))
+        assert got == want
+    # All lists are one group at first.
+    assert max(x.count() for x in sent[0] if "query_id" in x.columns) == 1500
