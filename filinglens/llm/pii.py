@@ -145,7 +145,10 @@ def features() -> dict[str, Column]:
 
 def examples(spans: DataFrame, per_kind: int, seed: int) -> DataFrame:
     """Labelled rows (kind, s, l, r, label, fold, weight): base spans of the table and
-    built-in ones rewritten in other formats (1) or damaged (0), and candidates of documents without base spans (0)."""
+    built-in ones rewritten in other formats (1) or damaged (0), and candidates of documents without base spans (0).
+
+    The spans are chosen in one pass and written (at most ``per_kind`` of each kind and the built-in ones), and
+    each takes all its forms in one projection: a plan holds the long expressions once, not once for every form."""
     spark = spans.sparkSession
     written = {
         EMAIL: "jane.doe@example.com sam@uni-town.edu info@shop.co.uk k.lee99@post.net ana@firma.de x_y@data.io paul@paper.org mia.b@town.gov lu@garden.fr desk@north.example.com max@window.es ivy@river.com",
@@ -156,8 +159,9 @@ def examples(spans: DataFrame, per_kind: int, seed: int) -> DataFrame:
     seeds = [(k, s) for k, all_of in written.items() for s in all_of.split()]
     seen = spans.select(F.explode("base").alias("b")).select("b.kind", "b.s", "b.l", "b.r").distinct()
     order = F.xxhash64(F.lit(seed), "s", "l", "r")
-    taken = reduce(DataFrame.unionAll, [seen.where(F.col("kind") == k).orderBy(order, "s", "l", "r").limit(per_kind) for k in range(4)])
-    taken = taken.unionAll(spark.createDataFrame([(k, s, " my own is ", " as ever ") for k, s in seeds], "kind int, s string, l string, r string"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(order, "s", "l", "r"))  # a bound: cut in each task before the shuffle
+    taken = seen.withColumn("_place", place).where(F.col("_place") <= per_kind).drop("_place")
+    taken = staged(spark, taken.unionAll(spark.createDataFrame([(k, s, " my own is ", " as ever ") for k, s in seeds], "kind int, s string, l string, r string")), "example-spans")
     s, d = F.col("s"), digits(F.col("s"))
     user, host = F.substring_index(s, "@", 1), F.substring_index(s, "@", -1)
     lit, last = F.lit, F.right(d, F.lit(1))
@@ -192,16 +196,17 @@ def examples(spans: DataFrame, per_kind: int, seed: int) -> DataFrame:
     new = taken.select("kind", "l", "r", F.col("s").alias("of"), F.explode(made).alias("v")).select("kind", "v.s", "l", "r", "v.label", "of").where("s <> ''")
     # In other company: phrases that tell of the kind, and of another thing.
     said = F.get(F.array(*[F.lit(x) for x in ("e-mail: ", "the server at ip ", "paid by card ", "phone ")]), F.col("kind"))
-    spoken = new.where("label = 1").select("kind", "s", said.alias("l"), "r", "label", "of")
-    called = new.where((F.col("kind") == PHONE) & F.col("s").rlike("^[0-9]{10}$")).select("kind", "s", F.lit("please call ").alias("l"), "r", F.lit(1).alias("label"), "of")
-    other = new.where("label = 0").select("kind", "s", F.lit("order no ").alias("l"), "r", "label", "of")
+    label, number = F.col("label"), F.col("kind").isin(CARD, PHONE)
     # A card is no phone number and a phone number no card.
-    swapped = new.where(F.col("kind").isin(CARD, PHONE)).select((CARD + PHONE - F.col("kind")).alias("kind"), "s", "l", "r", F.lit(0).alias("label"), "of")
+    forms = [(lit(True), F.col("kind"), F.col("l"), label), (label == 1, F.col("kind"), said, label),
+             ((F.col("kind") == PHONE) & F.col("s").rlike("^[0-9]{10}$"), F.col("kind"), lit("please call "), lit(1)),
+             (label == 0, F.col("kind"), lit("order no "), label), (number, CARD + PHONE - F.col("kind"), F.col("l"), lit(0))]
+    forms = F.array(*[F.struct(fits.alias("fits"), k.alias("kind"), left.alias("l"), y.alias("label")) for fits, k, left, y in forms])
+    rows = new.select("s", "r", "of", F.inline(forms)).where("fits")
     # Text without personal data, as far as the base patterns can tell: it may
     # hold some in other formats, so it weighs less and calibrates nothing.
     quiet = spans.where(F.size("base") == 0).select(F.explode("candidates").alias("c")).select("c.kind", "c.s", "c.l", "c.r").distinct()
     quiet = quiet.orderBy(order, "s", "l", "r", "kind").limit(4 * per_kind).select("kind", "s", "l", "r", F.lit(0.0).alias("label"), F.lit(1).cast("long").alias("fold"), F.lit(0.25).alias("weight"))
-    rows = reduce(DataFrame.unionAll, [new, spoken, called, other, swapped])
     rows = rows.select("kind", "s", "l", "r", F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64(F.lit(seed + 1), "of"), F.lit(4)).alias("fold"), F.lit(1.0).alias("weight"))
     return rows.unionAll(quiet)
 
@@ -241,7 +246,8 @@ def fit(spans: DataFrame, per_kind: int = 100, rounds: int = 10, depth: int = 4,
     threshold is the least (of at least a half) from which on held-out rows are right in ``precision`` of the cases."""
     spark = spans.sparkSession
     names = list(features())
-    rows = examples(spans, per_kind, seed).distinct().select("*", *[v.alias(k) for k, v in features().items()])
+    # Written, so that the features are over columns and not over what makes the examples.
+    rows = staged(spark, examples(spans, per_kind, seed).distinct(), "example-rows").select("*", *[v.alias(k) for k, v in features().items()])
     rows = staged(spark, rows.select("kind", "label", "fold", "weight", array_to_vector(F.array(*names)).alias("features"), *names).repartition(1).sortWithinPartitions("kind", "fold", "weight", "label", *names), "examples")
     model = GBTClassifier(weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed).fit(rows.where("fold > 0"))
     trees = Trees([(w, node_of(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees, strict=True)], [0.5] * 4)

@@ -90,3 +90,12 @@ def test_running_sums(spark):
 
 def test_empty_table(spark):
     assert pii.find(spark, spark.createDataFrame([], "doc_id long, text string"), rounds=2).count() == 0
+
+
+def test_examples_take_all_their_forms_in_one_projection(spark):
+    docs = spark.createDataFrame([(1, "a@b.org, +1 202 555 0143 and 8.8.4.4"), (2, "pay 4111 1111 1111 1111"), (3, "call 202-555-0143")], "doc_id long, text string")
+    rows = pii.examples(pii.spans_of(spark, docs), 2, 11)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Generate ") <= 4
+    got = {(r["kind"], r["s"], r["l"], r["label"]) for r in rows.collect()}
+    assert {(pii.EMAIL, "a (at) b (dot) org", "", 1.0), (pii.EMAIL, "a@b", "order no ", 0.0), (pii.PHONE, "2025550143", "please call ", 1.0), (pii.PHONE, "2025550143", "order no ", 0.0),
+            (pii.PHONE, "4111111111111111", "pay ", 0.0), (pii.CARD, "4111111111111111", "paid by card ", 1.0), (pii.PHONE, "202-555-0143", "call ", 0.0)} <= got
