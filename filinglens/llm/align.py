@@ -33,8 +33,11 @@ from filinglens.llm.pieces import threads
 # A space between two characters that are no white space (some other
 # characters are left out too): no token of either kind spans its start.
 _LEFT = (rb"[\x21-\x7e]", rb"[\xc3-\xdf][\x80-\xbf]", rb"[\xe0\xe4-\xee][\x80-\xbf]{2}", rb"\xe3[\x81-\xbf][\x80-\xbf]", rb"[\xf0-\xf4][\x80-\xbf]{3}")
-_RIGHT = rb" (?:[\x21-\x7e\xc3-\xe0\xe4-\xee\xf0-\xf4]|\xe3[\x81-\xbf])"
+_NEXT = rb"(?:[\x21-\x7e\xc3-\xe0\xe4-\xee\xf0-\xf4]|\xe3[\x81-\xbf])"
+_RIGHT = b" " + _NEXT
 SAFE = re.compile(b"(?=" + _RIGHT + b")(?:" + b"|".join(b"(?<=" + x + b")" for x in _LEFT) + b")")
+# The same spaces, themselves matched: the search goes from space to space and not from byte to byte.
+CUT = re.compile(b" (?=" + _NEXT + b")(?:" + b"|".join(b"(?<=" + x + b" )" for x in _LEFT) + b")")
 # A word that may stand between any two others, with a safe place on each side.
 JOINS = re.compile(_RIGHT + b"(?s:.*)(?:" + b"|".join(b"(?<=" + x + b")" for x in _LEFT) + b")")
 WIDE_GROUP = 4096  # links; in wider groups equal ids are counted first
@@ -83,6 +86,29 @@ class Tokenizers:
         return [(np.array(x, np.int64), np.array(y, np.int64)) if ok else None for x, y, ok in zip(a, b, same, strict=True)]
 
 
+def words_of(raw: bytes) -> list[bytes]:
+    """``raw`` cut at all safe places."""
+    first, *rest = CUT.split(raw)
+    return [first, *[b" " + w for w in rest]]
+
+
+def near_places(raw: bytes, step: int) -> list[int]:
+    """Of the safe places the last before or at, and the first after, each
+    multiple of ``step``: all that ``spans_of`` looks at."""
+    out = set()
+    for at in range(step, len(raw), step):
+        back, found = 64, []
+        while not found:
+            found = [m.start() for m in CUT.finditer(raw, max(0, at - back), at + 3) if m.start() <= at]
+            if back >= at:
+                break
+            back *= 8
+        out.update(found[-1:])
+        if after := CUT.search(raw, at + 1):
+            out.add(after.start())
+    return sorted(out)
+
+
 def spans_of(n: int, safe: list[int], step: int) -> list[tuple[int, int, int, int]]:
     """(low, high, from, to): byte ranges [low, high) of n bytes, about ``step``
     long, with the safe places around each between which it is encoded. One
@@ -166,44 +192,49 @@ def spelled(t: Tokenizers, a: np.ndarray, ga: np.ndarray, b: np.ndarray, gb: np.
 @dataclass
 class Fragment:
     """``suffix`` is None while no common end is known: all tokens are in
-    ``prefix`` then. The closed part is kept as its groups' text, counts and pairs."""
+    ``prefix`` then. The closed part is kept as its groups' text, counts and pairs:
+    lists of what the factors had, put together once at the end (``whole``)."""
 
     ok: bool
     prefix: Tokens
     suffix: Tokens | None = None
-    groups: str = ""
+    groups: tuple[str, ...] = ()
     n_groups: int = 0
     n_links: int = 0
     n_a: int = 0
     n_b: int = 0
-    pair: np.ndarray | None = None
-    times: np.ndarray | None = None
+    pairs: tuple[tuple[np.ndarray, np.ndarray], ...] = ()  # (pair, how often)
+
+    def whole(self) -> tuple[str, np.ndarray, np.ndarray]:
+        """The groups' text, and the pairs, each once, with how often they stand."""
+        if not self.pairs:
+            return "".join(self.groups), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pair, times = (np.concatenate(x) for x in zip(*self.pairs, strict=True))
+        if len(self.pairs) > 1:
+            _, pair, times = summed(np.zeros(len(pair), np.int64), pair, times)
+        return "".join(self.groups), pair, times
 
     def packed(self) -> bytes:
         """Plain values only: workers that have no copy of this class read them."""
         tokens = self.prefix.parts(), self.suffix and self.suffix.parts()
-        return pickle.dumps((self.ok, *tokens, self.groups, self.n_groups, self.n_links, self.n_a, self.n_b, self.pair, self.times))
+        return pickle.dumps((self.ok, *tokens, self.n_groups, self.n_links, self.n_a, self.n_b, ("".join(self.groups),), self.pairs))
 
     @staticmethod
     def unpacked(raw: bytes) -> Fragment:
-        ok, prefix, suffix, *rest = pickle.loads(raw)
-        return Fragment(ok, Tokens(*prefix), suffix and Tokens(*suffix), *rest)
+        ok, prefix, suffix, *counts, groups, pairs = pickle.loads(raw)
+        return Fragment(ok, Tokens(*prefix), suffix and Tokens(*suffix), groups, *counts, pairs)
 
     def close(self, t: Tokenizers, run: Tokens, common: np.ndarray) -> None:
         """Appends the groups of ``run``, cut at the offsets ``common``, the last of which ends it."""
         ga, gb = np.searchsorted(common, run.a_end), np.searchsorted(common, run.b_end)
         links, group, pair, times = pairs_of(run.a, ga, run.b, gb, len(common), t.width)
-        self.groups += "".join(spelled(t, run.a, ga, run.b, gb, len(common))[0])
+        self.groups += ("".join(spelled(t, run.a, ga, run.b, gb, len(common))[0]),)
         self.n_groups += len(common)
         self.n_links += int(links.sum())
         self.n_a += len(run.a)
         self.n_b += len(run.b)
-        self.add(pair, times)
-
-    def add(self, pair: np.ndarray, times: np.ndarray) -> None:
-        if self.pair is not None:
-            pair, times = np.concatenate([self.pair, pair]), np.concatenate([self.times, times])
-        _, self.pair, self.times = summed(np.zeros(len(pair), np.int64), pair, times)
+        _, pair, times = summed(np.zeros(len(pair), np.int64), pair, times)
+        self.pairs += ((pair, times),)
 
     def then(self, t: Tokenizers, right: Fragment) -> Fragment:
         """This fragment followed by ``right``: associative."""
@@ -214,7 +245,7 @@ class Fragment:
         common = np.intersect1d(seam.a_end, seam.b_end, assume_unique=True)
         if self.suffix is not None:
             out.groups, out.n_groups, out.n_links, out.n_a, out.n_b = self.groups, self.n_groups, self.n_links, self.n_a, self.n_b
-            out.pair, out.times = self.pair, self.times
+            out.pairs = self.pairs
             low = None
         elif not len(common):
             # Where ``right`` is closed, the other kind's token up to its first common end began further left.
@@ -229,8 +260,7 @@ class Fragment:
             return out
         out.groups += right.groups
         out.n_groups, out.n_links, out.n_a, out.n_b = out.n_groups + right.n_groups, out.n_links + right.n_links, out.n_a + right.n_a, out.n_b + right.n_b
-        if right.pair is not None:
-            out.add(right.pair, right.times)
+        out.pairs += right.pairs
         out.suffix = right.suffix
         return out
 
@@ -263,7 +293,16 @@ EMPTY = (0, 0, 0, 0, "", b"", b"")
 def columns_of(f: Fragment) -> tuple:
     if not f.n_groups:
         return EMPTY
-    return f.n_a, f.n_b, f.n_groups, f.n_links, hashlib.sha256(f.groups[:-1].encode()).hexdigest(), f.pair.astype("<i8").tobytes(), f.times.astype("<i4").tobytes()
+    groups, pair, times = f.whole()
+    return f.n_a, f.n_b, f.n_groups, f.n_links, hashlib.sha256(groups[:-1].encode()).hexdigest(), pair.astype("<i8").tobytes(), times.astype("<i4").tobytes()
+
+
+def composed(t: Tokenizers, packed: list[bytes]) -> Fragment:
+    """The product of fragments that follow each other."""
+    out, *rest = map(Fragment.unpacked, packed)
+    for f in rest:
+        out = out.then(t, f)
+    return out
 
 
 class Words:
@@ -284,7 +323,9 @@ class Words:
     def meet(self, words: list[bytes]) -> None:
         """Computes the fragments of new words. Many are encoded as one text,
         end to end, as they'd stand in a document; all are one run of groups."""
-        joined, alone = [w for w in words if JOINS.fullmatch(w)], [w for w in words if not JOINS.fullmatch(w)]
+        joined, alone = [], []
+        for w in words:
+            (joined if JOINS.fullmatch(w) else alone).append(w)
         texts = [joined[i : i + 400] for i in range(0, len(joined), 400)] + [[w] for w in alone]
         ids = self.t.encode([b"".join(x) for x in texts])
         for i in [i for i, x in enumerate(ids) if x is None and len(texts[i]) > 1]:  # some word isn't spelt by its tokens
@@ -345,13 +386,13 @@ class Words:
                 continue
             n_a, n_b, n_groups, n_links = c[:, :4].sum(axis=0).tolist()
             part = slice(cut[k], cut[k + 1])
-            out.append(Fragment(True, NO_TOKENS, NO_TOKENS, "".join(map(self.text.__getitem__, x.tolist())), n_groups, n_links, n_a, n_b, pair[part], times[part]))
+            out.append(Fragment(True, NO_TOKENS, NO_TOKENS, ("".join(map(self.text.__getitem__, x.tolist())),), n_groups, n_links, n_a, n_b, ((pair[part], times[part]),)))
         return out
 
     def ranges(self, places: list[tuple[bytes, int, int, int]]) -> list[Fragment]:
         """The fragments of [low, high) of texts of which ``raw``, from offset
         ``at`` on, begins and ends at safe places: its outer words may be cut."""
-        words = [SAFE.split(raw) for raw, *_ in places]
+        words = [words_of(raw) for raw, *_ in places]
         first = self.t.encode([x[0] for x in words])
         last = self.t.encode([x[-1] if len(x) > 1 else b"" for x in words])
         inner = self.products([x[1:-1] for x in words])
@@ -366,7 +407,7 @@ class Words:
 
 def whole_texts(w: Words, raw: list[bytes]) -> list[tuple]:
     """``columns_of`` the fragments of texts (each begins with the space in front)."""
-    return [columns_of(f) for f in w.products([SAFE.split(r) if r else [] for r in raw])]
+    return [columns_of(f) for f in w.products([words_of(r) if r else [] for r in raw])]
 
 
 def aligned(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, span: int, fan: int) -> tuple[DataFrame, str]:
@@ -383,14 +424,14 @@ def aligned(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, span
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
                 raw = [b" " + x.encode() if x else b"" for x in part["text"].to_pylist()]
-                cuts = [spans_of(len(r), [m.end() for m in SAFE.finditer(r)], span) if w.t.by_range and len(r) > span else [] for r in raw]
+                cuts = [spans_of(len(r), near_places(r, span), span) if w.t.by_range and len(r) > span else [] for r in raw]
                 done = whole_texts(w, [b"" if len(c) > 1 else r for r, c in zip(raw, cuts, strict=True)])
                 rows, size = [], 0
                 for r, doc_id, own, spans in zip(raw, part["doc_id"].to_pylist(), done, cuts, strict=True):
                     if len(spans) < 2:
-                        rows.append((row, doc_id, *own, None, None, None, None, None))
+                        rows.append((row, doc_id, *own, None, None, None, None, None, None))
                     for no, (low, high, at, to) in enumerate(spans if len(spans) > 1 else []):
-                        rows.append((row, doc_id, *own, no, low, high, at, r[at:to]))
+                        rows.append((row, doc_id, *own, no, len(spans), low, high, at, r[at:to]))
                         size += to - at
                         if size > 1 << 21:
                             yield table(rows)
@@ -398,7 +439,7 @@ def aligned(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, span
                     row += 1
                 yield table(rows)
 
-    schema = ROW.format(kind) + ", no int, low long, high long, at long, bytes binary"
+    schema = ROW.format(kind) + ", no int, n int, low long, high long, at long, bytes binary"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
@@ -419,28 +460,26 @@ def aligned(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, span
             for lo in range(0, b.num_rows, 64):
                 p = b.slice(lo, 64)
                 found = [f.packed() for f in w.ranges(list(zip(*(p[c].to_pylist() for c in ("bytes", "at", "low", "high")), strict=True)))]
-                yield pa.RecordBatch.from_arrays([p["row"], p["doc_id"], p["no"], pa.array(found, pa.binary())], names=["row", "doc_id", "no", "fragment"])
+                yield pa.RecordBatch.from_arrays([p["row"], p["doc_id"], p["no"], p["n"], pa.array(found, pa.binary())], names=["row", "doc_id", "no", "n", "fragment"])
 
     def compose(p: pd.DataFrame) -> pd.DataFrame:
+        """Neighbours as one fragment; a document's last ones as its row."""
         t = known(path_a, path_b)
         p = p.sort_values("no")
-        out, *rest = map(Fragment.unpacked, p["fragment"])
-        for f in rest:
-            out = out.then(t, f)
-        return p.iloc[:1][["row", "doc_id", "no"]].assign(no=p["no"].iloc[0] // fan, fragment=[out.packed()])
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = Tokenizers(path_a, path_b)
-        for b in batches:
-            done = pd.DataFrame([columns_of(finished(t, Fragment.unpacked(x))) for x in b["fragment"]], columns=names[2:], index=b.index)
-            yield pd.concat([b[["row", "doc_id"]], done], axis=1)
+        no, n = int(p["no"].iloc[0]) // fan, -(-int(p["n"].iloc[0]) // fan)
+        out = composed(t, p["fragment"])
+        done = columns_of(finished(t, out)) if n == 1 else [None] * len(EMPTY)
+        return pd.DataFrame([(*p.iloc[0][["row", "doc_id"]], *done, no, n, None if n == 1 else out.packed())], columns=[*names, "no", "n", "fragment"])
 
-    shape = f"row long, doc_id {kind}, no int, fragment binary"
+    shape = f"row long, doc_id {kind}, no int, n int, fragment binary"
     level = parts.repartition(F.col("row"), F.col("no")).mapInArrow(encode, shape)
     while most:
-        level = staged(spark, level, "fragments").groupBy("row", F.floor(F.col("no") / fan).alias("_up")).applyInPandas(compose, shape)
+        level = staged(spark, level, "fragments").groupBy("row", F.floor(F.col("no") / fan).alias("_up"))
+        level = staged(spark, level.applyInPandas(compose, ROW.format(kind) + ", no int, n int, fragment binary"), "aligned-long")
+        whole = whole.unionAll(level.where("n = 1").select(*names))
+        level = level.where("n > 1").select("row", "doc_id", "no", "n", "fragment")
         most //= fan
-    return whole.unionAll(staged(spark, level.mapInPandas(finish, ROW.format(kind)), "aligned-long")), kind
+    return whole, kind
 
 
 _KNOWN: dict = {}

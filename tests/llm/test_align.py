@@ -99,3 +99,25 @@ def test_spans_cover_every_byte_and_stay_short():
 
 def test_empty_table(spark):
     assert align.align(spark, spark.createDataFrame([], "doc_id long, text string"), A, B).count() == 0
+
+
+def test_pairs_are_put_together_once():
+    """Products hold what their factors had; sorting it again for each factor grew with their square."""
+    t = align.Tokenizers(A, B)
+    raw = b" " + ("one word after another, seven 77 " * 40).strip().encode()
+    words = align.Words(t)
+    safe = [m.end() for m in align.SAFE.finditer(raw)]
+    parts = words.ranges([(raw[at:to], at, lo, hi) for lo, hi, at, to in align.spans_of(len(raw), safe, 100)])
+    product = align.composed(t, [f.packed() for f in parts])
+    assert len(product.pairs) >= len(parts) and max(map(len, parts[0].pairs)) == 2
+    assert align.columns_of(align.finished(t, product)) == align.whole_texts(words, [raw])[0]
+
+
+def test_places_near_the_cuts_give_the_same_spans():
+    rng = random.Random(5)
+    for _ in range(300):
+        raw = " ".join(rng.choices(["a", "", "\u4e00\u3042", "\u3000", "\n", "e\u0301x" * 30, "\u2581", "7" * 200, "\U0001f642", "\xe9"], k=80)).encode()
+        safe = [m.end() for m in align.SAFE.finditer(raw)]
+        assert [m.start() for m in align.CUT.finditer(raw)] == safe and align.words_of(raw) == align.SAFE.split(raw)
+        for step in (7, 64, 400):
+            assert align.spans_of(len(raw), align.near_places(raw, step), step) == align.spans_of(len(raw), safe, step)
