@@ -239,7 +239,9 @@ def shingle_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent
     shared = staged(spark, segments.withColumn("n", alike).where("n > 1"), "shingle-segments")
 
     # Of the need, segments that nobody shares find nobody; the rest is taken where it is cheapest.
-    wants = flat.select("node", "band", "need", F.size("segments").alias("filled"))
+    # Copies want the same, and how much is a few numbers: the signatures aren't shuffled for it again.
+    wants = named.select("node", F.transform("bands", lambda x: F.struct(x["band"].alias("band"), x["need"].alias("need"), F.size(x["segments"]).alias("filled"))).alias("w"))
+    wants = wants.groupBy("node").agg(F.first("w").alias("w")).select("node", F.inline("w"))
     per = shared.where("band >= 0").groupBy("node", "band").agg(F.count("*").alias("k"), F.sort_array(F.collect_list(F.struct("n", "sig"))).alias("by_cost"))
     chosen = per.join(wants, ["node", "band"]).withColumn("take", F.col("need") - (F.col("filled") - F.col("k")))
     chosen = chosen.where("take > 0").select("node", F.explode(F.transform(F.slice("by_cost", 1, F.least("take", "k")), lambda x: x["sig"])).alias("sig"))

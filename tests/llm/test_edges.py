@@ -207,3 +207,13 @@ def test_main_text(spark, sf):
     for r in got:
         inside = plain[r["page_id"]].split("<article>")[1].split("</article>")[0]
         assert r["text"] == "\n".join(v.text for v in pages.tree(inside) if v.text)
+
+
+def test_what_a_set_wants_is_told_without_its_signatures(spark, docs_of, monkeypatch):
+    """The signatures are shuffled by node once, for the segments; to choose look-ups their number will do."""
+    plans, write = {}, shingle_join.staged
+    monkeypatch.setattr(shingle_join, "staged", lambda s, df, name, **k: (plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()), write(s, df, name, **k))[1])
+    rows = [(i, " ".join(f"w{j % 90 + (j == i)}" for j in range(100))) for i in range(4)]
+    out = shingle_join.shingle_components(spark, docs_of(rows + [(9, rows[1][1])])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {0: 0, 1: 0, 2: 0, 3: 0, 9: 0}
+    assert "min_by" in plans["shingle-segments"] and "min_by" not in plans["shingle-lookups"]
