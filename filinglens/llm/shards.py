@@ -59,6 +59,15 @@ def encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
 
+def chunk_codec(common: bytes):
+    """(pack, unpack) of chunks of records, against ids that all tasks know."""
+    import zstandard
+
+    known = zstandard.ZstdCompressionDict(common, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known.precompute_compress(level=6)
+    return zstandard.ZstdCompressor(level=6, dict_data=known).compress, zstandard.ZstdDecompressor(dict_data=known).decompress
+
+
 def write_shards(
     spark: SparkSession, docs: DataFrame, ranks_path: str, out_path: str | None = None, length: int = 256,
     per_shard: int = 16_384, key: int = 20_240_229,
@@ -115,12 +124,16 @@ def write_shards(
     own = own.withColumn("bucket", F.floor((F.shiftright("h", 32) + F.lit(1 << 31)) * F.lit(buckets) / F.lit(1 << 32)).cast("int"))
     rows = own.mapInArrow(encode, f"doc_id {kind}, h long, g long, bucket int, size long, ids binary")
     rows = rows.repartition(max(1, buckets // 16), "bucket").sortWithinPartitions("bucket", "h", "g")
-    coded = staged(spark, rows.mapInArrow(numbered, f"doc_id {kind}, bucket int, first long, n long, size long, ids binary"), "token-ids", level=9)
+    coded = staged(spark, rows.mapInArrow(numbered, f"doc_id {kind}, bucket int, first long, n long, size long, ids binary"), "token-ids", level=6)
     parts = {r["bucket"]: r["n"] for r in coded.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # at most ``buckets`` rows
     total, offset = 0, np.zeros(buckets, dtype=np.int64)
     for p in sorted(parts):
         offset[p], total = total, total + parts[p]
 
+    # Ids of some texts, which chunks of records are compressed against: a chunk has few records where shards are many.
+    some = coded.where("n > 0").select(F.substring("ids", 1, 4096).alias("ids")).limit(1024).collect()  # 4 MB at most
+    common = spark.sparkContext.broadcast(b"".join(bytes(r["ids"]) for r in some)[: 1 << 21])
+
     def sequences(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each sequence: its row, its number in the row, its ids, its place."""
         n, first = b["n"].to_numpy(), b["first"].to_numpy() + offset[b["bucket"].to_numpy()]
@@ -147,9 +160,7 @@ def write_shards(
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Records by shard, compressed together: fewer and smaller rows to shuffle."""
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=6)
+        pack, _ = chunk_codec(common.value)
         for b in batches:
             _, _, ids, slot = sequences(b)
             order = np.argsort(slot, kind="stable")
@@ -160,14 +171,12 @@ def write_shards(
             spans = list(zip(cut[:-1], cut[1:], strict=True))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(shards, pa.int64()), pa.array([slot[i:j].tobytes() for i, j in spans], pa.binary()),
-                 pa.array([squeeze.compress(ids[i:j].tobytes()) for i, j in spans], pa.binary())], names=["shard", "slots", "records"])
+                 pa.array([pack(ids[i:j].tobytes()) for i, j in spans], pa.binary())], names=["shard", "slots", "records"])
 
     def ordered(t: pa.Table) -> pa.Table:
-        import zstandard
-
-        loose = zstandard.ZstdDecompressor()
+        _, unpack = chunk_codec(common.value)
         slot = np.concatenate([np.frombuffer(x, "<u2") for x in t["slots"].to_pylist()])
-        ids = np.concatenate([np.frombuffer(loose.decompress(x), "<u2").reshape(-1, length) for x in t["records"].to_pylist()])
+        ids = np.concatenate([np.frombuffer(unpack(x), "<u2").reshape(-1, length) for x in t["records"].to_pylist()])
         ends = np.full((len(slot), length + len(LINE_END) // 2), int.from_bytes(LINE_END.encode(), "little"), dtype="<u2")
         ends[:, :length] = ids[np.argsort(slot)]
         return pa.table({"shard": pa.array([t["shard"][0].as_py()], pa.int64()), "records": pa.array([ends.tobytes()[: -len(LINE_END)]], pa.binary())})
