@@ -59,13 +59,19 @@ def encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
 
-def chunk_codec(common: bytes):
-    """(pack, unpack) of chunks of records, against ids that all tasks know."""
+def packer(common: bytes):
+    """Compresses chunks of records against ids that all tasks know."""
     import zstandard
 
     known = zstandard.ZstdCompressionDict(common, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    known.precompute_compress(level=6)
-    return zstandard.ZstdCompressor(level=6, dict_data=known).compress, zstandard.ZstdDecompressor(dict_data=known).decompress
+    known.precompute_compress(level=6)  # for all chunks of a task; reading them needs no such tables
+    return zstandard.ZstdCompressor(level=6, dict_data=known).compress
+
+
+def unpacker(common: bytes):
+    import zstandard
+
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(common, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).decompress
 
 
 def write_shards(
@@ -160,7 +166,7 @@ def write_shards(
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Records by shard, compressed together: fewer and smaller rows to shuffle."""
-        pack, _ = chunk_codec(common.value)
+        pack = packer(common.value)
         for b in batches:
             _, _, ids, slot = sequences(b)
             order = np.argsort(slot, kind="stable")
@@ -174,7 +180,7 @@ def write_shards(
                  pa.array([pack(ids[i:j].tobytes()) for i, j in spans], pa.binary())], names=["shard", "slots", "records"])
 
     def ordered(t: pa.Table) -> pa.Table:
-        _, unpack = chunk_codec(common.value)
+        unpack = unpacker(common.value)
         slot = np.concatenate([np.frombuffer(x, "<u2") for x in t["slots"].to_pylist()])
         ids = np.concatenate([np.frombuffer(unpack(x), "<u2").reshape(-1, length) for x in t["records"].to_pylist()])
         ends = np.full((len(slot), length + len(LINE_END) // 2), int.from_bytes(LINE_END.encode(), "little"), dtype="<u2")

@@ -174,8 +174,8 @@ def test_small_chunks_are_packed_against_known_ids():
     r = np.random.default_rng(4)
     phrases = r.integers(0, 50_000, (400, 12)).astype("<u2")
     text = lambda n: phrases[r.integers(0, 400, n)].tobytes()
-    pack, unpack = shards.chunk_codec(text(20_000))
-    plain, _ = shards.chunk_codec(b"")
+    known = text(20_000)
+    pack, unpack, plain = shards.packer(known), shards.unpacker(known), shards.packer(b"")
     some = [text(100) for _ in range(20)]
     assert [unpack(pack(x)) for x in some] == some
     assert sum(len(pack(x)) for x in some) < 0.6 * sum(len(plain(x)) for x in some)
