@@ -4,8 +4,8 @@ Both tokenizers cut the same bytes; the offsets where a token of each ends cut
 them into groups. A byte range of a document yields a fragment: an open prefix
 (tokens up to the first common end), closed groups, and an open suffix (tokens
 after the last common end). Fragments of neighbouring ranges compose
-associatively, so the ranges of a long document are encoded by different tasks
-and their fragments reduced as a tree. A short document is one fragment.
+associatively: some neighbouring ranges are encoded and composed by one task, and
+the products of a long document's tasks are reduced as a tree. A short document is one fragment.
 
 Links' ids are counted over all documents. The most frequent pairs (a bounded
 list) are looked up in every task; the rest, whose counts are small, are joined.
@@ -13,9 +13,12 @@ list) are looked up in every task; the rest, whose counts are small, are joined.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import pickle
 import re
+import sys
+import types
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -307,18 +310,34 @@ def composed(t: Tokenizers, packed: list[bytes]) -> Fragment:
 
 class Words:
     """Fragments of words, which lie between two safe places and so are closed
-    at both ends, each computed once, and their products. At most ``most`` short words are remembered."""
+    at both ends, each computed once while remembered, and their products. Of more than ``most``
+    short words those used most stay."""
 
     def __init__(self, t: Tokenizers, most: int = 150_000):
         self.t, self.most = t, most
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[bytes, int] = {}  # in the order of the numbers
         self.text: list[str] = []
         self.size = 0  # of the words and their texts
         self.counts = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links, whether the tokens spell the word
-        self.pair, self.times, self.end = (np.zeros(0, np.int64) for _ in range(3))
+        self.pair, self.times, self.end, self.uses = (np.zeros(0, np.int64) for _ in range(4))
+
+    def thin(self) -> None:
+        """Forgets all but the words used most, of equal ones the last: at most half of what may be remembered."""
+        order = np.lexsort((np.arange(len(self.uses)), self.uses))[::-1]
+        size = np.fromiter(map(len, self.number), np.int64, len(order)) + np.fromiter(map(len, self.text), np.int64, len(order))
+        order = order[: self.most // 2]
+        keep = np.sort(order[np.cumsum(size[order]) <= self.most * 100])
+        held = np.diff(self.end, prepend=0)[keep]
+        at = np.repeat(self.end[keep] - np.cumsum(held), held) + np.arange(held.sum())
+        words = list(self.number)
+        self.number = {words[i]: k for k, i in enumerate(keep.tolist())}
+        self.text = [self.text[i] for i in keep.tolist()]
+        self.size = int(size[keep].sum())
+        self.counts, self.uses = self.counts[keep], self.uses[keep] // 2
+        self.pair, self.times, self.end = self.pair[at], self.times[at], np.cumsum(held)
 
     def meet(self, words: list[bytes]) -> None:
         """Computes the fragments of new words. Many are encoded as one text,
@@ -362,17 +381,19 @@ class Words:
         self.counts = np.concatenate([self.counts, counts])
         self.pair, self.times = np.concatenate([self.pair, pair]), np.concatenate([self.times, times])
         self.end = np.concatenate([self.end, before + np.cumsum(times_of)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
 
     def products(self, texts: list[list[bytes]]) -> list[Fragment]:
         """The closed fragment of each text, given as its words."""
         if len(self.number) > self.most or self.size > self.most * 200:
-            self.forget()
+            self.thin()
         new = list(set().union(*texts).difference(self.number))
         if new:
             self.meet(new)
         ids = [np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)) for words in texts]
         sizes = np.array([len(x) for x in ids], np.int64)
         every, doc = np.concatenate(ids) if ids else np.zeros(0, np.int64), np.repeat(np.arange(len(ids)), sizes)
+        self.uses += np.bincount(every, minlength=len(self.uses))
         doc, word, n = summed(doc, every, np.ones(len(every), np.int64))
         held = np.diff(self.end, prepend=0)[word]
         at = np.repeat(self.end[word] - held - (np.cumsum(held) - held), held) + np.arange(held.sum())
@@ -405,6 +426,18 @@ class Words:
         return out
 
 
+@contextlib.contextmanager
+def words_kept(path_a: str, path_b: str) -> Iterator[Words]:
+    """The words of this worker process, which its later tasks find again. A
+    task takes them out and puts them back at its end, so none that broke off is used again."""
+    # Functions are pickled by value: the globals of this module are new in each task.
+    kept = sys.modules.setdefault("_filinglens_kept", types.ModuleType("_filinglens_kept")).__dict__
+    key = f"{path_a}\n{path_b}"
+    w = kept.pop(key, None) or Words(Tokenizers(path_a, path_b))
+    yield w
+    kept[key] = w
+
+
 def whole_texts(w: Words, raw: list[bytes]) -> list[tuple]:
     """``columns_of`` the fragments of texts (each begins with the space in front)."""
     return [columns_of(f) for f in w.products([words_of(r) if r else [] for r in raw])]
@@ -418,31 +451,31 @@ def aligned(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, span
         from pyspark import TaskContext
 
         threads()
-        w = Words(Tokenizers(path_a, path_b))
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                raw = [b" " + x.encode() if x else b"" for x in part["text"].to_pylist()]
-                cuts = [spans_of(len(r), near_places(r, span), span) if w.t.by_range and len(r) > span else [] for r in raw]
-                done = whole_texts(w, [b"" if len(c) > 1 else r for r, c in zip(raw, cuts, strict=True)])
-                rows, size = [], 0
-                for r, doc_id, own, spans in zip(raw, part["doc_id"].to_pylist(), done, cuts, strict=True):
-                    if len(spans) < 2:
-                        rows.append((row, doc_id, *own, None, None, None, None, None, None))
-                    for no, (low, high, at, to) in enumerate(spans if len(spans) > 1 else []):
-                        rows.append((row, doc_id, *own, no, len(spans), low, high, at, r[at:to]))
-                        size += to - at
-                        if size > 1 << 21:
-                            yield table(rows)
-                            rows, size = [], 0
-                    row += 1
-                yield table(rows)
+        with words_kept(path_a, path_b) as w:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 128):
+                    part = batch.slice(lo, 128)
+                    raw = [b" " + x.encode() if x else b"" for x in part["text"].to_pylist()]
+                    cuts = [spans_of(len(r), near_places(r, span), span) if w.t.by_range and len(r) > span else [] for r in raw]
+                    done = whole_texts(w, [b"" if len(c) > 1 else r for r, c in zip(raw, cuts, strict=True)])
+                    rows, size = [], 0
+                    for r, doc_id, own, spans in zip(raw, part["doc_id"].to_pylist(), done, cuts, strict=True):
+                        if len(spans) < 2:
+                            rows.append((row, doc_id, *own, None, None, None, None, None, None))
+                        for no, (low, high, at, to) in enumerate(spans if len(spans) > 1 else []):
+                            rows.append((row, doc_id, *own, no, len(spans), low, high, at, r[at:to]))
+                            size += to - at
+                            if size > 1 << 21:
+                                yield table(rows)
+                                rows, size = [], 0
+                        row += 1
+                    yield table(rows)
 
     schema = ROW.format(kind) + ", no int, n int, low long, high long, at long, bytes binary"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def table(rows: list[tuple]) -> pa.RecordBatch:
+    def table(rows: list[tuple], arrow: pa.Schema = arrow) -> pa.RecordBatch:
         columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
@@ -453,45 +486,58 @@ def aligned(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, span
     if most is None:
         return whole, kind
 
+    def product(t: Tokenizers, row: int, doc_id, no: int, n: int, out: Fragment) -> tuple:
+        """Fragment ``no`` of the ``n`` that are left of a document, the only one as its row."""
+        done = columns_of(finished(t, out)) if n == 1 else [None] * len(EMPTY)
+        return row, doc_id, *done, no, n, None if n == 1 else out.packed()
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ranges, in order, as fragments, and up to ``fan`` neighbours as one: only products leave the task."""
         threads()
-        w = Words(Tokenizers(path_a, path_b))
-        for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                p = b.slice(lo, 64)
-                found = [f.packed() for f in w.ranges(list(zip(*(p[c].to_pylist() for c in ("bytes", "at", "low", "high")), strict=True)))]
-                yield pa.RecordBatch.from_arrays([p["row"], p["doc_id"], p["no"], p["n"], pa.array(found, pa.binary())], names=["row", "doc_id", "no", "n", "fragment"])
+        with words_kept(path_a, path_b) as w:
+            key = out = None  # the product that is being put together
+            rows, size = [], 0
+            for b in batches:
+                for lo in range(0, b.num_rows, 64):
+                    p = b.slice(lo, 64)
+                    row, doc_id, no, n, *places = (p[c].to_pylist() for c in ("row", "doc_id", "no", "n", "bytes", "at", "low", "high"))
+                    for *now, f in zip(row, doc_id, (x // fan for x in no), (-(-x // fan) for x in n), w.ranges(list(zip(*places, strict=True))), strict=True):
+                        if now == key:
+                            out = out.then(w.t, f)
+                            continue
+                        if key is not None:
+                            rows.append(product(w.t, *key, out))
+                            size += sum(len(x) for x in rows[-1] if isinstance(x, (bytes, str)))
+                        key, out = now, f
+                        if size > 1 << 22:
+                            yield table(rows, shape)
+                            rows, size = [], 0
+            if key is not None:
+                rows.append(product(w.t, *key, out))
+            yield table(rows, shape)
 
     def compose(p: pd.DataFrame) -> pd.DataFrame:
         """Neighbours as one fragment; a document's last ones as its row."""
-        t = known(path_a, path_b)
-        p = p.sort_values("no")
-        no, n = int(p["no"].iloc[0]) // fan, -(-int(p["n"].iloc[0]) // fan)
-        out = composed(t, p["fragment"])
-        done = columns_of(finished(t, out)) if n == 1 else [None] * len(EMPTY)
-        return pd.DataFrame([(*p.iloc[0][["row", "doc_id"]], *done, no, n, None if n == 1 else out.packed())], columns=[*names, "no", "n", "fragment"])
-
-    shape = f"row long, doc_id {kind}, no int, n int, fragment binary"
-    level = parts.repartition(F.col("row"), F.col("no")).mapInArrow(encode, shape)
-    while most:
-        level = staged(spark, level, "fragments").groupBy("row", F.floor(F.col("no") / fan).alias("_up"))
-        level = staged(spark, level.applyInPandas(compose, ROW.format(kind) + ", no int, n int, fragment binary"), "aligned-long")
+        with words_kept(path_a, path_b) as w:
+            p = p.sort_values("no")
+            row, doc_id, no, n, _ = p.iloc[0]
+            return pd.DataFrame([product(w.t, row, doc_id, no // fan, -(-n // fan), composed(w.t, p["fragment"]))], columns=[*names, "no", "n", "fragment"])
+
+    products = ROW.format(kind) + ", no int, n int, fragment binary"
+    shape = to_arrow_schema(StructType.fromDDL(products))
+    up = F.floor(F.col("no") / fan).alias("_up")
+    # Neighbours meet in one task, those of a longer document in many.
+    level = parts.repartition(F.col("row"), up).sortWithinPartitions("row", "no").mapInArrow(encode, products)
+    while True:
+        level = staged(spark, level, "aligned-long")
         whole = whole.unionAll(level.where("n = 1").select(*names))
-        level = level.where("n > 1").select("row", "doc_id", "no", "n", "fragment")
         most //= fan
+        if not most:
+            break
+        level = level.where("n > 1").select("row", "doc_id", "no", "n", "fragment").groupBy("row", up).applyInPandas(compose, products)
     return whole, kind
 
 
-_KNOWN: dict = {}
-
-
-def known(path_a: str, path_b: str) -> Tokenizers:
-    """The tokenizers, loaded once per worker."""
-    if (path_a, path_b) not in _KNOWN:
-        _KNOWN[path_a, path_b] = Tokenizers(path_a, path_b)
-    return _KNOWN[path_a, path_b]
-
-
 def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(pair, documents) of a task's rows, added up before they are sent."""
     def sent(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -517,8 +563,8 @@ def align(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, span:
     SentencePiece; executors read both. Null and empty texts, and those whose
     tokens don't spell a space and the text (a text with U+2581, say), have zeros and an empty
     hash. Rows that repeat an id each count as a document and keep a row. Texts of more than
-    ``span`` bytes are encoded in ranges of that length by different tasks and
-    reduced ``fan`` at a time; where no safe place to cut is near, ranges are
+    ``span`` bytes are encoded in ranges of that length, ``fan`` neighbours by one task, and their
+    products reduced ``fan`` at a time; where no safe place to cut is near, ranges are
     longer. At most ``shared_pairs`` pairs of ids, the most frequent, go to every
     task; the others are joined, so no key of that join has many rows. Other columns are not read.
     """

@@ -121,3 +121,34 @@ def test_places_near_the_cuts_give_the_same_spans():
         assert [m.start() for m in align.CUT.finditer(raw)] == safe and align.words_of(raw) == align.SAFE.split(raw)
         for step in (7, 64, 400):
             assert align.spans_of(len(raw), align.near_places(raw, step), step) == align.spans_of(len(raw), safe, step)
+
+
+def test_words_used_most_are_kept():
+    """Too many words: rare ones go, frequent ones need not be encoded again, and nothing changes."""
+    t = align.Tokenizers(A, B)
+    r = random.Random(8)
+    raw = [(" the cat of " + " ".join(f"w{r.randrange(10**6)}{x}" for x in "abcdefghij") + " and the cat sat").encode() for _ in range(60)]
+    few, all_words = align.Words(t, most=60), align.Words(t)
+    met, meet = [], few.meet
+    few.meet = lambda words: (met.extend(words), meet(words))
+    got = [x for lo in range(0, 60, 3) for x in align.whole_texts(few, raw[lo : lo + 3])]
+    assert got == align.whole_texts(all_words, raw)
+    assert len(few.number) <= 60 + 45 and met.count(b" cat") == met.count(b" the") == 1
+    assert list(few.number.values()) == list(range(len(few.text))) and len(few.pair) == len(few.times) == few.end[-1]
+
+
+def test_ranges_are_composed_where_they_are_encoded(spark, monkeypatch):
+    """A document of at most ``fan`` ranges leaves the first pass as one row; no table of its ranges' fragments is written."""
+    written, staged = [], align.staged
+
+    def counted(spark, df, name, level=3):
+        out = staged(spark, df, name, level)
+        if name in ("fragments", "aligned-long"):
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(align, "staged", counted)
+    rows = [(i, f"document {i} " + "has some words and more " * 30) for i in range(8)] + [(99, "one long text of many ranges " * 400)]
+    got = sorted(map(tuple, align.align(spark, spark.createDataFrame(rows, "doc_id long, text string"), A, B, span=100, fan=16).collect()))
+    assert got == brute(rows)
+    assert written[0] < 30 and sorted(written, reverse=True) == written
